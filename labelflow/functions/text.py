@@ -23,14 +23,12 @@ STOP_WORDS = (
 ).split()
 
 
-def letter_counts(text: Column) -> Column:
-    """``array<int>``: occurrences of each ALPHABET letter in the whole lower-cased text.
-
-    One ``replace`` per letter, no per-character array is materialised.
-    """
+def letter_count_columns(text: Column) -> list[Column]:
+    """One count per ALPHABET letter over the whole lower-cased text, as separate top-level
+    expressions: they stay inside whole-stage codegen, whose common-subexpression
+    elimination computes ``lower(text)`` once per row. No per-character array is built."""
     t = F.lower(text)
-    return F.transform(F.split(F.lit(ALPHABET), ""),
-                       lambda a: F.length(t) - F.length(F.replace(t, a, F.lit(""))))
+    return [F.length(t) - F.length(F.replace(t, F.lit(a), F.lit(""))) for a in ALPHABET]
 
 
 def word_tokens(text: Column) -> Column:

@@ -83,12 +83,16 @@ def exact_percentile(df: DataFrame, value_col: str, q: float, group_cols: list[s
     g = list(group_cols or [])
     v = F.col(value_col).cast("double")
     base = df.select(*g, v.alias("_v")).filter(F.col("_v").isNotNull())
-    margin = 2.0 / accuracy
+    margin = 4.0 / accuracy  # >= 4 ranks either side once a group is larger than ``accuracy``
     lo_q, hi_q = max(0.0, q - margin), min(1.0, q + margin)
     finite = base.filter(~F.isnan("_v"))
+    # groups no larger than the sketch resolution are ranked whole (bracket = min..max)
     brackets = finite.groupBy(*g).agg(
         F.count(F.lit(1)).alias("_n"),
-        F.percentile_approx("_v", F.array(F.lit(lo_q), F.lit(hi_q)), accuracy).alias("_br"))
+        F.percentile_approx("_v", F.array(F.lit(lo_q), F.lit(hi_q)), accuracy).alias("_br"),
+        F.min("_v").alias("_mn"), F.max("_v").alias("_mx"))
+    small = F.col("_n") <= F.lit(accuracy)
+    brackets = brackets.select(*g, "_n", F.when(small, F.array("_mn", "_mx")).otherwise(F.col("_br")).alias("_br"))
     nan_flags = base.groupBy(*g).agg(F.max(F.isnan("_v").cast("int")).alias("_has_nan"),
                                      F.count(F.lit(1)).alias("count"))
     j = finite.join(brackets, g) if g else finite.crossJoin(brackets)

@@ -30,7 +30,8 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from ..functions.columns import prob_column_name
-from ..functions.text import ALPHABET, WORD_PATTERN, letter_counts
+from ..functions.text import ALPHABET, WORD_PATTERN
+from ..session import ship_package
 from .curate import drop_null_text
 
 DEFAULT_EVIDENCE_SCALE = 3.0
@@ -45,16 +46,33 @@ class Scorer(Protocol):
 
 # ------------------------------------------------------------------ letter naive Bayes
 
+MAX_CLASSES = 10_000
+
+
 def fit_letter_nb(train: DataFrame, text_col: str = "text", label_col: str = "label") -> DataFrame:
-    """G6 (built-in scorer): one-row model ``labels, log_prior, loglik``.
+    """G6 (built-in scorer): fit eagerly (like an MLlib ``fit``) and return the one-row model
+    ``nb_labels, nb_log_prior, nb_loglik`` as a local DataFrame.
 
-    Work: one pass over the training texts, partial aggregation per (class, letter).
+    Work: one pass over the training texts with partial aggregation per (class, letter); the
+    fitted model is classes x letters numbers, checked against ``MAX_CLASSES`` before it is
+    brought to the driver, so every later plan embeds it instead of re-training.
     """
+    ship_package(train.sparkSession)
+    plan = _letter_nb_plan(train, text_col, label_col)
+    row = plan.first()
+    if row is None or row["nb_labels"] is None:
+        raise ValueError("no labelled training rows")
+    if len(row["nb_labels"]) > MAX_CLASSES:
+        raise ValueError(f"{len(row['nb_labels'])} classes exceed MAX_CLASSES={MAX_CLASSES}")
+    return train.sparkSession.createDataFrame([row], plan.schema)
+
+
+def _letter_nb_plan(train: DataFrame, text_col: str, label_col: str) -> DataFrame:
     v = len(ALPHABET)
     base = train.filter(F.col(text_col).isNotNull() & F.col(label_col).isNotNull())
     per_doc = base.select(F.col(label_col).cast("string").alias("_label"),
-                          letter_counts(F.col(text_col)).alias("_cnt"))
-    exploded = per_doc.select("_label", F.posexplode("_cnt").alias("_pos", "_n"))
+                          letter_counts_udf(F.col(text_col)).alias("_cnt"))
+    exploded = per_doc.select("_label", F.posexplode_outer("_cnt").alias("_pos", "_n"))
     by_letter = exploded.groupBy("_label", "_pos").agg(F.sum("_n").alias("_n"))
     letters = by_letter.groupBy("_label").agg(
         F.transform(F.array_sort(F.collect_list(F.struct("_pos", "_n"))),
@@ -74,21 +92,52 @@ def fit_letter_nb(train: DataFrame, text_col: str = "text", label_col: str = "la
         F.transform("_m", lambda s: s["_ll"]).alias("nb_loglik"))
 
 
-def class_scores(text: Column, evidence_scale: float) -> Column:
-    """Per-class scores given the model columns are on the row."""
-    cnt = letter_counts(text)
-    letters = F.greatest(F.aggregate(cnt, F.lit(0).cast("long"), lambda a, b: a + b), F.lit(1))
-    return F.transform(F.col("nb_labels"), lambda _l, i: F.col("nb_log_prior")[i] + F.lit(evidence_scale) *
-                       F.aggregate(F.zip_with(cnt, F.col("nb_loglik")[i], lambda c, w: c * w),
-                                   F.lit(0.0), lambda a, b: a + b) / letters)
+def _count_matrix(texts: pd.Series) -> np.ndarray:
+    """rows x letters counts over whole lower-cased texts (C-level ``str.count`` per letter)."""
+    letters = list(ALPHABET)
+    return np.array([[t.count(a) for a in letters] for t in texts.str.lower()], dtype=np.int64) \
+        .reshape(len(texts), len(letters))
+
+
+@F.pandas_udf(T.ArrayType(T.LongType()))
+def letter_counts_udf(texts: pd.Series) -> pd.Series:
+    """Per-document letter counts (feature extraction of the letter model), Arrow-batched.
+
+    Measured: 49 JVM ``replace`` passes ran at ~11 M chars/s per core on these texts; one
+    vectorised batch pass here is several times faster."""
+    m = _count_matrix(texts.fillna(""))
+    return pd.Series(list(m))
 
 
-def softmax(scores: Column) -> Column:
-    """Numerically stable softmax of an ``array<double>``."""
-    m = F.array_max(scores)
-    e = F.transform(scores, lambda s: F.exp(s - m))
-    z = F.aggregate(e, F.lit(0.0), lambda a, b: a + b)
-    return F.transform(e, lambda x: x / z)
+def nb_probabilities(counts: np.ndarray, log_prior: np.ndarray, loglik: np.ndarray,
+                     evidence_scale: float) -> np.ndarray:
+    """Softmax of ``log prior + scale * counts . loglik / letters`` for a batch."""
+    letters = np.maximum(counts.sum(axis=1), 1).astype(float)
+    scores = log_prior[None, :] + evidence_scale * (counts @ loglik.T) / letters[:, None]
+    scores -= scores.max(axis=1, keepdims=True)
+    probs = np.exp(scores)
+    return probs / probs.sum(axis=1, keepdims=True)
+
+
+def nb_scoring_udf(model_row: dict, evidence_scale: float):
+    """Scalar pandas UDF text -> struct(predicted_label_id, confidence, probs).
+
+    The fitted model (classes x letters numbers, bounded by MAX_CLASSES) travels in the
+    closure; each Arrow batch is one matrix product."""
+    prior = np.asarray(model_row["nb_log_prior"], dtype=float)
+    loglik = np.asarray(model_row["nb_loglik"], dtype=float)
+    out_type = T.StructType([T.StructField("pid", T.IntegerType()),
+                             T.StructField("confidence", T.DoubleType()),
+                             T.StructField("probs", T.ArrayType(T.DoubleType()))])
+
+    @F.pandas_udf(out_type)
+    def score(texts: pd.Series) -> pd.DataFrame:
+        probs = nb_probabilities(_count_matrix(texts.fillna("")), prior, loglik, evidence_scale)
+        pid = probs.argmax(axis=1)  # first maximum on ties
+        return pd.DataFrame({"pid": pid.astype("int32"), "confidence": probs.max(axis=1),
+                             "probs": list(probs)})
+
+    return score
 
 
 def argmax_index(values: Column) -> Column:
@@ -100,18 +149,21 @@ def predict(df: DataFrame, model: DataFrame, text_col: str = "text",
             evidence_scale: float = DEFAULT_EVIDENCE_SCALE, keep_probs: bool = True) -> DataFrame:
     """G1: input columns + ``predicted_label_id``, ``predicted_label``, ``confidence`` and the
     aligned ``probs`` array / ``prob_labels`` (canonical inner form). Null texts are dropped
-    first (rule N6). ``model`` has exactly one row, so the broadcast is bounded."""
+    first (rule N6). A pure projection: no shuffle."""
+    ship_package(df.sparkSession)
     base = drop_null_text(df, text_col)
     cols = base.columns
-    j = base.crossJoin(F.broadcast(model))
-    j = j.withColumn("_probs", softmax(class_scores(F.col(text_col), evidence_scale)))
-    pid = argmax_index(F.col("_probs"))
+    row = model.first().asDict()
+    labels = list(row["nb_labels"])
+    udf = nb_scoring_udf(row, evidence_scale)
+    lab_arr = F.array(*[F.lit(x) for x in labels])
+    j = base.withColumn("_r", udf(F.col(text_col)))
     out = j.select(*cols,
-                   pid.alias("predicted_label_id"),
-                   F.element_at("nb_labels", pid + 1).alias("predicted_label"),
-                   F.array_max("_probs").alias("confidence"),
-                   F.col("_probs").alias("probs"),
-                   F.col("nb_labels").alias("prob_labels"))
+                   F.col("_r.pid").alias("predicted_label_id"),
+                   F.element_at(lab_arr, F.col("_r.pid") + 1).alias("predicted_label"),
+                   F.col("_r.confidence").alias("confidence"),
+                   F.col("_r.probs").alias("probs"),
+                   lab_arr.alias("prob_labels"))
     return out if keep_probs else out.drop("probs", "prob_labels")
 
 
@@ -167,7 +219,7 @@ def score_in_batches(df: DataFrame, model_row: dict, text_col: str = "text",
     labels = list(model_row["nb_labels"])
     prior = np.asarray(model_row["nb_log_prior"], dtype=float)
     loglik = np.asarray(model_row["nb_loglik"], dtype=float)  # classes x letters
-    letters = list(ALPHABET)
+    ship_package(df.sparkSession)
     base = drop_null_text(df, text_col)
     schema = T.StructType(base.schema.fields + [
         T.StructField("predicted_label_id", T.IntegerType()),
@@ -178,13 +230,7 @@ def score_in_batches(df: DataFrame, model_row: dict, text_col: str = "text",
         for pdf in batches:
             for start in range(0, len(pdf), batch_size):
                 part = pdf.iloc[start:start + batch_size].copy()
-                low = part[text_col].str.lower()
-                counts = np.stack([low.str.count(a).to_numpy() for a in letters], axis=1)
-                total = np.maximum(counts.sum(axis=1), 1)
-                scores = prior[None, :] + evidence_scale * (counts @ loglik.T) / total[:, None]
-                scores -= scores.max(axis=1, keepdims=True)
-                probs = np.exp(scores)
-                probs /= probs.sum(axis=1, keepdims=True)
+                probs = nb_probabilities(_count_matrix(part[text_col]), prior, loglik, evidence_scale)
                 pid = probs.argmax(axis=1)
                 part["predicted_label_id"] = pid.astype("int32")
                 part["predicted_label"] = [labels[i] for i in pid]

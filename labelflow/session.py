@@ -22,6 +22,10 @@ DEFAULT_CONF = {
     "spark.sql.execution.arrow.pyspark.enabled": "true",
     "spark.ui.enabled": "false",
     "spark.ui.showConsoleProgress": "false",
+    "spark.driver.memory": "16g",
+    # the scorer's per-class arithmetic is wide; constraint inference on such projections is
+    # quadratic in the optimizer and buys nothing for these plans
+    "spark.sql.constraintPropagation.enabled": "false",
 }
 
 
@@ -69,3 +73,25 @@ def shared_path(spark: SparkSession, *parts: str, unique: bool = True) -> str:
     if path.startswith("/") or path.startswith("file:"):
         os.makedirs(os.path.dirname(path.replace("file:", "")), exist_ok=True)
     return path
+
+
+_SHIPPED: set[str] = set()
+
+
+def ship_package(spark: SparkSession) -> None:
+    """Make ``labelflow`` importable on executors (pandas UDFs reference its functions).
+
+    Zips the package once per SparkContext and registers it with ``addPyFile``; Spark then
+    serves the file to every executor. Does nothing if the package is already importable
+    there through the cluster's own deployment (``spark.labelflow.shipped=true``)."""
+    sc = spark.sparkContext
+    key = sc.applicationId
+    if key in _SHIPPED or spark.conf.get("spark.labelflow.shipped", "false") == "true":
+        return
+    import shutil
+    pkg_dir = os.path.dirname(os.path.abspath(__file__))
+    out_dir = tempfile.mkdtemp(prefix="labelflow-pkg-")
+    base = os.path.join(out_dir, "labelflow")
+    archive = shutil.make_archive(base, "zip", root_dir=os.path.dirname(pkg_dir), base_dir="labelflow")
+    sc.addPyFile(archive)
+    _SHIPPED.add(key)
