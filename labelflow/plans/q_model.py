@@ -76,7 +76,9 @@ def ood_reference_and_batch(spark, sf):
 
 # ---------------------------------------------------------------- DuckDB twin
 
-SCORER_CTE = f"""
+def scorer_cte(score_all: bool = False) -> str:
+    where = "TRUE" if score_all else "NOT c.is_train"
+    return f"""
 alpha AS (SELECT substr('{ALPHABET}', i, 1) AS a, CAST(i AS INTEGER) AS pos FROM range(1, {V + 1}) t(i)),
 d AS (SELECT doc_id, lang, lower(text) AS t, substr(md5('{SEED}:train:' || doc_id), 1, 1) < '8' AS is_train
       FROM documents WHERE text IS NOT NULL),
@@ -89,7 +91,7 @@ pri AS (SELECT lang, ln(count(*) / (SELECT count(*) FROM d WHERE is_train AND la
 lab AS (SELECT lang, CAST(row_number() OVER (ORDER BY lang) - 1 AS INTEGER) AS label_id FROM pri),
 ll AS (SELECT tr.lang, tr.pos, ln((tr.n + 1) / (tot.tot + {V})) AS ll FROM tr JOIN tot USING (lang)),
 sc AS (SELECT c.doc_id, l.lang AS label, sum(c.n * l.ll) AS dot, sum(c.n) AS letters
-       FROM cnt c JOIN ll l ON c.pos = l.pos WHERE NOT c.is_train GROUP BY c.doc_id, l.lang),
+       FROM cnt c JOIN ll l ON c.pos = l.pos WHERE {where} GROUP BY c.doc_id, l.lang),
 s2 AS (SELECT sc.doc_id, sc.label, lab.label_id,
               pri.lp + CAST(3.0 AS DOUBLE) * sc.dot / greatest(sc.letters, 1) AS s
        FROM sc JOIN pri ON sc.label = pri.lang JOIN lab ON lab.lang = sc.label),
@@ -157,6 +159,9 @@ auc AS (SELECT CASE WHEN (SELECT count(*) FROM labels_all) = (SELECT count(DISTI
 """
 
 
+SCORER_CTE = scorer_cte(False)
+
+
 def with_scorer(body: str) -> str:
     return "WITH " + SCORER_CTE.strip() + "\n" + body
 
