@@ -47,19 +47,24 @@ def q_random_fallback_pick(spark, sf):
     return SM.random_fallback_pick(c, 20, "local_idx", SEED, 1).select("article_id", "local_idx")
 
 
-def _split_sql(src: str, label: str, key: str, size: float, tag: str, first: str, rest: str) -> str:
-    """SQL twin of ``stratified_split``: quotas by largest remainder, then rank per class."""
+def _quota_sql(src: str, label: str, size: float) -> str:
+    """Per-class train quota: largest remainder of ``count / n * n_train``, ties to the smaller label."""
     return f"""
-SELECT s.*, CASE WHEN rn <= q.train_quota THEN '{first}' ELSE '{rest}' END AS split FROM (
-  SELECT *, row_number() OVER (PARTITION BY {label} ORDER BY md5('{SEED}:{tag}:' || {key}), {key}) AS rn FROM ({src}) x) s
-JOIN (
-  SELECT {label}, fl + CASE WHEN rk <= need THEN 1 ELSE 0 END AS train_quota FROM (
+  SELECT {label}, c AS class_count, CAST(fl + CASE WHEN rk <= need THEN 1 ELSE 0 END AS BIGINT) AS train_quota FROM (
     SELECT *, n_train - sum(fl) OVER () AS need,
            row_number() OVER (ORDER BY cont - fl DESC, {label}) AS rk FROM (
       SELECT {label}, c, n_train, c / n * n_train AS cont, floor(c / n * n_train) AS fl FROM (
         SELECT {label}, c, sum(c) OVER () AS n,
                sum(c) OVER () - CAST(ceil(CAST({size} AS DOUBLE) * sum(c) OVER ()) AS BIGINT) AS n_train
-        FROM (SELECT {label}, count(*) AS c FROM ({src}) y GROUP BY {label}) cc) a) b) c2) q USING ({label})"""
+        FROM (SELECT {label}, count(*) AS c FROM ({src}) y GROUP BY {label}) cc) a) b) c2"""
+
+
+def _split_sql(src: str, label: str, key: str, size: float, tag: str, first: str, rest: str) -> str:
+    """SQL twin of ``stratified_split``: quotas by largest remainder, then rank per class."""
+    return f"""
+SELECT s.*, CASE WHEN rn <= q.train_quota THEN '{first}' ELSE '{rest}' END AS split FROM (
+  SELECT *, row_number() OVER (PARTITION BY {label} ORDER BY md5('{SEED}:{tag}:' || {key}), {key}) AS rn FROM ({src}) x) s
+JOIN ({_quota_sql(src, label, size)}) q USING ({label})"""
 
 
 SPLIT_TEST_SQL = _split_sql(POOL_SQL, "category", "article_id", 0.2, "test", "train", "test")
@@ -93,9 +98,8 @@ def q_split_distribution_totals(spark, sf):
                               totals=True)
 
 
-@register("split_quotas", f"""WITH p AS ({POOL_SQL}) SELECT category, class_count, q.train_quota AS train_quota,
-class_count - q.train_quota AS test_quota FROM (SELECT category, count(*) AS class_count FROM p GROUP BY category) c
-JOIN (SELECT DISTINCT category, CAST(train_quota AS BIGINT) AS train_quota FROM ({SPLIT_TEST_SQL}) s) q USING (category)""")
+@register("split_quotas", f"""SELECT category, class_count, train_quota, class_count - train_quota AS test_quota
+FROM ({_quota_sql(POOL_SQL, "category", 0.2)}) q""")
 def q_split_quotas(spark, sf):
     return SM.split_quotas(pool_articles(spark, sf), "category", 0.2)
 
