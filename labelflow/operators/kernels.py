@@ -73,7 +73,7 @@ def prefix_totals(df: DataFrame, group_cols: list[str], value_col: str, sum_cols
 
 
 def ecdf_distance(df: DataFrame, group_cols: list[str], value_col: str, side_col: str = "side",
-                  ref: str = "ref", cur: str = "cur") -> DataFrame:
+                  ref: str = "ref", cur: str = "cur", weight_col: str | None = None) -> DataFrame:
     """Wasserstein-1 distance between the reference and current samples of each group:
     the integral of |F_ref - F_cur| over the pooled sorted values.
 
@@ -82,9 +82,10 @@ def ecdf_distance(df: DataFrame, group_cols: list[str], value_col: str, side_col
     range bucket plus a small bucket table, so no group is sorted in one task."""
     g = list(group_cols)
     v = F.col(value_col).cast("double")
+    wt = F.col(weight_col).cast("long") if weight_col else F.lit(1).cast("long")
     counts = df.filter(v.isNotNull() & ~F.isnan(v)).groupBy(*g, v.alias("_x")).agg(
-        F.sum((F.col(side_col) == ref).cast("long")).alias("_nr"),
-        F.sum((F.col(side_col) == cur).cast("long")).alias("_nc"))
+        F.sum(F.when(F.col(side_col) == ref, wt).otherwise(F.lit(0))).alias("_nr"),
+        F.sum(F.when(F.col(side_col) == cur, wt).otherwise(F.lit(0))).alias("_nc"))
     n_rows = counts.count()
     b = add_value_buckets(counts, "_x", n_rows)
     gb = [*g, "_bucket"]
