@@ -109,8 +109,12 @@ def q_split_quotas(spark, sf):
 def al_pool(spark, sf):
     """Pool = every document (category = language) with class probabilities from the letter
     model (the selector's uncertainty input)."""
-    d = read_table(spark, sf, "documents").select("doc_id", F.col("lang").alias("category"), "text")
-    return S.predict(d, letter_model(spark, sf), "text")
+    from ..session import materialise
+
+    def build():
+        d = read_table(spark, sf, "documents").select("doc_id", F.col("lang").alias("category"), "text")
+        return S.predict(d, letter_model(spark, sf), "text")
+    return materialise(spark, f"al_pool_{abs(hash(sf))}", build)
 
 
 def al_round_one(spark, sf):

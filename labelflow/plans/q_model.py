@@ -14,6 +14,7 @@ from ..functions.text import ALPHABET
 from ..operators import metrics as M
 from ..operators import ood as O
 from ..operators import scoring as S
+from ..session import materialise
 from ..sources.tables import read_table
 from .registry import register, rounded
 
@@ -30,15 +31,26 @@ def split_docs(spark, sf):
     return d.filter(is_train), d.filter(~is_train)
 
 
+_MODELS: dict = {}
+
+
 def letter_model(spark, sf):
-    train, _ = split_docs(spark, sf)
-    return S.fit_letter_nb(train, "text", "lang")
+    """Fitted once per application and scale (the fit is eager and its result is tiny)."""
+    k = (spark.sparkContext.applicationId, sf)
+    if k not in _MODELS:
+        train, _ = split_docs(spark, sf)
+        _MODELS[k] = S.fit_letter_nb(train, "text", "lang")
+    return _MODELS[k]
 
 
 def scored_docs(spark, sf, keep_text=False):
-    """Scored half: doc_id, lang, predicted_label_id, predicted_label, confidence, probs."""
-    _, test = split_docs(spark, sf)
-    out = S.predict(test, letter_model(spark, sf), "text")
+    """Scored half: doc_id, lang, [text], predicted_label_id, predicted_label, confidence,
+    probs, prob_labels. Scored once and written to the shared folder: every metric branch
+    reads that table instead of re-running the model."""
+    def build():
+        _, test = split_docs(spark, sf)
+        return S.predict(test, letter_model(spark, sf), "text")
+    out = materialise(spark, f"scored_docs_{abs(hash(sf))}", build)
     return out if keep_text else out.drop("text")
 
 

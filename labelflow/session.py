@@ -95,3 +95,20 @@ def ship_package(spark: SparkSession) -> None:
     archive = shutil.make_archive(base, "zip", root_dir=os.path.dirname(pkg_dir), base_dir="labelflow")
     sc.addPyFile(archive)
     _SHIPPED.add(key)
+
+
+_MATERIALISED: dict[tuple, str] = {}
+
+
+def materialise(spark: SparkSession, key: str, build) -> "DataFrame":
+    """Write ``build()`` once per application as Parquet under the shared folder and return a
+    reader of it. Used where one expensive result (model scores) feeds several branches of a
+    plan: they read the written table (with column pruning) instead of recomputing it, and a
+    lost executor never forces a rescore."""
+    k = (spark.sparkContext.applicationId, key)
+    path = _MATERIALISED.get(k)
+    if path is None:
+        path = shared_path(spark, "tables", key.replace("/", "_"))
+        build().write.mode("overwrite").parquet(path)
+        _MATERIALISED[k] = path
+    return spark.read.parquet(path)
