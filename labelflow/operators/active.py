@@ -194,9 +194,10 @@ def rank_informative(candidates: DataFrame, n: int, current_dist: DataFrame,
     share = F.coalesce(F.element_at("_cur", F.col(category_col)).cast("double") / F.greatest(total, F.lit(1)), F.lit(0.0))
     words = F.size(F.split(F.trim(F.coalesce(F.col(text_col), F.lit(""))), r"\s+"))
     quality = F.least(F.lit(1.0), F.log1p(words.cast("double")) / F.log1p(F.lit(200.0)))
+    # rounded to 12 places: equal texts get equal scores in every engine, ties then go to local_idx
     scored = candidates.crossJoin(F.broadcast(dist)).withColumn(
-        "informativeness", F.lit(w_unc) * unc + F.lit(w_bnd) * (1 - margin) + F.lit(w_rare) * (1 - share)
-        + F.lit(w_len) * quality).drop("_cur")
+        "informativeness", F.round(F.lit(w_unc) * unc + F.lit(w_bnd) * (1 - margin) + F.lit(w_rare) * (1 - share)
+                                   + F.lit(w_len) * quality, 12)).drop("_cur")
     g = list(group_cols or [])
     w = (Window.partitionBy(*g) if g else Window.partitionBy()).orderBy(F.desc("informativeness"), F.asc("local_idx"))
     return scored.withColumn("pick_pos", F.row_number().over(w) - 1).filter(F.col("pick_pos") < n)

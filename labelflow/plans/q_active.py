@@ -137,10 +137,10 @@ cands AS (SELECT *, CAST(row_number() OVER (ORDER BY h, doc_id) - 1 AS INTEGER)
 dist AS (SELECT category, count(*) AS n FROM pool WHERE doc_id IN (SELECT doc_id FROM init) GROUP BY category),
 feat AS (SELECT doc_id, -sum(CASE WHEN prob > 0 THEN prob * ln(prob) ELSE 0 END) / ln(count(*)) AS unc,
                 max(prob) - (list(prob ORDER BY prob DESC))[2] AS margin FROM p GROUP BY doc_id),
-inf AS (SELECT c.doc_id, c.category, c.local_idx,
+inf AS (SELECT c.doc_id, c.category, c.local_idx, round(
                0.4 * f.unc + 0.3 * (1 - f.margin)
                + 0.2 * (1 - coalesce((SELECT n FROM dist WHERE dist.category = c.category) / (SELECT sum(n) FROM dist), 0.0))
-               + 0.1 * least(1.0, ln(1 + len(string_split_regex(trim(c.text), '\\s+'))) / ln(201.0)) AS informativeness
+               + 0.1 * least(1.0, ln(1 + len(string_split_regex(trim(c.text), '\\s+'))) / ln(201.0)), 12) AS informativeness
         FROM cands c JOIN feat f USING (doc_id)),
 picks AS (SELECT *, CAST(row_number() OVER (ORDER BY informativeness DESC, local_idx) - 1 AS INTEGER) AS pick_pos
           FROM inf QUALIFY pick_pos < 20)

@@ -350,3 +350,10 @@ def q_drift_fit(spark, sf):
     terms.write.mode("overwrite").parquet(path + "/term_df")
     back = spark.read.parquet(path + "/profile_mean")
     return rounded(back)
+
+
+@register("domain_classifier_mllib")
+def q_domain_classifier_mllib(spark, sf):
+    """J6 (MLlib form): L1 logistic regression on CountVectorizer/IDF features, held-out AUC."""
+    auc = DT.domain_classifier_mllib(text_corpus(spark, sf), "text", SEED)
+    return spark.range(1).select(F.lit(float(auc)).alias("roc_auc"))

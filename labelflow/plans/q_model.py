@@ -534,3 +534,14 @@ def q_ood_empty_result(spark, sf):
     fit = O.ood_fit(cur, O.OODConfig(alpha=0.0))
     flagged, _ = O.ood_detect(cur, fit, batch_id="batch_current")
     return flagged.drop("timestamp")
+
+
+@register("align_probabilities", with_scorer(
+    "SELECT doc_id AS id, s.lang AS true_label, p.label, round(p.prob, 6) AS prob FROM p JOIN scored s USING (doc_id)"))
+def q_align_probabilities(spark, sf):
+    """``prob_<label>`` columns matched to the sorted true labels and unpivoted to long
+    form (None when a label has no column: the AUC is then skipped)."""
+    labels = sorted(r["label"] for r in true_labels(spark, sf).collect())
+    wide = S.probabilities_wide(scored_docs(spark, sf), S.model_labels(letter_model(spark, sf)))
+    lng = S.probabilities_from_wide(wide, "doc_id", labels, "lang")
+    return rounded(lng.select(F.col("doc_id").alias("id"), F.col("lang").alias("true_label"), "label", "prob"))

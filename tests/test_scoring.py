@@ -41,3 +41,13 @@ def test_null_text_dropped(spark, scored):
 def test_argmax_first_on_ties(spark):
     df = spark.createDataFrame([([0.2, 0.4, 0.4],)], "v array<double>")
     assert df.select(S.argmax_index(F.col("v"))).first()[0] == 1
+
+
+def test_require_checks(spark):
+    from labelflow.operators.curate import require_columns, require_non_empty
+    df = spark.createDataFrame([(1, "a")], "id int, text string")
+    with pytest.raises(ValueError, match="Missing required columns"):
+        require_columns(df, "text", "confidence")
+    with pytest.raises(ValueError, match="cannot be empty"):
+        require_non_empty(df.filter("id < 0"))
+    assert require_columns(df, "text") is df
