@@ -48,18 +48,17 @@ def doc_terms(corpus: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     return toks.groupBy(id_col, "side", "term").agg(F.count(F.lit(1)).alias("tf"))
 
 
-def _reliable(df: DataFrame) -> DataFrame:
-    """Materialise a table consumed by several branches into the session's checkpoint folder
+def _reliable(df: DataFrame, name: str = "terms") -> DataFrame:
+    """Materialise a table consumed by several branches as Parquet in the shared folder
     (reliable storage; cuts the lineage so the tokenisation is not redone per branch)."""
-    from ..session import ensure_checkpoint_dir
-    ensure_checkpoint_dir(df.sparkSession)
-    return df.checkpoint(eager=True)
+    from ..session import write_table
+    return write_table(df, name)
 
 
 def tfidf_features(corpus: DataFrame, id_col: str = "doc_id", text_col: str = "text",
                    max_df: float = 0.5, stop_words: list[str] | None = None) -> DataFrame:
     """``(id, side, term, weight)``; weights L2-normalised per document."""
-    terms = _reliable(doc_terms(corpus, id_col, text_col, stop_words))
+    terms = _reliable(doc_terms(corpus, id_col, text_col, stop_words), "doc_terms")
     n_docs = corpus.agg(F.count(F.lit(1)).alias("_n"))
     df_t = terms.groupBy("term").agg(F.count(F.lit(1)).alias("_df"))
     df_t = df_t.crossJoin(F.broadcast(n_docs)).filter(F.col("_df") <= F.lit(max_df) * F.col("_n"))
@@ -95,7 +94,7 @@ def domain_classifier(corpus: DataFrame, id_col: str = "doc_id", text_col: str =
     """J6 + J7 + J8: one row ``roc_auc, threshold, drift_detected, n_ref_test, n_cur_test``.
 
     Empty held-out sides give a null AUC and no drift."""
-    w = _reliable(tfidf_features(corpus, id_col, text_col, max_df))
+    w = _reliable(tfidf_features(corpus, id_col, text_col, max_df), "tfidf")
     is_train = hash_half(seed, "domain", id_col)
     lo = term_log_odds(w.filter(is_train), id_col)
     test_docs = corpus.filter(~is_train).select(id_col, "side")

@@ -23,9 +23,6 @@ DEFAULT_CONF = {
     "spark.ui.enabled": "false",
     "spark.ui.showConsoleProgress": "false",
     "spark.driver.memory": "16g",
-    # the scorer's per-class arithmetic is wide; constraint inference on such projections is
-    # quadratic in the optimizer and buys nothing for these plans
-    "spark.sql.constraintPropagation.enabled": "false",
 }
 
 
@@ -112,3 +109,12 @@ def materialise(spark: SparkSession, key: str, build) -> "DataFrame":
         build().write.mode("overwrite").parquet(path)
         _MATERIALISED[k] = path
     return spark.read.parquet(path)
+
+
+def write_table(df: "DataFrame", name: str) -> "DataFrame":
+    """Cut lineage through a Parquet table written to a fresh path in the shared folder and
+    read back (reliable storage; later readers get column pruning and pushdown)."""
+    spark = df.sparkSession
+    path = shared_path(spark, "tables", name)
+    df.write.mode("overwrite").parquet(path)
+    return spark.read.parquet(path)
