@@ -1,4 +1,4 @@
 """Registered queries: importing the modules fills ``REGISTRY``."""
 
-from . import q_active, q_curate, q_drift, q_model, q_stream  # noqa: F401
+from . import q_active, q_curate, q_drift, q_model, q_stream, q_survey_names  # noqa: F401
 from .registry import REGISTRY, Query  # noqa: F401
