@@ -67,3 +67,36 @@ def test_candidates_and_fallback(pool):
     assert len(c) == 20 and sorted(r["local_idx"] for r in c) == list(range(20))
     allc = SM.random_candidates(pool, 1000, "id", 42, 3).count()
     assert allc == 189
+
+
+def _quota_reference(counts: dict, test_size: float) -> dict:
+    """Plain-Python statement of the published rule: n_test = ceil(test_size * n); train
+    shares by largest remainder of count / n * n_train (ties to the smaller label)."""
+    import math
+    n = sum(counts.values())
+    n_train = n - math.ceil(test_size * n)
+    cont = {k: c / n * n_train for k, c in counts.items()}
+    fl = {k: math.floor(v) for k, v in cont.items()}
+    need = n_train - sum(fl.values())
+    order = sorted(counts, key=lambda k: (-(cont[k] - fl[k]), k))
+    for k in order[:need]:
+        fl[k] += 1
+    return fl
+
+
+@pytest.mark.parametrize("seed", [1, 2, 3])
+def test_quotas_match_reference_rule(spark, seed):
+    import random
+    rnd = random.Random(seed)
+    counts = {f"c{i}": rnd.randint(2, 60) for i in range(rnd.randint(2, 7))}
+    rows = [(j, k) for k, c in counts.items() for j in range(c)]
+    df = spark.createDataFrame([(i, k) for i, (_, k) in enumerate(rows)], "id long, category string")
+    got = {r["category"]: r["train_quota"] for r in SM.split_quotas(df, "category", 0.25).collect()}
+    assert got == _quota_reference(counts, 0.25)
+
+
+def test_percentile_ignores_nulls(spark):
+    from labelflow.operators.kernels import exact_percentile
+    df = spark.createDataFrame([(None,), (1.0,), (2.0,), (3.0,), (None,)], "v double")
+    r = exact_percentile(df, "v", 0.5).first()
+    assert r["count"] == 3 and r["percentile"] == 2.0 and not r["has_nan"]
