@@ -15,10 +15,12 @@ from pyspark.sql import functions as F
 from .kernels import prefix_totals
 
 
-def auc_from_counts(counts: DataFrame, group_cols: list[str], score_col: str = "score") -> DataFrame:
+def auc_from_counts(counts: DataFrame, group_cols: list[str], score_col: str = "score",
+                    n_rows: int | None = None) -> DataFrame:
     """``counts``: unique per (group, score) with ``pos``, ``neg`` -> per group ``auc``, ``n_pos``,
-    ``n_neg`` (``auc`` null when a group lacks positives or negatives)."""
-    run = prefix_totals(counts, group_cols, score_col, ["neg"])
+    ``n_neg`` (``auc`` null when a group lacks positives or negatives). ``n_rows`` is an upper
+    bound of the number of count rows (sizes the range buckets; counted when omitted)."""
+    run = prefix_totals(counts, group_cols, score_col, ["neg"], n_rows=n_rows)
     part = run.groupBy(*group_cols).agg(
         F.sum(F.col("pos") * (F.col("neg_before") + F.col("neg") * 0.5)).alias("_u"),
         F.sum("pos").alias("n_pos"), F.sum("neg").alias("n_neg"))
@@ -27,27 +29,28 @@ def auc_from_counts(counts: DataFrame, group_cols: list[str], score_col: str = "
     return part.select(*group_cols, auc.alias("auc"), "n_pos", "n_neg")
 
 
-def binary_auc(df: DataFrame, label_col: str, score_col: str, positive) -> DataFrame:
+def binary_auc(df: DataFrame, label_col: str, score_col: str, positive, n_rows: int | None = None) -> DataFrame:
     """One row ``auc`` for ``label == positive`` vs the rest."""
     is_pos = (F.col(label_col) == F.lit(positive)).cast("long")
     counts = df.filter(F.col(score_col).isNotNull() & F.col(label_col).isNotNull()) \
         .groupBy(F.col(score_col).cast("double").alias("score")) \
         .agg(F.sum(is_pos).alias("pos"), F.sum(1 - is_pos).alias("neg")) \
         .withColumn("_g", F.lit(0))
-    return auc_from_counts(counts, ["_g"]).drop("_g")
+    return auc_from_counts(counts, ["_g"], n_rows=n_rows).drop("_g")
 
 
-def ovr_auc(long_probs: DataFrame, true_col: str = "true_label") -> DataFrame:
+def ovr_auc(long_probs: DataFrame, true_col: str = "true_label", n_rows: int | None = None) -> DataFrame:
     """H13 per class: AUC of ``prob(label)`` for ``true == label`` vs rest.
 
     ``long_probs``: ``(id, true, label, prob)``."""
     is_pos = (F.col(true_col) == F.col("label")).cast("long")
     counts = long_probs.groupBy("label", F.col("prob").cast("double").alias("score")).agg(
         F.sum(is_pos).alias("pos"), F.sum(1 - is_pos).alias("neg"))
-    return auc_from_counts(counts, ["label"])
+    return auc_from_counts(counts, ["label"], n_rows=n_rows)
 
 
-def ovo_auc(long_probs: DataFrame, labels: DataFrame, true_col: str = "true_label") -> DataFrame:
+def ovo_auc(long_probs: DataFrame, labels: DataFrame, true_col: str = "true_label",
+            n_rows: int | None = None) -> DataFrame:
     """H14 per unordered pair (a < b): mean of AUC(a vs b on prob_a) and AUC(b vs a on prob_b)
     over the rows whose true label is a or b (Hand & Till).
 
@@ -66,7 +69,7 @@ def ovo_auc(long_probs: DataFrame, labels: DataFrame, true_col: str = "true_labe
     allc = pos.select("a", "b", "score", "pos", F.lit(0).cast("long").alias("neg")).unionByName(
         neg.select("a", "b", "score", F.lit(0).cast("long").alias("pos"), "neg"))
     counts = allc.groupBy("a", "b", "score").agg(F.sum("pos").alias("pos"), F.sum("neg").alias("neg"))
-    directed = auc_from_counts(counts, ["a", "b"])
+    directed = auc_from_counts(counts, ["a", "b"], n_rows=n_rows)
     pair = F.when(F.col("a") < F.col("b"), F.struct(F.col("a"), F.col("b"))).otherwise(
         F.struct(F.col("b").alias("a"), F.col("a").alias("b")))
     return directed.groupBy(pair.alias("_p")).agg(F.avg("auc").alias("auc"),

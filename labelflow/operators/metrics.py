@@ -150,6 +150,8 @@ def roc_auc(scored_long: DataFrame, confusion: DataFrame, true_labels: DataFrame
     * null when a true label lacks a probability, when a label is only ever predicted (the
       probability matrix then has too few columns), or when rows do not sum to 1.
     """
+    # one count bounds the size of every (group, score) table below (bucket sizing only)
+    n_long = scored_long.count()
     labels_all = label_set(confusion)
     k_all = labels_all.agg(F.count(F.lit(1)).alias("k_all"))
     k_true = true_labels.agg(F.count(F.lit(1)).alias("k_true"),
@@ -157,15 +159,15 @@ def roc_auc(scored_long: DataFrame, confusion: DataFrame, true_labels: DataFrame
     have = scored_long.join(true_labels, "label", "left_semi")
     sums = have.groupBy("id").agg(F.sum("prob").alias("_s"), F.count(F.lit(1)).alias("_c"))
     sum_ok = sums.agg(F.max(F.abs(F.col("_s") - 1.0)).alias("_dev"), F.min("_c").alias("_cmin"))
-    ovr = ovr_auc(have, true_col).agg(F.avg("auc").alias("_ovr"), F.count("auc").alias("_n_ovr"),
+    ovr = ovr_auc(have, true_col, n_rows=n_long).agg(F.avg("auc").alias("_ovr"), F.count("auc").alias("_n_ovr"),
                                        F.count(F.lit(1)).alias("_n_cls"))
-    ovo = ovo_auc(have, true_labels, true_col).agg(F.avg("auc").alias("_ovo"),
+    ovo = ovo_auc(have, true_labels, true_col, n_rows=2 * n_long).agg(F.avg("auc").alias("_ovo"),
                                                     F.count("auc").alias("_n_ovo"),
                                                     F.count(F.lit(1)).alias("_n_pairs"))
     # binary case: positive = the larger of the two sorted labels, score = its probability
     pos_rows = have.join(k_true.select(F.col("_second").alias("label")), "label")
     bin_auc = binary_auc(pos_rows.withColumn("_is", (F.col(true_col) == F.col("label")).cast("int")),
-                         "_is", "prob", 1).select(F.col("auc").alias("_bin"))
+                         "_is", "prob", 1, n_rows=n_long).select(F.col("auc").alias("_bin"))
     # every piece below is a one-row aggregate: the cross joins combine single rows
     one = k_all.crossJoin(k_true).crossJoin(sum_ok).crossJoin(ovr).crossJoin(ovo).crossJoin(bin_auc)
     valid = (F.col("k_all") == F.col("k_true")) & (F.col("_cmin") == F.col("k_true")) & \

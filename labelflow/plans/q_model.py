@@ -64,7 +64,10 @@ def scored_long(spark, sf):
 
 
 def confusion(spark, sf):
-    return M.confusion_counts(scored_docs(spark, sf), "lang", "predicted_label")
+    """k*k confusion counts, written once as a small table: every metric branch reads it
+    instead of re-aggregating the scores."""
+    return materialise(spark, f"confusion_{abs(hash(sf))}",
+                       lambda: M.confusion_counts(scored_docs(spark, sf), "lang", "predicted_label"))
 
 
 def true_labels(spark, sf):
