@@ -23,7 +23,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from ..functions.columns import hash_key
-from .sampling import initial_stratified_sample, random_candidates, random_fallback_pick
+from .sampling import initial_stratified_sample, random_candidates
 
 FENCE = "```"
 RESPONSE_SCHEMA = T.StructType([
@@ -175,6 +175,25 @@ def validate_selection(parsed: DataFrame, num_candidates: Column) -> Column:
     return F.col("is_json") & (F.size(idx) > 0) & (F.array_min(idx) >= 0) & (F.array_max(idx) < num_candidates)
 
 
+def resolve_selection(parsed: DataFrame, num_candidates: int, num_to_select: int, seed: int = 42,
+                      iteration: int = 0, key_col: str = "batch") -> DataFrame:
+    """K6 + E3: keep a valid answer; otherwise ``min(n, m)`` random candidate positions (hash
+    order of ``seed:fallback:iteration:key:position``), the fixed fallback reason and an empty
+    breakdown. Array functions over the m positions of each answer row; no shuffle."""
+    valid = validate_selection(parsed, F.lit(num_candidates))
+    n = min(num_to_select, num_candidates)
+    keyed = F.transform(F.sequence(F.lit(0), F.lit(num_candidates - 1)), lambda i: F.struct(
+        F.md5(F.concat_ws(":", F.lit(str(seed)), F.lit(f"fallback:{iteration}"), F.col(key_col).cast("string"),
+                          i.cast("string"))).alias("h"), i.alias("i")))
+    fallback = F.transform(F.slice(F.array_sort(keyed), 1, n), lambda s: s["i"])
+    return parsed.select(
+        "*", valid.alias("valid"),
+        F.when(valid, F.col("selected_indices")).otherwise(fallback).alias("final_indices"),
+        F.when(valid, F.col("reasoning")).otherwise(F.lit(FALLBACK_REASON)).alias("final_reasoning"),
+        F.when(valid, F.col("category_breakdown")).otherwise(
+            F.create_map().cast("map<string,int>")).alias("final_breakdown"))
+
+
 # ------------------------------------------------------------------ selector (K7)
 
 def rank_informative(candidates: DataFrame, n: int, current_dist: DataFrame,

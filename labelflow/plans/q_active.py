@@ -308,3 +308,21 @@ def q_selection_summary(spark, sf):
     """A7."""
     res = _run(spark, sf)
     return A.selection_summary(res.training_data, res.selection_history)
+
+
+@register("resolve_selection", f"""SELECT conv_id, turn, valid,
+CASE WHEN valid THEN idx ELSE list_transform(list_sort(list_transform(range(100),
+  lambda i: {{'h': md5('{SEED}:fallback:1:' || conv_id || ':' || i), 'i': i}}))[1:20], lambda s: s.i) END AS final_indices,
+CASE WHEN valid THEN coalesce(json_extract_string(j, '$.reasoning'), 'No reasoning provided')
+     ELSE '{A.FALLBACK_REASON}' END AS final_reasoning
+FROM (SELECT conv_id, turn, j, idx, coalesce(json_type(j) = 'OBJECT', false) AND len(idx) > 0 AND list_min(idx) >= 0
+      AND list_max(idx) < 100 AS valid FROM (SELECT conv_id, turn, j,
+      coalesce(CAST(json_extract(j, '$.selected_indices') AS INTEGER[]), []) AS idx FROM (
+      SELECT conv_id, turn, TRY_CAST({EXTRACT_SQL} AS JSON) AS j FROM ({RESPONSES_SQL}) r) x) y) z""")
+def q_resolve_selection(spark, sf):
+    """K6 + E3: each answer to a 100-candidate batch resolved to 20 positions (valid answer, or
+    the random fallback)."""
+    r = read_table(spark, sf, "conversations").filter(F.col("role") == "assistant") \
+        .select("conv_id", "turn", F.col("text").alias("response"))
+    p = A.resolve_selection(A.parse_selection_response(r, "response"), 100, 20, SEED, 1, "conv_id")
+    return p.select("conv_id", "turn", "valid", "final_indices", "final_reasoning")

@@ -68,3 +68,13 @@ def test_prompt_lists_samples(spark):
     p = A.selection_prompts(samples, cur, cur, 1, ["headline", "short_description"]).first()["prompt"]
     assert "[Sample 0]\nHeadline: Head one\nCategory: en" in p
     assert "Short Description: more" in p and "from 0 to 1" in p
+
+
+def test_resolve_selection_fallback(spark):
+    df = spark.createDataFrame([(1, '{"selected_indices": [3, 1]}'), (2, "junk")], "batch int, response string")
+    p = A.resolve_selection(A.parse_selection_response(df, "response"), 10, 4, 42, 1, "batch")
+    out = {r["batch"]: r for r in p.collect()}
+    assert list(out[1]["final_indices"]) == [3, 1] and out[1]["valid"]
+    fb = list(out[2]["final_indices"])
+    assert not out[2]["valid"] and len(fb) == 4 == len(set(fb)) and all(0 <= i < 10 for i in fb)
+    assert out[2]["final_reasoning"] == A.FALLBACK_REASON and out[2]["final_breakdown"] == {}
