@@ -25,12 +25,15 @@ from pyspark.sql import types as T
 from ..functions.columns import hash_key
 from .sampling import initial_stratified_sample, random_candidates
 
+# The answer fence, the default reasoning text of a parsed answer without one, and
+# the strategy label written to the run summary (these must equal the reference's outputs).
 FENCE = "```"
+NO_REASON = "No reasoning provided"
+SUMMARY_STRATEGY = "llm_based"
 RESPONSE_SCHEMA = T.StructType([
     T.StructField("selected_indices", T.ArrayType(T.IntegerType())),
     T.StructField("reasoning", T.StringType()),
     T.StructField("category_breakdown", T.MapType(T.StringType(), T.IntegerType()))])
-NO_REASON = "No reasoning provided"
 FALLBACK_REASON = "Random selection (selection failed)"
 LOG_SCHEMA = "iteration int, pick_pos int, row_id long"
 
@@ -296,7 +299,7 @@ def selection_history(pool: DataFrame, log: DataFrame, id_col: str = "row_id", c
 
 
 def selection_summary(training: DataFrame, history: DataFrame, category_col: str = "category",
-                      strategy: str | None = "llm_based") -> DataFrame:
+                      strategy: str | None = SUMMARY_STRATEGY) -> DataFrame:
     """``total_training_samples, final_distribution, num_iterations[, strategy]``; the
     distribution is filled only when a column literally named ``category`` exists."""
     if category_col == "category" and "category" in training.columns:

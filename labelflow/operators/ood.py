@@ -33,6 +33,9 @@ class OODConfig:
     batch_id_column: str | None = None
 
 
+# Severity cuts on the flagged share — 0 none, below 0.1 low, below 0.3 medium,
+# otherwise high — and the default alpha 0.05; compared as 10*count < total and
+# 10*count < 3*total so the boundaries are exact.
 def severity(count: Column, total: Column) -> Column:
     """Severity from integer counts (ratio 0, < 0.1, < 0.3, else)."""
     return (F.when((total == 0) | (count == 0), F.lit("none"))

@@ -51,3 +51,11 @@ def test_require_checks(spark):
     with pytest.raises(ValueError, match="cannot be empty"):
         require_non_empty(df.filter("id < 0"))
     assert require_columns(df, "text") is df
+
+
+def test_scores_independent_of_partitioning(scored):
+    model, d, s = scored
+    again = S.predict(d.filter("doc_id % 2 = 1").repartition(5), model, "text")
+    a = {r["doc_id"]: (r["predicted_label"], round(r["confidence"], 12)) for r in s.collect()}
+    b = {r["doc_id"]: (r["predicted_label"], round(r["confidence"], 12)) for r in again.collect()}
+    assert a == b
