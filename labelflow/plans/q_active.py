@@ -326,3 +326,13 @@ def q_resolve_selection(spark, sf):
         .select("conv_id", "turn", F.col("text").alias("response"))
     p = A.resolve_selection(A.parse_selection_response(r, "response"), 100, 20, SEED, 1, "conv_id")
     return p.select("conv_id", "turn", "valid", "final_indices", "final_reasoning")
+
+
+@register("selection_summary_one_round", STATE_SQL + """SELECT (SELECT count(*) FROM log) AS total_training_samples,
+(SELECT map_from_entries(list(struct_pack(k := category, v := n) ORDER BY category)) FROM (
+   SELECT category, count(*) AS n FROM log JOIN pool USING (doc_id) GROUP BY category) d) AS final_distribution,
+CAST(1 AS BIGINT) AS num_iterations, 'llm_based' AS strategy""")
+def q_selection_summary_one_round(spark, sf):
+    """A7 after the initial sample and one selection round (checked against SQL)."""
+    res = _run(spark, sf, iterations=1)
+    return A.selection_summary(res.training_data, res.selection_history)
