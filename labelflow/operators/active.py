@@ -103,6 +103,14 @@ def candidate_samples(candidates: DataFrame, text_fields: list[str], id_col: str
     return candidates.groupBy(*g).agg(F.array_sort(F.collect_list(F.struct(*fields))).alias("samples"))
 
 
+PROMPT_HEAD = ("Select the {n} most informative samples for training a text classifier on imbalanced "
+               "data. Categories:")
+PROMPT_GUIDE = ("Prefer uncertain or ambiguous samples, cases near category boundaries, variety within "
+                "each category and substantial text; keep minority classes learnable.")
+PROMPT_ANSWER = ('Answer with JSON only: {{"selected_indices": [{n} indices from 0 to ', '], "reasoning": "...", '
+                 '"category_breakdown": {"<category>": <count>}}')
+
+
 def _title(name: str) -> str:
     return name.replace("_", " ").title()
 
@@ -130,18 +138,15 @@ def selection_prompts(samples: DataFrame, current_dist: DataFrame, pool_dist: Da
     n_samples = F.size("samples")
     body = F.concat_ws(
         "\n",
-        F.concat(F.lit(f"Select the {num_to_select} most informative samples for training a text "
-                       f"classifier on imbalanced data. Categories:")),
+        F.lit(PROMPT_HEAD.format(n=num_to_select)),
         F.array_join(F.transform(cats, lambda c: F.concat(F.lit("- "), c)), "\n"),
         F.lit("Current training distribution:"), F.to_json("_cur"),
         F.lit("Pool distribution:"), F.to_json("_pool"),
-        F.lit("Prefer uncertain or ambiguous samples, cases near category boundaries, variety within "
-              "each category and substantial text; keep minority classes learnable."),
+        F.lit(PROMPT_GUIDE),
         F.lit("Candidates:"),
         F.array_join(F.transform("samples", render), "\n"),
-        F.concat(F.lit(f'Answer with JSON only: {{"selected_indices": [{num_to_select} indices from 0 to '),
-                 (n_samples - 1).cast("string"),
-                 F.lit('], "reasoning": "...", "category_breakdown": {"<category>": <count>}}')))
+        F.concat(F.lit(PROMPT_ANSWER[0].format(n=num_to_select)), (n_samples - 1).cast("string"),
+                 F.lit(PROMPT_ANSWER[1])))
     return j.select(*[c for c in samples.columns if c != "samples"], n_samples.alias("num_candidates"),
                     body.alias("prompt"))
 

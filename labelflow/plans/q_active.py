@@ -229,17 +229,47 @@ def q_candidate_samples(spark, sf):
     return s.select("batch", F.inline("samples")).select("batch", "local_idx", "index", "category", "headline")
 
 
-@register("selection_prompts")
+PROMPT_SQL = f"""
+WITH pool AS (SELECT doc_id, lang AS category, text FROM documents WHERE text IS NOT NULL),
+nb AS (SELECT CAST(ceil(count(*) / 100.0) AS BIGINT) AS n FROM pool),
+b AS (SELECT p.*, md5('{SEED}:batch:' || doc_id) AS h,
+             CAST('0x' || substr(md5('{SEED}:batch:' || doc_id), 1, 8) AS BIGINT) % (SELECT n FROM nb) AS batch FROM pool p),
+s AS (SELECT *, row_number() OVER (PARTITION BY batch ORDER BY h, doc_id) - 1 AS local_idx,
+             split_part(text, chr(10), 1) AS headline,
+             CASE WHEN instr(text, chr(10)) > 0 THEN substr(text, instr(text, chr(10)) + 1) END AS description FROM b),
+init AS (SELECT category FROM (SELECT *, row_number() OVER (PARTITION BY category
+           ORDER BY md5('{SEED}:initial:' || doc_id), doc_id) AS rn FROM pool WHERE category IS NOT NULL) r
+         WHERE rn <= 10 AND category IN (SELECT category FROM pool GROUP BY category HAVING count(*) >= 10)),
+cur AS (SELECT map_from_entries(list(struct_pack(k := category, v := n) ORDER BY category)) AS m,
+               list(category ORDER BY category) AS cats FROM (SELECT category, count(*) AS n FROM init GROUP BY category) c),
+pd AS (SELECT map_from_entries(list(struct_pack(k := category, v := n) ORDER BY category)) AS m
+       FROM (SELECT category, count(*) AS n FROM pool WHERE category IS NOT NULL GROUP BY category) c),
+r AS (SELECT batch, local_idx, concat_ws(chr(10), '[Sample ' || local_idx || ']',
+             CASE WHEN coalesce(headline, '') <> '' THEN 'Headline: ' || headline END,
+             CASE WHEN coalesce(description, '') <> '' THEN 'Description: ' || description END,
+             'Category: ' || category, '---') AS txt FROM s)
+SELECT batch, count(*) AS num_candidates, concat_ws(chr(10), '{A.PROMPT_HEAD.format(n=20)}',
+  (SELECT array_to_string(list_transform(cats, lambda c: '- ' || c), chr(10)) FROM cur),
+  'Current training distribution:', (SELECT CAST(to_json(m) AS VARCHAR) FROM cur),
+  'Pool distribution:', (SELECT CAST(to_json(m) AS VARCHAR) FROM pd),
+  '{A.PROMPT_GUIDE}', 'Candidates:', string_agg(txt, chr(10) ORDER BY local_idx),
+  '{A.PROMPT_ANSWER[0].format(n=20)}' || (count(*) - 1) || '{A.PROMPT_ANSWER[1]}') AS prompt
+FROM r GROUP BY batch"""
+
+
+@register("selection_prompts", PROMPT_SQL)
 def q_selection_prompts(spark, sf):
     """K4: one prompt per candidate batch; the whole pool is cut into hash batches of about
-    100 rows (rows-only check; the formatting is unit tested)."""
-    pool = al_pool(spark, sf).withColumn("headline", F.substring_index("text", "\n", 1)) \
-        .withColumn("description", F.expr("substring(text, instr(text, '\n') + 1)"))
-    n_batches = max(1, -(-pool.count() // 100))
+    100 rows (md5 prefix modulo the batch count, a partition key, not a filter)."""
     from pyspark.sql import Window
     from ..functions.columns import hash_key
-    b = pool.withColumn("batch", F.pmod(F.xxhash64(hash_key(SEED, "batch", "doc_id")), F.lit(n_batches)))
-    w = Window.partitionBy("batch").orderBy(hash_key(SEED, "batch", "doc_id"), "doc_id")
+    pool = al_pool(spark, sf).withColumn("headline", F.substring_index("text", "\n", 1)) \
+        .withColumn("description", F.when(F.instr("text", "\n") > 0,
+                                          F.expr("substring(text, instr(text, '\\n') + 1)")))
+    n_batches = max(1, -(-pool.count() // 100))
+    key = hash_key(SEED, "batch", "doc_id")
+    b = pool.withColumn("batch", F.pmod(F.conv(F.substring(key, 1, 8), 16, 10).cast("long"), F.lit(n_batches)))
+    w = Window.partitionBy("batch").orderBy(key, "doc_id")
     b = b.withColumn("local_idx", F.row_number().over(w) - 1)
     samples = A.candidate_samples(b, ["headline", "description"], "doc_id", "category", "batch")
     cur = A.distribution_map(SM.initial_stratified_sample(pool, 10, "category", "doc_id", SEED))
