@@ -100,7 +100,9 @@ def domain_classifier(corpus: DataFrame, id_col: str = "doc_id", text_col: str =
     test_docs = corpus.filter(~is_train).select(id_col, "side")
     contrib = w.filter(~is_train).join(lo.select("term", "log_odds"), "term") \
         .groupBy(id_col).agg(F.sum(F.col("weight") * F.col("log_odds")).alias("score"))
-    scored = test_docs.join(contrib, id_col, "left").fillna(0.0, ["score"])
+    # scores rounded to 12 places: sums of the same terms in another order must tie, not flip
+    scored = test_docs.join(contrib, id_col, "left").fillna(0.0, ["score"]) \
+        .withColumn("score", F.round("score", 12))
     # held-out documents bound the (score) table size: a cheap count sizes the AUC buckets
     auc = binary_auc(scored, "side", "score", "cur", n_rows=test_docs.count())
     thr = random_auc_threshold(F.col("n_pos").cast("double"), F.col("n_neg").cast("double"))

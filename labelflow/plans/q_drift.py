@@ -67,8 +67,8 @@ DOMAIN_SQL = f"""WITH {TFIDF_SQL},
 wtr AS (SELECT * FROM w WHERE substr(md5('{SEED}:domain:' || doc_id), 1, 1) < '8'),
 lo AS ({_logodds_sql('wtr')}),
 test AS (SELECT doc_id, side FROM corpus WHERE NOT substr(md5('{SEED}:domain:' || doc_id), 1, 1) < '8'),
-sc AS (SELECT t.doc_id, t.side, coalesce((SELECT sum(w.weight * lo.log_odds) FROM w JOIN lo USING (term)
-        WHERE w.doc_id = t.doc_id), 0.0) AS score FROM test t),
+sc AS (SELECT t.doc_id, t.side, round(coalesce((SELECT sum(w.weight * lo.log_odds) FROM w JOIN lo USING (term)
+        WHERE w.doc_id = t.doc_id), 0.0), 12) AS score FROM test t),
 r AS (SELECT side = 'cur' AS is_pos, rank() OVER (ORDER BY score) + (count(*) OVER (PARTITION BY score) - 1) / 2.0 AS r FROM sc),
 a AS (SELECT count(*) FILTER (WHERE is_pos) AS m, count(*) FILTER (WHERE NOT is_pos) AS n,
         (sum(r) FILTER (WHERE is_pos) - count(*) FILTER (WHERE is_pos) * (count(*) FILTER (WHERE is_pos) + 1) / 2.0)
@@ -98,7 +98,13 @@ def q_random_auc_threshold(spark, sf):
                                                                      F.col("n_neg").cast("double"))))
 
 
-@register("domain_classifier_no_drift")
+NODRIFT_CORPUS_SQL = ("corpus AS (SELECT doc_id, CASE WHEN substr(md5('" + str(SEED) + ":side:' || doc_id), 1, 1) < '8' "
+                      "THEN 'ref' ELSE 'cur' END AS side, text FROM documents WHERE lang = 'en')")
+
+
+@register("domain_classifier_no_drift", DOMAIN_SQL.replace(CORPUS_SQL, NODRIFT_CORPUS_SQL)
+          + "SELECT round(auc, 6) AS roc_auc, round(threshold, 6) AS threshold, "
+          "coalesce(auc > threshold, false) AS drift_detected, n_ref_test, n_cur_test FROM dc")
 def q_domain_classifier_no_drift(spark, sf):
     """Directional check: two hash halves of the English documents (rows-only)."""
     return rounded(DT.domain_classifier(text_corpus_nodrift(spark, sf), seed=SEED))
@@ -336,7 +342,8 @@ def q_drift_result_json(spark, sf):
     return DR.drift_result_json(DR.drift_output(env, agg))
 
 
-@register("drift_fit")
+@register("drift_fit", f"WITH {LETTER_PROFILE_SQL} SELECT CAST(pos - 1 AS INTEGER) AS dim, round(avg(value), 6) AS mean, "
+          "count(*) AS n FROM prof WHERE side = 'ref' GROUP BY pos")
 def q_drift_fit(spark, sf):
     """Reference statistics persisted once (mean letter profile + term document
     frequencies) to the shared folder and read back for later batches."""

@@ -280,7 +280,8 @@ def q_label_union(spark, sf):
     return M.label_set(confusion(spark, sf))
 
 
-@register("batched_scoring")
+@register("batched_scoring", with_scorer("SELECT doc_id, lang, predicted_label_id, predicted_label, "
+                                         + _r("confidence", "confidence") + " FROM scored"))
 def q_batched_scoring(spark, sf):
     """The same model applied per Arrow batch of 16 rows (rows-only check)."""
     model = letter_model(spark, sf).first().asDict()
@@ -529,7 +530,9 @@ def q_ood_by_batch(spark, sf):
     return rounded(stats.select("batch_id", "total_samples", "ood_count", "ood_ratio", "ood_severity"))
 
 
-@register("ood_empty_result")
+@register("ood_empty_result", with_scorer(
+    "SELECT doc_id, lang, text, predicted_label_id, predicted_label, confidence, 'batch_current' AS batch_id, "
+    "confidence AS ood_confidence, CAST(0.0 AS DOUBLE) AS threshold, 'none' AS ood_severity FROM scored WHERE false"))
 def q_ood_empty_result(spark, sf):
     """A reference equal to the batch at alpha=0 flags nothing -> empty frame, same schema."""
     _, cur, _ = _ood_sets(spark, sf)

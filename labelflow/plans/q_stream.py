@@ -81,7 +81,7 @@ def q_stream_scoring(spark, sf):
 
 # ---------------------------------------------------------------- file sources and sinks
 
-@register("scan_csv")
+@register("scan_csv", "SELECT doc_id, lang, text FROM documents")
 def q_scan_csv(spark, sf):
     """A2: a CSV source (header, multi-line quoted fields) read with a declared schema; the
     CSV path skips the label and year filters. Round trip of the documents table."""
