@@ -13,6 +13,7 @@ from ..session import ensure_checkpoint_dir, shared_path
 from ..sources import files as FS
 from ..sources.tables import read_table
 from ..streaming import monitors as MO
+from .q_model import with_scorer
 from .registry import register, rounded
 
 ALPHA = 0.05
@@ -90,7 +91,14 @@ def q_scan_csv(spark, sf):
     return FS.scan_csv(spark, path, d.schema)
 
 
-@register("write_training_csv")
+def _state_csv_sql(where: str) -> str:
+    from .q_active import STATE_SQL
+    return (STATE_SQL + "SELECT CAST(pool.doc_id AS VARCHAR) AS doc_id, pool.category, "
+            "CASE WHEN log.doc_id IS NOT NULL THEN 'true' ELSE 'false' END AS selected, "
+            "CAST(coalesce(log.iteration, -1) AS VARCHAR) AS iteration FROM pool LEFT JOIN log USING (doc_id) " + where)
+
+
+@register("write_training_csv", _state_csv_sql("WHERE log.doc_id IS NOT NULL"))
 def q_write_training_csv(spark, sf):
     """A3: selected rows of an active-learning run, written as CSV and read back."""
     from .q_active import _run
@@ -100,7 +108,7 @@ def q_write_training_csv(spark, sf):
     return spark.read.option("header", True).csv(path)
 
 
-@register("write_pool_csv")
+@register("write_pool_csv", _state_csv_sql(""))
 def q_write_pool_csv(spark, sf):
     """A4: the whole pool with the selection columns."""
     from .q_active import _run
@@ -110,7 +118,10 @@ def q_write_pool_csv(spark, sf):
     return spark.read.option("header", True).csv(path)
 
 
-@register("write_predictions_csv")
+@register("write_predictions_csv", with_scorer(
+    "SELECT CAST(doc_id AS VARCHAR) AS doc_id, lang, CAST(predicted_label_id AS VARCHAR) AS predicted_label_id, "
+    "predicted_label AS predicted_category, CASE WHEN coalesce(lang = predicted_label, false) THEN 'true' ELSE 'false' END "
+    "AS correct FROM scored"))
 def q_write_predictions_csv(spark, sf):
     """A5: test rows + predicted id / category + correct."""
     from .q_model import scored_docs
