@@ -138,3 +138,98 @@ def ranges(start: np.ndarray, length: np.ndarray) -> np.ndarray:
 
 def text_or_empty(name: str = "text"):
     return F.coalesce(F.col(name), F.lit(""))
+
+
+_SPACE = np.zeros(256, bool)
+_SPACE[[32, 9, 10, 11, 12, 13]] = True
+_LOWER = np.arange(256, dtype=np.uint8)
+_LOWER[65:91] += 32
+
+
+def word_spans(b: np.ndarray, off: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Start, end and text number of every run of bytes other than ASCII white space."""
+    if not len(b):
+        z = np.zeros(0, np.int64)
+        return z, z, z
+    gap = _SPACE[b]
+    edge = np.zeros(len(b) + 1, bool)
+    edge[off] = True
+    start = np.flatnonzero(~gap & (np.concatenate([[True], gap[:-1]]) | edge[:-1]))
+    end = np.flatnonzero(~gap & (np.concatenate([gap[1:], [True]]) | edge[1:])) + 1
+    return start, end, np.searchsorted(off, start, side="right") - 1
+
+
+def shingle_sets(b: np.ndarray, off: np.ndarray, k: int) -> tuple[np.ndarray, np.ndarray]:
+    """Distinct hashes of k-word shingles and their text numbers, sorted by text and hash. A text
+    with one to k - 1 words has one shingle, the whole sequence."""
+    low = _LOWER[b]
+    start, end, doc = word_spans(low, off)
+    n = len(off) - 1
+    h = SpanHash(low).spans(start, end) if len(start) else np.zeros(0, np.uint64)
+    words = np.bincount(doc, minlength=n)
+    first = np.concatenate([[0], np.cumsum(words)[:-1]])
+    mul = U(0x9FB21C651E98DF25)
+
+    def joined(at: np.ndarray, size: int) -> np.ndarray:
+        out = np.full(len(at), U(size))
+        for i in range(size):
+            out = mix(out * mul + h[at + i])
+        return out
+
+    parts, docs = [], []
+    full = np.flatnonzero(words >= k)
+    at = ranges(first[full], words[full] - k + 1)
+    parts.append(joined(at, k))
+    docs.append(np.repeat(full, words[full] - k + 1))
+    for size in range(1, k):
+        few = np.flatnonzero(words == size)
+        parts.append(joined(first[few], size))
+        docs.append(few)
+    s, d = np.concatenate(parts), np.concatenate(docs)
+    order = np.lexsort((s, d))
+    s, d = s[order], d[order]
+    new = np.ones(len(s), bool)
+    new[1:] = (s[1:] != s[:-1]) | (d[1:] != d[:-1])
+    return s[new], d[new]
+
+
+def components(links: DataFrame) -> DataFrame:
+    """(node, root) of all nodes in ``links`` (a, b: long): union-find inside every task, then
+    large-star and small-star rounds until nothing changes. Only links move, never groups."""
+    import pandas as pd
+    spark = links.sparkSession
+
+    def forest(frames):
+        parent: dict[int, int] = {}
+
+        def root(x: int) -> int:
+            while (p := parent.setdefault(x, x)) != x:
+                parent[x] = parent[p]
+                x = p
+            return x
+
+        for f in frames:
+            for a, b in zip(f["a"].tolist(), f["b"].tolist()):
+                a, b = root(a), root(b)
+                if a != b:
+                    parent[max(a, b)] = min(a, b)
+        kept = [(x, root(x)) for x in parent if root(x) != x]
+        yield pd.DataFrame(kept, columns=["a", "b"]).astype("int64")
+
+    # a > b from here on
+    edges = shared_table(links.where("a <> b").mapInPandas(forest, "a long, b long").distinct(), "forest")
+    while True:
+        both = edges.union(edges.select(F.col("b").alias("a"), F.col("a").alias("b")))
+        least = both.groupBy("a").agg(F.min("b").alias("m")).select("a", F.least("a", "m").alias("m"))
+        least = shared_table(least, "least")
+        large = both.where("b > a").join(least, "a").select(F.col("b").alias("a"), F.col("m").alias("b")).where("a <> b").distinct()
+        large = shared_table(large, "large_star")
+        low = shared_table(large.groupBy("a").agg(F.min("b").alias("m")), "small_least")
+        small = (large.join(low, "a").select(F.col("b").alias("a"), F.col("m").alias("b")).where("a <> b")
+                 .union(low.select("a", F.col("m").alias("b"))).distinct())
+        new = shared_table(small, "small_star")
+        same = edges.exceptAll(new).isEmpty() and new.count() == edges.count()
+        edges = new
+        if same:
+            return edges.select(F.col("a").alias("node"), F.col("b").alias("root")).union(
+                edges.select(F.col("b").alias("node"), F.col("b").alias("root")).distinct())

@@ -10,7 +10,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import bpe, exact_dedup, language, packing, quality, sharding, topk
+from . import bpe, exact_dedup, language, minhash, packing, quality, sharding, topk
 from .common import documents
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -84,3 +84,23 @@ def op10(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = documents(spark, sf_dir)
     model = language.learn(language.training_rows(docs))
     return language.predict(docs, model).select("doc_id", language.held_out().alias("held_out"), "lang_pred", "score", "rejected")
+
+
+@query("op2_minhash", r"""
+WITH RECURSIVE w AS (
+  SELECT doc_id, [x FOR x IN regexp_split_to_array(translate(text, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'),
+         '[\x20\x09-\x0D]+') IF x <> ''] AS ws FROM documents),
+s AS (
+  SELECT doc_id, CASE WHEN ws IS NULL OR len(ws) = 0 THEN [] WHEN len(ws) < 3 THEN [array_to_string(ws, ' ')]
+         ELSE list_distinct([array_to_string(ws[i:i + 2], ' ') FOR i IN range(1, len(ws) - 1)]) END AS sh FROM w),
+u AS (SELECT doc_id, unnest(sh) AS g FROM s),
+p AS (SELECT a.doc_id AS a, b.doc_id AS b, count(*) AS k FROM u a JOIN u b ON a.g = b.g AND a.doc_id < b.doc_id GROUP BY 1, 2),
+l AS (SELECT p.a, p.b FROM p JOIN s x ON x.doc_id = p.a JOIN s y ON y.doc_id = p.b
+      WHERE 100 * k >= 85 * (len(x.sh) + len(y.sh) - k)),
+e AS (SELECT a, b FROM l UNION SELECT b, a FROM l),
+c(id, r) AS (SELECT doc_id, doc_id FROM s UNION SELECT e.b, c.r FROM c JOIN e ON e.a = c.id WHERE c.r < e.b)
+SELECT s.doc_id, CAST(len(s.sh) AS BIGINT) AS n_shingles, m.r AS component_id, s.doc_id = m.r AS kept
+FROM s JOIN (SELECT id, min(r) AS r FROM c GROUP BY id) m ON m.id = s.doc_id""")
+def op2(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Near copies: three words, similarity of at least 0.85."""
+    return minhash.near_duplicates(documents(spark, sf_dir), 3, 85, 100)
