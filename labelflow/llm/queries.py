@@ -10,7 +10,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import bpe, exact_dedup, language, minhash, packing, quality, sharding, topk
+from . import bpe, chunk_dedup, exact_dedup, language, minhash, packing, quality, sharding, suffix, topk
 from .common import documents
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -104,3 +104,35 @@ FROM s JOIN (SELECT id, min(r) AS r FROM c GROUP BY id) m ON m.id = s.doc_id""")
 def op2(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Near copies: three words, similarity of at least 0.85."""
     return minhash.near_duplicates(documents(spark, sf_dir), 3, 85, 100)
+
+
+def removal(df: DataFrame) -> DataFrame:
+    return df.select("doc_id", "n_bytes", "n_removed", "n_spans", F.sha2("kept", 256).alias("kept_sha256"))
+
+
+@query("op3_suffix_array", """
+WITH d AS (SELECT doc_id, hex(encode(coalesce(text, ''))) AS h FROM documents),
+     g AS (SELECT doc_id, len(h) // 2 AS n, h, unnest(range(0, CAST((len(h) + 1023) // 1024 AS BIGINT))) AS blk FROM d),
+     q AS (SELECT doc_id, n, blk, substr(h, 1024 * blk + 1, 1122) AS h FROM g),
+     p AS (SELECT doc_id, blk, unnest(range(0, CAST(least(512, n - 512 * blk) AS BIGINT))) AS j, h FROM q),
+     s AS (SELECT doc_id, 512 * blk + j AS i, substr(h, 2 * j + 1, 2) AS byte,
+             CASE WHEN 2 * j + 100 <= len(h) THEN md5(substr(h, 2 * j + 1, 100)) END AS w FROM p),
+     m AS (SELECT w, min(doc_id) AS first FROM s WHERE w IS NOT NULL GROUP BY w HAVING min(doc_id) < max(doc_id)),
+     f AS (SELECT s.doc_id, s.i, s.byte, max(CASE WHEN m.first < s.doc_id THEN s.i END)
+             OVER (PARTITION BY s.doc_id ORDER BY s.i ROWS BETWEEN 49 PRECEDING AND CURRENT ROW) IS NOT NULL AS gone
+           FROM s LEFT JOIN m USING (w)),
+     r AS (SELECT *, gone AND NOT coalesce(lag(gone) OVER (PARTITION BY doc_id ORDER BY i), false) AS starts FROM f),
+     k AS (SELECT doc_id, count(*) FILTER (gone) AS n_removed, count(*) FILTER (starts) AS n_spans,
+             coalesce(string_agg(byte, '' ORDER BY i) FILTER (NOT gone), '') AS kept FROM r GROUP BY doc_id)
+SELECT d.doc_id, CAST(len(d.h) // 2 AS BIGINT) AS n_bytes, coalesce(k.n_removed, 0) AS n_removed, coalesce(k.n_spans, 0) AS n_spans,
+       sha256(unhex(coalesce(k.kept, ''))) AS kept_sha256
+FROM d LEFT JOIN k USING (doc_id)""")
+def op3(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Bytes of 50-byte strings that start in a smaller document too go."""
+    return removal(suffix.dedup_substrings(documents(spark, sf_dir)))
+
+
+@query("op6_chunk_dedup")
+def op6(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Content-defined chunks that a smaller document holds too go."""
+    return removal(chunk_dedup.dedup_chunks(documents(spark, sf_dir)))
