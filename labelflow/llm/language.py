@@ -241,6 +241,21 @@ def predict(docs: DataFrame, model: Model) -> DataFrame:
     return docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").mapInArrow(run, SCHEMA)
 
 
+def keep(docs: DataFrame, model: Model) -> DataFrame:
+    """The rows of ``docs``, with all their columns, whose text is not rejected."""
+    spark = docs.sparkSession
+    prepare(spark)
+    shared = spark.sparkContext.broadcast(model)
+
+    def run(batches):
+        for batch in batches:
+            for part in pieces_of(batch, 4 << 20):
+                texts = [t or "" for t in part.column(part.schema.get_field_index("text")).to_pylist()]
+                yield part.filter(pa.array([not r for *_, r in shared.value.predict(texts)], pa.bool_()))
+
+    return docs.mapInArrow(run, docs.schema)
+
+
 def held_out(doc_id: str = "doc_id"):
     return F.coalesce(F.pmod(F.crc32(F.col(doc_id).cast("string")), F.lit(3)) == 1, F.lit(False))
 

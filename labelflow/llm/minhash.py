@@ -30,6 +30,7 @@ from pyspark.sql import functions as F
 
 from .common import (U, components, drop_table, mix, pieces_of, prepare, release_shuffles, shared_table, shingle_sets,
                      text_bytes)
+from .spans import named_rows
 
 MISS = 1e-7
 MAX_PLACES = 224
@@ -108,10 +109,11 @@ def sketch(k: int, rows: int, bands: int):
                 small = mix(sig).astype(np.uint8)
                 has = count > 0
                 yield pa.RecordBatch.from_arrays(
-                    [part.column(part.schema.get_field_index("doc_id")), pa.array(count.astype(np.int64)), pa.array(name, mask=~has),
+                    [part.column(part.schema.get_field_index("doc_id")), part.column(part.schema.get_field_index("rid")),
+                     pa.array(count.astype(np.int64)), pa.array(name, mask=~has),
                      pa.array([small[i].tobytes() if has[i] else None for i in range(n)], pa.binary()),
                      pa.array([key[i].view(np.int64) if has[i] else [] for i in range(n)], pa.list_(pa.int64()))],
-                    ["doc_id", "n_shingles", "cls", "sig", "bands"])
+                    ["doc_id", "rid", "n_shingles", "cls", "sig", "bands"])
 
     return run
 
@@ -162,15 +164,16 @@ def agreeing(least: int):
 
 
 def near_duplicates(docs: DataFrame, shingle: int = 5, num: int = 80, den: int = 100) -> DataFrame:
-    """One row per row of ``docs``: doc_id, n_shingles, component_id, kept. Documents are linked if
+    """One row per row of ``docs``: doc_id, n_shingles, component_id, kept, and rid (a name that
+    equal rows share, as in ``spans.named_rows``). Documents are linked if
     den * intersection >= num * union of their shingle sets."""
     spark = docs.sparkSession
     prepare(spark)
     t = num / den
     rows, bands = plan(t)
     m = rows * bands
-    base = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text")
-    feats = shared_table(base.mapInArrow(sketch(shingle, rows, bands), "doc_id long, n_shingles long, cls long, sig binary, bands array<long>"), "sketches")
+    base = named_rows(docs)
+    feats = shared_table(base.mapInArrow(sketch(shingle, rows, bands), "doc_id long, rid long, n_shingles long, cls long, sig binary, bands array<long>"), "sketches")
     exploded = feats.where("cls is not null").select("cls", F.explode("bands").alias("key"))
     keys = shared_table(exploded.groupBy("key").agg(F.min("cls").alias("lo"), F.max("cls").alias("hi")).where("lo < hi").select("key"), "shared_keys")
     members = shared_table(exploded.join(keys, "key").distinct(), "bucket_members")
@@ -221,7 +224,7 @@ def near_duplicates(docs: DataFrame, shingle: int = 5, num: int = 80, den: int =
         leads *= 2
         past += 1
         release_shuffles(spark)
-    named = feats.select("doc_id", "n_shingles", "cls")
+    named = feats.select("doc_id", "rid", "n_shingles", "cls")
     least_id = about.select("cls", "rep")
     if roots is not None:
         byroot = roots.join(least_id, roots["node"] == least_id["cls"]).groupBy("root").agg(F.min("rep").alias("component"))
@@ -233,4 +236,4 @@ def near_duplicates(docs: DataFrame, shingle: int = 5, num: int = 80, den: int =
     out = (named.join(classes, "cls", "left")
            .withColumn("component_id", F.when(F.col("cls").isNull(), F.col("doc_id")).otherwise(F.col("component"))))
     drop_table(sets)
-    return out.select("doc_id", "n_shingles", "component_id", F.expr("doc_id <=> component_id").alias("kept"))
+    return out.select("doc_id", "n_shingles", "component_id", F.expr("doc_id <=> component_id").alias("kept"), "rid")

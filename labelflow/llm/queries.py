@@ -103,7 +103,7 @@ SELECT s.doc_id, CAST(len(s.sh) AS BIGINT) AS n_shingles, m.r AS component_id, s
 FROM s JOIN (SELECT id, min(r) AS r FROM c GROUP BY id) m ON m.id = s.doc_id""")
 def op2(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Near copies: three words, similarity of at least 0.85."""
-    return minhash.near_duplicates(documents(spark, sf_dir), 3, 85, 100)
+    return minhash.near_duplicates(documents(spark, sf_dir), 3, 85, 100).select("doc_id", "n_shingles", "component_id", "kept")
 
 
 def removal(df: DataFrame) -> DataFrame:
