@@ -38,6 +38,11 @@ def tag_sides(reference: DataFrame, current: DataFrame) -> DataFrame:
     return reference.withColumn("side", F.lit("ref")).unionByName(current.withColumn("side", F.lit("cur")))
 
 
+def with_side(df: DataFrame, is_reference) -> DataFrame:
+    """A10 in one scan: ``side`` = 'ref' where the condition holds, else 'cur' (null counts as false)."""
+    return df.withColumn("side", F.when(is_reference, F.lit("ref")).otherwise(F.lit("cur")))
+
+
 def doc_terms(corpus: DataFrame, id_col: str = "doc_id", text_col: str = "text",
               stop_words: list[str] | None = None) -> DataFrame:
     """``(id, side, term, tf)`` over whole texts, stop words removed."""
@@ -55,15 +60,36 @@ def _reliable(df: DataFrame, name: str = "terms") -> DataFrame:
     return write_table(df, name)
 
 
+SALTS = 16
+
+
+def salted_join(rows: DataFrame, keyed: DataFrame, key: str, spread_by: str, how: str = "inner") -> DataFrame:
+    """Join on ``key`` when few keys hold many of ``rows``: each key's rows spread over ``SALTS``
+    tasks by ``spread_by``; ``keyed`` (one row per key) is repeated for each."""
+    left = rows.withColumn("_salt", F.pmod(F.xxhash64(spread_by), F.lit(SALTS)).cast("int"))
+    right = keyed.withColumn("_salt", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))))
+    return left.join(right, [key, "_salt"], how).drop("_salt")
+
+
+def doc_words(corpus: DataFrame, id_col: str, text_col: str) -> DataFrame:
+    """``(id, side, term, n)``: words of each text with counts, before anything is joined."""
+    return corpus.select(id_col, "side", F.explode(F.regexp_extract_all(
+        F.lower(F.coalesce(F.col(text_col), F.lit(""))), F.lit(WORD_PATTERN), 0)).alias("term")) \
+        .groupBy(id_col, "side", "term").agg(F.count(F.lit(1)).alias("n"))
+
+
 def tfidf_features(corpus: DataFrame, id_col: str = "doc_id", text_col: str = "text",
                    max_df: float = 0.5, stop_words: list[str] | None = None) -> DataFrame:
     """``(id, side, term, weight)``; weights L2-normalised per document."""
     terms = _reliable(doc_terms(corpus, id_col, text_col, stop_words), "doc_terms")
     n_docs = corpus.agg(F.count(F.lit(1)).alias("_n"))
-    df_t = terms.groupBy("term").agg(F.count(F.lit(1)).alias("_df"))
-    df_t = df_t.crossJoin(F.broadcast(n_docs)).filter(F.col("_df") <= F.lit(max_df) * F.col("_n"))
-    idf = df_t.select("term", (F.log((F.col("_n") + 1) / (F.col("_df") + 1)) + 1).alias("_idf"))
-    w = terms.join(idf, "term").select(id_col, "side", "term",
+    df_t = terms.groupBy("term").agg(F.count(F.lit(1)).alias("_df")).crossJoin(F.broadcast(n_docs))
+    heavy = F.col("_df") > F.lit(max_df) * F.col("_n")
+    # at most (distinct terms of a mean document) / max_df terms are that frequent: a short list by
+    # proof; their rows go before anything is shuffled by term
+    terms = terms.join(F.broadcast(df_t.filter(heavy).select("term")), "term", "left_anti")
+    idf = df_t.filter(~heavy).select("term", (F.log((F.col("_n") + 1) / (F.col("_df") + 1)) + 1).alias("_idf"))
+    w = salted_join(terms, idf, "term", id_col).select(id_col, "side", "term",
                                        ((1 + F.log(F.col("tf").cast("double"))) * F.col("_idf")).alias("_w"))
     norm = w.groupBy(id_col).agg(F.sqrt(F.sum(F.col("_w") * F.col("_w"))).alias("_norm"))
     return w.join(norm, id_col).select(id_col, "side", "term", (F.col("_w") / F.col("_norm")).alias("weight"))
@@ -123,20 +149,21 @@ def characteristic_words(corpus: DataFrame, k: int = 10, id_col: str = "doc_id",
     return both.withColumn("rank", F.row_number().over(win)).filter(F.col("rank") <= k)
 
 
-def domain_classifier_mllib(corpus: DataFrame, text_col: str = "text", seed: int = 42):
-    """J6 (MLlib form): stop words, CountVectorizer(maxDF=0.5), IDF, L2 normaliser and an
+def domain_classifier_mllib(corpus: DataFrame, text_col: str = "text", seed: int = 42, num_features: int = 1 << 18):
+    """J6 (MLlib form): stop words, hashed term counts (every term lands in one of ``num_features``
+    slots, none is dropped), IDF, L2 normaliser and an
     L1-penalised logistic regression trained on the hash-train half; returns the held-out
     AUC from ``BinaryClassificationEvaluator``."""
     from pyspark.ml import Pipeline
     from pyspark.ml.classification import LogisticRegression
     from pyspark.ml.evaluation import BinaryClassificationEvaluator
-    from pyspark.ml.feature import CountVectorizer, IDF, Normalizer, RegexTokenizer, StopWordsRemover
+    from pyspark.ml.feature import HashingTF, IDF, Normalizer, RegexTokenizer, StopWordsRemover
     data = corpus.withColumn("_y", (F.col("side") == "cur").cast("double"))
     is_train = hash_half(seed, "domain", "doc_id")
     pipe = Pipeline(stages=[
         RegexTokenizer(inputCol=text_col, outputCol="_tok", pattern=WORD_PATTERN, gaps=False),
         StopWordsRemover(inputCol="_tok", outputCol="_tok2", stopWords=STOP_WORDS),
-        CountVectorizer(inputCol="_tok2", outputCol="_tf", maxDF=0.5),
+        HashingTF(inputCol="_tok2", outputCol="_tf", numFeatures=num_features),
         IDF(inputCol="_tf", outputCol="_idf"),
         Normalizer(inputCol="_idf", outputCol="_x"),
         LogisticRegression(featuresCol="_x", labelCol="_y", elasticNetParam=1.0, regParam=1e-4, maxIter=50)])
@@ -170,12 +197,11 @@ def text_oov_share(corpus: DataFrame, vocabulary: DataFrame | None = None, id_co
                    text_col: str = "text") -> DataFrame:
     """Per document, share of word tokens outside the vocabulary (default: the words of
     the reference side). Anti/left join on the term (a shuffle join; no size assumption)."""
-    toks = corpus.select(id_col, "side", F.explode(F.regexp_extract_all(
-        F.lower(F.coalesce(F.col(text_col), F.lit(""))), F.lit(WORD_PATTERN), 0)).alias("term"))
-    vocab = vocabulary if vocabulary is not None else toks.filter(F.col("side") == "ref").select("term").distinct()
-    j = toks.join(vocab.select("term").distinct().withColumn("_in", F.lit(1)), "term", "left")
-    return j.groupBy(id_col, "side").agg(F.count(F.lit(1)).alias("n_words"),
-                                         F.count_if(F.col("_in").isNull()).alias("n_oov")) \
+    toks = doc_words(corpus, id_col, text_col)
+    vocab = vocabulary if vocabulary is not None else toks.filter(F.col("side") == "ref").select("term")
+    j = salted_join(toks, vocab.select("term").distinct().withColumn("_in", F.lit(1)), "term", id_col, "left")
+    return j.groupBy(id_col, "side").agg(F.sum("n").alias("n_words"),
+                                         F.coalesce(F.sum(F.when(F.col("_in").isNull(), F.col("n"))), F.lit(0)).alias("n_oov")) \
         .withColumn("oov_share", safe_div("n_oov", "n_words"))
 
 
@@ -183,10 +209,8 @@ def text_sentiment(corpus: DataFrame, lexicon: DataFrame, id_col: str = "doc_id"
                    text_col: str = "text") -> DataFrame:
     """Mean lexicon score of a document's words found in ``lexicon(term, score)``;
     documents without a lexicon word get 0."""
-    toks = corpus.select(id_col, "side", F.explode(F.regexp_extract_all(
-        F.lower(F.coalesce(F.col(text_col), F.lit(""))), F.lit(WORD_PATTERN), 0)).alias("term"))
-    j = toks.join(lexicon.select("term", "score"), "term")
-    s = j.groupBy(id_col).agg(F.avg("score").alias("sentiment"))
+    j = salted_join(doc_words(corpus, id_col, text_col), lexicon.select("term", "score"), "term", id_col)
+    s = j.groupBy(id_col).agg((F.sum(F.col("score") * F.col("n")) / F.sum("n")).alias("sentiment"))
     return corpus.select(id_col, "side").join(s, id_col, "left").fillna(0.0, ["sentiment"])
 
 

@@ -10,9 +10,8 @@
     dense row numbering.
 
 ``exact_percentile``
-    Linear-interpolated percentile (numpy's default) per group without holding a whole group
-    in one task: ``percentile_approx`` brackets the wanted ranks, only the rows inside the
-    bracket are ranked exactly, and a guard raises if the bracket ever missed.
+    Linear-interpolated percentile (numpy's default) per group: rows shrink to distinct values with
+    counts, and running counts tell which value holds the wanted rank.
 """
 
 from __future__ import annotations
@@ -24,17 +23,17 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 TARGET_ROWS_PER_BUCKET = 1_000_000
-MAX_BUCKETS = 200_000
 
 
 def _bucket_count(n_rows: int, target: int) -> int:
-    return int(min(MAX_BUCKETS, max(1, math.ceil(n_rows / max(1, target)))))
+    return max(1, math.ceil(n_rows / max(1, target)))
 
 
 def add_value_buckets(df: DataFrame, value_col: str, n_rows: int | None = None,
                       target_rows_per_bucket: int = TARGET_ROWS_PER_BUCKET,
                       bucket_col: str = "_bucket") -> DataFrame:
-    """Range bucket id (monotone in ``value_col``); 0 everywhere when one bucket suffices."""
+    """Range bucket id (monotone in ``value_col``); 0 everywhere when one bucket suffices. The cut
+    points (one number per million distinct values) are all that passes through the driver."""
     if n_rows is None:
         n_rows = df.count()
     n_buckets = _bucket_count(n_rows, target_rows_per_bucket)
@@ -86,8 +85,9 @@ def ecdf_distance(df: DataFrame, group_cols: list[str], value_col: str, side_col
     counts = df.filter(v.isNotNull() & ~F.isnan(v)).groupBy(*g, v.alias("_x")).agg(
         F.sum(F.when(F.col(side_col) == ref, wt).otherwise(F.lit(0))).alias("_nr"),
         F.sum(F.when(F.col(side_col) == cur, wt).otherwise(F.lit(0))).alias("_nc"))
-    n_rows = counts.count()
-    b = add_value_buckets(counts, "_x", n_rows)
+    from ..session import write_table
+    counts = write_table(counts, "value_counts")  # read five times below
+    b = add_value_buckets(counts, "_x")
     gb = [*g, "_bucket"]
     totals = b.groupBy(*gb).agg(F.sum("_nr").alias("_tr"), F.sum("_nc").alias("_tc"), F.min("_x").alias("_bmin"))
     wb = (Window.partitionBy(*g) if g else Window.partitionBy()).orderBy("_bucket")
@@ -110,54 +110,39 @@ def ecdf_distance(df: DataFrame, group_cols: list[str], value_col: str, side_col
 
 
 def exact_percentile(df: DataFrame, value_col: str, q: float, group_cols: list[str] | None = None,
-                     accuracy: int = 100_000, out_col: str = "percentile",
-                     nan_propagates: bool = True) -> DataFrame:
+                     out_col: str = "percentile", nan_propagates: bool = True) -> DataFrame:
     """Per group: ``count``, ``percentile`` (numpy ``linear``), ``has_nan``.
 
-    numpy returns NaN as soon as one value is NaN; with ``nan_propagates`` the result follows
-    that rule (Spark alone would sort NaN last and stay finite). Nulls are ignored.
+    Rows shrink to (group, value, n) first, so ties never meet in one task; running counts over the
+    distinct values (``prefix_totals``) then tell which value holds each wanted rank. One path for
+    every size. numpy returns NaN as soon as one value is NaN; with ``nan_propagates`` the result
+    follows that rule (Spark alone would sort NaN last and stay finite). Nulls are ignored.
     """
+    from ..session import write_table
     g = list(group_cols or [])
     v = F.col(value_col).cast("double")
-    base = df.select(*g, v.alias("_v")).filter(F.col("_v").isNotNull())
-    margin = 4.0 / accuracy  # >= 4 ranks either side once a group is larger than ``accuracy``
-    lo_q, hi_q = max(0.0, q - margin), min(1.0, q + margin)
-    finite = base.filter(~F.isnan("_v"))
-    # groups no larger than the sketch resolution are ranked whole (bracket = min..max)
-    brackets = finite.groupBy(*g).agg(
-        F.count(F.lit(1)).alias("_n"),
-        F.percentile_approx("_v", F.array(F.lit(lo_q), F.lit(hi_q)), accuracy).alias("_br"),
-        F.min("_v").alias("_mn"), F.max("_v").alias("_mx"))
-    small = F.col("_n") <= F.lit(accuracy)
-    brackets = brackets.select(*g, "_n", F.when(small, F.array("_mn", "_mx")).otherwise(F.col("_br")).alias("_br"))
-    nan_flags = base.groupBy(*g).agg(F.max(F.isnan("_v").cast("int")).alias("_has_nan"),
-                                     F.count(F.lit(1)).alias("count"))
-    j = finite.join(brackets, g) if g else finite.crossJoin(brackets)
-    lo, hi = F.col("_br")[0], F.col("_br")[1]
-    below = j.groupBy(*g).agg(F.sum((F.col("_v") < lo).cast("long")).alias("_n_below"))
-    sl = j.filter((F.col("_v") >= lo) & (F.col("_v") <= hi))
-    w = (Window.partitionBy(*g) if g else Window.partitionBy()).orderBy("_v")
-    sl = sl.withColumn("_rn", F.row_number().over(w) - 1)
-    info = brackets.join(below, g) if g else brackets.crossJoin(below)
-    sl = sl.drop("_n", "_br").join(info, g) if g else sl.drop("_n", "_br").crossJoin(info)
-    pos = F.lit(q) * (F.col("_n") - 1)
-    rank = F.col("_n_below") + F.col("_rn")
-    picked = sl.groupBy(*g).agg(
-        F.first("_n").alias("_n"),
-        F.first("_n_below").alias("_n_below"),
-        F.min("_rn").alias("_min_rn"), F.max("_rn").alias("_max_rn"),
-        F.max(F.when(rank == F.floor(pos), F.col("_v"))).alias("_lo_v"),
-        F.max(F.when(rank == F.ceil(pos), F.col("_v"))).alias("_hi_v"),
-        F.first(pos).alias("_pos"))
-    frac = F.col("_pos") - F.floor("_pos")
-    value = F.col("_lo_v") + (F.col("_hi_v") - F.col("_lo_v")) * frac
-    ok = (F.col("_lo_v").isNotNull() & F.col("_hi_v").isNotNull())
-    guarded = F.when(ok, value).otherwise(
-        F.raise_error(F.lit("exact_percentile: approximate bracket missed the target rank")))
-    res = nan_flags.join(picked, g, "left") if g else nan_flags.crossJoin(picked)
+    counts = write_table(df.select(*g, v.alias("_v")).filter(F.col("_v").isNotNull())
+                         .groupBy(*g, "_v").agg(F.count(F.lit(1)).alias("_n")), "value_counts")
+    finite = counts.filter(~F.isnan("_v"))
+    totals = counts.groupBy(*g).agg(
+        F.coalesce(F.sum("_n"), F.lit(0)).alias("count"), F.coalesce(F.sum(F.when(~F.isnan("_v"), F.col("_n"))), F.lit(0)).alias("_total"),
+        F.coalesce(F.max(F.isnan("_v").cast("int")), F.lit(0)).alias("_has_nan"))
+    run = prefix_totals(finite, g, "_v", ["_n"])
+    run = _with_totals(run, totals.select(*g, "_total"), g)
+    pos = F.lit(q) * (F.col("_total") - 1)
+
+    def holds(rank):
+        return (F.col("_n_before") <= rank) & (rank < F.col("_n_before") + F.col("_n"))
+
+    picked = run.groupBy(*g).agg(F.max(F.when(holds(F.floor(pos)), F.col("_v"))).alias("_lo_v"),
+                                 F.max(F.when(holds(F.ceil(pos)), F.col("_v"))).alias("_hi_v"))
+    res = totals.join(picked, g, "left") if g else totals.crossJoin(picked)  # one row each
     pct = F.when(F.col("count") == 0, F.lit(None).cast("double"))
     if nan_propagates:
         pct = pct.when(F.col("_has_nan") == 1, F.lit(float("nan")))
-    pct = pct.otherwise(guarded.cast("double"))
-    return res.select(*g, F.col("count"), pct.alias(out_col),
-                      (F.col("_has_nan") == 1).alias("has_nan"))
+    pct = pct.otherwise(F.col("_lo_v") + (F.col("_hi_v") - F.col("_lo_v")) * (pos - F.floor(pos)))
+    return res.select(*g, F.col("count"), pct.alias(out_col), (F.col("_has_nan") == 1).alias("has_nan"))
+
+
+def _with_totals(df: DataFrame, totals: DataFrame, g: list[str]) -> DataFrame:
+    return df.join(totals, g) if g else df.crossJoin(F.broadcast(totals))  # without groups: one row

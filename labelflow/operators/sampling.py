@@ -85,30 +85,39 @@ def split_quotas(df: DataFrame, label_col: str, test_size: float) -> DataFrame:
                     (F.col("_c") - train_q).alias("test_quota"))
 
 
+def split_cuts(df: DataFrame, label_col: str, id_col: str, test_size: float = 0.2, seed: int = 42,
+               tag: str = "test") -> DataFrame:
+    """One row per class (a null label is a class too): the (hash, id) of its last ``first`` row.
+
+    Rows per (class, hash bucket) give the bucket in which each class's quota ends; only the rows of
+    those buckets are ranked. Fitted eagerly and written, like a model: a row per class."""
+    from ..session import write_table
+    base = df.select(label_col, id_col).withColumn("_k", hash_key(seed, tag, id_col)).withColumn("_b", hash_bucket(F.col("_k"), SPLIT_BUCKET_HEX))
+    quotas = split_quotas(df, label_col, test_size).select(F.col(label_col).alias("_label"), "train_quota")
+    counts = base.groupBy(F.col(label_col).alias("_cl"), "_b").agg(F.count(F.lit(1)).alias("_bc"))
+    w = Window.partitionBy("_cl").orderBy("_b").rowsBetween(Window.unboundedPreceding, -1)
+    counts = counts.withColumn("_before", F.coalesce(F.sum("_bc").over(w), F.lit(0)))
+    ends = (counts.join(quotas, F.col("_cl").eqNullSafe(F.col("_label")))
+            .filter((F.col("_before") < F.col("train_quota")) & (F.col("train_quota") <= F.col("_before") + F.col("_bc")))
+            .select("_label", F.col("_b").alias("_end"), (F.col("train_quota") - F.col("_before")).alias("_need")))
+    ends = write_table(ends, "split_ends")
+    edge = base.join(F.broadcast(ends), F.col(label_col).eqNullSafe(F.col("_label")) & (F.col("_b") == F.col("_end")))
+    rank = F.row_number().over(Window.partitionBy("_label", "_b").orderBy("_k", id_col))
+    return write_table(edge.withColumn("_rn", rank).filter(F.col("_rn") == F.col("_need"))
+                       .select("_label", F.col("_k").alias("_cut_k"), F.col(id_col).alias("_cut_id")), "split_cuts")
+
+
 def stratified_split(df: DataFrame, label_col: str, id_col: str, test_size: float = 0.2,
                      seed: int = 42, tag: str = "test", out_col: str = "split",
                      first: str = "train", rest: str = "test") -> DataFrame:
     """Exact stratified split. The first ``train_quota`` rows of each class in hash order
-    are labelled ``first``, the others ``rest``."""
-    key = hash_key(seed, tag, id_col)
-    base = df.withColumn("_k", key).withColumn("_b", hash_bucket(F.col("_k"), SPLIT_BUCKET_HEX))
-    quotas = split_quotas(df, label_col, test_size).select(label_col, "train_quota")
-    buckets = base.groupBy(label_col, "_b").agg(F.count(F.lit(1)).alias("_bc"))
-    w = Window.partitionBy(label_col).orderBy("_b").rowsBetween(Window.unboundedPreceding, -1)
-    buckets = buckets.withColumn("_before", F.coalesce(F.sum("_bc").over(w), F.lit(0)))
-    buckets = buckets.join(quotas, label_col)
-    tagged = base.join(buckets, [label_col, "_b"])
-    whole_first = F.col("_before") + F.col("_bc") <= F.col("train_quota")
-    whole_rest = F.col("_before") >= F.col("train_quota")
-    cols = df.columns
-    simple = tagged.filter(whole_first | whole_rest).select(
-        *cols, F.when(whole_first, F.lit(first)).otherwise(F.lit(rest)).alias(out_col))
-    edge = tagged.filter(~(whole_first | whole_rest))
-    wr = Window.partitionBy(label_col, "_b").orderBy("_k", id_col)
-    edge = edge.withColumn("_rn", F.row_number().over(wr)).select(
-        *cols, F.when(F.col("_before") + F.col("_rn") <= F.col("train_quota"), F.lit(first))
-        .otherwise(F.lit(rest)).alias(out_col))
-    return simple.unionByName(edge)
+    are labelled ``first``, the others ``rest``. No row is shuffled: each compares its own hash
+    with its class's cut (one broadcast row per class). Null labels form a class of their own."""
+    cuts = split_cuts(df, label_col, id_col, test_size, seed, tag)
+    k = hash_key(seed, tag, id_col)
+    inside = (k < F.col("_cut_k")) | ((k == F.col("_cut_k")) & (F.col(id_col) <= F.col("_cut_id")))
+    tagged = df.join(F.broadcast(cuts), F.col(label_col).eqNullSafe(F.col("_label")), "left")
+    return tagged.select(*df.columns, F.when(F.coalesce(inside, F.lit(False)), F.lit(first)).otherwise(F.lit(rest)).alias(out_col))
 
 
 def train_val_test_split(df: DataFrame, label_col: str, id_col: str, test_size: float = 0.2,

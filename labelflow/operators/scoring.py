@@ -23,7 +23,7 @@ import numpy as np
 import pandas as pd
 from pyspark.ml import Pipeline, PipelineModel
 from pyspark.ml.classification import LogisticRegression
-from pyspark.ml.feature import HashingTF, IDF, RegexTokenizer, StringIndexer
+from pyspark.ml.feature import HashingTF, IDF, IndexToString, RegexTokenizer, StringIndexer
 from pyspark.ml.functions import vector_to_array
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -46,24 +46,19 @@ class Scorer(Protocol):
 
 # ------------------------------------------------------------------ letter naive Bayes
 
-MAX_CLASSES = 10_000
-
-
 def fit_letter_nb(train: DataFrame, text_col: str = "text", label_col: str = "label") -> DataFrame:
     """G6 (built-in scorer): fit eagerly (like an MLlib ``fit``) and return the one-row model
     ``nb_labels, nb_log_prior, nb_loglik`` as a local DataFrame.
 
-    Work: one pass over the training texts with partial aggregation per (class, letter); the
-    fitted model is classes x letters numbers, checked against ``MAX_CLASSES`` before it is
-    brought to the driver, so every later plan embeds it instead of re-training.
+    Work: one pass over the training texts with partial aggregation per class; the fitted model is
+    classes x letters numbers (its size depends on the label set alone), so every later plan embeds
+    it instead of re-training.
     """
     ship_package(train.sparkSession)
     plan = _letter_nb_plan(train, text_col, label_col)
     row = plan.first()
     if row is None or row["nb_labels"] is None:
         raise ValueError("no labelled training rows")
-    if len(row["nb_labels"]) > MAX_CLASSES:
-        raise ValueError(f"{len(row['nb_labels'])} classes exceed MAX_CLASSES={MAX_CLASSES}")
     return train.sparkSession.createDataFrame([row], plan.schema)
 
 
@@ -72,13 +67,10 @@ def _letter_nb_plan(train: DataFrame, text_col: str, label_col: str) -> DataFram
     base = train.filter(F.col(text_col).isNotNull() & F.col(label_col).isNotNull())
     per_doc = base.select(F.col(label_col).cast("string").alias("_label"),
                           letter_counts_udf(F.col(text_col)).alias("_cnt"))
-    exploded = per_doc.select("_label", F.posexplode_outer("_cnt").alias("_pos", "_n"))
-    by_letter = exploded.groupBy("_label", "_pos").agg(F.sum("_n").alias("_n"))
-    letters = by_letter.groupBy("_label").agg(
-        F.transform(F.array_sort(F.collect_list(F.struct("_pos", "_n"))),
-                    lambda s: s["_n"]).alias("_counts"))
-    docs = per_doc.groupBy("_label").agg(F.count(F.lit(1)).alias("_docs"))
-    per_class = letters.join(docs, "_label").select(
+    # one scan, one partial aggregation of all letters: nothing is exploded
+    per_class = per_doc.groupBy("_label").agg(
+        F.count(F.lit(1)).alias("_docs"), F.array(*[F.sum(F.col("_cnt")[i]) for i in range(v)]).alias("_counts"))
+    per_class = per_class.select(
         "_label", "_docs",
         F.transform("_counts", lambda n: F.log((n + F.lit(1)).cast("double") /
                                               (F.aggregate("_counts", F.lit(0).cast("long"),
@@ -92,11 +84,21 @@ def _letter_nb_plan(train: DataFrame, text_col: str, label_col: str) -> DataFram
         F.transform("_m", lambda s: s["_ll"]).alias("nb_loglik"))
 
 
+_LETTER_OF = np.full(max(map(ord, ALPHABET)) + 2, -1, np.int64)  # the last entry: any other character
+for _i, _a in enumerate(ALPHABET):
+    _LETTER_OF[ord(_a)] = _i
+
+
 def _count_matrix(texts: pd.Series) -> np.ndarray:
-    """rows x letters counts over whole lower-cased texts (C-level ``str.count`` per letter)."""
-    letters = list(ALPHABET)
-    return np.array([[t.count(a) for a in letters] for t in texts.str.lower()], dtype=np.int64) \
-        .reshape(len(texts), len(letters))
+    """rows x letters counts over whole lower-cased texts: one table lookup per character of the
+    batch and one ``bincount``."""
+    low = [t.lower() for t in texts]
+    chars = np.frombuffer("".join(low).encode("utf-32-le", "surrogatepass"), np.uint32)
+    letter = _LETTER_OF[np.minimum(chars, len(_LETTER_OF) - 1)]
+    row = np.repeat(np.arange(len(low)), [len(t) for t in low])
+    known = letter >= 0
+    v = len(ALPHABET)
+    return np.bincount(row[known] * v + letter[known], minlength=len(low) * v).reshape(len(low), v)
 
 
 @F.pandas_udf(T.ArrayType(T.LongType()))
@@ -122,7 +124,7 @@ def nb_probabilities(counts: np.ndarray, log_prior: np.ndarray, loglik: np.ndarr
 def nb_scoring_udf(model_row: dict, evidence_scale: float):
     """Scalar pandas UDF text -> struct(predicted_label_id, confidence, probs).
 
-    The fitted model (classes x letters numbers, bounded by MAX_CLASSES) travels in the
+    The fitted model (classes x letters numbers) travels in the
     closure; each Arrow batch is one matrix product."""
     prior = np.asarray(model_row["nb_log_prior"], dtype=float)
     loglik = np.asarray(model_row["nb_loglik"], dtype=float)
@@ -167,6 +169,26 @@ def predict(df: DataFrame, model: DataFrame, text_col: str = "text",
     return out if keep_probs else out.drop("probs", "prob_labels")
 
 
+class LetterScorer:
+    """M1: the built-in scorer behind the common contract."""
+
+    def __init__(self, model: DataFrame, text_col: str = "text", evidence_scale: float = DEFAULT_EVIDENCE_SCALE):
+        self.model, self.text_col, self.evidence_scale = model, text_col, evidence_scale
+
+    def transform(self, df: DataFrame) -> DataFrame:
+        return predict(df, self.model, self.text_col, self.evidence_scale)
+
+
+class PipelineScorer:
+    """M1: a fitted MLlib pipeline, or a folder it was saved to, behind the same contract."""
+
+    def __init__(self, model: PipelineModel | str, text_col: str = "text"):
+        self.model, self.text_col = load_model(model) if isinstance(model, str) else model, text_col
+
+    def transform(self, df: DataFrame) -> DataFrame:
+        return mllib_predict(self.model, df, self.text_col)
+
+
 def model_labels(model: DataFrame) -> list[str]:
     """The (bounded) class list of a fitted model, for column naming on the driver."""
     return list(model.select("nb_labels").first()[0])
@@ -248,9 +270,10 @@ def fit_mllib_text_classifier(train: DataFrame, text_col: str = "text", label_co
     """Tokenizer -> hashed TF -> IDF -> multinomial logistic regression.
 
     ``weight_col`` carries the balanced class weights of C7 (weighted loss)."""
+    base = train.filter(F.col(text_col).isNotNull() & F.col(label_col).isNotNull())
+    # labels are indexed outside the pipeline: rows without a known label are scored like any other
+    indexer = StringIndexer(inputCol=label_col, outputCol="_label_idx", stringOrderType="alphabetAsc").fit(base)
     stages = [
-        StringIndexer(inputCol=label_col, outputCol="_label_idx", handleInvalid="skip",
-                      stringOrderType="alphabetAsc"),
         RegexTokenizer(inputCol=text_col, outputCol="_tokens", pattern=WORD_PATTERN, gaps=False,
                        toLowercase=True),
         HashingTF(inputCol="_tokens", outputCol="_tf", numFeatures=num_features),
@@ -260,19 +283,18 @@ def fit_mllib_text_classifier(train: DataFrame, text_col: str = "text", label_co
                            predictionCol="_prediction", rawPredictionCol="_raw",
                            **({"weightCol": weight_col} if weight_col else {})),
     ]
-    return Pipeline(stages=stages).fit(train.filter(F.col(text_col).isNotNull()))
+    fitted = Pipeline(stages=stages).fit(indexer.transform(base))
+    names = IndexToString(inputCol="_prediction", outputCol="_predicted", labels=indexer.labels)
+    return PipelineModel([*fitted.stages, names])
 
 
 def mllib_predict(model: PipelineModel, df: DataFrame, text_col: str = "text") -> DataFrame:
-    """Scorer adapter for a fitted pipeline: the standard prediction columns."""
-    labels = model.stages[0].labels
-    cols = drop_null_text(df, text_col).columns
-    out = model.transform(drop_null_text(df, text_col))
+    """Scorer adapter for a fitted pipeline: the standard prediction columns, a row for every row
+    with a text."""
+    base = drop_null_text(df, text_col)
     probs = vector_to_array("_probability")
-    pid = F.col("_prediction").cast("int")
-    return out.select(*cols, pid.alias("predicted_label_id"),
-                      F.element_at(F.array(*[F.lit(x) for x in labels]), pid + 1).alias("predicted_label"),
-                      F.array_max(probs).alias("confidence"))
+    return model.transform(base).select(*base.columns, F.col("_prediction").cast("int").alias("predicted_label_id"),
+                                        F.col("_predicted").alias("predicted_label"), F.array_max(probs).alias("confidence"))
 
 
 def save_model(model: PipelineModel, path: str) -> str:

@@ -8,16 +8,16 @@ from ..operators import active as A
 from ..operators import sampling as SM
 from ..operators import scoring as S
 from ..sources.tables import read_table
-from .q_curate import KEPT_SQL, ARTICLE_YEAR, year_articles
+from .q_curate import ALL_SQL, all_articles
 from .q_model import letter_model, scorer_cte
 from .registry import register, rounded
 
 SEED = 42
-POOL_SQL = f"SELECT article_id, category FROM ({KEPT_SQL}) k WHERE year = {ARTICLE_YEAR}"
+POOL_SQL = f"SELECT article_id, category FROM ({ALL_SQL}) k"
 
 
 def pool_articles(spark, sf):
-    return year_articles(spark, sf).select("article_id", "category")
+    return all_articles(spark, sf).select("article_id", "category")
 
 
 # ---------------------------------------------------------------- sampling and splits

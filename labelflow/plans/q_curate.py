@@ -20,6 +20,7 @@ ARTICLES_SQL = ("SELECT o_orderkey AS article_id, o_orderpriority AS category, o
                 "o_orderstatus AS status, o_totalprice AS amount FROM orders")
 LABELS_SQL = "('1-URGENT', '2-HIGH', '5-LOW')"
 KEPT_SQL = f"SELECT *, CAST(year(date) AS INTEGER) AS year FROM ({ARTICLES_SQL}) a WHERE category IN {LABELS_SQL}"
+ALL_SQL = f"SELECT *, CAST(year(date) AS INTEGER) AS year FROM ({ARTICLES_SQL}) a"
 TEXTS_SQL = ("SELECT doc_id, lang AS category, split_part(text, chr(10), 1) AS headline, "
              "CASE WHEN instr(text, chr(10)) > 0 THEN substr(text, instr(text, chr(10)) + 1) END "
              "AS short_description, text, source, n_chars FROM documents")
@@ -30,6 +31,11 @@ def kept_articles(spark, sf):
     return C.extract_year(C.label_filter(scan_articles(spark, sf), ARTICLE_LABELS))
 
 
+def all_articles(spark, sf):
+    """Every article with its year."""
+    return C.extract_year(scan_articles(spark, sf))
+
+
 def year_articles(spark, sf):
     return C.year_filter(kept_articles(spark, sf), ARTICLE_YEAR)
 
@@ -65,9 +71,9 @@ def q_year_filter(spark, sf):
 
 
 @register("stable_row_id", "SELECT article_id, CAST(row_number() OVER (ORDER BY article_id) - 1 AS BIGINT) AS row_id "
-          f"FROM ({KEPT_SQL}) k WHERE year = {ARTICLE_YEAR}")
+          f"FROM ({ALL_SQL}) k")
 def q_stable_row_id(spark, sf):
-    return C.stable_row_id(year_articles(spark, sf).select("article_id"), "article_id")
+    return C.stable_row_id(all_articles(spark, sf).select("article_id"), "article_id")
 
 
 @register("compose_text", "SELECT doc_id, headline || ' ' || coalesce(short_description, '') AS text "
@@ -147,9 +153,9 @@ def q_prob_column_name(spark, sf):
 
 
 @register("selection_state_init", f"SELECT article_id, category, false AS selected, CAST(-1 AS INTEGER) AS iteration "
-          f"FROM ({KEPT_SQL}) k WHERE year = {ARTICLE_YEAR}")
+          f"FROM ({ALL_SQL}) k")
 def q_selection_state_init(spark, sf):
-    return C.selection_state_init(year_articles(spark, sf).select("article_id", "category"))
+    return C.selection_state_init(all_articles(spark, sf).select("article_id", "category"))
 
 
 @register("default_description", f"SELECT doc_id, short_description AS description, '' AS missing_description "
@@ -162,9 +168,9 @@ def q_default_description(spark, sf):
 
 @register("round4", "SELECT year, category, count, round_even(share, 4) AS share FROM ("
           "SELECT year, category, count(*) AS count, count(*) / sum(count(*)) OVER (PARTITION BY year) AS share "
-          f"FROM ({KEPT_SQL}) k GROUP BY year, category) s")
+          f"FROM ({ALL_SQL}) k GROUP BY year, category) s")
 def q_round4(spark, sf):
-    s = C.category_shares(kept_articles(spark, sf), "category", "year")
+    s = C.category_shares(all_articles(spark, sf), "category", "year")
     return s.withColumn("share", round4("share"))
 
 
@@ -183,20 +189,20 @@ def q_report_key(spark, sf):
                                                     F.col("start")).alias("report_key"))
 
 
-@register("category_counts", f"SELECT category, count(*) AS count FROM ({KEPT_SQL}) k GROUP BY category")
+@register("category_counts", f"SELECT category, count(*) AS count FROM ({ALL_SQL}) k GROUP BY category")
 def q_category_counts(spark, sf):
-    return C.category_counts(kept_articles(spark, sf))
+    return C.category_counts(all_articles(spark, sf))
 
 
 @register("category_shares", "SELECT year, category, count(*) AS count, count(*) / sum(count(*)) OVER (PARTITION BY year) "
-          f"AS share FROM ({KEPT_SQL}) k GROUP BY year, category")
+          f"AS share FROM ({ALL_SQL}) k GROUP BY year, category")
 def q_category_shares(spark, sf):
-    return rounded(C.category_shares(kept_articles(spark, sf)))
+    return rounded(C.category_shares(all_articles(spark, sf)))
 
 
-@register("year_distribution", f"SELECT year, count(*) AS count FROM ({KEPT_SQL}) k GROUP BY year")
+@register("year_distribution", f"SELECT year, count(*) AS count FROM ({ALL_SQL}) k GROUP BY year")
 def q_year_distribution(spark, sf):
-    return C.year_distribution(kept_articles(spark, sf))
+    return C.year_distribution(all_articles(spark, sf))
 
 
 @register("category_by_year", f"SELECT CAST(year(date) AS INTEGER) AS year, category, count(*) AS count "
@@ -248,9 +254,9 @@ def q_top_categories(spark, sf):
     return C.top_categories(scan_articles(spark, sf), 10)
 
 
-@register("preview_rows", f"SELECT article_id, category, date FROM ({KEPT_SQL}) k ORDER BY article_id LIMIT 5")
+@register("preview_rows", f"SELECT article_id, category, date FROM ({ALL_SQL}) k ORDER BY article_id LIMIT 5")
 def q_preview_rows(spark, sf):
-    return C.preview_rows(kept_articles(spark, sf).select("article_id", "category", "date"), 5, "article_id")
+    return C.preview_rows(all_articles(spark, sf).select("article_id", "category", "date"), 5, "article_id")
 
 
 @register("distinct_labels", "SELECT DISTINCT lang AS label FROM documents WHERE lang IS NOT NULL")
@@ -266,19 +272,17 @@ def q_missing_categories(spark, sf):
 
 
 @register("tag_ref_current", "SELECT doc_id, CASE WHEN lang = 'en' THEN 'ref' ELSE 'cur' END AS side, text "
-          "FROM documents WHERE lang IN ('en', 'fr')")
+          "FROM documents")
 def q_tag_ref_current(spark, sf):
-    from ..operators.drift_text import tag_sides
+    from ..operators.drift_text import with_side
     d = read_table(spark, sf, "documents").select("doc_id", "lang", "text")
-    return tag_sides(d.filter(F.col("lang") == "en"), d.filter(F.col("lang") == "fr")) \
-        .select("doc_id", "side", "text")
+    return with_side(d, F.col("lang") == "en").select("doc_id", "side", "text")
 
 
 @register("corpus_union", "SELECT side, count(*) AS docs, sum(length(text)) AS chars FROM ("
-          "SELECT CASE WHEN lang = 'en' THEN 'ref' ELSE 'cur' END AS side, text FROM documents "
-          "WHERE lang IN ('en', 'fr')) u GROUP BY side")
+          "SELECT CASE WHEN lang = 'en' THEN 'ref' ELSE 'cur' END AS side, text FROM documents) u GROUP BY side")
 def q_corpus_union(spark, sf):
     from ..operators.drift_text import tag_sides
     d = read_table(spark, sf, "documents").select("doc_id", "lang", "text")
-    u = tag_sides(d.filter(F.col("lang") == "en"), d.filter(F.col("lang") == "fr"))
+    u = tag_sides(d.filter(F.col("lang") == "en"), d.filter(F.coalesce(F.col("lang") != "en", F.lit(True))))
     return u.groupBy("side").agg(F.count(F.lit(1)).alias("docs"), F.sum(F.length("text")).alias("chars"))

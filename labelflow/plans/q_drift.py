@@ -1,7 +1,7 @@
 """Registered drift queries.
 
-Bindings: text corpora are ``documents`` with reference = English, current = French (drift
-intended) or a hash half of the English documents (no drift intended); vectors are
+Bindings: text corpora are ``documents`` with reference = English, current = every other language
+(drift intended) or the two hash halves of all documents (no drift intended); vectors are
 ``embeddings`` split in hash halves (no drift) or with a constant shift on the current half.
 """
 
@@ -23,16 +23,14 @@ STOP_SQL = "(" + ", ".join(f"'{w}'" for w in STOP_WORDS) + ")"
 WORD_RE = "[\\pL\\pN_]{2,}"
 
 
-def text_corpus(spark, sf, cur_lang="fr"):
+def text_corpus(spark, sf):
     d = read_table(spark, sf, "documents").select("doc_id", "lang", "text")
-    return DT.tag_sides(d.filter(F.col("lang") == "en").drop("lang"),
-                        d.filter(F.col("lang") == cur_lang).drop("lang"))
+    return DT.with_side(d, F.col("lang") == "en").drop("lang")
 
 
 def text_corpus_nodrift(spark, sf):
-    d = read_table(spark, sf, "documents").filter(F.col("lang") == "en").select("doc_id", "text")
-    h = hash_half(SEED, "side", "doc_id")
-    return DT.tag_sides(d.filter(h), d.filter(~h))
+    d = read_table(spark, sf, "documents").select("doc_id", "text")
+    return DT.with_side(d, hash_half(SEED, "side", "doc_id"))
 
 
 def vector_corpus(spark, sf, shift: float = 0.0):
@@ -46,7 +44,7 @@ def vector_corpus(spark, sf, shift: float = 0.0):
 
 
 CORPUS_SQL = ("corpus AS (SELECT doc_id, CASE WHEN lang = 'en' THEN 'ref' ELSE 'cur' END AS side, text "
-              "FROM documents WHERE lang IN ('en', 'fr'))")
+              "FROM documents)")
 TFIDF_SQL = f"""{CORPUS_SQL},
 toks AS (SELECT doc_id, side, unnest(regexp_extract_all(lower(coalesce(text, 'None')), '{WORD_RE}')) AS term FROM corpus),
 tf AS (SELECT doc_id, side, term, count(*) AS tf FROM toks WHERE term NOT IN {STOP_SQL} GROUP BY ALL),
@@ -99,14 +97,14 @@ def q_random_auc_threshold(spark, sf):
 
 
 NODRIFT_CORPUS_SQL = ("corpus AS (SELECT doc_id, CASE WHEN substr(md5('" + str(SEED) + ":side:' || doc_id), 1, 1) < '8' "
-                      "THEN 'ref' ELSE 'cur' END AS side, text FROM documents WHERE lang = 'en')")
+                      "THEN 'ref' ELSE 'cur' END AS side, text FROM documents)")
 
 
 @register("domain_classifier_no_drift", DOMAIN_SQL.replace(CORPUS_SQL, NODRIFT_CORPUS_SQL)
           + "SELECT round(auc, 6) AS roc_auc, round(threshold, 6) AS threshold, "
           "coalesce(auc > threshold, false) AS drift_detected, n_ref_test, n_cur_test FROM dc")
 def q_domain_classifier_no_drift(spark, sf):
-    """Directional check: two hash halves of the English documents (rows-only)."""
+    """Directional check: two hash halves of the documents."""
     return rounded(DT.domain_classifier(text_corpus_nodrift(spark, sf), seed=SEED))
 
 

@@ -1,7 +1,7 @@
 """Registered scoring, evaluation and OOD queries.
 
 Binding: the true label is ``documents.lang``. The letter model is trained on the documents
-whose hash half is 'train' and scores the other half (every document is used once). The
+whose hash half is 'train'; scoring queries score every document, evaluation queries use the other half. The
 DuckDB twin below re-derives the same model and scores in SQL.
 """
 
@@ -43,17 +43,22 @@ def letter_model(spark, sf):
     return _MODELS[k]
 
 
-def scored_docs(spark, sf, keep_text=False):
-    """Scored half: doc_id, lang, [text], predicted_label_id, predicted_label, confidence,
-    probs, prob_labels. Scored once and written to the shared folder: every metric branch
-    reads that table instead of re-running the model."""
+def scored_all(spark, sf, keep_text=False):
+    """Every document: doc_id, lang, [text], predicted_label_id, predicted_label, confidence,
+    probs, prob_labels. Scored once and written to the shared folder: every branch reads that
+    table instead of re-running the model."""
     def build():
-        _, test = split_docs(spark, sf)
-        return S.predict(test, letter_model(spark, sf), "text")
+        d = read_table(spark, sf, "documents").select("doc_id", "lang", "text")
+        return S.LetterScorer(letter_model(spark, sf)).transform(d)
     out = materialise(spark, f"scored_docs_{abs(hash(sf))}", build)
     return out if keep_text else out.drop("text")
 
 
+def scored_docs(spark, sf, keep_text=False):
+    """The held-out half of ``scored_all``, on which the model is evaluated."""
+    return scored_all(spark, sf, keep_text).filter(~hash_half(SEED, "train", "doc_id"))
+
+
 def scored_long(spark, sf):
     """(id, true_label, label, prob) with the probability rounded to 12 places so that the
     two engines order tied scores identically."""
@@ -181,6 +186,10 @@ def with_scorer(body: str) -> str:
     return "WITH " + SCORER_CTE.strip() + "\n" + body
 
 
+def with_scorer_all(body: str) -> str:
+    return "WITH " + scorer_cte(True).strip() + "\n" + body
+
+
 def _r(expr: str, name: str) -> str:
     return f"round(CAST({expr} AS DOUBLE), 6) AS {name}"
 
@@ -218,59 +227,57 @@ def _ood_sets(spark, sf):
 
 # ---------------------------------------------------------------- scoring queries
 
-@register("predict", with_scorer("SELECT doc_id, lang, predicted_label_id, predicted_label, "
+@register("predict", with_scorer_all("SELECT doc_id, lang, predicted_label_id, predicted_label, "
                                  + _r("confidence", "confidence") + " FROM scored"), bench=True)
 def q_predict(spark, sf):
-    return rounded(scored_docs(spark, sf).drop("probs", "prob_labels"))
+    return rounded(scored_all(spark, sf).drop("probs", "prob_labels"))
 
 
-@register("softmax_confidence", with_scorer("SELECT doc_id, " + _r("max(prob)", "confidence") + ", "
+@register("softmax_confidence", with_scorer_all("SELECT doc_id, " + _r("max(prob)", "confidence") + ", "
                                             + _r("sum(prob)", "prob_sum") + " FROM p GROUP BY doc_id"))
 def q_softmax_confidence(spark, sf):
-    s = scored_docs(spark, sf)
+    s = scored_all(spark, sf)
     return rounded(s.select("doc_id", "confidence",
                             F.aggregate("probs", F.lit(0.0), lambda a, b: a + b).alias("prob_sum")))
 
 
-@register("predict_probabilities_wide", with_scorer(
+@register("predict_probabilities_wide", with_scorer_all(
     "SELECT doc_id, " + ", ".join(
         _r(f"max(prob) FILTER (WHERE label = '{lab}')", prob_column_name(lab)) for lab in ("de", "en", "es", "fr"))
     + " FROM p GROUP BY doc_id"))
 def q_predict_probabilities_wide(spark, sf):
     labels = S.model_labels(letter_model(spark, sf))
-    w = S.probabilities_wide(scored_docs(spark, sf), labels)
+    w = S.probabilities_wide(scored_all(spark, sf), labels)
     return rounded(w.select("doc_id", *[prob_column_name(x) for x in labels]))
 
 
-@register("predict_probability_map", with_scorer(
+@register("predict_probability_map", with_scorer_all(
     "SELECT doc_id, predicted_label, map_from_entries(list(struct_pack(k := label, v := round(prob, 6)) "
     "ORDER BY label)) AS probabilities FROM p JOIN best USING (doc_id) GROUP BY doc_id, predicted_label"))
 def q_predict_probability_map(spark, sf):
-    s = scored_docs(spark, sf)
+    s = scored_all(spark, sf)
     s = s.withColumn("probs", F.transform("probs", lambda x: F.round(x, 6)))
     return S.probability_map(s).select("doc_id", "predicted_label", "probabilities")
 
 
-@register("argmax_label", with_scorer(
+@register("argmax_label", with_scorer_all(
     "SELECT doc_id, label FROM (SELECT doc_id, label, row_number() OVER (PARTITION BY doc_id "
     "ORDER BY prob DESC, label) AS rk FROM p) r WHERE rk = 1"))
 def q_argmax_label(spark, sf):
-    from pyspark.sql import Window
-    lp = S.probabilities_long(scored_docs(spark, sf), "doc_id")
-    w = Window.partitionBy("doc_id").orderBy(F.desc("prob"), F.asc("label"))
-    return lp.withColumn("_rk", F.row_number().over(w)).filter("_rk = 1").select("doc_id", "label")
+    """E6 inside the row: no explode, no shuffle."""
+    return scored_all(spark, sf).select("doc_id", F.element_at("prob_labels", S.argmax_index(F.col("probs")) + 1).alias("label"))
 
 
-@register("mark_correct", with_scorer("SELECT doc_id, coalesce(lang = predicted_label, false) AS correct FROM scored"))
+@register("mark_correct", with_scorer_all("SELECT doc_id, coalesce(lang = predicted_label, false) AS correct FROM scored"))
 def q_mark_correct(spark, sf):
     from ..operators.curate import mark_correct
-    return mark_correct(scored_docs(spark, sf), "lang", "predicted_label").select("doc_id", "correct")
+    return mark_correct(scored_all(spark, sf), "lang", "predicted_label").select("doc_id", "correct")
 
 
-@register("attach_predictions", with_scorer(
+@register("attach_predictions", with_scorer_all(
     "SELECT d.doc_id, d.source, d.n_chars, b.predicted_label FROM documents d JOIN best b USING (doc_id)"))
 def q_attach_predictions(spark, sf):
-    preds = scored_docs(spark, sf).select("doc_id", "predicted_label")
+    preds = scored_all(spark, sf).select("doc_id", "predicted_label")
     docs = read_table(spark, sf, "documents").select("doc_id", "source", "n_chars")
     return docs.join(preds, "doc_id")
 
@@ -280,12 +287,12 @@ def q_label_union(spark, sf):
     return M.label_set(confusion(spark, sf))
 
 
-@register("batched_scoring", with_scorer("SELECT doc_id, lang, predicted_label_id, predicted_label, "
+@register("batched_scoring", with_scorer_all("SELECT doc_id, lang, predicted_label_id, predicted_label, "
                                          + _r("confidence", "confidence") + " FROM scored"))
 def q_batched_scoring(spark, sf):
     """The same model applied per Arrow batch of 16 rows (rows-only check)."""
     model = letter_model(spark, sf).first().asDict()
-    _, test = split_docs(spark, sf)
+    test = read_table(spark, sf, "documents").select("doc_id", "lang", "text")
     return rounded(S.score_in_batches(test, model, "text", 16).drop("text"))
 
 
@@ -542,12 +549,12 @@ def q_ood_empty_result(spark, sf):
     return flagged.drop("timestamp")
 
 
-@register("align_probabilities", with_scorer(
+@register("align_probabilities", with_scorer_all(
     "SELECT doc_id AS id, s.lang AS true_label, p.label, round(p.prob, 6) AS prob FROM p JOIN scored s USING (doc_id)"))
 def q_align_probabilities(spark, sf):
     """``prob_<label>`` columns matched to the sorted true labels and unpivoted to long
     form (None when a label has no column: the AUC is then skipped)."""
-    labels = sorted(r["label"] for r in true_labels(spark, sf).collect())
-    wide = S.probabilities_wide(scored_docs(spark, sf), S.model_labels(letter_model(spark, sf)))
+    labels = sorted(S.model_labels(letter_model(spark, sf)))
+    wide = S.probabilities_wide(scored_all(spark, sf), S.model_labels(letter_model(spark, sf)))
     lng = S.probabilities_from_wide(wide, "doc_id", labels, "lang")
     return rounded(lng.select(F.col("doc_id").alias("id"), F.col("lang").alias("true_label"), "label", "prob"))

@@ -13,7 +13,7 @@ from ..session import ensure_checkpoint_dir, shared_path
 from ..sources import files as FS
 from ..sources.tables import read_table
 from ..streaming import monitors as MO
-from .q_model import with_scorer
+from .q_model import with_scorer_all
 from .registry import register, rounded
 
 ALPHA = 0.05
@@ -118,14 +118,14 @@ def q_write_pool_csv(spark, sf):
     return spark.read.option("header", True).csv(path)
 
 
-@register("write_predictions_csv", with_scorer(
+@register("write_predictions_csv", with_scorer_all(
     "SELECT CAST(doc_id AS VARCHAR) AS doc_id, lang, CAST(predicted_label_id AS VARCHAR) AS predicted_label_id, "
     "predicted_label AS predicted_category, CASE WHEN coalesce(lang = predicted_label, false) THEN 'true' ELSE 'false' END "
     "AS correct FROM scored"))
 def q_write_predictions_csv(spark, sf):
     """A5: test rows + predicted id / category + correct."""
-    from .q_model import scored_docs
-    s = scored_docs(spark, sf).select("doc_id", "lang", "predicted_label_id",
+    from .q_model import scored_all
+    s = scored_all(spark, sf).select("doc_id", "lang", "predicted_label_id",
                                       F.col("predicted_label").alias("predicted_category"),
                                       F.coalesce(F.col("lang") == F.col("predicted_label"), F.lit(False)).alias("correct"))
     path = FS.write_csv(s, shared_path(spark, "test_predictions"))
@@ -147,7 +147,7 @@ def q_train_text_classifier(spark, sf):
     score the other half; returns the predictions of the re-loaded model."""
     from .q_model import split_docs
     train, test = split_docs(spark, sf)
-    model = S.fit_mllib_text_classifier(train, "text", "lang", num_features=1 << 12, max_iter=20)
+    model = S.fit_mllib_text_classifier(train, "text", "lang")
     path = S.save_model(model, shared_path(spark, "text_model"))
     back = S.load_model(path)
     return rounded(S.mllib_predict(back, test, "text").drop("text"))
@@ -161,6 +161,5 @@ def q_train_weighted(spark, sf):
     train, test = split_docs(spark, sf)
     w = class_weights(train.select(F.col("lang").alias("label")), "label").select(
         F.col("label").alias("lang"), F.col("weight").alias("w"))
-    model = S.fit_mllib_text_classifier(train.join(w, "lang"), "text", "lang", weight_col="w",
-                                        num_features=1 << 12, max_iter=20)
+    model = S.fit_mllib_text_classifier(train.join(w, "lang"), "text", "lang", weight_col="w")
     return rounded(S.mllib_predict(model, test, "text").drop("text"))

@@ -48,7 +48,9 @@ def ensure_checkpoint_dir(spark: SparkSession) -> str:
     sc = spark.sparkContext
     current = sc.getCheckpointDir() or spark.conf.get("spark.checkpoint.dir", None)
     if not current:
-        # only when nothing is configured (local tests / benches): a fresh local folder
+        if not sc.master.startswith("local[") and sc.master != "local":
+            raise ValueError("spark.checkpoint.dir must name a folder that all executors share")
+        # one machine and nothing configured (local tests / benches): a fresh local folder
         current = tempfile.mkdtemp(prefix="labelflow-ckpt-")
         try:
             spark.conf.set("spark.checkpoint.dir", current)

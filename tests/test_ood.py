@@ -68,6 +68,6 @@ def test_exact_percentile_bracket_path(spark):
     rng = np.random.default_rng(1)
     vals = rng.normal(size=5000)
     df = spark.createDataFrame([(int(i % 2), float(v)) for i, v in enumerate(vals)], "g int, v double")
-    got = {r["g"]: r["percentile"] for r in exact_percentile(df, "v", 0.05, ["g"], accuracy=500).collect()}
+    got = {r["g"]: r["percentile"] for r in exact_percentile(df, "v", 0.05, ["g"]).collect()}
     for g in (0, 1):
         assert got[g] == pytest.approx(np.percentile(vals[g::2], 5), rel=1e-12)
