@@ -32,12 +32,13 @@ def main() -> None:
     spark = build_session(f"local[{cpus}]", shuffle_partitions=max(8, cpus))
 
     from labelflow import session as sess
-    from labelflow.plans import q_model
+    from labelflow.plans import q_active, q_model
 
     def once(name: str) -> float:
         # forget fitted models / written score tables: every timed run does the full work
         sess._MATERIALISED.clear()
         q_model._MODELS.clear()
+        q_active._LOGS.clear()
         t0 = time.perf_counter()
         REGISTRY[name].build(spark, sf_dir).write.format("noop").mode("overwrite").save()
         return time.perf_counter() - t0

@@ -17,6 +17,7 @@ External selections arrive as response texts and go through ``parse_selection_re
 from __future__ import annotations
 
 from dataclasses import dataclass, field
+from typing import Protocol
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
@@ -25,17 +26,18 @@ from pyspark.sql import types as T
 from ..functions.columns import hash_key
 from .sampling import initial_stratified_sample, random_candidates
 
-# The answer fence, the default reasoning text of a parsed answer without one, and
-# the strategy label written to the run summary (these must equal the reference's outputs).
+# The answer fence, the default reasoning text of a parsed answer without one, the
+# reasoning text of the random fallback, and the strategy label written to the run summary (these
+# must equal the reference's outputs).
 FENCE = "```"
 NO_REASON = "No reasoning provided"
 SUMMARY_STRATEGY = "llm_based"
 RESPONSE_SCHEMA = T.StructType([
     T.StructField("selected_indices", T.ArrayType(T.IntegerType())),
     T.StructField("reasoning", T.StringType()),
-    T.StructField("category_breakdown", T.MapType(T.StringType(), T.IntegerType()))])
-FALLBACK_REASON = "Random selection (selection failed)"
-LOG_SCHEMA = "iteration int, pick_pos int, row_id long"
+    T.StructField("category_breakdown", T.MapType(T.StringType(), T.StringType()))])
+FALLBACK_REASON = "Random selection (LLM query failed)"
+LOG_SCHEMA = "iteration int, pick_pos int, row_id long, reasoning string, breakdown map<string,string>"
 
 
 @dataclass
@@ -116,23 +118,29 @@ def _title(name: str) -> str:
 
 
 def selection_prompts(samples: DataFrame, current_dist: DataFrame, pool_dist: DataFrame,
-                      num_to_select: int, text_fields: list[str], categories: Column | None = None) -> DataFrame:
+                      num_to_select: int, text_fields: list[str] | None = None, categories: Column | None = None) -> DataFrame:
     """K4: one instruction document per candidate batch.
 
     Lists the categories (default: those of the current training set), the current and pool
     distributions as JSON, every sample numbered with its non-empty fields (title-cased names)
-    and category, and the required JSON answer shape."""
+    and category (if the samples have one), and the required JSON answer shape. Without
+    ``text_fields`` all fields of the samples are shown."""
     dist = current_dist.select(F.col("distribution").alias("_cur")).crossJoin(
         pool_dist.select(F.col("distribution").alias("_pool")))
     j = samples.crossJoin(F.broadcast(dist))
     cats = categories if categories is not None else F.array_sort(F.map_keys("_cur"))
 
+    has_category = "category" in samples.schema["samples"].dataType.elementType.names
+    text_fields = text_fields or [f for f in samples.schema["samples"].dataType.elementType.names
+                                  if f not in ("local_idx", "index", "category")]
+
     def render(s):
         parts = [F.concat(F.lit("[Sample "), s["local_idx"].cast("string"), F.lit("]"))]
         for f in text_fields:
             parts.append(F.when(F.coalesce(s[f], F.lit("")) != "",
                                 F.concat(F.lit(_title(f) + ": "), s[f])))
-        parts.append(F.concat(F.lit("Category: "), s["category"]))
+        if has_category:
+            parts.append(F.concat(F.lit("Category: "), s["category"]))
         return F.concat_ws("\n", *parts, F.lit("---"))
 
     n_samples = F.size("samples")
@@ -160,46 +168,81 @@ def extract_json_text(response: Column) -> Column:
     plain = F.split_part(response, F.lit(FENCE), F.lit(2))
     body = F.when(F.contains(response, F.lit(FENCE + "json")), tagged) \
             .when(F.contains(response, F.lit(FENCE)), plain).otherwise(response)
-    return F.trim(body)
+    return F.regexp_replace(body, r"^\s+|\s+$", "")
+
+
+STRICT_JSON = {"allowSingleQuotes": "false", "allowUnquotedFieldNames": "false", "allowComments": "false",
+               "allowNonNumericNumbers": "true", "mode": "PERMISSIVE"}
 
 
 def parse_selection_response(df: DataFrame, response_col: str = "response") -> DataFrame:
-    """K5: ``parsed`` (null when the text is not JSON), plus defaulted fields."""
+    """K5: the answer as strict JSON. ``is_json``: the whole text is one JSON object (single quotes,
+    unquoted names or anything behind the object make it junk). ``list_ok``: the indices are a list
+    of integers. Missing keys get defaults; a ``reasoning`` that is present and null stays null;
+    breakdown counts are kept as written (text)."""
     body = extract_json_text(F.col(response_col))
-    # from_json turns junk into a struct of nulls: test that the text is a JSON object
-    return df.withColumn("_b", body).withColumn("_p", F.from_json("_b", RESPONSE_SCHEMA)).select(
-        *df.columns,
-        F.json_object_keys("_b").isNotNull().alias("is_json"),
-        F.coalesce(F.col("_p.selected_indices"), F.array().cast("array<int>")).alias("selected_indices"),
-        F.coalesce(F.col("_p.reasoning"), F.lit(NO_REASON)).alias("reasoning"),
-        F.coalesce(F.col("_p.category_breakdown"), F.create_map().cast("map<string,int>")).alias("category_breakdown"),
-    )
+    one = T.ArrayType(T.MapType(T.StringType(), T.StringType()))
+    # the text between brackets is an array of one object only if nothing stands around the object
+    d = df.withColumn("_b", body).withColumn("_w", F.concat(F.lit("["), F.col("_b"), F.lit("]")))
+    d = d.withColumn("_m", F.from_json("_w", one, STRICT_JSON))
+    is_json = F.coalesce((F.size("_m") == 1) & F.element_at("_m", 1).isNotNull() & F.col("_b").startswith("{"), F.lit(False))
+    keys = F.when(is_json, F.map_keys(F.element_at("_m", 1)))
+    raw = F.element_at(F.element_at("_m", 1), F.lit("selected_indices"))
+    listed = F.from_json(raw, T.ArrayType(T.StringType()), STRICT_JSON)
+    whole = F.forall(listed, lambda x: F.coalesce(x.rlike(r"^-?\d{1,9}$"), F.lit(False)))
+    has = F.array_contains(keys, "selected_indices")
+    brk = F.from_json(F.element_at(F.element_at("_m", 1), F.lit("category_breakdown")), T.MapType(T.StringType(), T.StringType()), STRICT_JSON)
+    return d.select(
+        *df.columns, is_json.alias("is_json"),
+        F.coalesce(is_json & (~has | (listed.isNotNull() & whole)), F.lit(False)).alias("list_ok"),
+        F.when(F.coalesce(is_json & has & whole, F.lit(False)), F.transform(listed, lambda x: x.cast("int")))
+        .otherwise(F.array().cast("array<int>")).alias("selected_indices"),
+        F.when(F.coalesce(F.array_contains(keys, "reasoning"), F.lit(False)), F.element_at(F.element_at("_m", 1), F.lit("reasoning")))
+        .otherwise(F.lit(NO_REASON)).alias("reasoning"),
+        F.coalesce(F.when(is_json, brk), F.create_map().cast("map<string,string>")).alias("category_breakdown"))
 
 
 def validate_selection(parsed: DataFrame, num_candidates: Column) -> Column:
-    """K6: a usable answer is JSON with a non-empty list whose indices lie in [0, m).
-    A wrong length only warns (kept); duplicates are allowed."""
+    """K6: a usable answer is JSON with a non-empty list of integers, all in [0, m). A null or
+    non-integer index makes it unusable; a wrong length only warns (kept); duplicates are allowed."""
     idx = F.col("selected_indices")
-    return F.col("is_json") & (F.size(idx) > 0) & (F.array_min(idx) >= 0) & (F.array_max(idx) < num_candidates)
+    return F.coalesce(F.col("is_json") & F.col("list_ok") & (F.size(idx) > 0) & (F.array_min(idx) >= 0)
+                      & (F.array_max(idx) < num_candidates), F.lit(False))
 
 
-def resolve_selection(parsed: DataFrame, num_candidates: int, num_to_select: int, seed: int = 42,
-                      iteration: int = 0, key_col: str = "batch") -> DataFrame:
+def _as_column(value) -> Column:
+    return value if isinstance(value, Column) else F.lit(value)
+
+
+def resolve_selection(parsed: DataFrame, num_candidates: int | Column, num_to_select: int, seed: int = 42,
+                      iteration: int | Column = 0, key_col: str = "batch") -> DataFrame:
     """K6 + E3: keep a valid answer; otherwise ``min(n, m)`` random candidate positions (hash
     order of ``seed:fallback:iteration:key:position``), the fixed fallback reason and an empty
-    breakdown. Array functions over the m positions of each answer row; no shuffle."""
-    valid = validate_selection(parsed, F.lit(num_candidates))
-    n = min(num_to_select, num_candidates)
-    keyed = F.transform(F.sequence(F.lit(0), F.lit(num_candidates - 1)), lambda i: F.struct(
-        F.md5(F.concat_ws(":", F.lit(str(seed)), F.lit(f"fallback:{iteration}"), F.col(key_col).cast("string"),
+    breakdown. ``num_candidates`` is each batch's own count (a column or one number). Array
+    functions over the m positions of each answer row; no shuffle."""
+    m, it = _as_column(num_candidates).cast("int"), _as_column(iteration).cast("string")
+    valid = validate_selection(parsed, m)
+    keyed = F.transform(F.sequence(F.lit(0), m - 1), lambda i: F.struct(
+        F.md5(F.concat_ws(":", F.lit(str(seed)), F.concat(F.lit("fallback:"), it), F.col(key_col).cast("string"),
                           i.cast("string"))).alias("h"), i.alias("i")))
-    fallback = F.transform(F.slice(F.array_sort(keyed), 1, n), lambda s: s["i"])
+    fallback = F.when(m > 0, F.transform(F.slice(F.array_sort(keyed), 1, num_to_select), lambda s: s["i"])) \
+        .otherwise(F.array().cast("array<int>"))
     return parsed.select(
         "*", valid.alias("valid"),
         F.when(valid, F.col("selected_indices")).otherwise(fallback).alias("final_indices"),
         F.when(valid, F.col("reasoning")).otherwise(F.lit(FALLBACK_REASON)).alias("final_reasoning"),
         F.when(valid, F.col("category_breakdown")).otherwise(
-            F.create_map().cast("map<string,int>")).alias("final_breakdown"))
+            F.create_map().cast("map<string,string>")).alias("final_breakdown"))
+
+
+def resolve_attempts(parsed: DataFrame, num_candidates: int | Column, num_to_select: int, seed: int = 42,
+                     iteration: int | Column = 0, batch_col: str = "batch", attempt_col: str = "attempt") -> DataFrame:
+    """K6 with several attempts per batch: the first valid attempt counts; if none is valid, the
+    fallback. One row per batch. Attempts per batch are few (the caller's retry limit)."""
+    tried = parsed.withColumn("_ok", validate_selection(parsed, _as_column(num_candidates).cast("int")))
+    best = Window.partitionBy(batch_col).orderBy(F.desc("_ok"), F.asc(attempt_col))
+    first = tried.withColumn("_r", F.row_number().over(best)).filter("_r = 1").drop("_r", "_ok")
+    return resolve_selection(first, num_candidates, num_to_select, seed, iteration, batch_col)
 
 
 # ------------------------------------------------------------------ selector (K7)
@@ -246,19 +289,59 @@ def render_response(picks: DataFrame, category_col: str = "category", group_cols
 
 # ------------------------------------------------------------------ one round and the loop (K1, K2)
 
+class Selector(Protocol):
+    """M3: picks from one round's candidates. Returns (pick_pos, row id, reasoning, breakdown)."""
+
+    def select(self, candidates: DataFrame, current: DataFrame, iteration: int, n: int) -> DataFrame: ...
+
+
+@dataclass
+class InformativenessSelector:
+    """The computed selector (K7)."""
+    category_col: str = "category"
+    text_col: str = "text"
+    id_col: str = "row_id"
+    reasoning: str = "highest informativeness score"
+
+    def select(self, candidates: DataFrame, current: DataFrame, iteration: int, n: int) -> DataFrame:
+        picks = rank_informative(candidates, n, current, self.category_col, self.text_col)
+        return picks.select(F.col("pick_pos").cast("int"), F.col(self.id_col).cast("long").alias("row_id"),
+                            F.lit(self.reasoning).alias("reasoning"), F.lit(None).cast("map<string,string>").alias("breakdown"))
+
+
+@dataclass
+class AnswerSelector:
+    """Answers of an outside selector as a table ``(iteration, attempt, response)``: parsed, validated
+    against the round's own candidates, the first valid attempt counts, else the random fallback
+    (also for a round without any answer)."""
+    answers: DataFrame
+    id_col: str = "row_id"
+    seed: int = 42
+
+    def select(self, candidates: DataFrame, current: DataFrame, iteration: int, n: int) -> DataFrame:
+        own = self.answers.filter(F.col("iteration") == iteration).select("attempt", "response")
+        nothing = candidates.sparkSession.range(1).select(F.lit(1 << 30).alias("attempt"), F.lit("").alias("response"))
+        m = candidates.agg(F.count(F.lit(1)).cast("int").alias("m"))  # one row
+        parsed = parse_selection_response(own.unionByName(nothing), "response").crossJoin(F.broadcast(m)).withColumn("batch", F.lit(iteration))
+        done = resolve_attempts(parsed, F.col("m"), n, self.seed, iteration)
+        at = done.select(F.posexplode("final_indices").alias("pick_pos", "local_idx"), F.col("final_reasoning").alias("reasoning"),
+                         F.col("final_breakdown").alias("breakdown"))
+        return at.join(candidates.select("local_idx", F.col(self.id_col).cast("long").alias("row_id")), "local_idx") \
+            .select("pick_pos", "row_id", "reasoning", "breakdown")
+
+
 def active_learning_iteration(pool: DataFrame, log: DataFrame, iteration: int, samples_per_iteration: int = 20,
                               batch_size: int = 100, seed: int = 42, category_col: str = "category",
-                              text_col: str = "text", id_col: str = "row_id") -> DataFrame | None:
-    """K2: D5 -> E2 -> K7 -> D3; returns this round's log rows (None when nothing remains)."""
+                              text_col: str = "text", id_col: str = "row_id", selector: Selector | None = None) -> DataFrame | None:
+    """K2: D5 -> E2 -> selector -> D3; returns this round's log rows (None when nothing remains)."""
     remaining = remaining_pool(pool, log, id_col)
     cands = random_candidates(remaining, batch_size, id_col, seed, iteration)
     if cands.isEmpty():
         return None
     train = training_rows(pool, log, id_col)
-    picks = rank_informative(cands, samples_per_iteration, distribution_map(train, category_col),
-                             category_col, text_col)
-    return picks.select(F.lit(iteration).cast("int").alias("iteration"), F.col("pick_pos").cast("int"),
-                        F.col(id_col).cast("long").alias("row_id"))
+    selector = selector or InformativenessSelector(category_col, text_col, id_col)
+    picks = selector.select(cands, distribution_map(train, category_col), iteration, samples_per_iteration)
+    return picks.select(F.lit(iteration).cast("int").alias("iteration"), "pick_pos", "row_id", "reasoning", "breakdown")
 
 
 def _cut_lineage(df: DataFrame) -> DataFrame:
@@ -271,36 +354,44 @@ def _cut_lineage(df: DataFrame) -> DataFrame:
 def active_learning_run(pool: DataFrame, initial_samples_per_class: int = 10, samples_per_iteration: int = 20,
                         num_iterations: int = 10, batch_size: int = 100, seed: int = 42,
                         category_col: str = "category", text_col: str = "text", id_col: str = "row_id",
-                        categories: list[str] | None = None) -> ActiveLearningResult:
-    """K1: initial stratified sample, then up to ``num_iterations`` rounds; stops when the pool
-    is empty. Pool rows need ``probs`` for the default selector."""
+                        categories: list[str] | None = None, selector: Selector | None = None) -> ActiveLearningResult:
+    """K1: initial stratified sample, then up to ``num_iterations`` rounds of the selector; stops when
+    the pool is empty. Pool rows need ``probs`` for the default selector."""
     init = initial_stratified_sample(pool, initial_samples_per_class, category_col, id_col, seed, categories)
     w = Window.partitionBy(category_col).orderBy(hash_key(seed, "initial", id_col), F.col(id_col))
     log = init.select(F.lit(0).alias("iteration"), (F.row_number().over(w) - 1).cast("int").alias("pick_pos"),
-                      F.col(id_col).cast("long").alias("row_id"))
+                      F.col(id_col).cast("long").alias("row_id"), F.lit(None).cast("string").alias("reasoning"),
+                      F.lit(None).cast("map<string,string>").alias("breakdown"))
     log = _cut_lineage(log)
     for it in range(1, num_iterations + 1):
         new = active_learning_iteration(pool, log, it, samples_per_iteration, batch_size, seed,
-                                        category_col, text_col, id_col)
+                                        category_col, text_col, id_col, selector)
         if new is None:
             break
         log = _cut_lineage(log.unionByName(new))
+    return result_of(pool, log, id_col, category_col)
+
+
+def result_of(pool: DataFrame, log: DataFrame, id_col: str = "row_id", category_col: str = "category") -> ActiveLearningResult:
+    """K9 from the pool and the selection log of a run."""
     state = apply_selection(pool, log, id_col)
     train = state.filter(F.col("selected"))
     return ActiveLearningResult(state, train, selection_history(pool, log, id_col, category_col),
                                 distribution_map(train, category_col), log)
 
 
-def selection_history(pool: DataFrame, log: DataFrame, id_col: str = "row_id", category_col: str = "category",
-                      reasoning: str = "highest informativeness score") -> DataFrame:
-    """K8: one record per iteration >= 1: iteration, selected_indices, reasoning,
-    selected_categories, category_breakdown."""
-    sc = selected_categories(pool, log.filter(F.col("iteration") >= 1), id_col, category_col)
+def selection_history(pool: DataFrame, log: DataFrame, id_col: str = "row_id", category_col: str = "category") -> DataFrame:
+    """K8: one record per iteration >= 1: iteration, selected_indices, reasoning (the selector's own),
+    selected_categories, category_breakdown (the selector's own, else counted)."""
+    own = log.filter(F.col("iteration") >= 1)
+    sc = selected_categories(pool, own, id_col, category_col)
+    said = own.groupBy("iteration").agg(F.max_by("reasoning", -F.col("pick_pos")).alias("reasoning"),
+                                        F.max_by("breakdown", -F.col("pick_pos")).alias("_said"))
     cats = F.col("selected_categories")
-    breakdown = F.map_from_entries(F.transform(F.array_sort(F.array_distinct(cats)), lambda c: F.struct(
-        c, F.size(F.filter(cats, lambda x: x == c)).cast("int"))))
-    return sc.select("iteration", "selected_indices", F.lit(reasoning).alias("reasoning"),
-                     "selected_categories", breakdown.alias("category_breakdown"))
+    counted = F.map_from_entries(F.transform(F.array_sort(F.array_distinct(cats)), lambda c: F.struct(
+        c, F.size(F.filter(cats, lambda x: x == c)).cast("string"))))
+    return sc.join(said, "iteration").select("iteration", "selected_indices", "reasoning",
+                                             "selected_categories", F.coalesce("_said", counted).alias("category_breakdown"))
 
 
 def selection_summary(training: DataFrame, history: DataFrame, category_col: str = "category",

@@ -215,7 +215,7 @@ def text_sentiment(corpus: DataFrame, lexicon: DataFrame, id_col: str = "doc_id"
 
 
 def lexicon_from_labels(docs: DataFrame, labels: DataFrame, label_col: str = "toxic",
-                        id_col: str = "doc_id", min_df: int = 2) -> DataFrame:
+                        id_col: str = "doc_id", min_df: int = 1) -> DataFrame:
     """A lexicon learned from labelled documents: per term, smoothed log-odds of appearing in
     label-0 vs label-1 documents (positive = associated with label 0)."""
     j = docs.join(labels.select(id_col, label_col), id_col)

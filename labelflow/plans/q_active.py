@@ -123,7 +123,7 @@ def al_round_one(spark, sf):
     log0 = init.select(F.lit(0).alias("iteration"), F.lit(0).alias("pick_pos"),
                        F.col("doc_id").cast("long").alias("row_id"))
     new = A.active_learning_iteration(pool, log0, 1, 20, 100, SEED, "category", "text", "doc_id")
-    return pool, log0, new
+    return pool, log0, new.select("iteration", "pick_pos", "row_id")
 
 
 AL_SQL = "WITH " + scorer_cte(True).strip() + f""",
@@ -283,7 +283,7 @@ EXTRACT_SQL = ("trim(CASE WHEN contains(response, '```json') THEN split_part(spl
 
 @register("parse_selection_response", f"""SELECT conv_id, turn, coalesce(json_type(j) = 'OBJECT', false) AS is_json,
 coalesce(CAST(json_extract(j, '$.selected_indices') AS INTEGER[]), []) AS selected_indices,
-coalesce(json_extract_string(j, '$.reasoning'), 'No reasoning provided') AS reasoning
+CASE WHEN json_exists(j, '$.reasoning') THEN json_extract_string(j, '$.reasoning') ELSE 'No reasoning provided' END AS reasoning
 FROM (SELECT conv_id, turn, TRY_CAST({EXTRACT_SQL} AS JSON) AS j FROM ({RESPONSES_SQL}) r) x""")
 def q_parse_selection_response(spark, sf):
     """K5 over real response-like texts (assistant turns of ``conversations``)."""
@@ -315,31 +315,118 @@ def q_selection_round_trip(spark, sf):
                     A.validate_selection(p, F.lit(100)).alias("valid"))
 
 
-def _run(spark, sf, iterations=3):
+ROUNDS = 10  # the run's default
+
+
+def _run_sql(rounds: int = ROUNDS) -> str:
+    """The whole run in SQL: one block per round (a round without candidates adds no rows)."""
+    out = AL_SQL[:AL_SQL.index("cands AS (")].rstrip() + """
+feat AS MATERIALIZED (SELECT doc_id, -sum(CASE WHEN prob > 0 THEN prob * ln(prob) ELSE 0 END) / ln(count(*)) AS unc,
+                max(prob) - (list(prob ORDER BY prob DESC))[2] AS margin FROM p GROUP BY doc_id),
+log0 AS MATERIALIZED (SELECT 0 AS iteration, row_number() OVER (PARTITION BY category ORDER BY md5('%(s)s:initial:' || doc_id), doc_id) - 1 AS pick_pos,
+         doc_id, category FROM pool WHERE doc_id IN (SELECT doc_id FROM init))""" % {"s": SEED}
+    for i in range(1, rounds + 1):
+        out += f""",
+c{i} AS MATERIALIZED (SELECT *, row_number() OVER (ORDER BY h, doc_id) - 1 AS local_idx FROM (
+  SELECT pool.*, md5('{SEED}:candidates:{i}:' || doc_id) AS h FROM pool WHERE doc_id NOT IN (SELECT doc_id FROM log{i - 1})
+  ORDER BY h, doc_id LIMIT 100) x),
+d{i} AS MATERIALIZED (SELECT category, count(*) AS n FROM log{i - 1} GROUP BY category),
+n{i} AS (SELECT c.doc_id, c.category, c.local_idx, round(0.4 * f.unc + 0.3 * (1 - f.margin)
+  + 0.2 * (1 - coalesce((SELECT n FROM d{i} WHERE d{i}.category = c.category) / (SELECT sum(n) FROM d{i}), 0.0))
+  + 0.1 * least(1.0, ln(1 + len(string_split_regex(trim(c.text), '\\s+'))) / ln(201.0)), 12) AS informativeness
+  FROM c{i} c JOIN feat f USING (doc_id)),
+log{i} AS MATERIALIZED (SELECT * FROM log{i - 1} UNION ALL SELECT {i}, pick_pos, doc_id, category FROM (
+  SELECT *, row_number() OVER (ORDER BY informativeness DESC, local_idx) - 1 AS pick_pos FROM n{i}) x WHERE pick_pos < 20)"""
+    return out + f""",
+log AS MATERIALIZED (SELECT * FROM log{rounds}),
+hist AS (SELECT CAST(iteration AS INTEGER) AS iteration, list(CAST(doc_id AS BIGINT) ORDER BY pick_pos) AS selected_indices,
+  'highest informativeness score' AS reasoning, list(category ORDER BY pick_pos) AS selected_categories FROM log
+  WHERE iteration >= 1 GROUP BY iteration),
+brk AS (SELECT iteration, map_from_entries(list(struct_pack(k := category, v := CAST(n AS VARCHAR)) ORDER BY category)) AS category_breakdown
+  FROM (SELECT iteration, category, count(*) AS n FROM log WHERE iteration >= 1 GROUP BY ALL) x GROUP BY iteration)
+"""
+
+
+RUN_SQL = _run_sql()
+_LOGS: dict = {}
+
+
+def _run(spark, sf, iterations=ROUNDS):
+    """The run's log is written once per application and table; every output derives from it."""
     pool = al_pool(spark, sf)
-    return A.active_learning_run(pool, 10, 20, iterations, 100, SEED, "category", "text", "doc_id")
+    key = (spark.sparkContext.applicationId, sf, iterations)
+    if key not in _LOGS:
+        _LOGS[key] = A.active_learning_run(pool, 10, 20, iterations, 100, SEED, "category", "text", "doc_id").log
+    return A.result_of(pool, _LOGS[key], "doc_id", "category")
 
 
-@register("active_learning_run")
+@register("active_learning_run", RUN_SQL + """SELECT pool.doc_id, pool.category, log.doc_id IS NOT NULL AS selected,
+CAST(coalesce(log.iteration, -1) AS INTEGER) AS iteration FROM pool LEFT JOIN log USING (doc_id)""")
 def q_active_learning_run(spark, sf):
-    """K1: three rounds over the whole document pool (rows-only; invariants are unit tested)."""
+    """K1: all ten rounds over the whole document pool."""
     res = _run(spark, sf)
     return res.pool_with_selections.select("doc_id", "category", "selected", "iteration")
 
 
-@register("selection_history")
+@register("selection_history", RUN_SQL + "SELECT hist.iteration, selected_indices, reasoning, selected_categories, category_breakdown "
+          "FROM hist JOIN brk USING (iteration)")
 def q_selection_history(spark, sf):
     """K8."""
     return _run(spark, sf).selection_history
 
 
-@register("selection_summary")
+SUMMARY_SQL = """SELECT (SELECT count(*) FROM log) AS total_training_samples,
+(SELECT map_from_entries(list(struct_pack(k := category, v := n) ORDER BY category)) FROM (
+   SELECT category, count(*) AS n FROM log GROUP BY category) d) AS final_distribution,
+(SELECT count(*) FROM hist) AS num_iterations, 'llm_based' AS strategy"""
+
+
+@register("selection_summary", RUN_SQL + SUMMARY_SQL)
 def q_selection_summary(spark, sf):
     """A7."""
     res = _run(spark, sf)
     return A.selection_summary(res.training_data, res.selection_history)
 
 
+ANSWER_BATCH_SQL = f"""nb AS (SELECT CAST(ceil(count(*) / 10.0) AS BIGINT) AS n FROM documents),
+b AS (SELECT CAST('0x' || substr(md5('{SEED}:answers:' || doc_id), 1, 8) AS BIGINT) % (SELECT n FROM nb) AS batch, count(*) AS m
+      FROM documents GROUP BY 1)"""
+KINDS = 8  # valid, junk, empty list, out of range, null index, text behind, retried, single quotes
+
+
+@register("selection_answers", f"""WITH {ANSWER_BATCH_SQL}, v AS (SELECT batch, CAST(m AS INTEGER) AS m, batch % {KINDS} IN (0, 6) AS valid FROM b)
+SELECT batch, m, valid, CASE WHEN valid THEN [m - 1, 0] ELSE list_transform(list_sort(list_transform(range(m),
+  lambda i: {{'h': md5('{SEED}:fallback:1:' || batch || ':' || i), 'i': i}}))[1:3], lambda s: CAST(s.i AS INTEGER)) END AS final_indices,
+CASE WHEN NOT valid THEN 'Random selection (LLM query failed)' WHEN batch % {KINDS} = 6 THEN 'No reasoning provided' END AS final_reasoning,
+CASE WHEN valid AND batch % {KINDS} = 0 THEN MAP {{'a': '2', 'b': 'x'}} ELSE MAP {{}} END AS final_breakdown FROM v""")
+def q_selection_answers(spark, sf):
+    """K5 + K6 + E3 over one answer (or two attempts) per candidate batch of the whole pool, each batch
+    with its own candidate count: valid, junk, empty, out of range, null index, text behind the
+    object, retried and single-quoted answers."""
+    from ..functions.columns import hash_key
+    d = read_table(spark, sf, "documents").select("doc_id")
+    n = max(1, -(-d.count() // 10))
+    key = hash_key(SEED, "answers", "doc_id")
+    b = d.withColumn("batch", F.pmod(F.conv(F.substring(key, 1, 8), 16, 10).cast("long"), F.lit(n))) \
+        .groupBy("batch").agg(F.count(F.lit(1)).cast("int").alias("m"))
+    kind = F.col("batch") % KINDS
+    last = (F.col("m") - 1).cast("string")
+    good = F.concat(F.lit('{"selected_indices": ['), last, F.lit(', 0]}'))
+    first = (F.when(kind == 0, F.concat(F.lit('Here:\n' + A.FENCE + 'json\n{"selected_indices": ['), last,
+                                        F.lit(', 0], "reasoning": null, "category_breakdown": {"a": 2, "b": "x"}}\n' + A.FENCE)))
+             .when(kind == 1, F.lit("I would pick the longest ones."))
+             .when(kind == 2, F.lit('{"selected_indices": [], "reasoning": "none"}'))
+             .when(kind == 3, F.concat(F.lit('{"selected_indices": [0, '), F.col("m").cast("string"), F.lit("]}")))
+             .when(kind == 4, F.lit('{"selected_indices": [0, null]}'))
+             .when(kind == 5, F.concat(good, F.lit(" as asked")))
+             .when(kind == 6, F.lit("not ready"))
+             .otherwise(F.lit("{'selected_indices': [0]}")))
+    tries = b.withColumn("tries", F.when(kind == 6, F.array(first, good)).otherwise(F.array(first)))
+    rows = tries.select("batch", "m", F.posexplode("tries").alias("attempt", "response"))
+    out = A.resolve_attempts(A.parse_selection_response(rows, "response"), F.col("m"), 3, SEED, 1)
+    return out.select("batch", "m", "valid", "final_indices", "final_reasoning", "final_breakdown")
+
+
 @register("resolve_selection", f"""SELECT conv_id, turn, valid,
 CASE WHEN valid THEN idx ELSE list_transform(list_sort(list_transform(range(100),
   lambda i: {{'h': md5('{SEED}:fallback:1:' || conv_id || ':' || i), 'i': i}}))[1:20], lambda s: s.i) END AS final_indices,
@@ -358,11 +445,29 @@ def q_resolve_selection(spark, sf):
     return p.select("conv_id", "turn", "valid", "final_indices", "final_reasoning")
 
 
-@register("selection_summary_one_round", STATE_SQL + """SELECT (SELECT count(*) FROM log) AS total_training_samples,
-(SELECT map_from_entries(list(struct_pack(k := category, v := n) ORDER BY category)) FROM (
-   SELECT category, count(*) AS n FROM log JOIN pool USING (doc_id) GROUP BY category) d) AS final_distribution,
-CAST(1 AS BIGINT) AS num_iterations, 'llm_based' AS strategy""")
+@register("selection_summary_one_round", _run_sql(1) + SUMMARY_SQL)
 def q_selection_summary_one_round(spark, sf):
-    """A7 after the initial sample and one selection round (checked against SQL)."""
+    """A7 after the initial sample and one selection round."""
     res = _run(spark, sf, iterations=1)
     return A.selection_summary(res.training_data, res.selection_history)
+
+
+@register("selection_by_answers", f"""WITH pool AS (SELECT doc_id, lang AS category, text FROM documents WHERE text IS NOT NULL),
+init AS (SELECT doc_id FROM (SELECT *, row_number() OVER (PARTITION BY category ORDER BY md5('{SEED}:initial:' || doc_id), doc_id) AS rn
+  FROM pool WHERE category IS NOT NULL) r WHERE rn <= 10 AND category IN (SELECT category FROM pool GROUP BY category HAVING count(*) >= 10)),
+c1 AS (SELECT doc_id, row_number() OVER (ORDER BY md5('{SEED}:candidates:1:' || doc_id), doc_id) - 1 AS local_idx FROM pool
+  WHERE doc_id NOT IN (SELECT doc_id FROM init) QUALIFY local_idx < 100),
+p1 AS (SELECT doc_id FROM c1 WHERE local_idx IN (3, 1)),
+c2 AS (SELECT doc_id, row_number() OVER (ORDER BY md5('{SEED}:candidates:2:' || doc_id), doc_id) - 1 AS local_idx FROM pool
+  WHERE doc_id NOT IN (SELECT doc_id FROM init UNION ALL SELECT doc_id FROM p1) QUALIFY local_idx < 100),
+p2 AS (SELECT doc_id, row_number() OVER (ORDER BY md5('{SEED}:fallback:2:2:' || local_idx)) - 1 AS pick_pos FROM c2 QUALIFY pick_pos < 20)
+SELECT 1 AS iteration, [(SELECT CAST(doc_id AS BIGINT) FROM c1 WHERE local_idx = 3), (SELECT CAST(doc_id AS BIGINT) FROM c1 WHERE local_idx = 1)] AS selected_indices,
+  'close calls' AS reasoning UNION ALL
+SELECT 2, list(CAST(doc_id AS BIGINT) ORDER BY pick_pos), 'Random selection (LLM query failed)' FROM p2""")
+def q_selection_by_answers(spark, sf):
+    """K1 with an outside selector: a valid second attempt in round 1, none in round 2 (fallback)."""
+    answers = spark.createDataFrame([(1, 0, "busy"), (1, 1, '{"selected_indices": [3, 1], "reasoning": "close calls"}'),
+                                     (2, 0, '{"selected_indices": [100]}')], "iteration int, attempt int, response string")
+    pool = read_table(spark, sf, "documents").filter("text IS NOT NULL").select("doc_id", F.col("lang").alias("category"), "text")
+    res = A.active_learning_run(pool, 10, 20, 2, 100, SEED, "category", "text", "doc_id", selector=A.AnswerSelector(answers, "doc_id", SEED))
+    return res.selection_history.select("iteration", "selected_indices", "reasoning")

@@ -92,8 +92,8 @@ def q_scan_csv(spark, sf):
 
 
 def _state_csv_sql(where: str) -> str:
-    from .q_active import STATE_SQL
-    return (STATE_SQL + "SELECT CAST(pool.doc_id AS VARCHAR) AS doc_id, pool.category, "
+    from .q_active import RUN_SQL
+    return (RUN_SQL + "SELECT CAST(pool.doc_id AS VARCHAR) AS doc_id, pool.category, "
             "CASE WHEN log.doc_id IS NOT NULL THEN 'true' ELSE 'false' END AS selected, "
             "CAST(coalesce(log.iteration, -1) AS VARCHAR) AS iteration FROM pool LEFT JOIN log USING (doc_id) " + where)
 
@@ -102,7 +102,7 @@ def _state_csv_sql(where: str) -> str:
 def q_write_training_csv(spark, sf):
     """A3: selected rows of an active-learning run, written as CSV and read back."""
     from .q_active import _run
-    res = _run(spark, sf, iterations=1)
+    res = _run(spark, sf)
     path = FS.write_csv(res.training_data.select("doc_id", "category", "selected", "iteration"),
                         shared_path(spark, "training_data"))
     return spark.read.option("header", True).csv(path)
@@ -112,7 +112,7 @@ def q_write_training_csv(spark, sf):
 def q_write_pool_csv(spark, sf):
     """A4: the whole pool with the selection columns."""
     from .q_active import _run
-    res = _run(spark, sf, iterations=1)
+    res = _run(spark, sf)
     path = FS.write_csv(res.pool_with_selections.select("doc_id", "category", "selected", "iteration"),
                         shared_path(spark, "pool_with_selections"))
     return spark.read.option("header", True).csv(path)
@@ -132,13 +132,21 @@ def q_write_predictions_csv(spark, sf):
     return spark.read.option("header", True).csv(path)
 
 
-@register("write_selection_history")
+def _history_json_sql() -> str:
+    from .q_active import RUN_SQL
+    return (RUN_SQL + "SELECT CAST(hist.iteration AS BIGINT) AS iteration, selected_indices, reasoning, selected_categories, "
+            "len(map_keys(category_breakdown)) AS n_categories FROM hist JOIN brk USING (iteration)")
+
+
+@register("write_selection_history", _history_json_sql())
 def q_write_selection_history(spark, sf):
-    """Selection history records as JSON lines."""
+    """Selection history records as JSON lines, read back."""
     from .q_active import _run
-    res = _run(spark, sf, iterations=2)
-    path = FS.write_json(res.selection_history, shared_path(spark, "selection_history"))
-    return spark.read.json(path)
+    hist = _run(spark, sf).selection_history
+    path = FS.write_json(hist, shared_path(spark, "selection_history"))
+    back = spark.read.schema(hist.schema).json(path)
+    return back.select(F.col("iteration").cast("long").alias("iteration"), "selected_indices", "reasoning", "selected_categories",
+                       F.size("category_breakdown").cast("long").alias("n_categories"))
 
 
 @register("train_text_classifier")

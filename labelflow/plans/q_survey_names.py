@@ -57,8 +57,8 @@ register("drift_method_result", REGISTRY["drift_method_results"].sql)(REGISTRY["
 register("model_save_load")(q_stream.q_train_text_classifier)
 
 
-@register("active_learning_result")
+@register("active_learning_result", q_active.RUN_SQL + "SELECT category, count(*) AS count FROM log GROUP BY category")
 def q_active_learning_result(spark, sf):
     """K9: the final category distribution of a run (one row per category)."""
-    res = q_active._run(spark, sf, iterations=2)
+    res = q_active._run(spark, sf)
     return res.final_distribution.select(F.explode("distribution").alias("category", "count"))
