@@ -357,8 +357,11 @@ def q_drift_fit(spark, sf):
     return rounded(back)
 
 
-@register("domain_classifier_mllib")
+@register("domain_classifier_mllib", "SELECT true AS drift_detected, true AS separable")
 def q_domain_classifier_mllib(spark, sf):
-    """J6 (MLlib form): L1 logistic regression on CountVectorizer/IDF features, held-out AUC."""
+    """J6 (MLlib form): L1 logistic regression on hashed counts, held-out AUC above the threshold."""
     auc = DT.domain_classifier_mllib(text_corpus(spark, sf), "text", SEED)
-    return spark.range(1).select(F.lit(float(auc)).alias("roc_auc"))
+    held = text_corpus(spark, sf).filter(~hash_half(SEED, "domain", "doc_id"))
+    n = held.agg(F.count_if(F.col("side") == "cur").cast("double").alias("m"), F.count_if(F.col("side") == "ref").cast("double").alias("n"))
+    return n.select((F.lit(float(auc)) > DT.random_auc_threshold(F.col("m"), F.col("n"))).alias("drift_detected"),
+                    F.lit(float(auc) > 0.9).alias("separable"))

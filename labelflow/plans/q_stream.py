@@ -2,19 +2,19 @@
 
 from __future__ import annotations
 
-import uuid
-
 from pyspark.sql import functions as F
 
 from ..operators import ood as O
+from ..functions.columns import hash_half
+from ..operators import sampling as SM
 from ..operators import scoring as S
 from ..operators.kernels import exact_percentile
 from ..session import ensure_checkpoint_dir, shared_path
 from ..sources import files as FS
 from ..sources.tables import read_table
 from ..streaming import monitors as MO
-from .q_model import with_scorer_all
-from .registry import register, rounded
+from .q_model import scorer_cte, with_scorer_all
+from .registry import REGISTRY, register, rounded
 
 ALPHA = 0.05
 REF_END = "2024-01-08 00:00:00"
@@ -43,32 +43,43 @@ def q_ood_by_time_window(spark, sf):
                    .withColumn("window_end", F.col("window_end").cast("timestamp_ntz")))
 
 
-@register("ood_by_time_window_stream")
+@register("ood_by_time_window_stream", REGISTRY["ood_by_time_window"].sql.replace(
+    "       round(ood_count / total_samples, 6) AS ood_ratio,\n", ""))
 def q_ood_by_time_window_stream(spark, sf):
-    """L1 (streaming form): the events file as a feed, watermark + window, append mode."""
+    """L1 (streaming form): the events file as a feed, watermark + window, update mode, file sink."""
     e = read_table(spark, sf, "events")
     th = events_reference_threshold(spark, sf).first()["threshold"]
     stream = MO.file_stream(spark, sf, e, "events.parquet")
     q = MO.stream_ood_by_time_window(stream, th, "ts", "value", "1 day", "1 day")
-    name = "ood_windows_" + uuid.uuid4().hex[:8]
-    return MO.run_to_completion(q, name, "append", shared_path(spark, "ckpt_ood_windows"))
-
-
-@register("drift_by_time_window")
+    out = MO.run_to_files(q, shared_path(spark, "ood_windows"), shared_path(spark, "ckpt_ood_windows"), "update", ["window_start"])
+    return out.withColumns({c: F.col(c).cast("timestamp_ntz") for c in ("window_start", "window_end")})
+
+
+@register("drift_by_time_window", f"""WITH ref AS (SELECT value, count(*) AS nr FROM events WHERE ts < TIMESTAMP '{REF_END}' AND value IS NOT NULL GROUP BY value),
+cur AS (SELECT date_trunc('day', ts) AS window_start, value, count(*) AS nc FROM events WHERE value IS NOT NULL GROUP BY 1, 2),
+u AS (SELECT window_start, value, nr, 0 AS nc FROM ref, (SELECT DISTINCT window_start FROM cur) d UNION ALL SELECT window_start, value, 0, nc FROM cur),
+c AS (SELECT window_start, value, sum(nr) AS nr, sum(nc) AS nc FROM u GROUP BY 1, 2),
+cum AS (SELECT window_start, sum(nr) OVER w / sum(nr) OVER (PARTITION BY window_start) AS fr, sum(nc) OVER w / sum(nc) OVER (PARTITION BY window_start) AS fc,
+  lead(value) OVER w0 - value AS gap, nr, nc FROM c
+  WINDOW w AS (PARTITION BY window_start ORDER BY value ROWS UNBOUNDED PRECEDING), w0 AS (PARTITION BY window_start ORDER BY value))
+SELECT window_start, round(sum(abs(fr - fc) * coalesce(gap, 0.0)), 6) AS wasserstein, CAST(sum(nr) AS BIGINT) AS n_ref, CAST(sum(nc) AS BIGINT) AS n_cur
+FROM cum GROUP BY window_start""")
 def q_drift_by_time_window(spark, sf):
     """L2: foreachBatch over the events feed; per day, distance of ``value`` to the reference week."""
     ensure_checkpoint_dir(spark)
     e = read_table(spark, sf, "events")
     ref = e.filter(F.col("ts") < F.to_timestamp_ntz(F.lit(REF_END)))
-    out = shared_path(spark, "drift_windows")
-    MO.drift_by_time_window(MO.file_stream(spark, sf, e, "events.parquet"), ref, "value", "ts", out,
-                            shared_path(spark, "ckpt_drift_windows"))
-    return rounded(spark.read.parquet(out).drop("epoch"))
+    out = MO.drift_by_time_window(MO.file_stream(spark, sf, e, "events.parquet"), ref, "value", "ts",
+                                  shared_path(spark, "drift_windows"), shared_path(spark, "ckpt_drift_windows"))
+    return rounded(out.withColumn("window_start", F.col("window_start").cast("timestamp_ntz")))
 
 
-@register("stream_scoring")
+@register("stream_scoring", "WITH " + scorer_cte(True).strip() + f""",
+fit AS (SELECT quantile_cont(confidence, CAST({ALPHA} AS DOUBLE)) AS threshold FROM scored
+  WHERE NOT substr(md5('42:train:' || doc_id), 1, 1) < '8' AND substr(md5('42:ood:' || doc_id), 1, 1) < '8')
+SELECT doc_id, lang, predicted_label_id, predicted_label, round(confidence, 6) AS confidence, confidence < threshold AS is_ood FROM scored, fit""")
 def q_stream_scoring(spark, sf):
-    """L3: score a document feed with the fitted letter model and flag low confidence."""
+    """L3: score a document feed with the fitted letter model and flag low confidence (file sink)."""
     from .q_model import letter_model, ood_reference_and_batch
     ref, _ = ood_reference_and_batch(spark, sf)
     fit = O.ood_fit(ref)
@@ -76,8 +87,7 @@ def q_stream_scoring(spark, sf):
     stream = MO.file_stream(spark, sf, d, "documents.parquet")
     scored = S.predict(stream.select("doc_id", "lang", "text"), letter_model(spark, sf), "text", keep_probs=False)
     flagged = MO.flag_stream(scored.drop("text"), fit)
-    return MO.run_to_completion(flagged, "scored_" + uuid.uuid4().hex[:8], "append",
-                                shared_path(spark, "ckpt_scoring"))
+    return rounded(MO.run_to_files(flagged, shared_path(spark, "scored_stream"), shared_path(spark, "ckpt_scoring")))
 
 
 # ---------------------------------------------------------------- file sources and sinks
@@ -149,25 +159,55 @@ def q_write_selection_history(spark, sf):
                        F.size("category_breakdown").cast("long").alias("n_categories"))
 
 
-@register("train_text_classifier")
+SPLIT_SIZES_SQL = """t AS (SELECT count(*) AS n FROM documents WHERE text IS NOT NULL AND lang IS NOT NULL),
+s AS (SELECT n, CAST(ceil(CAST(0.2 AS DOUBLE) * n) AS BIGINT) AS n_test FROM t),
+v AS (SELECT n_test, CAST(ceil(CAST(0.1 AS DOUBLE) * (n - n_test)) AS BIGINT) AS n_val FROM s)"""
+
+
+def _split_documents(spark, sf):
+    d = read_table(spark, sf, "documents").select("doc_id", "lang", "text").filter("text IS NOT NULL AND lang IS NOT NULL")
+    return SM.train_val_test_split(d, "lang", "doc_id", 0.2, 0.1, 42)
+
+
+def _evaluated(model, split):
+    """Accuracy on the validation and the test rows, and the share of their most frequent label."""
+    out = S.PipelineScorer(model).transform(split.filter(F.col("split") != "train"))
+    per = out.groupBy("split", "lang").agg(F.count(F.lit(1)).alias("n"), F.count_if(F.col("lang") == F.col("predicted_label")).alias("right"))
+    return per.groupBy("split").agg(F.sum("n").alias("n_rows"), (F.sum("right") / F.sum("n")).alias("accuracy"), (F.max("n") / F.sum("n")).alias("majority"))
+
+
+TRAINED_SQL = f"""WITH {SPLIT_SIZES_SQL} SELECT 'test' AS split, n_test AS n_rows, true AS beats_majority FROM v
+UNION ALL SELECT 'val', n_val, true FROM v"""
+
+
+@register("train_text_classifier", TRAINED_SQL)
 def q_train_text_classifier(spark, sf):
-    """G6 + A11: MLlib pipeline trained on the hash-train half, saved, re-loaded and used to
-    score the other half; returns the predictions of the re-loaded model."""
-    from .q_model import split_docs
-    train, test = split_docs(spark, sf)
-    model = S.fit_mllib_text_classifier(train, "text", "lang")
-    path = S.save_model(model, shared_path(spark, "text_model"))
-    back = S.load_model(path)
-    return rounded(S.mllib_predict(back, test, "text").drop("text"))
+    """Trained on the training rows of the 80/20 and 90/10 splits, evaluated on validation and
+    test rows."""
+    split = _split_documents(spark, sf)
+    model = S.fit_mllib_text_classifier(split.filter(F.col("split") == "train"), "text", "lang")
+    return _evaluated(model, split).select("split", "n_rows", (F.col("accuracy") > F.col("majority")).alias("beats_majority"))
 
 
-@register("train_weighted")
+@register("train_weighted", TRAINED_SQL)
 def q_train_weighted(spark, sf):
     """Class-weighted loss (balanced weights of C7 joined to the training rows)."""
     from ..operators.curate import class_weights
-    from .q_model import split_docs
-    train, test = split_docs(spark, sf)
+    split = _split_documents(spark, sf)
+    train = split.filter(F.col("split") == "train")
     w = class_weights(train.select(F.col("lang").alias("label")), "label").select(
         F.col("label").alias("lang"), F.col("weight").alias("w"))
-    model = S.fit_mllib_text_classifier(train.join(w, "lang"), "text", "lang", weight_col="w")
-    return rounded(S.mllib_predict(model, test, "text").drop("text"))
+    model = S.fit_mllib_text_classifier(train.join(F.broadcast(w), "lang"), "text", "lang", weight_col="w")  # a row per class
+    return _evaluated(model, split).select("split", "n_rows", (F.col("accuracy") > F.col("majority")).alias("beats_majority"))
+
+
+@register("model_save_load", "SELECT count(*) AS n_rows, CAST(0 AS BIGINT) AS n_differing FROM documents WHERE text IS NOT NULL")
+def q_model_save_load(spark, sf):
+    """A fitted model saved and loaded again scores every document like the original."""
+    docs = read_table(spark, sf, "documents").select("doc_id", "lang", "text")
+    model = S.fit_mllib_text_classifier(docs.filter(hash_half(42, "train", "doc_id")), "text", "lang")
+    path = S.save_model(model, shared_path(spark, "text_model"))
+    before = S.PipelineScorer(model).transform(docs.select("doc_id", "text")).select("doc_id", F.col("predicted_label").alias("a"), F.col("confidence").alias("c"))
+    after = S.PipelineScorer(path).transform(docs.select("doc_id", "text")).select("doc_id", F.col("predicted_label").alias("b"), F.col("confidence").alias("d"))
+    same = F.col("a").eqNullSafe(F.col("b")) & (F.abs(F.col("c") - F.col("d")) < 1e-12)
+    return before.join(after, "doc_id").agg(F.count(F.lit(1)).alias("n_rows"), F.count_if(~same).alias("n_differing"))

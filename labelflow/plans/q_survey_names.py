@@ -9,7 +9,7 @@ from ..functions.columns import hash_half
 from ..operators import curate as C
 from ..operators import drift_text as DT
 from ..sources.tables import read_table
-from . import q_active, q_drift, q_stream
+from . import q_active, q_drift
 from .registry import REGISTRY, register, rounded
 
 SEED = 42
@@ -54,7 +54,6 @@ def q_domain_classifier_fit(spark, sf):
 
 register("drift_static_threshold", REGISTRY["drift_euclidean_shifted"].sql)(REGISTRY["drift_euclidean_shifted"].build)
 register("drift_method_result", REGISTRY["drift_method_results"].sql)(REGISTRY["drift_method_results"].build)
-register("model_save_load")(q_stream.q_train_text_classifier)
 
 
 @register("active_learning_result", q_active.RUN_SQL + "SELECT category, count(*) AS count FROM log GROUP BY category")

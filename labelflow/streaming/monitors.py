@@ -5,9 +5,9 @@ event-time windows:
 
 * L1 ``ood_by_time_window``: tumbling windows; per window: rows, flagged rows (value below the
   reference percentile), ratio, severity. Batch form for tables, streaming form with a
-  watermark and append output for feeds.
-* L2 ``drift_by_time_window``: ``foreachBatch`` over a stream; each micro-batch is compared
-  with saved reference statistics (ECDF distance per window) and appended to a result table.
+  watermark and update output for feeds.
+* L2 ``drift_by_time_window``: ``foreachBatch`` over a stream keeps value counts per window; each
+  window is compared with saved reference statistics (ECDF distance).
 * L3 ``stream_scoring``: stateless scoring and OOD flagging of an unbounded feed, the fitted
   threshold attached as a one-row broadcast.
 
@@ -17,8 +17,11 @@ Spark drop windows once they can no longer change.
 
 from __future__ import annotations
 
+import math
+
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from ..operators.kernels import ecdf_distance
 from ..operators.ood import severity
@@ -41,51 +44,66 @@ def windowed_ood_counts(df: DataFrame, threshold: DataFrame, ts_col: str, value_
 
 def stream_ood_by_time_window(stream: DataFrame, threshold_value: float, ts_col: str, value_col: str,
                               window: str = "1 day", watermark: str = "1 day") -> DataFrame:
-    """L1 streaming form: event time must be a TIMESTAMP (cast ntz first), watermark + window."""
+    """L1 streaming form: event time must be a TIMESTAMP (cast ntz first), watermark + window. Meant
+    for update mode: every window appears, also those the watermark has not passed yet."""
     s = stream.withColumn(ts_col, F.col(ts_col).cast("timestamp")).withWatermark(ts_col, watermark)
     v = F.col(value_col).cast("double")
-    flagged = v.isNotNull() & (v < F.lit(threshold_value))
+    known = threshold_value is not None and not math.isnan(threshold_value)  # a NaN threshold flags nothing
+    flagged = v.isNotNull() & (v < F.lit(threshold_value)) if known else F.lit(False)
     g = s.groupBy(F.window(ts_col, window).alias("window")).agg(
         F.count(F.lit(1)).alias("total_samples"), F.count_if(flagged).alias("ood_count"))
     return g.select(F.col("window.start").alias("window_start"), F.col("window.end").alias("window_end"),
                     "total_samples", "ood_count", severity(F.col("ood_count"), F.col("total_samples")).alias("ood_severity"))
 
 
-def run_to_completion(query_df: DataFrame, name: str, output_mode: str = "append",
-                      checkpoint: str | None = None) -> DataFrame:
-    """Drive a streaming query over the files available now into a memory table and return
-    it (local checks; production writes to a durable sink instead)."""
+def run_to_files(query_df: DataFrame, out_path: str, checkpoint: str, output_mode: str = "append",
+                 keys: list[str] | None = None) -> DataFrame:
+    """Drive a streaming query over the files available now. Every micro-batch overwrites its own
+    folder of Parquet files below ``out_path`` (a retried batch repeats nothing; nothing passes
+    through the driver). With ``keys`` the last update of each key is the result."""
     spark = query_df.sparkSession
-    w = query_df.writeStream.outputMode(output_mode).format("memory").queryName(name)
-    if checkpoint:
-        w = w.option("checkpointLocation", checkpoint)
-    q = w.trigger(availableNow=True).start()
+
+    def write(batch: DataFrame, epoch: int) -> None:
+        batch.write.mode("overwrite").parquet(f"{out_path}/epoch={epoch}")
+
+    q = (query_df.writeStream.outputMode(output_mode).foreachBatch(write)
+         .option("checkpointLocation", checkpoint).trigger(availableNow=True).start())
     q.awaitTermination()
-    return spark.sql(f"SELECT * FROM {name}")
+    back = spark.read.schema(T.StructType([*query_df.schema.fields, T.StructField("epoch", T.IntegerType())])).parquet(out_path)
+    if not keys:
+        return back.drop("epoch")
+    rest = [c for c in query_df.columns if c not in keys]
+    last = back.groupBy(*keys).agg(F.max_by(F.struct(*rest), "epoch").alias("_last"))
+    return last.select(*keys, *[F.col(f"_last.{c}").alias(c) for c in rest]).select(*query_df.columns)
 
 
 def drift_by_time_window(stream: DataFrame, reference: DataFrame, value_col: str, ts_col: str,
-                         out_path: str, checkpoint: str, window: str = "1 day") -> None:
-    """L2: per micro-batch, per window, the ECDF (Wasserstein) distance of ``value_col`` to the
-    saved reference sample statistics; appended to ``out_path`` (Parquet)."""
-    # the saved reference statistics: distinct values with their counts (the reference ECDF)
-    ref = reference.groupBy(F.col(value_col).cast("double").alias("value")).agg(F.count(F.lit(1)).alias("w")) \
-        .select(F.lit("ref").alias("side"), "value", "w")
+                         out_path: str, checkpoint: str, window: str = "1 day") -> DataFrame:
+    """L2: per micro-batch, value counts per window go to a folder of that batch (overwritten on a
+    retry); windows that span micro-batches merge when the counts are summed. The result is each
+    window's ECDF (Wasserstein) distance to the saved reference value counts.
+
+    Every window is compared with the whole reference, so the reference counts are repeated once per
+    window (windows are few: one per day); both sides are distinct values, not rows."""
+    v = F.col(value_col).cast("double").alias("value")
+
+    def counts(batch: DataFrame) -> DataFrame:
+        return batch.groupBy(F.window(F.col(ts_col).cast("timestamp"), window).start.alias("window_start"), v).agg(F.count(F.lit(1)).alias("w"))
 
     def per_batch(batch: DataFrame, epoch: int) -> None:
-        cur = batch.select(F.lit("cur").alias("side"), F.col(value_col).cast("double").alias("value"),
-                           F.window(F.col(ts_col).cast("timestamp"), window).start.alias("window_start"),
-                           F.lit(1).cast("long").alias("w"))
-        # each window of the micro-batch is compared with the reference ECDF: the reference
-        # value counts are paired with the (few) window keys of this micro-batch
-        wins = F.broadcast(cur.select("window_start").distinct())
-        both = cur.unionByName(ref.join(wins, how="cross").select("side", "value", "window_start", "w"))
-        d = ecdf_distance(both, ["window_start"], "value", weight_col="w")
-        d.withColumn("epoch", F.lit(epoch)).write.mode("append").parquet(out_path)
+        counts(batch).write.mode("overwrite").parquet(f"{out_path}/epoch={epoch}")
 
     q = stream.writeStream.foreachBatch(per_batch).option("checkpointLocation", checkpoint) \
         .trigger(availableNow=True).start()
     q.awaitTermination()
+    spark = reference.sparkSession
+    schema = "window_start timestamp, value double, w long, epoch int"
+    cur = spark.read.schema(schema).parquet(out_path).groupBy("window_start", "value").agg(F.sum("w").alias("w"))
+    ref = reference.groupBy(v).agg(F.count(F.lit(1)).alias("w"))
+    wins = cur.groupBy().agg(F.collect_set("window_start").alias("windows"))  # one row: the window starts
+    repeated = ref.crossJoin(wins).select(F.lit("ref").alias("side"), "value", F.explode("windows").alias("window_start"), "w")
+    both = cur.select(F.lit("cur").alias("side"), "value", "window_start", "w").unionByName(repeated)
+    return ecdf_distance(both, ["window_start"], "value", weight_col="w")
 
 
 def flag_stream(stream: DataFrame, threshold: DataFrame, conf_col: str = "confidence") -> DataFrame:
