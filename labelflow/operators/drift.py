@@ -9,12 +9,13 @@ configured); d = t -> high; otherwise medium. ``drift_detected = d > 0``,
 
 from __future__ import annotations
 
-from dataclasses import dataclass, field
+from dataclasses import dataclass
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.columns import auto_batch_id, iso_timestamp
+from .curate import require_columns, require_non_empty
 
 EXPLORATORY = ("text_overview",)
 
@@ -29,7 +30,72 @@ class DriftConfig:
     embedding_drift_method: str = "mmd"
     use_bootstrap: bool = True
     quantile_probability: float = 0.05
-    extra: dict = field(default_factory=dict)
+    id_column: str = "doc_id"
+    n_boot: int = 100
+    seed: int = 42
+
+
+@dataclass
+class DriftFit:
+    """What a fitted detector keeps: the reference's ids and term counts (domain classifier) and
+    vector statistics with the threshold (embedding), all written."""
+    config: DriftConfig
+    docs: DataFrame | None = None
+    terms: DataFrame | None = None
+    embedding: object | None = None
+
+
+def drift_fit(reference: DataFrame, config: DriftConfig = DriftConfig(), embed=None) -> DriftFit:
+    """Fit every configured method once on the reference. ``embed``: adds the column
+    ``embedding`` to a frame of texts (default: the letter profile)."""
+    from ..session import write_table
+    from . import drift_embed as DE
+    from . import drift_text as DT
+    require_columns(reference, config.text_column, config.id_column)
+    require_non_empty(reference)
+    fit = DriftFit(config)
+    ref = reference.select(config.id_column, F.col(config.text_column).alias("text"), F.lit("ref").alias("side"))
+    for method in config.methods:
+        if method == "domain_classifier":
+            fit.docs = write_table(ref.select(config.id_column, "side"), "drift_docs")
+            fit.terms = write_table(DT.doc_terms(ref, config.id_column), "drift_terms")
+        elif method == "embedding":
+            vectors = (embed or DE.embed_letter_profile)(ref)
+            fit.embedding = DE.fit_embedding(vectors, config.embedding_drift_method, config.use_bootstrap, config.quantile_probability,
+                                             config.id_column, n_boot=config.n_boot, seed=config.seed)
+        elif method not in EXPLORATORY:
+            raise ValueError(f"unknown drift method {method!r}")
+    return fit
+
+
+def drift_method_rows(current: DataFrame, fit: DriftFit, embed=None) -> DataFrame:
+    """A row per configured voting method, the batch against the fitted reference."""
+    from ..session import write_table
+    from . import drift_embed as DE
+    from . import drift_text as DT
+    c = fit.config
+    cur = current.select(c.id_column, F.col(c.text_column).alias("text"), F.lit("cur").alias("side"))
+    rows = []
+    for method in c.methods:
+        if method == "domain_classifier":
+            terms = write_table(DT.doc_terms(cur, c.id_column), "drift_terms")
+            docs = fit.docs.unionByName(cur.select(c.id_column, "side"))
+            got = DT.domain_classifier(docs, c.id_column, seed=c.seed, terms=fit.terms.unionByName(terms))
+            rows.append(got.select(*method_result(method, F.col("drift_detected"), {"roc_auc": F.col("roc_auc"), "threshold": F.col("threshold")})))
+        elif method == "embedding":
+            got = DE.detect_embedding(fit.embedding, (embed or DE.embed_letter_profile)(cur))
+            rows.append(got.select(*method_result(method, F.col("drift_detected"), {"drift_score": F.col("drift_score"), "threshold": F.col("threshold")})))
+    if not rows:
+        return current.sparkSession.createDataFrame([], "method string, drift_detected boolean, details map<string,double>")
+    out = rows[0]
+    for r in rows[1:]:
+        out = out.unionByName(r)
+    return out
+
+
+def drift_detect(current: DataFrame, fit: DriftFit, embed=None) -> DataFrame:
+    """J2 + J3: the aggregated result of one batch against a fitted detector."""
+    return aggregate_methods(drift_method_rows(current, fit, embed))
 
 
 def method_result(method: str, drift_detected: Column, details: dict[str, Column]) -> list[Column]:
@@ -58,7 +124,8 @@ def aggregate_methods(methods: DataFrame, group_cols: list[str] | None = None) -
     t, d = F.col("total_methods"), F.col("no_of_methods_detected_drift")
     return a.select(*g, (d > 0).alias("drift_detected"), drift_severity(d, t).alias("drift_severity"),
                     "total_methods", "no_of_methods_detected_drift",
-                    F.when(t > 0, d / t).otherwise(F.lit(0.0)).alias("detection_rate"), "method_results")
+                    F.when(t > 0, d / t).otherwise(F.lit(0.0)).alias("detection_rate"), "method_results",
+                    F.when(t == 0, F.lit("no methods configured")).alias("reason"))
 
 
 def batch_envelope(df: DataFrame, order_col: str, config: DriftConfig, batch_id: str | None = None,

@@ -8,19 +8,22 @@ Vectors are ``array<float|double>`` columns, one per text, tagged ``side``.
 * MMD (J14): squared maximum mean discrepancy with a Gaussian kernel, estimated with random
   Fourier features (Rahimi & Recht 2007): the mean feature vector per side is one more
   aggregation, O(n). The bandwidth is the square root of the mean squared distance between
-  two random pooled vectors, 2 * sum of per-dimension variances, itself an O(n) aggregate.
+  two random reference vectors, 2 * sum of per-dimension variances, itself an O(n) aggregate.
   No pair of rows is ever formed. Features are computed with one matrix product per Arrow
   batch inside ``mapInPandas``, which also emits per-partition partial sums;
 * ratio (J15): share of dimensions whose Wasserstein distance (normalised by the reference
   standard deviation) reaches 0.1; drift when the share reaches 0.2;
-* thresholds (J16, J17): static (MMD 0.015, distances 0.2), or bootstrap: B random halvings
-  of the reference, the same statistic between the halves, threshold = the (1 - q) quantile.
-  The reference is pre-aggregated into hash buckets of rows (sums are additive), so B halvings
-  cost B x buckets x dimensions small rows, not B copies of the data.
+* tests by name (M2): ``fit_embedding`` keeps statistics of the reference and the threshold, static
+  (J17) or by bootstrap (J16); ``detect_embedding`` compares a batch with them. Random features
+  come from md5, so they are the same in every engine.
 """
 
 from __future__ import annotations
 
+import hashlib
+import math
+from dataclasses import dataclass
+
 import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame
@@ -33,6 +36,7 @@ from .kernels import ecdf_distance, exact_percentile
 STATIC_THRESHOLDS = {"mmd": 0.015, "euclidean": 0.2, "cosine": 0.2}  # fixed values
 RATIO_COMPONENT_THRESHOLD = 0.1
 RATIO_SHARE_THRESHOLD = 0.2
+N_FEATURES = 256
 
 
 def embedding_long(df: DataFrame, id_col: str = "vec_id", emb_col: str = "embedding",
@@ -74,17 +78,25 @@ def drift_distance(corpus: DataFrame, metric: str = "euclidean", emb_col: str =
 # ------------------------------------------------------------------ MMD with random features
 
 def rff_bandwidth(corpus: DataFrame, emb_col: str = "embedding") -> DataFrame:
-    """One row ``sigma``: sqrt(2 * sum of per-dimension population variances) of the pooled data."""
+    """One row ``sigma``: sqrt(2 * sum of per-dimension population variances)."""
     lng = corpus.select(F.posexplode(emb_col).alias("dim", "_v"))
     var = lng.groupBy("dim").agg(F.var_pop(F.col("_v").cast("double")).alias("_var"))
     return var.agg(F.sqrt(2 * F.sum("_var")).alias("sigma"))
 
 
-def _rff_params(dim: int, n_features: int, sigma: float, seed: int):
-    rng = np.random.default_rng(seed)
-    w = rng.normal(0.0, 1.0 / max(sigma, 1e-12), size=(n_features, dim))
-    b = rng.uniform(0.0, 2 * np.pi, size=n_features)
-    return w, b
+def _unit(text: str, part: int) -> float:
+    """A number in [0, 1) from eight hex digits of an md5 (the same in every engine)."""
+    return int(hashlib.md5(text.encode()).hexdigest()[8 * part:8 * part + 8], 16) / 2.0 ** 32
+
+
+def rff_params(dim: int, n_features: int, sigma: float, seed: int):
+    """Frequencies (standard normal / sigma, by Box-Muller) and phases of the random features."""
+    def normal(j: int, d: int) -> float:
+        key = f"{seed}:rff:{j}:{d}"
+        return math.sqrt(-2.0 * math.log(1.0 - _unit(key, 0))) * math.cos(2 * math.pi * _unit(key, 1))
+
+    w = np.array([[normal(j, d) for d in range(dim)] for j in range(n_features)]) / max(sigma, 1e-12)
+    return w, np.array([2 * math.pi * _unit(f"{seed}:rffb:{j}", 0) for j in range(n_features)])
 
 
 def rff_sums(corpus: DataFrame, w: np.ndarray, b: np.ndarray, key_cols: list[str],
@@ -121,22 +133,13 @@ def rff_sums(corpus: DataFrame, w: np.ndarray, b: np.ndarray, key_cols: list[str
     return per.join(cnt, key_cols)
 
 
-def drift_mmd(corpus: DataFrame, emb_col: str = "embedding", n_features: int = 256, seed: int = 42,
+def drift_mmd(corpus: DataFrame, emb_col: str = "embedding", n_features: int = N_FEATURES, seed: int = 42,
               dim: int | None = None, sigma: float | None = None) -> DataFrame:
-    """One row ``mmd2`` (RFF estimate of the squared MMD, Gaussian kernel) and ``sigma``."""
-    from ..session import ship_package
-    ship_package(corpus.sparkSession)
-    if dim is None:
-        dim = corpus.select(F.size(emb_col)).first()[0]
-    if sigma is None:
-        sigma = float(rff_bandwidth(corpus, emb_col).first()["sigma"] or 1.0)
-    w, b = _rff_params(dim, n_features, sigma, seed)
-    sums = rff_sums(corpus, w, b, ["side"], emb_col)
-    means = sums.select("side", "j", (F.col("v") / F.col("n")).alias("mean"))
-    r = means.filter(F.col("side") == "ref").select("j", F.col("mean").alias("_r"))
-    c = means.filter(F.col("side") == "cur").select("j", F.col("mean").alias("_c"))
-    return r.join(c, "j").agg(F.sum((F.col("_r") - F.col("_c")) ** 2).alias("mmd2")) \
-        .withColumn("sigma", F.lit(sigma))
+    """One row ``mmd2`` (RFF estimate of the squared MMD, Gaussian kernel) and ``sigma`` (from the
+    reference unless given)."""
+    ref, cur = (corpus.filter(F.col("side") == x) for x in ("ref", "cur"))
+    fit = fit_embedding(ref, "mmd", False, emb_col=emb_col, seed=seed, n_features=n_features, sigma=sigma)
+    return detect_embedding(fit, cur, emb_col).select(F.col("drift_score").alias("mmd2"), F.lit(fit.sigma).alias("sigma"))
 
 
 def exact_mmd2_numpy(x: np.ndarray, y: np.ndarray, sigma: float) -> float:
@@ -165,33 +168,142 @@ def drift_ratio(corpus: DataFrame, id_col: str = "vec_id", emb_col: str = "embed
     return per.select("dim", "wasserstein", "ref_std", "distance", "drifted"), share
 
 
-# ------------------------------------------------------------------ thresholds
+# ------------------------------------------------------------------ fitted tests by name
 
-def bootstrap_threshold(corpus: DataFrame, metric: str = "euclidean", id_col: str = "vec_id",
-                        emb_col: str = "embedding", n_boot: int = 100, quantile_probability: float = 0.05,
-                        seed: int = 42, bucket_hex: int = 2) -> DataFrame:
-    """J16 for mean-vector distances: one row ``threshold`` = quantile(1 - q) of the distance
-    between two random halves of the reference, over ``n_boot`` halvings.
+METHOD_LABELS = {"mmd": "MMD (Maximum Mean Discrepancy)", "euclidean": "Distance-based (euclidean)",
+                 "cosine": "Distance-based (cosine)", "ratio": "Ratio-based"}
+MAX_BLOCK_HEX = 4  # rows are resampled in hash blocks, as many as rows up to 16 ** 4
 
-    The reference is summed into 16^bucket_hex hash buckets per dimension once; halvings
-    assign whole buckets (additive sums), so the work is n_boot x buckets x dims rows."""
-    ref = corpus.filter(F.col("side") == "ref")
-    bucket = F.substring(hash_key(seed, "bootstrap", id_col), 1, bucket_hex)  # hex prefix = bucket key
-    lng = ref.select(bucket.alias("bucket"), F.posexplode(emb_col).alias("dim", "_v"))
-    sums = lng.groupBy("bucket", "dim").agg(F.sum(F.col("_v").cast("double")).alias("s"),
-                                           F.count(F.lit(1)).alias("n"))
-    half = F.substring(hash_key(seed, "half", F.col("b"), F.col("bucket")), 1, 1) < F.lit("8")
-    per = sums.withColumn("b", F.explode(F.sequence(F.lit(0), F.lit(n_boot - 1)))) \
-              .withColumn("side", F.when(half, F.lit("ref")).otherwise(F.lit("cur")))
-    means = per.groupBy("b", "side", "dim").agg((F.sum("s") / F.sum("n")).alias("mean"))
-    d = mean_distance(means, metric, ["b"])
-    return exact_percentile(d, "distance", 1 - quantile_probability).select(
-        F.col("percentile").alias("threshold"), F.col("count").alias("n_boot"))
+
+def resolve_method(name: str) -> tuple[str, str]:
+    """(method, label) by case-insensitive name; an unknown name means MMD."""
+    key = name.lower()
+    return (key, METHOD_LABELS[key]) if key in METHOD_LABELS else ("mmd", METHOD_LABELS["mmd"] + " [default]")
 
 
 def static_threshold(method: str) -> float:
     """The fixed thresholds of the non-bootstrap mode."""
-    return STATIC_THRESHOLDS["mmd" if method not in STATIC_THRESHOLDS else method]
+    method = resolve_method(method)[0]
+    return RATIO_SHARE_THRESHOLD if method == "ratio" else STATIC_THRESHOLDS[method]
+
+
+@dataclass
+class EmbeddingFit:
+    """What a fitted test keeps of the reference: written statistics, never its rows."""
+    method: str
+    label: str
+    threshold: float
+    n: int
+    dim: int
+    sigma: float | None
+    seed: int
+    n_features: int
+    stats: DataFrame  # mmd and distances: (dim, mean); ratio: (dim, value, w)
+
+
+def _block_hex(n: int) -> int:
+    return max(1, min(MAX_BLOCK_HEX, math.ceil(math.log(max(n, 2), 16))))
+
+
+def _sums(df: DataFrame, fit_like, keys: list[str], emb_col: str) -> DataFrame:
+    """(keys, dim, s, n): sums of vectors, or of their random features for MMD."""
+    method, dim, sigma, seed, n_features = fit_like
+    if method == "mmd":
+        w, b = rff_params(dim, n_features, sigma, seed)
+        return rff_sums(df, w, b, keys, emb_col).select(*keys, F.col("j").alias("dim"), F.col("v").alias("s"), "n")
+    lng = df.select(*keys, F.posexplode(emb_col).alias("dim", "_v"))
+    return lng.groupBy(*keys, "dim").agg(F.sum(F.col("_v").cast("double")).alias("s"), F.count(F.lit(1)).alias("n"))
+
+
+def _mean_statistic(means: DataFrame, method: str, group_cols: list[str] | None = None) -> DataFrame:
+    if method == "mmd":  # the squared distance of the mean feature vectors
+        d = mean_distance(means, "euclidean", group_cols)
+        return d.withColumn("distance", F.col("distance") * F.col("distance"))
+    return mean_distance(means, method, group_cols)
+
+
+def _ratio_share(lng: DataFrame, ref_std: DataFrame, group_cols: list[str], component_threshold: float) -> DataFrame:
+    wd = ecdf_distance(lng, [*group_cols, "dim"], "value", weight_col="w")
+    per = wd.join(ref_std, [*group_cols, "dim"]).withColumn(
+        "_d", F.when(F.col("ref_std") > 0, F.col("wasserstein") / F.col("ref_std")).otherwise(F.col("wasserstein")))
+    return per.groupBy(*group_cols).agg(F.avg((F.col("_d") >= F.lit(component_threshold)).cast("double")).alias("distance"))
+
+
+def fit_embedding(reference: DataFrame, method: str = "mmd", use_bootstrap: bool = True, quantile_probability: float = 0.05,
+                  id_col: str = "vec_id", emb_col: str = "embedding", n_boot: int = 100, seed: int = 42,
+                  n_features: int = N_FEATURES, sigma: float | None = None) -> EmbeddingFit:
+    """J1 + J16 + J17: statistics of the reference and the threshold.
+
+    Bootstrap: the statistic between two random halves of the reference, ``n_boot`` times; the
+    threshold is its (1 - q) quantile. Halves are made of hash blocks of rows, as many blocks as
+    rows up to 16 ** MAX_BLOCK_HEX. MMD and distances need block sums only; the ratio needs the
+    values, so its halvings repeat the reference's (dim, block, value) counts ``n_boot`` times."""
+    from ..session import ship_package, write_table
+    ship_package(reference.sparkSession)
+    method, label = resolve_method(method)
+    ref = reference.filter(F.col(emb_col).isNotNull())
+    size = ref.agg(F.count(F.lit(1)).alias("n"), F.max(F.size(emb_col)).alias("dim")).first()
+    if not size["n"]:
+        raise ValueError("the reference has no vectors")
+    n, dim = size["n"], size["dim"]
+    if method == "mmd" and sigma is None:
+        sigma = round(float(rff_bandwidth(ref, emb_col).first()["sigma"] or 1.0), 9)
+    like = (method, dim, sigma, seed, n_features)
+    block = F.substring(hash_key(seed, "bootstrap", id_col), 1, _block_hex(n)).alias("bucket")
+    half = F.when(F.substring(hash_key(seed, "half", F.col("b"), F.col("bucket")), 1, 1) < F.lit("8"), F.lit("ref")).otherwise(F.lit("cur"))
+    halvings = F.explode(F.sequence(F.lit(0), F.lit(n_boot - 1)))
+    if method == "ratio":
+        values = write_table(ref.select(block, F.posexplode(emb_col).alias("dim", "_v")).groupBy("bucket", "dim", F.col("_v").cast("double").alias("value"))
+                             .agg(F.count(F.lit(1)).alias("w")), "drift_values")
+        stats = write_table(values.groupBy("dim", "value").agg(F.sum("w").alias("w")), "drift_reference")
+        if use_bootstrap:
+            split = values.withColumn("b", halvings).withColumn("side", half)
+            std = _weighted_std(split.filter(F.col("side") == "ref"), ["b", "dim"])
+            dist = _ratio_share(split, std, ["b"], RATIO_COMPONENT_THRESHOLD)
+    else:
+        sums = write_table(_sums(ref.withColumn("bucket", block), like, ["bucket"], emb_col), "drift_sums")
+        stats = write_table(sums.groupBy("dim").agg((F.sum("s") / F.sum("n")).alias("mean")), "drift_reference")
+        if use_bootstrap:
+            split = sums.withColumn("b", halvings).withColumn("side", half)
+            dist = _mean_statistic(split.groupBy("b", "side", "dim").agg((F.sum("s") / F.sum("n")).alias("mean")), method, ["b"])
+    threshold = static_threshold(method)
+    if use_bootstrap:
+        got = exact_percentile(dist, "distance", 1 - quantile_probability).first()["percentile"]
+        threshold = float("inf") if got is None else float(got)  # one block: nothing to compare with
+    return EmbeddingFit(method, label, threshold, n, dim, sigma, seed, n_features, stats)
+
+
+def _weighted_std(df: DataFrame, keys: list[str]) -> DataFrame:
+    v, w = F.col("value"), F.col("w")
+    m = df.groupBy(*keys).agg(F.sum(w).alias("_w"), F.sum(v * w).alias("_s"))
+    c = df.join(m, keys).groupBy(*keys).agg(F.sum(w * (v - F.col("_s") / F.col("_w")) ** 2).alias("_q"), F.first("_w").alias("_w"))
+    return c.select(*keys, F.sqrt(F.col("_q") / F.col("_w")).alias("ref_std"))
+
+
+def detect_embedding(fit: EmbeddingFit, current: DataFrame, emb_col: str = "embedding") -> DataFrame:
+    """One row ``drift_score, threshold, drift_detected``: the current batch against the fitted
+    statistics; the reference is not read again. An empty batch has no score and no drift."""
+    cur = current.filter(F.col(emb_col).isNotNull())
+    if fit.method == "ratio":
+        lng = cur.select(F.posexplode(emb_col).alias("dim", "_v")).groupBy("dim", F.col("_v").cast("double").alias("value")).agg(F.count(F.lit(1)).alias("w"))
+        both = fit.stats.withColumn("side", F.lit("ref")).unionByName(lng.withColumn("side", F.lit("cur")))
+        score = _ratio_share(both, _weighted_std(fit.stats, ["dim"]), [], RATIO_COMPONENT_THRESHOLD)
+        hit = F.col("distance") >= F.lit(fit.threshold)
+    else:
+        sums = _sums(cur.withColumn("_all", F.lit(0)), (fit.method, fit.dim, fit.sigma, fit.seed, fit.n_features), ["_all"], emb_col)
+        means = fit.stats.select(F.lit("ref").alias("side"), "dim", "mean").unionByName(
+            sums.select(F.lit("cur").alias("side"), "dim", (F.col("s") / F.col("n")).alias("mean")))
+        score = _mean_statistic(means, fit.method)
+        hit = F.col("distance") > F.lit(fit.threshold)
+    return score.select(F.col("distance").alias("drift_score"), F.lit(fit.threshold).alias("threshold"), F.coalesce(hit, F.lit(False)).alias("drift_detected"))
+
+
+def bootstrap_threshold(corpus: DataFrame, metric: str = "euclidean", id_col: str = "vec_id",
+                        emb_col: str = "embedding", n_boot: int = 100, quantile_probability: float = 0.05,
+                        seed: int = 42) -> float:
+    """The bootstrap threshold of one test."""
+    ref = corpus.filter(F.col("side") == "ref")
+    return fit_embedding(ref, metric, True, quantile_probability, id_col, emb_col, n_boot, seed).threshold
 
 
 def embed_letter_profile(df: DataFrame, text_col: str = "text", out: str = "embedding") -> DataFrame:

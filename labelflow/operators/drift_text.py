@@ -79,9 +79,10 @@ def doc_words(corpus: DataFrame, id_col: str, text_col: str) -> DataFrame:
 
 
 def tfidf_features(corpus: DataFrame, id_col: str = "doc_id", text_col: str = "text",
-                   max_df: float = 0.5, stop_words: list[str] | None = None) -> DataFrame:
-    """``(id, side, term, weight)``; weights L2-normalised per document."""
-    terms = _reliable(doc_terms(corpus, id_col, text_col, stop_words), "doc_terms")
+                   max_df: float = 0.5, stop_words: list[str] | None = None, terms: DataFrame | None = None) -> DataFrame:
+    """``(id, side, term, weight)``; weights L2-normalised per document. ``terms``: the written
+    ``doc_terms`` of the corpus, if there are some already (a fitted reference)."""
+    terms = _reliable(doc_terms(corpus, id_col, text_col, stop_words), "doc_terms") if terms is None else terms
     n_docs = corpus.agg(F.count(F.lit(1)).alias("_n"))
     df_t = terms.groupBy("term").agg(F.count(F.lit(1)).alias("_df")).crossJoin(F.broadcast(n_docs))
     heavy = F.col("_df") > F.lit(max_df) * F.col("_n")
@@ -116,11 +117,11 @@ def term_log_odds(weights: DataFrame, id_col: str = "doc_id") -> DataFrame:
 
 
 def domain_classifier(corpus: DataFrame, id_col: str = "doc_id", text_col: str = "text", seed: int = 42,
-                      max_df: float = 0.5) -> DataFrame:
+                      max_df: float = 0.5, terms: DataFrame | None = None) -> DataFrame:
     """J6 + J7 + J8: one row ``roc_auc, threshold, drift_detected, n_ref_test, n_cur_test``.
 
     Empty held-out sides give a null AUC and no drift."""
-    w = _reliable(tfidf_features(corpus, id_col, text_col, max_df), "tfidf")
+    w = _reliable(tfidf_features(corpus, id_col, text_col, max_df, terms=terms), "tfidf")
     is_train = hash_half(seed, "domain", id_col)
     lo = term_log_odds(w.filter(is_train), id_col)
     test_docs = corpus.filter(~is_train).select(id_col, "side")

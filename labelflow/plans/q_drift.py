@@ -181,7 +181,7 @@ lab AS (SELECT d.doc_id, l.toxic, d.text FROM documents d JOIN labels l USING (d
 lt AS (SELECT DISTINCT doc_id, toxic, unnest(regexp_extract_all(lower(text), '{WORD_RE}')) AS term FROM lab),
 n AS (SELECT count(*) FILTER (WHERE toxic = 0) AS n0, count(*) FILTER (WHERE toxic = 1) AS n1 FROM lab),
 lex AS (SELECT term, ln((count(*) FILTER (WHERE toxic = 0) + 1) / (n0 + 2)) - ln((count(*) FILTER (WHERE toxic = 1) + 1) / (n1 + 2)) AS score
-        FROM lt, n GROUP BY term, n0, n1 HAVING count(*) >= 2),
+        FROM lt, n GROUP BY term, n0, n1),
 toks AS (SELECT doc_id, unnest(regexp_extract_all(lower(coalesce(text, '')), '{WORD_RE}')) AS term FROM corpus),
 s AS (SELECT doc_id, avg(score) AS sentiment FROM toks JOIN lex USING (term) GROUP BY doc_id)
 SELECT c.doc_id, c.side, round(coalesce(s.sentiment, 0.0), 6) AS sentiment FROM corpus c LEFT JOIN s USING (doc_id)""")
@@ -246,25 +246,97 @@ def q_drift_ratio(spark, sf):
     return rounded(share)
 
 
-@register("drift_bootstrap_threshold", "WITH " + VEC_SQL.replace("{shift}", "0.0") + f""",
-sums AS (SELECT substr(md5('{SEED}:bootstrap:' || vec_id), 1, 2) AS bucket, dim, sum(value) AS s, count(*) AS n
-         FROM vlong WHERE side = 'ref' GROUP BY 1, 2),
-per AS (SELECT b, CASE WHEN substr(md5('{SEED}:half:' || b || ':' || bucket), 1, 1) < '8' THEN 'ref' ELSE 'cur' END AS side, dim, s, n
-        FROM sums, range(0, 100) t(b)),
-bm AS (SELECT b, side, dim, sum(s) / sum(n) AS mean FROM per GROUP BY 1, 2, 3),
-d AS (SELECT r.b, sqrt(sum((r.mean - c.mean) * (r.mean - c.mean))) AS distance FROM bm r JOIN bm c
-      ON r.b = c.b AND r.dim = c.dim AND r.side = 'ref' AND c.side = 'cur' GROUP BY r.b)
-SELECT round(quantile_cont(distance, 0.95), 6) AS threshold, count(*) AS n_boot FROM d""")
-def q_drift_bootstrap_threshold(spark, sf):
-    return rounded(DE.bootstrap_threshold(vector_corpus(spark, sf), "euclidean", n_boot=100, seed=SEED))
+N_FEATURES = DE.N_FEATURES
+
+
+def rff_sql(src: str, dim: int, sigma: str) -> str:
+    """CTEs rw, rb, phi(id, side, j, v): the random features of ``src`` (id, side, dim, value)."""
+    unit = "CAST('0x' || substr(md5({k}), {at}, 8) AS BIGINT) / 4294967296.0"
+    key = f"'{SEED}:rff:' || j || ':' || d"
+    return f"""sg AS (SELECT {sigma} AS sigma),
+rw AS (SELECT j, d AS dim, sqrt(-2.0 * ln(1.0 - {unit.format(k=key, at=1)})) * cos(2 * pi() * {unit.format(k=key, at=9)}) AS w0
+  FROM range(0, {N_FEATURES}) a(j), range(0, {dim}) b(d)),
+rb AS (SELECT j, 2 * pi() * {unit.format(k=f"'{SEED}:rffb:' || j", at=1)} AS b FROM range(0, {N_FEATURES}) a(j)),
+phi AS (SELECT id, side, j, sqrt(2.0 / {N_FEATURES}) * cos(dot + rb.b) AS v FROM (
+  SELECT v.id, v.side, rw.j, sum(v.value * (rw.w0 / greatest(sg.sigma, 1e-12))) AS dot FROM {src} v JOIN rw USING (dim), sg GROUP BY ALL) x JOIN rb USING (j))"""
+
+
+SIGMA_SQL = "round((SELECT sqrt(2 * sum(s)) FROM (SELECT var_pop(value) AS s FROM {src} WHERE side = 'ref' GROUP BY dim) q), 9)"
+VID_SQL = ", vid AS (SELECT vec_id AS id, side, dim, value FROM vlong)"
+HEX_SQL = "CAST(greatest(1, least(4, ceil(ln(greatest((SELECT count(DISTINCT id) FROM {src} WHERE side = 'ref'), 2)) / ln(16)))) AS INTEGER)"
+
 
+def boot_sql(name: str, src: str, col: str, hexes: str, stat: str) -> str:
+    """CTE ``name``(threshold): the 0.95 quantile of ``stat`` over 100 halvings of the reference's mean vectors."""
+    return f"""{name}_s AS (SELECT substr(md5('{SEED}:bootstrap:' || id), 1, {hexes}) AS bucket, {col} AS dim, sum(v) AS s, count(*) AS n FROM {src}
+  WHERE side = 'ref' GROUP BY ALL),
+{name}_m AS (SELECT b, CASE WHEN substr(md5('{SEED}:half:' || b || ':' || bucket), 1, 1) < '8' THEN 'ref' ELSE 'cur' END AS side, dim, sum(s) / sum(n) AS m
+  FROM {name}_s, range(0, 100) t(b) GROUP BY ALL),
+{name} AS (SELECT quantile_cont(d, CAST(0.95 AS DOUBLE)) AS threshold FROM (SELECT r.b, {stat} AS d FROM {name}_m r JOIN {name}_m c
+  ON r.b = c.b AND r.dim = c.dim AND r.side = 'ref' AND c.side = 'cur' GROUP BY r.b) x)"""
 
-@register("drift_mmd")
+
+EUCLID = "sqrt(sum((r.m - c.m) * (r.m - c.m)))"
+SQUARED = "sum((r.m - c.m) * (r.m - c.m))"
+COSINE = "1 - sum(r.m * c.m) / (sqrt(sum(r.m * r.m)) * sqrt(sum(c.m * c.m)))"
+MEANS_SQL = """vv AS (SELECT id, side, dim, value AS v FROM vid),
+vm AS (SELECT side, dim, avg(v) AS m FROM vv GROUP BY ALL), fm AS (SELECT side, j AS dim, avg(v) AS m FROM phi GROUP BY ALL),
+mmd AS (SELECT """ + SQUARED + """ AS d FROM fm r JOIN fm c ON r.dim = c.dim AND r.side = 'ref' AND c.side = 'cur'),
+euc AS (SELECT """ + EUCLID + """ AS d FROM vm r JOIN vm c ON r.dim = c.dim AND r.side = 'ref' AND c.side = 'cur'),
+cosd AS (SELECT """ + COSINE + """ AS d FROM vm r JOIN vm c ON r.dim = c.dim AND r.side = 'ref' AND c.side = 'cur')"""
+VEC_HEX = HEX_SQL.format(src="vid")
+
+
+@register("drift_bootstrap_threshold", _vec(0.0) + VID_SQL + ", " + rff_sql("vid", 64, SIGMA_SQL.format(src="vid")) + ", " + MEANS_SQL + ", "
+          + boot_sql("be", "vv", "dim", VEC_HEX, EUCLID) + ", " + boot_sql("bc", "vv", "dim", VEC_HEX, COSINE) + ", "
+          + boot_sql("bm", "phi", "j", VEC_HEX, SQUARED) + """
+SELECT 'euclidean' AS method, round(threshold, 6) AS threshold FROM be UNION ALL SELECT 'cosine', round(threshold, 6) FROM bc
+UNION ALL SELECT 'mmd', round(threshold, 6) FROM bm""")
+def q_drift_bootstrap_threshold(spark, sf):
+    """J16 for every test on mean vectors (100 halvings each)."""
+    c = vector_corpus(spark, sf)
+    rows = [(m, DE.bootstrap_threshold(c, m, seed=SEED)) for m in ("euclidean", "cosine", "mmd")]
+    return rounded(spark.createDataFrame(rows, "method string, threshold double"))
+
+
+@register("drift_bootstrap_ratio", _vec(0.0) + VID_SQL + f""",
+bv AS (SELECT substr(md5('{SEED}:bootstrap:' || id), 1, {VEC_HEX}) AS bucket, dim, value FROM vid WHERE side = 'ref'),
+hv AS (SELECT b * 1000 + dim AS g, CASE WHEN substr(md5('{SEED}:half:' || b || ':' || bucket), 1, 1) < '8' THEN 'ref' ELSE 'cur' END AS side, value
+  FROM bv, range(0, 20) t(b)), """ + WASS_SQL.format(g="g", src="hv") + """
+SELECT 'ratio' AS method, round(quantile_cont(d, CAST(0.95 AS DOUBLE)), 6) AS threshold FROM (
+  SELECT g // 1000 AS b, avg(CAST(distance >= 0.1 AS DOUBLE)) AS d FROM per GROUP BY 1) x""")
+def q_drift_bootstrap_ratio(spark, sf):
+    """J16 for the ratio test (20 halvings: its halvings repeat the reference's values)."""
+    t = DE.bootstrap_threshold(vector_corpus(spark, sf), "ratio", n_boot=20, seed=SEED)
+    return rounded(spark.createDataFrame([("ratio", t)], "method string, threshold double"))
+
+
+@register("drift_mmd", _vec(0.05) + VID_SQL + ", " + rff_sql("vid", 64, SIGMA_SQL.format(src="vid")) + ", " + MEANS_SQL
+          + " SELECT round(d, 6) AS mmd2, round(sigma, 6) AS sigma FROM mmd, sg")
 def q_drift_mmd(spark, sf):
-    """RFF estimate (rows-only; tests compare it with the exact statistic)."""
+    """RFF estimate (tests compare it with the exact statistic)."""
     return rounded(DE.drift_mmd(vector_corpus(spark, sf, 0.05), seed=SEED))
 
 
+@register("drift_static_threshold", _vec(0.05) + VID_SQL + ", " + rff_sql("vid", 64, SIGMA_SQL.format(src="vid")) + ", " + MEANS_SQL + ", "
+          + WASS_SQL.format(g="dim", src="vlong") + """, ra AS (SELECT avg(CAST(distance >= 0.1 AS DOUBLE)) AS d FROM per)
+SELECT 'mmd' AS name, 'MMD (Maximum Mean Discrepancy)' AS label, round(d, 6) AS drift_score, CAST(0.015 AS DOUBLE) AS threshold, d > 0.015 AS drift_detected FROM mmd
+UNION ALL SELECT 'Euclidean', 'Distance-based (euclidean)', round(d, 6), CAST(0.2 AS DOUBLE), d > 0.2 FROM euc
+UNION ALL SELECT 'cosine', 'Distance-based (cosine)', round(d, 6), CAST(0.2 AS DOUBLE), d > 0.2 FROM cosd
+UNION ALL SELECT 'ratio', 'Ratio-based', round(d, 6), CAST(0.2 AS DOUBLE), d >= 0.2 FROM ra
+UNION ALL SELECT 'no such test', 'MMD (Maximum Mean Discrepancy) [default]', round(d, 6), CAST(0.015 AS DOUBLE), d > 0.015 FROM mmd""")
+def q_drift_static_threshold(spark, sf):
+    """J17 + M2: every test by name against its fixed threshold; an unknown name means MMD."""
+    c = vector_corpus(spark, sf, 0.05)
+    ref, cur = (c.filter(F.col("side") == x) for x in ("ref", "cur"))
+    out = None
+    for name in ("mmd", "Euclidean", "cosine", "ratio", "no such test"):
+        fit = DE.fit_embedding(ref, name, False, seed=SEED)
+        row = DE.detect_embedding(fit, cur).select(F.lit(name).alias("name"), F.lit(fit.label).alias("label"), "drift_score", "threshold", "drift_detected")
+        out = row if out is None else out.unionByName(row)
+    return rounded(out)
+
+
 LETTER_PROFILE_BODY = f"""
 alpha AS (SELECT substr('{ALPHABET}', i, 1) AS a, CAST(i AS INTEGER) AS pos FROM range(1, {V + 1}) t(i)),
 cnt AS (SELECT c.doc_id, c.side, alpha.pos, length(lower(c.text)) - length(replace(lower(c.text), alpha.a, '')) AS n
@@ -280,23 +352,25 @@ def q_embed_text(spark, sf):
     return e.select("doc_id", "side", F.transform("embedding", lambda x: F.round(x, 6)).alias("embedding"))
 
 
+def drift_reference(spark, sf, **config):
+    """The detector fitted on the reference side."""
+    ref = text_corpus(spark, sf).filter(F.col("side") == "ref")
+    return DR.drift_fit(ref, DR.DriftConfig(seed=SEED, **config))
+
+
 def _detect(spark, sf):
-    corpus = text_corpus(spark, sf)
-    dc = DT.domain_classifier(corpus, seed=SEED)
-    emb = DE.drift_distance(DE.embed_letter_profile(corpus), "euclidean")
-    thr = DE.static_threshold("euclidean")
-    methods = dc.select(*DR.method_result("domain_classifier", F.col("drift_detected"),
-                                          {"roc_auc": F.col("roc_auc"), "threshold": F.col("threshold")})) \
-        .unionByName(emb.select(*DR.method_result("embedding", F.col("distance") > F.lit(thr),
-                                                  {"drift_score": F.col("distance"), "threshold": F.lit(thr)})))
-    return methods
+    """Default configuration: domain classifier, and MMD with a bootstrap threshold."""
+    cur = text_corpus(spark, sf).filter(F.col("side") == "cur")
+    return DR.drift_method_rows(cur, drift_reference(spark, sf))
 
 
 DETECT_SQL = DOMAIN_SQL + f""", {LETTER_PROFILE_BODY},
-pm AS (SELECT side, pos, avg(value) AS m FROM prof GROUP BY 1, 2),
-ed AS (SELECT sqrt(sum((r.m - c.m) * (r.m - c.m))) AS distance FROM pm r JOIN pm c ON r.pos = c.pos AND r.side = 'ref' AND c.side = 'cur'),
+pv AS (SELECT doc_id AS id, side, CAST(pos - 1 AS INTEGER) AS dim, value FROM prof), """ + rff_sql("pv", V, SIGMA_SQL.format(src="pv")) + """,
+fm AS (SELECT side, j AS dim, avg(v) AS m FROM phi GROUP BY ALL),
+ed AS (SELECT """ + SQUARED + """ AS distance FROM fm r JOIN fm c ON r.dim = c.dim AND r.side = 'ref' AND c.side = 'cur'), """ + boot_sql(
+    "bt", "phi", "j", HEX_SQL.format(src="pv"), SQUARED) + """,
 methods AS (SELECT 'domain_classifier' AS method, coalesce(auc > threshold, false) AS drift_detected, auc AS score, threshold FROM dc
-            UNION ALL SELECT 'embedding', coalesce(distance > 0.2, false), distance, 0.2 FROM ed)
+            UNION ALL SELECT 'embedding', coalesce(ed.distance > bt.threshold, false), ed.distance, bt.threshold FROM ed, bt)
 """
 
 
@@ -318,7 +392,7 @@ count(*) AS total_methods, count(*) FILTER (WHERE drift_detected) AS no_of_metho
 round(count(*) FILTER (WHERE drift_detected) / count(*), 6) AS detection_rate FROM methods""", bench=True)
 def q_drift_detect(spark, sf):
     """J2 + J3: the aggregated batch result (nested method results omitted from the check)."""
-    return rounded(DR.aggregate_methods(_detect(spark, sf)).drop("method_results"))
+    return rounded(DR.aggregate_methods(_detect(spark, sf)).drop("method_results", "reason"))
 
 
 @register("drift_batch_envelope", "SELECT arg_min(event_type, event_id) AS batch_id, "
@@ -332,29 +406,45 @@ def q_drift_batch_envelope(spark, sf):
                       F.col("time_end").cast("timestamp_ntz").alias("time_end"))
 
 
-@register("drift_result_json")
+@register("drift_result_json", DETECT_SQL + """SELECT 'documents_batch' AS batch_id, count(*) FILTER (WHERE drift_detected) > 0 AS drift_detected,
+CASE WHEN count(*) FILTER (WHERE drift_detected) = 0 THEN 'none' WHEN count(*) FILTER (WHERE drift_detected) = 1 THEN 'low'
+     WHEN count(*) FILTER (WHERE drift_detected) = count(*) THEN 'high' ELSE 'medium' END AS drift_severity,
+count(*) AS total_methods, round(max(score) FILTER (WHERE method = 'domain_classifier'), 6) AS roc_auc, true AS has_times FROM methods""")
 def q_drift_result_json(spark, sf):
-    """The serialised batch result (rows-only: it carries the run time)."""
+    """The serialised batch result, read back from its JSON text (times: present and ISO)."""
     agg = DR.aggregate_methods(_detect(spark, sf))
-    env = DR.batch_envelope(read_table(spark, sf, "documents"), "doc_id", DR.DriftConfig(), batch_id="documents_fr")
-    return DR.drift_result_json(DR.drift_output(env, agg))
+    env = DR.batch_envelope(read_table(spark, sf, "documents"), "doc_id", DR.DriftConfig(), batch_id="documents_batch")
+    j = DR.drift_result_json(DR.drift_output(env, agg))
+    at = lambda path: F.get_json_object("json", path)
+    iso = r"^\d{4}-\d{2}-\d{2}T\d{2}:\d{2}:\d{2}"
+    return rounded(j.select(
+        at("$.batch_id").alias("batch_id"), at("$.drift_detected").cast("boolean").alias("drift_detected"), at("$.drift_severity").alias("drift_severity"),
+        at("$.aggregation_details.total_methods").cast("long").alias("total_methods"),
+        at("$.method_results.domain_classifier.details.roc_auc").cast("double").alias("roc_auc"),
+        (at("$.timestamp").rlike(iso) & at("$.time_start").rlike(iso) & at("$.time_end").rlike(iso)).alias("has_times")))
+
+
+@register("drift_fit", f"""WITH {LETTER_PROFILE_SQL}, pv AS (SELECT doc_id AS id, side, CAST(pos - 1 AS INTEGER) AS dim, value FROM prof), """
+          + rff_sql("pv", V, SIGMA_SQL.format(src="pv")) + f""",
+toks AS (SELECT doc_id, unnest(regexp_extract_all(lower(coalesce(text, 'None')), '{WORD_RE}')) AS term FROM corpus WHERE side = 'ref'),
+tc AS (SELECT count(*) AS n_terms FROM (SELECT DISTINCT doc_id, term FROM toks WHERE term NOT IN {STOP_SQL}) x)
+SELECT CAST(j AS INTEGER) AS dim, round(avg(v), 6) AS mean, max(n_terms) AS n_terms FROM phi, tc WHERE side = 'ref' GROUP BY j""")
+def q_drift_fit(spark, sf):
+    """The fitted statistics that detection reads: mean features and the reference's term counts."""
+    fit = drift_reference(spark, sf)
+    n = fit.terms.agg(F.count(F.lit(1)).alias("n_terms"))  # one row
+    return rounded(fit.embedding.stats.crossJoin(F.broadcast(n)).select(F.col("dim").cast("int").alias("dim"), "mean", "n_terms"))
 
 
-@register("drift_fit", f"WITH {LETTER_PROFILE_SQL} SELECT CAST(pos - 1 AS INTEGER) AS dim, round(avg(value), 6) AS mean, "
-          "count(*) AS n FROM prof WHERE side = 'ref' GROUP BY pos")
-def q_drift_fit(spark, sf):
-    """Reference statistics persisted once (mean letter profile + term document
-    frequencies) to the shared folder and read back for later batches."""
-    from ..session import shared_path
-    ref = text_corpus(spark, sf).filter(F.col("side") == "ref")
-    prof = DE.embed_letter_profile(ref)
-    means = DE.side_means(prof).select("dim", "mean", "n")
-    path = shared_path(spark, "drift_reference")
-    means.write.mode("overwrite").parquet(path + "/profile_mean")
-    terms = DT.doc_terms(ref).groupBy("term").agg(F.count(F.lit(1)).alias("df"))
-    terms.write.mode("overwrite").parquet(path + "/term_df")
-    back = spark.read.parquet(path + "/profile_mean")
-    return rounded(back)
+@register("drift_detect_distance", DOMAIN_SQL + f""", {LETTER_PROFILE_BODY},
+pm AS (SELECT side, pos, avg(value) AS m FROM prof GROUP BY 1, 2),
+ed AS (SELECT sqrt(sum((r.m - c.m) * (r.m - c.m))) AS distance FROM pm r JOIN pm c ON r.pos = c.pos AND r.side = 'ref' AND c.side = 'cur')
+SELECT distance > 0.2 AS drift_detected, CASE WHEN distance > 0.2 THEN 'low' ELSE 'none' END AS drift_severity, 1 AS total_methods FROM ed""")
+def q_drift_detect_distance(spark, sf):
+    """J2 + J3 with one configured method: static euclidean distance."""
+    fit = drift_reference(spark, sf, methods=("embedding", "text_overview"), embedding_drift_method="euclidean", use_bootstrap=False)
+    cur = text_corpus(spark, sf).filter(F.col("side") == "cur")
+    return DR.drift_detect(cur, fit).select("drift_detected", "drift_severity", F.col("total_methods").cast("int").alias("total_methods"))
 
 
 @register("domain_classifier_mllib", "SELECT true AS drift_detected, true AS separable")

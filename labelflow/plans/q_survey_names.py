@@ -52,7 +52,6 @@ def q_domain_classifier_fit(spark, sf):
     return rounded(lo.select("term", "log_odds"))
 
 
-register("drift_static_threshold", REGISTRY["drift_euclidean_shifted"].sql)(REGISTRY["drift_euclidean_shifted"].build)
 register("drift_method_result", REGISTRY["drift_method_results"].sql)(REGISTRY["drift_method_results"].build)
 
 
