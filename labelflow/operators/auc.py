@@ -39,37 +39,42 @@ def binary_auc(df: DataFrame, label_col: str, score_col: str, positive, n_rows:
     return auc_from_counts(counts, ["_g"], n_rows=n_rows).drop("_g")
 
 
+def score_counts(long_probs: DataFrame, true_col: str = "true_label") -> DataFrame:
+    """``(label, true_label, score, n)``: everything that the per-class and pairwise AUCs need."""
+    return long_probs.groupBy("label", F.col(true_col).alias("true_label"), F.col("prob").cast("double").alias("score")) \
+        .agg(F.count(F.lit(1)).alias("n"))
+
+
+def split_counts(counts: DataFrame, group_cols: list[str]) -> DataFrame:
+    """Positives (true label = label) and negatives per (group, score)."""
+    is_pos = F.col("true_label") == F.col("label")
+    return counts.groupBy(*group_cols, "score").agg(F.sum(F.when(is_pos, F.col("n")).otherwise(0)).alias("pos"),
+                                                    F.sum(F.when(is_pos, 0).otherwise(F.col("n"))).alias("neg"))
+
+
 def ovr_auc(long_probs: DataFrame, true_col: str = "true_label", n_rows: int | None = None) -> DataFrame:
     """H13 per class: AUC of ``prob(label)`` for ``true == label`` vs rest.
 
     ``long_probs``: ``(id, true, label, prob)``."""
-    is_pos = (F.col(true_col) == F.col("label")).cast("long")
-    counts = long_probs.groupBy("label", F.col("prob").cast("double").alias("score")).agg(
-        F.sum(is_pos).alias("pos"), F.sum(1 - is_pos).alias("neg"))
-    return auc_from_counts(counts, ["label"], n_rows=n_rows)
+    return auc_from_counts(split_counts(score_counts(long_probs, true_col), ["label"]), ["label"], n_rows=n_rows)
 
 
 def ovo_auc(long_probs: DataFrame, labels: DataFrame, true_col: str = "true_label",
             n_rows: int | None = None) -> DataFrame:
     """H14 per unordered pair (a < b): mean of AUC(a vs b on prob_a) and AUC(b vs a on prob_b)
-    over the rows whose true label is a or b (Hand & Till).
-
-    Positives are reduced to ``(a, score)`` first and only then paired with the other labels,
-    so the pair expansion is applied to aggregated rows."""
-    lp = long_probs.withColumn("score", F.col("prob").cast("double"))
-    neg = lp.filter(F.col(true_col) != F.col("label")).groupBy(
-        F.col("label").alias("a"), F.col(true_col).alias("b"), "score").agg(F.count(F.lit(1)).alias("neg"))
-    pos_a = lp.filter(F.col(true_col) == F.col("label")).groupBy(
-        F.col("label").alias("a"), "score").agg(F.count(F.lit(1)).alias("pos"))
-    # ordered label pairs (a != b) from the class list: k * (k - 1) rows, an equi join on a
-    everyone = labels.agg(F.collect_set("label").alias("_all"))
-    pairs = everyone.select(F.explode("_all").alias("a"), "_all") \
-        .select("a", F.explode("_all").alias("b")).filter(F.col("a") != F.col("b"))
-    pos = pos_a.join(pairs, "a")
-    allc = pos.select("a", "b", "score", "pos", F.lit(0).cast("long").alias("neg")).unionByName(
-        neg.select("a", "b", "score", F.lit(0).cast("long").alias("pos"), "neg"))
-    counts = allc.groupBy("a", "b", "score").agg(F.sum("pos").alias("pos"), F.sum("neg").alias("neg"))
-    directed = auc_from_counts(counts, ["a", "b"], n_rows=n_rows)
+    over the rows whose true label is a or b (Hand & Till)."""
+    return ovo_from_counts(score_counts(long_probs, true_col), [r[0] for r in labels.collect()], n_rows)
+
+
+def ovo_from_counts(counts: DataFrame, labels: list[str], n_rows: int | None = None) -> DataFrame:
+    """H14 from the score counts: only counts are paired with the other classes, never rows."""
+    everyone = F.array(*[F.lit(x) for x in labels])
+    is_pos = F.col("true_label") == F.col("label")
+    others = F.when(is_pos, F.array_except(everyone, F.array("label"))).otherwise(F.array("true_label"))
+    allc = counts.select(F.col("label").alias("a"), F.explode(others).alias("b"), "score",
+                         F.when(is_pos, F.col("n")).otherwise(0).alias("pos"), F.when(is_pos, 0).otherwise(F.col("n")).alias("neg"))
+    per = allc.groupBy("a", "b", "score").agg(F.sum("pos").alias("pos"), F.sum("neg").alias("neg"))
+    directed = auc_from_counts(per, ["a", "b"], n_rows=n_rows)
     pair = F.when(F.col("a") < F.col("b"), F.struct(F.col("a"), F.col("b"))).otherwise(
         F.struct(F.col("b").alias("a"), F.col("a").alias("b")))
     return directed.groupBy(pair.alias("_p")).agg(F.avg("auc").alias("auc"),

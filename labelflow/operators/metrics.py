@@ -17,7 +17,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.columns import round4, safe_div
-from .auc import binary_auc, ovo_auc, ovr_auc
+from .auc import auc_from_counts, ovo_from_counts, split_counts
 
 OVERALL_COLUMNS = [
     "accuracy", "balanced_accuracy", "precision_macro", "precision_micro", "precision_weighted",
@@ -125,8 +125,9 @@ def classification_report(confusion: DataFrame, digits: int | None = None) -> Da
     return rep
 
 
-def metrics_long(overall: DataFrame) -> DataFrame:
-    """``(metric, averaging, value)``, e.g. ('precision', 'macro', 0.91)."""
+def metrics_long(overall: DataFrame, auc: DataFrame | None = None) -> DataFrame:
+    """``(metric, averaging, value)``, e.g. ('precision', 'macro', 0.91); with ``auc`` (the row of
+    ``roc_auc``) also ('roc_auc', 'ovr' or 'ovo'), where there is a value."""
     pairs = []
     for c in OVERALL_COLUMNS:
         if c in ("num_samples", "num_classes"):
@@ -136,47 +137,83 @@ def metrics_long(overall: DataFrame) -> DataFrame:
             pairs.append((metric, avg, c))
         else:
             pairs.append((c, "none", c))
-    arr = F.array(*[F.struct(F.lit(m).alias("metric"), F.lit(a).alias("averaging"),
-                             F.col(c).cast("double").alias("value")) for m, a, c in pairs])
-    return overall.select(F.explode(arr).alias("_m")).select("_m.*")
+
+    def rows(df: DataFrame, items) -> DataFrame:
+        arr = F.array(*[F.struct(F.lit(m).alias("metric"), F.lit(a).alias("averaging"),
+                                 F.col(c).cast("double").alias("value")) for m, a, c in items])
+        return df.select(F.explode(arr).alias("_m")).select("_m.*")
+
+    out = rows(overall, pairs)
+    if auc is not None:
+        more = rows(auc, [("roc_auc", "ovr", "roc_auc_ovr"), ("roc_auc", "ovo", "roc_auc_ovo")])
+        out = out.unionByName(more.filter(F.col("value").isNotNull()))
+    return out
+
+
+def get_metric(long: DataFrame, metric: str, averaging: str = "none") -> float:
+    """One value of ``metrics_long``; an unknown name or averaging is an error."""
+    rows = long.collect()  # a fixed handful of metrics
+    for r in rows:
+        if (r["metric"], r["averaging"]) == (metric, averaging):
+            return r["value"]
+    known = sorted({r["averaging"] for r in rows if r["metric"] == metric})
+    raise ValueError(f"metric {metric!r} has no averaging {averaging!r}; it has: {', '.join(known)}" if known
+                     else f"unknown metric {metric!r}; known: {', '.join(sorted({r['metric'] for r in rows}))}")
+
+
+def metrics_json(long: DataFrame, round_digits: int | None = None) -> DataFrame:
+    """The metrics as nested JSON text, ``{metric: {averaging: value}}`` (one row)."""
+    v = F.col("value") if round_digits is None else F.round("value", round_digits)
+    per = long.groupBy("metric").agg(F.map_from_entries(F.array_sort(F.collect_list(F.struct("averaging", v.alias("v"))))).alias("m"))
+    return per.agg(F.to_json(F.map_from_entries(F.array_sort(F.collect_list(F.struct("metric", "m"))))).alias("json"))
+
+
+def probability_row_check(scored: DataFrame) -> DataFrame:
+    """One row: the largest distance of a row's probabilities from a sum of 1, and the least number of
+    them (computed inside each row)."""
+    total = F.aggregate("probs", F.lit(0.0), lambda a, b: a + b)
+    return scored.agg(F.max(F.abs(total - 1.0)).alias("_dev"), F.min(F.size("probs")).alias("_cmin"))
 
 
 def roc_auc(scored_long: DataFrame, confusion: DataFrame, true_labels: DataFrame,
-            true_col: str = "true_label") -> DataFrame:
+            true_col: str = "true_label", row_check: DataFrame | None = None) -> DataFrame:
     """One row ``roc_auc_ovr``, ``roc_auc_ovo`` following the reference's rules.
 
     * more than 2 classes: macro OVR and macro OVO (Hand & Till);
     * exactly 2: binary AUC with the second sorted label positive, OVO null;
     * null when a true label lacks a probability, when a label is only ever predicted (the
       probability matrix then has too few columns), or when rows do not sum to 1.
+
+    All three AUCs come from one written table of counts per (label, true label, score). The number
+    of classes is known from two small jobs first, so only the branch that applies is planned;
+    ``row_check`` (``probability_row_check``) saves regrouping the long rows by id.
     """
-    # one count bounds the size of every (group, score) table below (bucket sizing only)
-    n_long = scored_long.count()
-    labels_all = label_set(confusion)
-    k_all = labels_all.agg(F.count(F.lit(1)).alias("k_all"))
-    k_true = true_labels.agg(F.count(F.lit(1)).alias("k_true"),
-                             F.max("label").alias("_second"))
-    have = scored_long.join(true_labels, "label", "left_semi")
-    sums = have.groupBy("id").agg(F.sum("prob").alias("_s"), F.count(F.lit(1)).alias("_c"))
-    sum_ok = sums.agg(F.max(F.abs(F.col("_s") - 1.0)).alias("_dev"), F.min("_c").alias("_cmin"))
-    ovr = ovr_auc(have, true_col, n_rows=n_long).agg(F.avg("auc").alias("_ovr"), F.count("auc").alias("_n_ovr"),
-                                       F.count(F.lit(1)).alias("_n_cls"))
-    ovo = ovo_auc(have, true_labels, true_col, n_rows=2 * n_long).agg(F.avg("auc").alias("_ovo"),
-                                                    F.count("auc").alias("_n_ovo"),
-                                                    F.count(F.lit(1)).alias("_n_pairs"))
-    # binary case: positive = the larger of the two sorted labels, score = its probability
-    pos_rows = have.join(k_true.select(F.col("_second").alias("label")), "label")
-    bin_auc = binary_auc(pos_rows.withColumn("_is", (F.col(true_col) == F.col("label")).cast("int")),
-                         "_is", "prob", 1, n_rows=n_long).select(F.col("auc").alias("_bin"))
-    # every piece below is a one-row aggregate: the cross joins combine single rows
-    one = k_all.crossJoin(k_true).crossJoin(sum_ok).crossJoin(ovr).crossJoin(ovo).crossJoin(bin_auc)
-    valid = (F.col("k_all") == F.col("k_true")) & (F.col("_cmin") == F.col("k_true")) & \
-            (F.col("_dev") <= F.lit(1e-5 + 1e-8))
-    multi = F.col("k_true") > 2
-    ovr_v = F.when(valid & multi & (F.col("_n_ovr") == F.col("_n_cls")), F.col("_ovr")) \
-             .when(valid & (F.col("k_true") == 2), F.col("_bin"))
-    ovo_v = F.when(valid & multi & (F.col("_n_ovo") == F.col("_n_pairs")), F.col("_ovo"))
-    return one.select(ovr_v.cast("double").alias("roc_auc_ovr"), ovo_v.cast("double").alias("roc_auc_ovo"))
+    from ..session import write_table
+    spark = scored_long.sparkSession
+    labels = [r[0] for r in true_labels.orderBy("label").collect()]  # the class list of the model
+    nothing = spark.range(1).select(F.lit(None).cast("double").alias("roc_auc_ovr"), F.lit(None).cast("double").alias("roc_auc_ovo"))
+    if len(labels) < 2 or label_set(confusion).count() != len(labels):
+        return nothing
+    have = scored_long.filter(F.col("label").isin(labels))
+    if row_check is None:
+        sums = have.groupBy("id").agg(F.sum("prob").alias("_s"), F.count(F.lit(1)).alias("_c"))
+        row_check = sums.agg(F.max(F.abs(F.col("_s") - 1.0)).alias("_dev"), F.min("_c").alias("_cmin"))
+    check = row_check.first()
+    if check["_dev"] is None or check["_dev"] > 1e-5 + 1e-8 or check["_cmin"] < len(labels):
+        return nothing
+    counts = write_table(have.groupBy("label", F.col(true_col).alias("true_label"), F.col("prob").cast("double").alias("score"))
+                         .agg(F.count(F.lit(1)).alias("n")), "score_counts")
+    if len(labels) == 2:
+        one = counts.filter(F.col("label") == labels[1]).withColumn("_g", F.lit(0))
+        ovr = auc_from_counts(split_counts(one, ["_g"]), ["_g"])
+        return ovr.select(F.col("auc").cast("double").alias("roc_auc_ovr"), F.lit(None).cast("double").alias("roc_auc_ovo"))
+    ovr = auc_from_counts(split_counts(counts, ["label"]), ["label"]).agg(
+        F.avg("auc").alias("_v"), F.count("auc").alias("_n"))
+    ovo = ovo_from_counts(counts, labels).agg(F.avg("auc").alias("_w"), F.count("auc").alias("_m"))
+    n_pairs = len(labels) * (len(labels) - 1) // 2
+    return ovr.crossJoin(ovo).select(  # one row each
+        F.when(F.col("_n") == len(labels), F.col("_v")).cast("double").alias("roc_auc_ovr"),
+        F.when(F.col("_m") == n_pairs, F.col("_w")).cast("double").alias("roc_auc_ovo"))
 
 
 def misclassified(df: DataFrame, true_col: str, pred_col: str = "predicted_label",

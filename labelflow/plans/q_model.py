@@ -83,7 +83,7 @@ def true_labels(spark, sf):
 def evaluation_row(spark, sf):
     conf = confusion(spark, sf)
     overall = M.overall_metrics(conf)
-    auc = M.roc_auc(scored_long(spark, sf), conf, true_labels(spark, sf))
+    auc = M.roc_auc(scored_long(spark, sf), conf, true_labels(spark, sf), row_check=M.probability_row_check(scored_docs(spark, sf)))
     return overall.crossJoin(auc)
 
 
@@ -375,9 +375,12 @@ def q_classification_report(spark, sf):
     "JOIN (VALUES " + ", ".join(
         f"('{c}', '{c.rpartition('_')[0] if c.rpartition('_')[2] in ('macro', 'micro', 'weighted') else c}', "
         f"'{c.rpartition('_')[2] if c.rpartition('_')[2] in ('macro', 'micro', 'weighted') else 'none'}')"
-        for c in OVERALL_NUM) + ") m(name, metric, averaging) USING (name)"))
+        for c in OVERALL_NUM) + ") m(name, metric, averaging) USING (name) "
+    "UNION ALL SELECT 'roc_auc', 'ovr', round(roc_auc_ovr, 6) FROM auc WHERE roc_auc_ovr IS NOT NULL "
+    "UNION ALL SELECT 'roc_auc', 'ovo', round(roc_auc_ovo, 6) FROM auc WHERE roc_auc_ovo IS NOT NULL"))
 def q_metrics_long(spark, sf):
-    return rounded(M.metrics_long(M.overall_metrics(confusion(spark, sf))))
+    auc = M.roc_auc(scored_long(spark, sf), confusion(spark, sf), true_labels(spark, sf), row_check=M.probability_row_check(scored_docs(spark, sf)))
+    return rounded(M.metrics_long(M.overall_metrics(confusion(spark, sf)), auc))
 
 
 @register("roc_auc_ovr_per_class", with_scorer("SELECT label, " + _r("auc", "auc") + " FROM ovr_c"))
@@ -388,7 +391,7 @@ def q_roc_auc_ovr_per_class(spark, sf):
 
 @register("roc_auc_ovr_macro", with_scorer("SELECT " + _r("roc_auc_ovr", "roc_auc_ovr") + " FROM auc"))
 def q_roc_auc_ovr_macro(spark, sf):
-    return rounded(M.roc_auc(scored_long(spark, sf), confusion(spark, sf), true_labels(spark, sf))
+    return rounded(M.roc_auc(scored_long(spark, sf), confusion(spark, sf), true_labels(spark, sf), row_check=M.probability_row_check(scored_docs(spark, sf)))
                    .select("roc_auc_ovr"))
 
 
@@ -400,7 +403,7 @@ def q_roc_auc_ovo_pairs(spark, sf):
 
 @register("roc_auc_ovo_macro", with_scorer("SELECT " + _r("roc_auc_ovo", "roc_auc_ovo") + " FROM auc"))
 def q_roc_auc_ovo_macro(spark, sf):
-    return rounded(M.roc_auc(scored_long(spark, sf), confusion(spark, sf), true_labels(spark, sf))
+    return rounded(M.roc_auc(scored_long(spark, sf), confusion(spark, sf), true_labels(spark, sf), row_check=M.probability_row_check(scored_docs(spark, sf)))
                    .select("roc_auc_ovo"))
 
 

@@ -65,7 +65,7 @@ def test_bootstrap_threshold_bounds_noise(spark):
     e = read_table(spark, SF_MID, "embeddings").select("vec_id", F.transform("embedding", lambda x: x.cast("double")).alias("embedding"))
     h = F.substring(F.md5(F.col("vec_id").cast("string")), 1, 1) < "8"
     c = DT.tag_sides(e.filter(h), e.filter(~h))
-    thr = DE.bootstrap_threshold(c, "euclidean", n_boot=50).first()["threshold"]
+    thr = DE.bootstrap_threshold(c, "euclidean", n_boot=50)
     dist = DE.drift_distance(c, "euclidean").first()["distance"]
     shifted = DT.tag_sides(e.filter(h), e.filter(~h).withColumn("embedding", F.transform("embedding", lambda x: x + 0.5)))
     assert DE.drift_distance(shifted, "euclidean").first()["distance"] > thr
