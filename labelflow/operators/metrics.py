@@ -165,7 +165,7 @@ def metrics_json(long: DataFrame, round_digits: int | None = None) -> DataFrame:
     """The metrics as nested JSON text, ``{metric: {averaging: value}}`` (one row)."""
     v = F.col("value") if round_digits is None else F.round("value", round_digits)
     per = long.groupBy("metric").agg(F.map_from_entries(F.array_sort(F.collect_list(F.struct("averaging", v.alias("v"))))).alias("m"))
-    return per.agg(F.to_json(F.map_from_entries(F.array_sort(F.collect_list(F.struct("metric", "m"))))).alias("json"))
+    return per.agg(F.to_json(F.map_from_entries(F.collect_list(F.struct("metric", "m")))).alias("json"))
 
 
 def probability_row_check(scored: DataFrame) -> DataFrame:
