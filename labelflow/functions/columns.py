@@ -33,7 +33,8 @@ def hash_half(seed: int, tag: str, *cols) -> Column:
 
 
 def prob_column_name(label: str) -> str:
-    """``prob_<label>`` with blank -> ``_`` and ``&`` -> ``and`` (same on write and read)."""
+    """``prob_<label>`` with blank -> ``_`` and ``&`` -> ``and`` (same on write and read).
+    Fixed format: the column names must equal the reference's."""
     return "prob_" + label.replace(" ", "_").replace("&", "and")
 
 

@@ -23,14 +23,6 @@ STOP_WORDS = (
 ).split()
 
 
-def letter_count_columns(text: Column) -> list[Column]:
-    """One count per ALPHABET letter over the whole lower-cased text, as separate top-level
-    expressions: they stay inside whole-stage codegen, whose common-subexpression
-    elimination computes ``lower(text)`` once per row. No per-character array is built."""
-    t = F.lower(text)
-    return [F.length(t) - F.length(F.replace(t, F.lit(a), F.lit(""))) for a in ALPHABET]
-
-
 def word_tokens(text: Column) -> Column:
     """``array<string>`` of lower-cased word tokens over the whole text."""
     return F.regexp_extract_all(F.lower(text), F.lit(WORD_PATTERN), 0)

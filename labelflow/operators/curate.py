@@ -13,9 +13,6 @@ from pyspark.sql import functions as F
 
 from .kernels import prefix_totals
 
-# The five categories the reference keeps.
-REFERENCE_LABELS = ["POLITICS", "ENTERTAINMENT", "TRAVEL", "BUSINESS", "SPORTS"]
-
 
 # ---------------------------------------------------------------- checks
 

@@ -7,8 +7,6 @@ aggregate whose size AQE measures at run time before choosing a broadcast.
 
 from __future__ import annotations
 
-import json
-
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
@@ -59,11 +57,3 @@ def read_label_mappings(spark: SparkSession, path: str) -> DataFrame:
 def write_label_mappings(dim: DataFrame, path: str) -> str:
     label_mappings_json(dim).coalesce(1).write.mode("overwrite").text(path)
     return path
-
-
-def mappings_to_python(dim_rows) -> dict:
-    """Driver helper for the (bounded) dimension rows: the reference's mapping dict."""
-    label2id = {r["label"]: int(r["label_id"]) for r in dim_rows}
-    return {"label2id": label2id, "id2label": {str(v): k for k, v in label2id.items()},
-            "labels": [k for k, _ in sorted(label2id.items(), key=lambda kv: kv[1])],
-            "json": json.dumps(label2id)}
