@@ -9,8 +9,11 @@ from conftest import SF_SMALL
 import __spark_entry__ as entry
 from tools.oracle_check import TABLES, digest
 
-SQL = entry.oracle_sql()
-QUERIES = entry.queries()
+from labelflow.plans import REGISTRY
+
+# the corpus queries have their own parity and brute-force tests in tests/llm
+SQL = {k: v for k, v in entry.oracle_sql().items() if k in REGISTRY}
+QUERIES = {k: v for k, v in entry.queries().items() if k in REGISTRY}
 
 
 @pytest.fixture(scope="module")
