@@ -23,8 +23,10 @@ def documents(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def prepare(spark: SparkSession) -> None:
-    """Ship the package to the executors and keep Arrow batches small (long texts)."""
+    """Ship the package to the executors, keep Arrow batches small (long texts) and let Spark remove
+    the shuffle files of each finished job (every step's result is a table in the shared folder)."""
     ship_package(spark)
+    spark.conf.set("spark.sql.classic.shuffleDependency.fileCleanup.enabled", "true")
     spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", str(BATCH_ROWS))
     spark.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", str(BATCH_BYTES))
 
