@@ -7,12 +7,15 @@ offer. A document stops as soon as all its places hold less than the next step c
 documents stop after one or two steps. Places are cut into bands; rows per band and bands follow
 from the threshold so that a true link shares no band with a probability below ``MISS``.
 
-Documents with equal sets are one class. In every bucket, members are compared with a few leads at
-a time, twice as many in each round, and only if they are in different components so far; a bucket
-is done when it holds one component or all members have been leads. So a bucket with a third of all
-rows costs its size, not its square, as long as its members are near copies, and no pair that a
-bucket offers is ever dropped. A pair whose signatures agree far too seldom for the threshold (six
-standard deviations) is left out; the others are confirmed on the full sets.
+Documents with equal sets are one class. First every member of a bucket is compared with the
+bucket's first class: pairs whose signatures agree far too seldom for the threshold (six standard
+deviations) are left out, the others are confirmed on the full sets. That settles pairs and tight
+groups. Buckets of three or more that still hold several components are joined to clusters, and a
+cluster is settled exactly: all members outside its largest component are compared with all
+members, block by block. A task gets two blocks of at most about ``BLOCK`` sets each, counts all
+intersections as one matrix product over the shingles that occur twice, and returns a spanning
+forest of the links. So no pair of members ever becomes a row, no task holds a whole group, near
+copies of one text cost their number and not its square, and no link that a bucket offers is lost.
 
 Defined results: documents without words have an empty set, are linked with nothing and stay; null
 ids count as larger than any other and stay only alone; repeated rows are copies of one class; an
@@ -25,16 +28,16 @@ import math
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import (U, components, drop_table, mix, pieces_of, prepare, release_shuffles, shared_table, shingle_sets,
+from .common import (U, components, drop_table, mix, pieces_of, prepare, shared_table, shingle_sets,
                      text_bytes)
 from .spans import named_rows
 
 MISS = 1e-7
 MAX_PLACES = 224
-LEADS = 2
+BLOCK = 256
 _STEP = 0x9E3779B97F4A7C15
 _MASK = (1 << 64) - 1
 
@@ -163,6 +166,71 @@ def agreeing(least: int):
     return run
 
 
+def block_links(num: int, den: int):
+    """Spanning forest of the links between two blocks of sets."""
+
+    def run(table: pa.Table) -> pa.Table:
+        table = table.sort_by("cls")
+        cls = table.column("cls").to_numpy()
+        raw = table.column("elements").to_pylist()
+        m = len(raw)
+        size = np.array([len(x) // 8 for x in raw], np.int64)
+        flat = np.frombuffer(b"".join(raw), np.uint64)
+        owner = np.repeat(np.arange(m), size)
+        order = np.argsort(flat, kind="stable")
+        flat, owner = flat[order], owner[order]
+        new = np.ones(len(flat), bool)
+        new[1:] = flat[1:] != flat[:-1]
+        at = np.cumsum(new) - 1
+        twice = np.bincount(at) > 1
+        keep = twice[at]
+        owner, at = owner[keep], (np.cumsum(twice) - 1)[at[keep]]
+        both = np.zeros((m, m), np.float32)
+        width = 4096
+        for s in range(0, int(twice.sum()), width):
+            lo, hi = np.searchsorted(at, [s, s + width])
+            x = np.zeros((m, width), np.float32)
+            x[owner[lo:hi], at[lo:hi] - s] = 1
+            both += x @ x.T
+        both = both.astype(np.int64)
+        link = den * both >= num * (size[:, None] + size[None, :] - both)
+        np.fill_diagonal(link, True)
+        label = np.arange(m)
+        while True:
+            least = np.where(link, label[None, :], m).min(1)
+            least = np.minimum(least, least[least])
+            if (least == label).all():
+                break
+            label = least
+        a = np.flatnonzero(label != np.arange(m))
+        return pa.table({"a": pa.array(cls[a], pa.int64()), "b": pa.array(cls[label[a]], pa.int64())})
+
+    return run
+
+
+def settle_clusters(rest: DataFrame, sets: DataFrame, num: int, den: int) -> DataFrame:
+    """Links (a, b) inside clusters of open buckets. ``rest``: key, b (the bucket's first class), cls,
+    comp."""
+    cluster = components(rest.select(F.col("cls").alias("a"), "b").distinct())
+    member = rest.select("cls", "comp").distinct().join(cluster.toDF("cls", "cluster"), "cls")
+    member = shared_table(member, "cluster_members")
+    by_comp = member.groupBy("cluster", "comp").agg(F.count(F.lit(1)).alias("n"))
+    most = by_comp.groupBy("cluster").agg(F.max_by("comp", F.struct("n", "comp")).alias("big"), F.max("n").alias("n_big"), F.sum("n").alias("n_all"))
+    blocks = lambda n: F.ceil(n / F.lit(BLOCK)).cast("int")
+    most = shared_table(most.select("cluster", "big", blocks(F.col("n_all") - F.col("n_big")).alias("n_out"), blocks(F.col("n_big")).alias("n_in")), "cluster_sizes")
+    m = member.join(most, "cluster").withColumn("outside", F.col("comp") != F.col("big"))
+    own = F.pmod(F.xxhash64("cls"), F.when(F.col("outside"), F.col("n_out")).otherwise(F.col("n_in"))).cast("int")
+    # blocks 0 .. n_out - 1 are outside the largest component, the others inside; a pair of blocks has
+    # at least one outside
+    m = m.withColumn("own", own)
+    others = F.when(F.col("outside"), F.sequence(F.lit(0), F.col("n_out") + F.col("n_in") - 1)).otherwise(F.sequence(F.lit(0), F.col("n_out") - 1))
+    block = F.when(F.col("outside"), F.col("own")).otherwise(F.col("n_out") + F.col("own"))
+    m = m.select("cls", "cluster", block.alias("block"), F.explode(others).alias("other"))
+    m = m.select("cls", "cluster", F.least("block", "other").alias("p"), F.greatest("block", "other").alias("q"))
+    dealt = m.join(sets, "cls").select("cluster", "p", "q", "cls", "elements")
+    return dealt.groupBy("cluster", "p", "q").applyInArrow(block_links(num, den), "a long, b long").distinct()
+
+
 def near_duplicates(docs: DataFrame, shingle: int = 5, num: int = 80, den: int = 100) -> DataFrame:
     """One row per row of ``docs``: doc_id, n_shingles, component_id, kept, and rid (a name that
     equal rows share, as in ``spans.named_rows``). Documents are linked if
@@ -180,57 +248,41 @@ def near_duplicates(docs: DataFrame, shingle: int = 5, num: int = 80, den: int =
     inside = members.select("cls").distinct()
     about = shared_table(feats.where("cls is not null").groupBy("cls").agg(
         F.min("doc_id").alias("rep"), F.first("n_shingles").alias("n"), F.first("sig").alias("sig")).join(inside, "cls", "left_semi"), "class_sketches")
-    release_shuffles(spark)
     reps = about.select(F.col("rep").alias("doc_id"))
     wanted = base.alias("d").join(reps.distinct().alias("r"), F.expr("d.doc_id <=> r.doc_id"), "left_semi")
     sets = wanted.mapInArrow(full_sets(shingle), "cls long, elements binary").dropDuplicates(["cls"])
     sets = shared_table(sets, "class_sets")
-    release_shuffles(spark)
 
     spread = math.sqrt(t * (1 - t) / m)
     least = max(0, math.floor(m * (t - 6 * spread)))
     light = about.select("cls", "n", "sig")
-    links: DataFrame | None = None
-    roots: DataFrame | None = None
-    open_members, leads, past = members, LEADS, 0
-    while True:
-        if roots is None:
-            named = open_members.withColumn("comp", F.col("cls"))
-        else:
-            named = open_members.join(roots, open_members["cls"] == roots["node"], "left").select("key", "cls", F.coalesce("root", "cls").alias("comp"))
-        named = shared_table(named, "members_named")
-        mixed = named.groupBy("key").agg(F.min("comp").alias("lo"), F.max("comp").alias("hi")).where("lo < hi").select("key")
-        named = shared_table(named.join(mixed, "key", "left_semi"), "members_open")
-        # the next leads of every bucket, by a partial top-k before anything moves
-        rank = F.row_number().over(Window.partitionBy("key").orderBy("cls"))
-        lead = shared_table(named.withColumn("r", rank).where(F.col("r") <= leads)
-                            .select("key", F.col("cls").alias("b"), F.col("comp").alias("comp_b")), "leads")
-        if lead.isEmpty():
-            break
-        pairs = (named.join(lead, "key").where("cls > b and comp <> comp_b")
-                 .select(F.col("cls").alias("a"), "b").distinct())
-        one, two = light.toDF("a", "na", "ga"), light.toDF("b", "nb", "gb")
-        near = (pairs.join(one, "a").join(two, "b")
-                .where((F.lit(den) * F.least("na", "nb") >= F.lit(num) * F.greatest("na", "nb")))
-                .select("a", "b", "ga", "gb").mapInArrow(agreeing(least), "a long, b long"))
-        near = shared_table(near, "pairs")
-        got = (near.join(sets.toDF("a", "sa"), "a").join(sets.toDF("b", "sb"), "b")
-               .select("a", "b", "sa", "sb").mapInArrow(confirmed(num, den), "a long, b long"))
-        got = shared_table(got, "links")
-        links = got if links is None else links.unionByName(got)
-        roots = shared_table(components(links), "roots")
-        # leads have met every other member of their bucket
-        open_members = named.join(lead.select("key", F.col("b").alias("cls")), ["key", "cls"], "left_anti").select("key", "cls")
-        leads *= 2
-        past += 1
-        release_shuffles(spark)
+    # 1. every member against the first class of its bucket
+    lead = members.groupBy("key").agg(F.min("cls").alias("b"), F.count(F.lit(1)).alias("size"))
+    lead = shared_table(lead, "bucket_leads")
+    pairs = members.join(lead, "key").where("cls > b").select(F.col("cls").alias("a"), "b").distinct()
+    one, two = light.toDF("a", "na", "ga"), light.toDF("b", "nb", "gb")
+    near = (pairs.join(one, "a").join(two, "b")
+            .where((F.lit(den) * F.least("na", "nb") >= F.lit(num) * F.greatest("na", "nb")))
+            .select("a", "b", "ga", "gb").mapInArrow(agreeing(least), "a long, b long"))
+    near = shared_table(near, "pairs")
+    links = (near.join(sets.toDF("a", "sa"), "a").join(sets.toDF("b", "sb"), "b")
+             .select("a", "b", "sa", "sb").mapInArrow(confirmed(num, den), "a long, b long"))
+    links = shared_table(links, "links")
+    roots = shared_table(components(links), "roots")
+    # 2. larger buckets that still hold several components
+    large = members.join(lead.where("size > 2").select("key", "b"), "key")
+    named = shared_table(large.join(roots, large["cls"] == roots["node"], "left")
+                         .select("key", "b", "cls", F.coalesce("root", "cls").alias("comp")), "members_named")
+    mixed = named.groupBy("key").agg(F.min("comp").alias("lo"), F.max("comp").alias("hi")).where("lo < hi").select("key")
+    rest = shared_table(named.join(mixed, "key", "left_semi"), "members_open")
+    if not rest.isEmpty():
+        links = links.unionByName(shared_table(settle_clusters(rest, sets, num, den), "cluster_links"))
+        roots = shared_table(components(links), "all_roots")
     named = feats.select("doc_id", "rid", "n_shingles", "cls")
     least_id = about.select("cls", "rep")
-    if roots is not None:
-        byroot = roots.join(least_id, roots["node"] == least_id["cls"]).groupBy("root").agg(F.min("rep").alias("component"))
-        linked = shared_table(roots.join(byroot, "root").select(F.col("node").alias("cls"), "component"), "linked")
-    else:
-        linked = spark.createDataFrame([], "cls long, component long")
+    byroot = roots.join(least_id, roots["node"] == least_id["cls"]).groupBy("root").agg(F.min("rep").alias("component"))
+    byroot = shared_table(byroot, "component_ids")
+    linked = shared_table(roots.join(byroot, "root").select(F.col("node").alias("cls"), "component"), "linked")
     classes = shared_table(named.where("cls is not null").groupBy("cls").agg(F.min("doc_id").alias("own"))
                            .join(linked, "cls", "left").select("cls", F.coalesce("component", "own").alias("component")), "class_components")
     out = (named.join(classes, "cls", "left")
