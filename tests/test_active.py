@@ -32,7 +32,7 @@ def test_parse_and_validate(spark):
 
 def test_state_joins(spark):
     pool = spark.createDataFrame([(i, "a" if i % 2 else "b") for i in range(10)], "row_id long, category string")
-    log = spark.createDataFrame([(0, 0, 1), (0, 1, 2), (1, 0, 5), (2, 0, 2)], A.LOG_SCHEMA)
+    log = spark.createDataFrame([(0, 0, 1), (0, 1, 2), (1, 0, 5), (2, 0, 2)], "iteration int, pick_pos int, row_id long")
     st = {r["row_id"]: (r["selected"], r["iteration"]) for r in A.apply_selection(pool, log).collect()}
     assert st[2] == (True, 2) and st[5] == (True, 1) and st[0] == (False, -1)
     assert A.remaining_pool(pool, log).count() == 7
