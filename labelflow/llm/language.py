@@ -217,7 +217,11 @@ def sample_ids(docs: DataFrame) -> DataFrame:
     """Ids of the sample, chosen without moving texts; at most SAMPLE_ROWS a language."""
     light = docs.where("lang is not null and doc_id is not null").select(
         F.col("doc_id").cast("long").alias("doc_id"), "lang", F.coalesce(F.octet_length("text"), F.lit(0)).cast("long").alias("size"))
-    order = [F.xxhash64("doc_id"), "doc_id", "size"]
+    # rows with a small hash, about twice as many as wanted, so that ranking moves no more than those
+    counts = light.groupBy("lang").agg(F.count(F.lit(1)).alias("n"))
+    place = F.pmod(F.xxhash64("doc_id"), F.lit(1 << 32)) / F.lit(float(1 << 32))
+    light = light.join(counts, "lang").where(place * F.col("n") < 2 * SAMPLE_ROWS)
+    order = [F.pmod(F.xxhash64("doc_id"), F.lit(1 << 32)), "doc_id", "size"]
     first = light.withColumn("r", F.row_number().over(Window.partitionBy("lang").orderBy(*order))).where(F.col("r") <= SAMPLE_ROWS)
     total = F.sum("size").over(Window.partitionBy("lang").orderBy("r").rowsBetween(Window.unboundedPreceding, 0))
     return first.withColumn("total", total).where((F.col("total") <= SAMPLE_BYTES) | (F.col("r") == 1)).select("doc_id", "lang").distinct()
