@@ -38,6 +38,7 @@ from .spans import named_rows
 MISS = 1e-7
 MAX_PLACES = 224
 BLOCK = 256
+BROADCAST_IDS = 1_000_000  # eight bytes each
 _STEP = 0x9E3779B97F4A7C15
 _MASK = (1 << 64) - 1
 
@@ -248,8 +249,10 @@ def near_duplicates(docs: DataFrame, shingle: int = 5, num: int = 80, den: int =
     inside = members.select("cls").distinct()
     about = shared_table(feats.where("cls is not null").groupBy("cls").agg(
         F.min("doc_id").alias("rep"), F.first("n_shingles").alias("n"), F.first("sig").alias("sig")).join(inside, "cls", "left_semi"), "class_sketches")
-    reps = about.select(F.col("rep").alias("doc_id"))
-    wanted = base.alias("d").join(reps.distinct().alias("r"), F.expr("d.doc_id <=> r.doc_id"), "left_semi")
+    reps = about.select(F.col("rep").alias("doc_id")).distinct()
+    if about.count() <= BROADCAST_IDS:  # else the texts move to the ids
+        reps = F.broadcast(reps)
+    wanted = base.alias("d").join(reps.alias("r"), F.expr("d.doc_id <=> r.doc_id"), "left_semi")
     sets = wanted.mapInArrow(full_sets(shingle), "cls long, elements binary").dropDuplicates(["cls"])
     sets = shared_table(sets, "class_sets")
 
