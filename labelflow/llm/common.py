@@ -223,10 +223,9 @@ def components(links: DataFrame) -> DataFrame:
     while True:
         both = edges.union(edges.select(F.col("b").alias("a"), F.col("a").alias("b")))
         least = both.groupBy("a").agg(F.min("b").alias("m")).select("a", F.least("a", "m").alias("m"))
-        least = shared_table(least, "least")
         large = both.where("b > a").join(least, "a").select(F.col("b").alias("a"), F.col("m").alias("b")).where("a <> b").distinct()
         large = shared_table(large, "large_star")
-        low = shared_table(large.groupBy("a").agg(F.min("b").alias("m")), "small_least")
+        low = large.groupBy("a").agg(F.min("b").alias("m"))
         small = (large.join(low, "a").select(F.col("b").alias("a"), F.col("m").alias("b")).where("a <> b")
                  .union(low.select("a", F.col("m").alias("b"))).distinct())
         new = shared_table(small, "small_star")
