@@ -143,6 +143,35 @@ def test_hot_anchors_take_the_exact_other_way(table, monkeypatch):
     assert sum(x[2] > 0 for x in want) == 29
 
 
+@pytest.mark.parametrize("hot", [None, 3])
+def test_megabytes_of_one_repeated_unit(table, monkeypatch, hot):
+    if hot:
+        monkeypatch.setattr(suffix, "HOT", hot)
+    rows = [(1, "the " * 90), (2, "the " * 600_000 + "end"), (3, "x" + "the " * 700_000), (4, "he t" * 55 + "he")]
+    want = [(1, 360, 0, 0, b"the " * 90), (2, 2_400_003, 2_400_000, 1, b"end"), (3, 2_800_001, 2_800_000, 1, b"x"), (4, 222, 222, 1, b"")]
+    assert removal(suffix.dedup_substrings(table(rows))) == want
+
+
+def test_largest_cold_anchor_is_sorted_alone():
+    import pyarrow as pa
+    rng = np.random.default_rng(7)
+    passage = rng.integers(97, 123, 60).astype(np.uint8).tobytes()
+    one = lambda i: rng.integers(97, 123, 99).astype(np.uint8).tobytes() if i % 1000 else passage + b"%039d" % i
+    raw = [one(i) for i in range(9_000)] + [one(i) for i in range(19_999)]  # two anchors
+    anchor, doc = np.repeat([1, 2], [9_000, 19_999]), np.arange(len(raw))
+    got = suffix.settle(pa.table({"anchor": anchor, "doc_id": doc, "rid": doc, "start": np.zeros(len(raw), np.int32),
+                                  "n": np.full(len(raw), 50, np.int32), "bytes": pa.array(raw, pa.binary())}))
+    first, want = {}, defaultdict(set)
+    for a, d, r in zip(anchor.tolist(), doc.tolist(), raw):
+        for i in range(50):
+            if first.setdefault((a, r[i:i + 50]), d) < d:
+                want[d].update(range(i, i + 50))
+    spans = defaultdict(set)
+    for r in got.to_pylist():
+        spans[r["rid"]].update(range(r["s"], r["e"]))
+    assert spans == want and len(want) == 27 and suffix.HOT * suffix.ROW_BYTES < (1 << 21) - 3
+
+
 def test_suffix_order():
     rng = np.random.default_rng(3)
     for n in [*range(40), 300]:
