@@ -31,10 +31,13 @@ from pyspark.sql import functions as F
 from .common import U, mix, pieces_of, prepare, shared_table
 
 ORDER = 4
-#: Bounds of the training sample, per language: rows in hash order of doc_id, whole texts.
+#: Bounds of the training sample, per language: rows in hash order of doc_id, whole texts. Ids with
+#: more than LARGE bytes come last, the shortest first, so that none of them ends a sample early;
+#: the first id of a language is taken whatever its size.
 SAMPLE_ROWS = 3000
 SAMPLE_BYTES = 6_000_000
-CALIBRATION = 10  # one sampled row in so many is held back to calibrate the rejection
+LARGE = 300_000
+CALIBRATION = 10  # of so many sampled rows of a language the last is held back to calibrate the rejection
 KEEP_SHARE = 1.0
 SLACK = 2.5
 SCHEMA = "doc_id long, lang_pred string, score double, entropy double, rejected boolean"
@@ -183,9 +186,8 @@ def learn(docs: DataFrame) -> Model:
     spark = docs.sparkSession
     prepare(spark)
     ids = sample_ids(docs)
-    rows = docs.join(F.broadcast(ids), ["doc_id", "lang"]).select("doc_id", "text", "lang")
-    held = F.expr(f"pmod(xxhash64(doc_id, 3), {CALIBRATION}) = 0")
-    rows = shared_table(rows.withColumn("held", held), "language_sample")
+    rows = docs.join(F.broadcast(ids), ["doc_id", "lang"]).select("doc_id", "text", "lang", "held")
+    rows = shared_table(rows, "language_sample")
 
     def count(batches):
         for batch in batches:
@@ -197,34 +199,44 @@ def learn(docs: DataFrame) -> Model:
                     g, n = np.unique(grams(codes, ORDER)[inside(off)], return_counts=True)
                     yield pa.RecordBatch.from_arrays([pa.array([lang] * len(g), pa.string()), pa.array(g.view(np.int64)), pa.array(n.astype(np.int64))], ["lang", "gram", "n"])
 
-    fit_rows = rows.where("not held")
-    counts = fit_rows.select("lang", "text").mapInArrow(count, "lang string, gram long, n long")
-    table = counts.groupBy("lang", "gram").agg(F.sum("n").alias("n")).toArrow()  # bounded by the sample
-    by_lang = {}
-    names = np.array(table.column("lang").to_pylist(), object)
-    grams_, n = table.column("gram").to_numpy().view(np.uint64), table.column("n").to_numpy()
-    for lang in sorted(set(names)):
-        own = names == lang
-        order = np.argsort(grams_[own])
-        by_lang[lang] = (grams_[own][order], n[own][order])
-    model = Model(by_lang)
+    def counted(some: DataFrame) -> dict[str, tuple[np.ndarray, np.ndarray]]:
+        counts = some.select("lang", "text").mapInArrow(count, "lang string, gram long, n long")
+        table = counts.groupBy("lang", "gram").agg(F.sum("n").alias("n")).toArrow()  # bounded by the sample
+        out = {}
+        names = np.array(table.column("lang").to_pylist(), object)
+        grams_, n = table.column("gram").to_numpy().view(np.uint64), table.column("n").to_numpy()
+        for lang in sorted(set(names)):
+            own = names == lang
+            order = np.argsort(grams_[own])
+            out[lang] = (grams_[own][order], n[own][order])
+        return out
+
+    by_lang = counted(rows.where("not held"))
     kept = rows.where("held").select("text", "lang").toArrow()
-    model.calibrate([t or "" for t in kept.column("text").to_pylist()], kept.column("lang").to_pylist())
+    held = [(t or "", x) for t, x in zip(kept.column("text").to_pylist(), kept.column("lang").to_pylist())]
+    calibrating = [x for x in held if x[1] in by_lang]
+    if len(calibrating) < len(held):  # languages with letters in held-back rows only learn from those
+        by_lang.update(counted(rows.where(F.col("held") & ~F.col("lang").isin(sorted(by_lang)))))
+    model = Model(by_lang)
+    model.calibrate([t for t, _ in calibrating], [x for _, x in calibrating])
     return model
 
 
 def sample_ids(docs: DataFrame) -> DataFrame:
-    """Ids of the sample, chosen without moving texts; at most SAMPLE_ROWS a language."""
+    """doc_id, lang, held of the sample, chosen without moving texts; at most SAMPLE_ROWS ids a language.
+    Of a language's ids every CALIBRATION-th is held back, so one with fewer keeps all to learn from."""
     light = docs.where("lang is not null and doc_id is not null").select(
         F.col("doc_id").cast("long").alias("doc_id"), "lang", F.coalesce(F.octet_length("text"), F.lit(0)).cast("long").alias("size"))
     # rows with a small hash, about twice as many as wanted, so that ranking moves no more than those
     counts = light.groupBy("lang").agg(F.count(F.lit(1)).alias("n"))
     place = F.pmod(F.xxhash64("doc_id"), F.lit(1 << 32)) / F.lit(float(1 << 32))
     light = light.join(counts, "lang").where(place * F.col("n") < 2 * SAMPLE_ROWS)
-    order = [F.pmod(F.xxhash64("doc_id"), F.lit(1 << 32)), "doc_id", "size"]
+    light = light.groupBy("lang", "doc_id").agg(F.sum("size").alias("size"))  # repeated rows come together
+    order = [F.when(F.col("size") > LARGE, F.col("size")).otherwise(0), F.pmod(F.xxhash64("doc_id"), F.lit(1 << 32)), "doc_id"]
     first = light.withColumn("r", F.row_number().over(Window.partitionBy("lang").orderBy(*order))).where(F.col("r") <= SAMPLE_ROWS)
     total = F.sum("size").over(Window.partitionBy("lang").orderBy("r").rowsBetween(Window.unboundedPreceding, 0))
-    return first.withColumn("total", total).where((F.col("total") <= SAMPLE_BYTES) | (F.col("r") == 1)).select("doc_id", "lang").distinct()
+    first = first.withColumn("total", total).where((F.col("total") <= SAMPLE_BYTES) | (F.col("r") == 1))
+    return first.select("doc_id", "lang", (F.col("r") % CALIBRATION == 0).alias("held"))
 
 
 def predict(docs: DataFrame, model: Model) -> DataFrame:

@@ -133,6 +133,20 @@ def test_language_odd_rows(table, odd_rows):
     assert language.predict(table([]), model).count() == 0
 
 
+def test_large_texts_and_rare_languages_are_learnt(table):
+    small = [(i, f"kurzer satz nummer {'abcdefghij'[i % 10]} aus dem wald", "de") for i in range(60)]
+    large = [(100 + i, "sehr langer text " * 400_000, "de") for i in range(30)]
+    rare = [(1000 + i, f"palavra rara {i}", f"r{i}") for i in range(30)]  # one row each
+    letterless = [(2000 + i, "123 !!", "xx") for i in range(9)] + [(2009, "viimeinen sana", "xx")]
+    rows = table(small + large[:9] + rare)
+    ids = {r.doc_id: r.held for r in language.sample_ids(rows).collect()}
+    assert set(range(60)) <= set(ids) and not set(ids) & set(range(100, 130))
+    assert sum(ids[i] for i in range(60)) == 6 and not any(ids[1000 + i] for i in range(30))
+    assert language.sample_ids(table(large[:3])).count() == 1
+    model = language.learn(table(small[:5] + rare + letterless))
+    assert set(model.langs) == {"de", "xx"} | {f"r{i}" for i in range(30)}
+
+
 def test_kneser_ney_sums_to_one():
     codes, off = language.characters(["the cat sat on the mat and the rat"])
     g, n = np.unique(language.grams(codes, language.ORDER)[language.inside(off)], return_counts=True)
