@@ -11,7 +11,10 @@ batch and never sees lang, source or doc_id.
 
 Rejection: a text without letters is ``und``. Others keep the best language, and ``rejected`` says
 that their cross-entropy lies above what nearly all held-back training texts of that language
-reach; the limit loosens as 1 / sqrt(length) for short texts, and its scale is calibrated.
+reach, with ``SLACK``; the limit loosens as 1 / sqrt(length) for short texts. Its scale is the
+``KEEP_SHARE`` quantile of the distances above the median, at most ``ROBUST`` robust deviations, so
+a few garbage or wrongly labelled texts don't lift it. Languages with under ``FEW`` held-back
+texts take the scale of all languages together; one without any rejects nothing.
 
 Defined results: null and empty texts are ``und`` with score 0 and rejected; null ids, repeated
 rows and very long texts are scored like others; an empty table gives an empty result; if nothing
@@ -38,7 +41,9 @@ SAMPLE_ROWS = 3000
 SAMPLE_BYTES = 6_000_000
 LARGE = 300_000
 CALIBRATION = 10  # of so many sampled rows of a language the last is held back to calibrate the rejection
-KEEP_SHARE = 1.0
+KEEP_SHARE = 0.99
+ROBUST = 6.0
+FEW = 20
 SLACK = 2.5
 SCHEMA = "doc_id long, lang_pred string, score double, entropy double, rejected boolean"
 _NOT_LETTERS = re.compile(r"[\W\d_]+")
@@ -131,7 +136,7 @@ class Model:
         self.langs = sorted(by_lang)
         letters = np.unique(np.concatenate([c & U(0xFFFF) for c, _ in by_lang.values()] or [np.zeros(0, np.uint64)]))
         self.models = [fit(*by_lang[x], alphabet=len(letters) + 1) for x in self.langs]
-        self.mean = np.zeros(len(self.langs))
+        self.middle = np.zeros(len(self.langs))
         self.spread = np.full(len(self.langs), np.inf)
 
     def entropies(self, texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
@@ -153,18 +158,21 @@ class Model:
         return out, length
 
     def limit(self, lang: np.ndarray, length: np.ndarray) -> np.ndarray:
-        return self.mean[lang] + self.spread[lang] * (1 + 8 / np.sqrt(np.maximum(length, 1)))
+        return self.middle[lang] + self.spread[lang] * (1 + 8 / np.sqrt(np.maximum(length, 1)))
 
     def calibrate(self, texts: list[str], langs: list[str]) -> None:
-        """Mean entropy of each language and the spread that nearly all held-back texts keep."""
+        """Median entropy of each language and the spread that nearly all held-back texts keep."""
         h, n = self.entropies(texts)
+        far = {}
         for k, lang in enumerate(self.langs):
             own = np.array([x == lang for x in langs], bool) & (n > 0)
             if own.any():
-                e, m = h[own, k], n[own]
-                self.mean[k] = np.average(e, weights=m)
-                over = np.maximum(e - self.mean[k], 0) / (1 + 8 / np.sqrt(m))
-                self.spread[k] = SLACK * max(float(np.quantile(over, KEEP_SHARE)), 0.1)
+                self.middle[k] = np.quantile(h[own, k], 0.5, method="lower")
+                far[k] = (h[own, k] - self.middle[k]) / (1 + 8 / np.sqrt(n[own]))
+        for k, own in far.items():
+            d = own if len(own) >= FEW else np.concatenate(list(far.values()))
+            reach = np.quantile(d, KEEP_SHARE, method="lower")  # below the worst one, however few they are
+            self.spread[k] = SLACK * max(min(float(reach), ROBUST * 1.4826 * float(np.median(np.abs(d)))), 0.1)
 
     def predict(self, texts: list[str]):
         """(language, score, entropy, rejected) of every text."""

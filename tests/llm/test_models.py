@@ -133,6 +133,22 @@ def test_language_odd_rows(table, odd_rows):
     assert language.predict(table([]), model).count() == 0
 
 
+@pytest.mark.parametrize("garbled", [1, 3])
+def test_garbage_among_held_back_rows_leaves_the_rejection(spark, garbled):
+    docs = spark.read.parquet(f"{MID}/documents.parquet")
+    held = defaultdict(list)
+    for r in language.sample_ids(language.training_rows(docs)).where("held").orderBy("doc_id").collect():
+        held[r.lang].append(r.doc_id)
+    bad = [d for own in held.values() for d in own[:garbled if len(own) >= language.FEW else 1]]
+    junk = "".join(chr(0x4E00 + i) for i in np.random.default_rng(6).integers(0, 20000, 400))
+    model = language.learn(language.training_rows(docs.withColumn("text", F.when(F.col("doc_id").isin(bad), junk).otherwise(F.col("text")))))
+    assert set(model.langs) == set(held)
+    noise = spark.createDataFrame([(1, "qxzj vkwq xjq zzqx kqjx wvvq jjxk qqzx " * 9), (2, junk[::-1])], "doc_id long, text string")
+    assert [r.rejected for r in language.predict(noise, model).orderBy("doc_id").collect()] == [True] * 2
+    got = language.predict(docs.where(~F.col("doc_id").isin(bad)), model).where(language.held_out()).collect()
+    assert len(got) > 250 and sum(r.rejected for r in got) <= 3
+
+
 def test_large_texts_and_rare_languages_are_learnt(table):
     small = [(i, f"kurzer satz nummer {'abcdefghij'[i % 10]} aus dem wald", "de") for i in range(60)]
     large = [(100 + i, "sehr langer text " * 400_000, "de") for i in range(30)]
