@@ -17,14 +17,17 @@ from __future__ import annotations
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from .common import SpanHash, pieces_of, prepare, shared_table, text_bytes
 
-#: Bounds of the training sample: rows in hash order of doc_id per label, whole texts.
+#: Bounds of the training sample, per label: ids in hash order of doc_id, whole texts. Ids with more
+#: than LARGE bytes come last, the shortest first, so that none of them ends a sample early; the first
+#: id of a label is taken whatever its size.
 SAMPLE_ROWS = 4000
 SAMPLE_BYTES = 12_000_000
+LARGE = 600_000
 ROUNDS = 250
 THRESHOLD = 0.3
 SCHEMA = "doc_id long, score double"
@@ -224,14 +227,27 @@ def held_out():
     return F.coalesce(F.pmod(F.crc32(F.col("doc_id").cast("string")), F.lit(5)) == 0, F.lit(False))
 
 
+def sample_ids(docs: DataFrame, labels: DataFrame) -> DataFrame:
+    """doc_id, quality of the sample, chosen without moving texts; at most SAMPLE_ROWS ids a label."""
+    hashed = F.xxhash64("doc_id")
+    labelled = labels.where("doc_id is not null and quality in (0, 1)").select(F.col("doc_id").cast("long").alias("doc_id"), F.col("quality").cast("int").alias("quality"))
+    place = F.row_number().over(Window.partitionBy("quality").orderBy(hashed, "doc_id"))
+    near = labelled.withColumn("r", place).where(F.col("r") <= 2 * SAMPLE_ROWS)  # some ids have no text
+    sizes = (docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.coalesce(F.octet_length("text"), F.lit(0)).cast("long").alias("size"))
+             .join(F.broadcast(near), "doc_id").groupBy("quality", "r", "doc_id").agg(F.sum("size").alias("size")))
+    by_label = Window.partitionBy("quality")
+    order = [F.when(F.col("size") > LARGE, F.col("size")).otherwise(0), "r"]
+    first = sizes.withColumn("r", F.row_number().over(by_label.orderBy(*order))).where(F.col("r") <= SAMPLE_ROWS)
+    total = F.sum("size").over(by_label.orderBy("r").rowsBetween(Window.unboundedPreceding, 0))
+    return first.withColumn("total", total).where((F.col("total") <= SAMPLE_BYTES) | (F.col("r") == 1)).select("doc_id", "quality")
+
+
 def learn(docs: DataFrame, labels: DataFrame) -> Chain:
     """``labels``: doc_id, quality (0 or 1) of the rows to learn from."""
     spark = docs.sparkSession
     prepare(spark)
-    # at most 2 * SAMPLE_ROWS ids: safe to broadcast to the scan of the texts
-    wanted = labels.where("doc_id is not null and quality in (0, 1)").select(F.col("doc_id").cast("long").alias("doc_id"), F.col("quality").cast("int").alias("quality"))
-    wanted = wanted.orderBy(F.xxhash64("doc_id"), "doc_id").limit(2 * SAMPLE_ROWS)
-    rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").join(F.broadcast(wanted), "doc_id")
+    wanted = F.broadcast(sample_ids(docs, labels))
+    rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").join(wanted, "doc_id")
     rows = shared_table(rows, "quality_sample")
 
     def lines(batches):
@@ -248,11 +264,9 @@ def learn(docs: DataFrame, labels: DataFrame) -> Chain:
 
     got = rows.where("text is not null").mapInArrow(lines, "doc_id long, quality int, x binary, lengths binary").toArrow().sort_by("doc_id")
     xs = [np.frombuffer(v, np.float32).reshape(-1, WIDTH) for v in got.column("x").to_pylist()]
-    take, total = len(xs), 0
-    x = np.concatenate([*xs[:take], np.zeros((0, WIDTH), np.float32)]).astype(float)
+    x = np.concatenate([*xs, np.zeros((0, WIDTH), np.float32)]).astype(float)
     length = np.concatenate([*(np.frombuffer(v, np.int64) for v in got.column("lengths").to_pylist()), np.zeros(0, np.int64)])
     doc = np.repeat(np.arange(len(xs)), [len(v) for v in xs]) if xs else np.zeros(0, np.int64)
-    del total
     return Chain().fit(x, length, doc, np.array(got.column("quality").to_pylist(), np.int64))
 
 

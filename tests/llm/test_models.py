@@ -192,6 +192,19 @@ def test_quality_odd_rows(spark, table, odd_rows):
     assert quality.score(table([]), chain).count() == 0
 
 
+def test_quality_sample_bounds(spark, table, monkeypatch):
+    monkeypatch.setattr(quality, "SAMPLE_ROWS", 50)
+    monkeypatch.setattr(quality, "SAMPLE_BYTES", 5000)
+    monkeypatch.setattr(quality, "LARGE", 300)
+    docs = table([(i, "x" * (4000 if i % 10 == 0 else 90)) for i in range(600)])
+    labels = spark.createDataFrame([(i, int(i >= 597)) for i in range(600)], "doc_id long, quality int")
+    got = {r.doc_id: r.quality for r in quality.sample_ids(docs, labels).collect()}
+    assert {d for d, q in got.items() if q} == {597, 598, 599}  # one label in 200 rows
+    assert sum(not q for q in got.values()) == 50 and not any(d % 10 == 0 for d in got)
+    few = quality.sample_ids(docs, labels.where("doc_id in (0, 10, 20, 31, 41, 599)")).collect()
+    assert {r.doc_id for r in few} - {0, 10, 20} == {31, 41, 599} and len(few) == 4
+
+
 def test_marginals_equal_enumeration():
     chain = quality.Chain(1)
     rng = np.random.default_rng(0)
