@@ -5,10 +5,10 @@ files in the shared folder. The directory is built by doubling: a bucket of dept
 the d leading hash bits, and a bucket with more than ``capacity`` chains splits on one more bit.
 All doublings come from one pre-aggregated histogram of fine cells (``SPLIT_BITS`` bits below the
 starting depth); a bucket that is still overfull there keeps its overflow as longer chains, so no
-entry is ever turned away. Owner tasks each take a share of the keys. Entries of one hash form a
-chain, and within a chain the texts themselves are compared (grouping on the whole text, copies
-shrunk to one row per map task first), so a collision never joins two different texts and a group
-of copies with a third of all rows is no hot task.
+entry is ever turned away. The directory only names each entry's bucket: no lookup goes through it.
+Duplicates are found by Spark's grouping on hash and whole text (copies shrunk to one row per map
+task first), so a collision never joins two different texts and a group of copies with a third of
+all rows is no hot task.
 
 Defined results: a null text equals the empty text; null doc_ids stay only where a group has no
 other id; repeated rows (same id and text) each give a row, count in ``group_size`` and are all
