@@ -70,3 +70,12 @@ def test_bootstrap_threshold_bounds_noise(spark):
     shifted = DT.tag_sides(e.filter(h), e.filter(~h).withColumn("embedding", F.transform("embedding", lambda x: x + 0.5)))
     assert DE.drift_distance(shifted, "euclidean").first()["distance"] > thr
     assert thr > 0 and dist >= 0
+
+
+def test_blocks_of_several_rows_change_the_bootstrap_threshold_little(spark, monkeypatch):
+    ref = read_table(spark, SF_MID, "embeddings")
+    rows = DE.fit_embedding(ref, "euclidean").threshold
+    monkeypatch.setattr(DE, "MAX_BLOCK_HEX", 2)  # 256 blocks
+    blocks = DE.fit_embedding(ref, "euclidean").threshold
+    print("THRESHOLDS", ref.count(), rows, blocks)
+    assert rows != blocks and abs(blocks / rows - 1) < 0.25
