@@ -32,7 +32,7 @@ import regex
 from pyspark.sql import DataFrame
 
 from .common import pieces_of, prepare
-from .packing import _byte_chars
+from .common import byte_chars
 
 SCHEMA = "doc_id long, n_tokens long, ids_sha256 string, decoded_sha256 string"
 MEMO = 400_000
@@ -69,7 +69,7 @@ class SpeculativeBpe:
         keys = np.array(sorted(pair), np.int64)
         self.pair_keys, self.pair_rank = keys, np.array([pair[k] for k in keys], np.int64)
         self.longest = max(len(s.removesuffix(WORD_END)) for s in v)
-        self.bytes = _byte_chars()
+        self.bytes = byte_chars()
         self.words = regex.compile(WORDS)
         self.specials = regex.compile("(" + "|".join(map(regex.escape, self.special)) + ")") if self.special else None
         # a token that the merges don't rebuild from its own characters is never proposed

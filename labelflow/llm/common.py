@@ -88,6 +88,40 @@ def pieces_of(batch: pa.RecordBatch, limit: int = BATCH_BYTES):
         start = end
 
 
+class Memo:
+    """What a worker remembers of texts it has seen, within a bound in bytes: two generations, of
+    which the older one goes when the younger is full, so frequent texts stay. Long texts are not
+    kept. Values are never None."""
+
+    def __init__(self, limit: int = 64 << 20, longest: int = 64):
+        self.limit, self.longest, self.size = limit // 2, longest, 0
+        self.young: dict = {}
+        self.old: dict = {}
+
+    def get(self, key: str):
+        found = self.young.get(key)
+        if found is None and (found := self.old.get(key)) is not None:
+            self.put(key, found, 300)
+        return found
+
+    def put(self, key: str, value, size: int) -> None:
+        if len(key) > self.longest:
+            return
+        self.size += size + len(key)
+        if self.size > self.limit:
+            self.old, self.young, self.size = self.young, {}, size + len(key)
+        self.young[key] = value
+
+
+def byte_chars() -> dict[int, str]:
+    """Byte-level BPE writes printable bytes as themselves and the others, in order, from U+0100."""
+    shown = [*range(33, 127), *range(161, 173), *range(174, 256)]
+    out = {b: chr(b) for b in shown}
+    for n, b in enumerate(b for b in range(256) if b not in out):
+        out[b] = chr(256 + n)
+    return out
+
+
 U = np.uint64
 
 

@@ -26,7 +26,7 @@ import pyarrow as pa
 from pyspark import TaskContext
 from pyspark.sql import DataFrame
 
-from .common import pieces_of, prepare
+from .common import byte_chars, pieces_of, prepare
 
 WINDOW = 2048
 EPOCH = 20_000
@@ -54,7 +54,7 @@ class IdCoder:
         import tiktoken
         from tokenizers import Tokenizer
         model = json.loads(Tokenizer.from_file(path).to_str())
-        back = {c: b for b, c in _byte_chars().items()}
+        back = {c: b for b, c in byte_chars().items()}
         ranks = {bytes(back[c] for c in tok): i for tok, i in model["model"]["vocab"].items() if tok != SPECIAL}
         pattern = r"""'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"""
         special = {t["content"]: t["id"] for t in model["added_tokens"]}
@@ -79,15 +79,6 @@ class IdCoder:
         return np.frombuffer(b"".join(found), np.uint16)
 
 
-def _byte_chars() -> dict[int, str]:
-    """Byte-level BPE writes printable bytes as themselves and the others, in order, from U+0100."""
-    shown = [*range(33, 127), *range(161, 173), *range(174, 256)]
-    out = {b: chr(b) for b in shown}
-    for n, b in enumerate(b for b in range(256) if b not in out):
-        out[b] = chr(256 + n)
-    return out
-
-
 def coder(path: str) -> IdCoder:
     if path not in _TOKENIZERS:
         _TOKENIZERS[path] = IdCoder(path)

@@ -10,7 +10,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import bpe, chunk_dedup, exact_dedup, language, minhash, packing, quality, sharding, suffix, topk
+from . import alignment, bpe, chunk_dedup, exact_dedup, language, minhash, packing, quality, sharding, suffix, topk, url_filter, whitening
 from .common import documents
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -136,3 +136,26 @@ def op3(spark: SparkSession, sf_dir: str) -> DataFrame:
 def op6(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Content-defined chunks that a smaller document holds too go."""
     return removal(chunk_dedup.dedup_chunks(documents(spark, sf_dir)))
+
+
+@query("op11_whitening")
+def op11(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Whitened embeddings: eight components."""
+    return whitening.whiten(spark.read.parquet(f"{sf_dir.rstrip('/')}/embeddings.parquet"), 8)
+
+
+URL_RULES = [("block", "net", "/"), ("allow", "example.net", "/en/"), ("block", "example.com", "/de/"), ("allow", "org", "/fr/")]
+
+
+@query("op12_url_filter", url_filter.twin_sql(URL_RULES))
+def op12(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Verdict for every url: rules first, then path templates."""
+    pages = spark.read.parquet(f"{sf_dir.rstrip('/')}/pages.parquet")
+    return url_filter.judge(pages, URL_RULES).select("page_id", "host", "path", "rule", "verdict")
+
+
+@query("op13_alignment")
+def op13(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Token groups and links of two tokenizers in every text."""
+    a, b = public_tokenizers.path("byte_bpe_50k.json"), public_tokenizers.path("piece_bpe_32k.model")
+    return alignment.align(documents(spark, sf_dir), a, b, keep_groups=False).drop("groups")
