@@ -263,7 +263,7 @@ phi AS (SELECT id, side, j, sqrt(2.0 / {N_FEATURES}) * cos(dot + rb.b) AS v FROM
 
 SIGMA_SQL = "round((SELECT sqrt(2 * sum(s)) FROM (SELECT var_pop(value) AS s FROM {src} WHERE side = 'ref' GROUP BY dim) q), 9)"
 VID_SQL = ", vid AS (SELECT vec_id AS id, side, dim, value FROM vlong)"
-HEX_SQL = "CAST(greatest(1, least(4, ceil(ln(greatest((SELECT count(DISTINCT id) FROM {src} WHERE side = 'ref'), 2)) / ln(16)))) AS INTEGER)"
+HEX_SQL = "CAST(greatest(1, ceil(ln(greatest((SELECT count(DISTINCT id) FROM {src} WHERE side = 'ref'), 2)) / ln(16))) AS INTEGER)"
 
 
 def boot_sql(name: str, src: str, col: str, hexes: str, stat: str) -> str:
@@ -302,12 +302,12 @@ def q_drift_bootstrap_threshold(spark, sf):
 @register("drift_bootstrap_ratio", _vec(0.0) + VID_SQL + f""",
 bv AS (SELECT substr(md5('{SEED}:bootstrap:' || id), 1, {VEC_HEX}) AS bucket, dim, value FROM vid WHERE side = 'ref'),
 hv AS (SELECT b * 1000 + dim AS g, CASE WHEN substr(md5('{SEED}:half:' || b || ':' || bucket), 1, 1) < '8' THEN 'ref' ELSE 'cur' END AS side, value
-  FROM bv, range(0, 20) t(b)), """ + WASS_SQL.format(g="g", src="hv") + """
+  FROM bv, range(0, 100) t(b)), """ + WASS_SQL.format(g="g", src="hv") + """
 SELECT 'ratio' AS method, round(quantile_cont(d, CAST(0.95 AS DOUBLE)), 6) AS threshold FROM (
   SELECT g // 1000 AS b, avg(CAST(distance >= 0.1 AS DOUBLE)) AS d FROM per GROUP BY 1) x""")
 def q_drift_bootstrap_ratio(spark, sf):
-    """J16 for the ratio test (20 halvings: its halvings repeat the reference's values)."""
-    t = DE.bootstrap_threshold(vector_corpus(spark, sf), "ratio", n_boot=20, seed=SEED)
+    """J16 for the ratio test: 100 halvings in one sorted pass."""
+    t = DE.bootstrap_threshold(vector_corpus(spark, sf), "ratio", seed=SEED)
     return rounded(spark.createDataFrame([("ratio", t)], "method string, threshold double"))
 
 
@@ -318,6 +318,24 @@ def q_drift_mmd(spark, sf):
     return rounded(DE.drift_mmd(vector_corpus(spark, sf, 0.05), seed=SEED))
 
 
+BLOCK_MMD_SQL = _vec(0.05) + VID_SQL + ", sg AS (SELECT " + SIGMA_SQL.format(src="vid") + """ AS sigma),
+nb AS (SELECT greatest(1, CAST(ceil(count(*) / """ + str(float(DE.BLOCK_ROWS)) + f""") AS BIGINT)) AS n FROM vc),
+bl AS (SELECT vc.vec_id AS id, CAST('0x' || substr(md5('{SEED}:mmd:' || vc.vec_id), 1, 12) AS BIGINT) % nb.n AS block FROM vc, nb),
+vb AS (SELECT block, vid.id, side, list(value ORDER BY dim) AS e FROM vid JOIN bl USING (id) GROUP BY ALL),
+kk AS (SELECT a.block, a.side AS sa, b.side AS sb, avg(exp(-list_sum([(x[1] - x[2]) * (x[1] - x[2]) FOR x IN list_zip(a.e, b.e)]) / (2 * sigma * sigma))) AS m,
+  count(*) AS w FROM vb a JOIN vb b ON a.block = b.block CROSS JOIN sg GROUP BY ALL),
+per AS (SELECT block, sum(CASE WHEN sa = sb THEN m ELSE -m END) AS v, CAST(max(w) FILTER (sa = 'ref' AND sb = 'cur') AS DOUBLE) AS w FROM kk GROUP BY block HAVING count(*) = 4)
+"""
+
+
+@register("drift_mmd_blocks", BLOCK_MMD_SQL + """SELECT round(sum(w * v) / sum(w), 6) AS mmd2,
+round(sqrt(sum(w * w * (v - mm) * (v - mm))) / sum(w), 6) AS standard_error, count(*) AS n_blocks, round(max(sigma), 6) AS sigma
+FROM per, sg, (SELECT sum(w * v) / sum(w) AS mm FROM per) q""")
+def q_drift_mmd_blocks(spark, sf):
+    """Exact kernel sums inside hash blocks, with the standard error of their average."""
+    return rounded(DE.block_mmd(vector_corpus(spark, sf, 0.05), seed=SEED))
+
+
 @register("drift_static_threshold", _vec(0.05) + VID_SQL + ", " + rff_sql("vid", 64, SIGMA_SQL.format(src="vid")) + ", " + MEANS_SQL + ", "
           + WASS_SQL.format(g="dim", src="vlong") + """, ra AS (SELECT avg(CAST(distance >= 0.1 AS DOUBLE)) AS d FROM per)
 SELECT 'mmd' AS name, 'MMD (Maximum Mean Discrepancy)' AS label, round(d, 6) AS drift_score, CAST(0.015 AS DOUBLE) AS threshold, d > 0.015 AS drift_detected FROM mmd

@@ -72,10 +72,61 @@ def test_bootstrap_threshold_bounds_noise(spark):
     assert thr > 0 and dist >= 0
 
 
-def test_blocks_of_several_rows_change_the_bootstrap_threshold_little(spark, monkeypatch):
-    ref = read_table(spark, SF_MID, "embeddings")
-    rows = DE.fit_embedding(ref, "euclidean").threshold
-    monkeypatch.setattr(DE, "MAX_BLOCK_HEX", 2)  # 256 blocks
-    blocks = DE.fit_embedding(ref, "euclidean").threshold
-    print("THRESHOLDS", ref.count(), rows, blocks)
-    assert rows != blocks and abs(blocks / rows - 1) < 0.25
+def halves(ids, n_boot, seed, hexes):
+    import hashlib
+    md5 = lambda t: hashlib.md5(t.encode()).hexdigest()
+    return np.array([[md5(f"{seed}:half:{b}:{md5(f'{seed}:bootstrap:{i}')[:hexes]}")[0] < "8" for i in ids] for b in range(n_boot)])
+
+
+@pytest.mark.parametrize("method", ["euclidean", "cosine", "mmd", "ratio"])
+def test_bootstrap_equals_plain_halvings(spark, method, monkeypatch):
+    monkeypatch.setattr(DE, "RANGE_ROWS", 60)
+    monkeypatch.setattr(DE, "HOT_ROWS", 40)
+    rng = np.random.default_rng(4)
+    x = np.round(rng.normal(size=(200, 3)), 1)
+    x[:120, 2] = 0.5                                   # a value that most rows share
+    df = spark.createDataFrame([(i, v.tolist()) for i, v in enumerate(x)], "vec_id long, embedding array<double>").repartition(5)
+    fit = DE.fit_embedding(df, method, n_boot=30, seed=9, n_features=16)
+    found = []
+    for h in halves(range(200), 30, 9, 2):
+        a, b = x[h], x[~h]
+        if method == "mmd":
+            w, p = DE.rff_params(3, 16, fit.sigma, 9)
+            f = lambda y: (np.sqrt(2 / 16) * np.cos(y @ w.T + p)).mean(axis=0)
+            found.append(((f(a) - f(b)) ** 2).sum())
+        elif method == "ratio":
+            hit = []
+            for d in range(3):
+                xs = np.unique(x[:, d])
+                gap = np.diff(xs)
+                fa, fb = (np.searchsorted(np.sort(s[:, d]), xs, side="right") / len(s) for s in (a, b))
+                area = (np.abs(fa - fb)[:-1] * gap).sum()
+                hit.append(area / a[:, d].std() >= 0.1 if a[:, d].std() > 0 else area >= 0.1)
+            found.append(np.mean(hit))
+        else:
+            m, k = a.mean(axis=0), b.mean(axis=0)
+            found.append(np.linalg.norm(m - k) if method == "euclidean" else 1 - m @ k / np.linalg.norm(m) / np.linalg.norm(k))
+    assert fit.threshold == pytest.approx(np.quantile(found, 0.95), abs=1e-9)
+
+
+def test_names_follow_the_number_of_rows():
+    assert [DE._name_digits(n) for n in (1, 16, 17, 65_536, 65_537, 10 ** 9)] == [1, 1, 2, 4, 5, 8]
+
+
+def test_one_block_is_the_exact_mmd(spark):
+    rng = np.random.default_rng(0)
+    x, y = rng.normal(size=(90, 4)), rng.normal(0.5, 1.0, size=(70, 4))
+    rows = [(f"r{i}", "ref", v.tolist()) for i, v in enumerate(x)] + [(f"c{i}", "cur", v.tolist()) for i, v in enumerate(y)]
+    df = spark.createDataFrame(rows, "name string, side string, embedding array<double>")
+    one = DE.block_mmd(df, "name", n_blocks=1).first()
+    assert one["mmd2"] == pytest.approx(DE.exact_mmd2_numpy(x, y, one["sigma"])) and one["n_blocks"] == 1 and one["standard_error"] is None
+    many = DE.block_mmd(df, "name", n_blocks=4).first()
+    assert many["n_blocks"] == 4 and many["mmd2"] > 0 and many["standard_error"] > 0
+    none = DE.block_mmd(df.filter("side = 'ref'"), "name").first()
+    assert none["mmd2"] is None and none["n_blocks"] == 0
+
+
+def test_vectors_with_gaps_count_what_they_have(spark):
+    df = spark.createDataFrame([(1, [1.0, 2.0]), (2, [3.0]), (3, [None, 4.0]), (4, None)], "vec_id long, embedding array<double>")
+    fit = DE.fit_embedding(df, "euclidean", False)
+    assert sorted(tuple(r) for r in fit.stats.collect()) == [(0, 2.0), (1, 3.0)] and fit.n == 3
