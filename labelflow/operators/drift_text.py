@@ -10,8 +10,8 @@ Corpora are one DataFrame tagged ``side`` in {'ref', 'cur'} with a document id a
   learned on the train half; a held-out document's score is its TF-IDF-weighted log-odds sum;
   the drift score is the held-out ROC-AUC, compared with the 95th percentile of the AUC of a
   random scorer, in closed form from the Mann-Whitney null: 0.5 + z * sqrt((m+n+1) / (12 m n)).
-  (The library the reference calls trains an L1 linear model and simulates 1,000 random
-  scorers; both are replaced by the relational form. An MLlib variant is ``domain_classifier_mllib``.)
+  The 1,000 simulated random scorers are ``simulated_auc_threshold``, the L1 linear model on the
+  full vocabulary is ``drift_linear.py``; an MLlib variant is ``domain_classifier_mllib``.
 * Text features (J18-J21) and the per-feature drift share (J22) use the ECDF distance kernel.
 
 All heavy steps are explode + aggregate (partial aggregation map-side) and equi joins on the
@@ -61,13 +61,25 @@ def _reliable(df: DataFrame, name: str = "terms") -> DataFrame:
 
 
 SALTS = 16
+HOT_SHARE = 1000  # a key with more than a thousandth of the rows is hot, so there are fewer than that
 
 
-def salted_join(rows: DataFrame, keyed: DataFrame, key: str, spread_by: str, how: str = "inner") -> DataFrame:
-    """Join on ``key`` when few keys hold many of ``rows``: each key's rows spread over ``SALTS``
-    tasks by ``spread_by``; ``keyed`` (one row per key) is repeated for each."""
-    left = rows.withColumn("_salt", F.pmod(F.xxhash64(spread_by), F.lit(SALTS)).cast("int"))
-    right = keyed.withColumn("_salt", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))))
+def hot_keys(rows: DataFrame, key: str) -> DataFrame:
+    """The keys that hold more than 1 / HOT_SHARE of ``rows`` (a written table): at most HOT_SHARE."""
+    counts = _reliable(rows.groupBy(key).agg(F.count(F.lit(1)).alias("_n")), "key_counts")
+    total = counts.agg(F.sum("_n")).first()[0] or 0
+    return _reliable(counts.where(F.col("_n") * HOT_SHARE > total).select(key), "hot_keys")
+
+
+def salted_join(rows: DataFrame, keyed: DataFrame, key: str, spread_by: str, how: str = "inner", hot: DataFrame | None = None) -> DataFrame:
+    """Join on ``key`` when few keys hold many of ``rows``: the rows of each hot key (``hot_keys`` of
+    ``rows`` unless given) are spread over ``SALTS`` tasks by ``spread_by`` and its one row of
+    ``keyed`` is repeated for each; all other keys join as they are."""
+    hot = F.broadcast((hot_keys(rows, key) if hot is None else hot).withColumn("_hot", F.lit(True)))  # at most HOT_SHARE rows
+    spread = F.when(F.col("_hot"), F.pmod(F.xxhash64(spread_by), F.lit(SALTS)).cast("int")).otherwise(0)
+    copies = F.when(F.col("_hot"), F.sequence(F.lit(0), F.lit(SALTS - 1))).otherwise(F.array(F.lit(0)))
+    left = rows.join(hot, key, "left").withColumn("_salt", spread).drop("_hot")
+    right = keyed.join(hot, key, "left").withColumn("_salt", F.explode(copies)).drop("_hot")
     return left.join(right, [key, "_salt"], how).drop("_salt")
 
 
@@ -92,8 +104,8 @@ def tfidf_features(corpus: DataFrame, id_col: str = "doc_id", text_col: str = "t
     idf = df_t.filter(~heavy).select("term", (F.log((F.col("_n") + 1) / (F.col("_df") + 1)) + 1).alias("_idf"))
     w = salted_join(terms, idf, "term", id_col).select(id_col, "side", "term",
                                        ((1 + F.log(F.col("tf").cast("double"))) * F.col("_idf")).alias("_w"))
-    norm = w.groupBy(id_col).agg(F.sqrt(F.sum(F.col("_w") * F.col("_w"))).alias("_norm"))
-    return w.join(norm, id_col).select(id_col, "side", "term", (F.col("_w") / F.col("_norm")).alias("weight"))
+    norm = w.groupBy(id_col, "side").agg(F.sqrt(F.sum(F.col("_w") * F.col("_w"))).alias("_norm"))
+    return w.join(norm, [id_col, "side"]).select(id_col, "side", "term", (F.col("_w") / F.col("_norm")).alias("weight"))
 
 
 def random_auc_threshold(n_pos, n_neg, z: float = Z_95):
@@ -103,6 +115,51 @@ def random_auc_threshold(n_pos, n_neg, z: float = Z_95):
     return F.lit(0.5) + F.lit(z) * F.sqrt((n_pos + n_neg + 1) / (F.lit(12.0) * n_pos * n_neg))
 
 
+def random_auc_simulation(test_docs: DataFrame, id_col: str = "doc_id", n_sim: int = 1000, seed: int = 42, positive: str = "cur") -> DataFrame:
+    """J8 simulated: ``(sim, auc)`` of ``n_sim`` classifiers that score held-out documents at random.
+
+    A document's score in a simulation is one byte of an md5, so every md5 serves 16 simulations; a
+    task adds up positives and negatives per (simulation, byte) and these counts are all that leaves
+    it. Ties count one half. No sort, and the work grows with documents x simulations only."""
+    import hashlib
+
+    import numpy as np
+    import pyarrow as pa
+
+    from ..session import ship_package
+    ship_package(test_docs.sparkSession)
+    rounds = -(-n_sim // 16)
+
+    def run(batches):
+        counts = np.zeros((2, n_sim, 256), np.int64)
+        column = 256 * np.arange(n_sim)
+        for batch in batches:
+            for name, pos in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist()):
+                raw = b"".join([hashlib.md5(f"{seed}:random:{r}:{name}".encode()).digest() for r in range(rounds)])
+                counts[int(pos)].reshape(-1)[column + np.frombuffer(raw, np.uint8)[:n_sim]] += 1
+        if counts.any():
+            yield pa.RecordBatch.from_arrays([pa.array(range(n_sim), pa.int32()), *(pa.array(list(c), pa.list_(pa.int64())) for c in counts[::-1])],
+                                             ["sim", "pos", "neg"])
+
+    part = test_docs.select(F.coalesce(F.col(id_col).cast("string"), F.lit("")).alias("name"), (F.col("side") == positive).alias("p")).mapInArrow(
+        run, "sim int, pos array<long>, neg array<long>")
+    per = part.select("sim", F.posexplode(F.arrays_zip("pos", "neg")).alias("byte", "c")).groupBy("sim", "byte").agg(
+        F.sum("c.pos").alias("pos"), F.sum("c.neg").alias("neg"))
+    from pyspark.sql import Window
+    below = F.sum("neg").over(Window.partitionBy("sim").orderBy("byte").rowsBetween(Window.unboundedPreceding, -1))  # 256 rows a simulation
+    u = per.withColumn("u", F.col("pos") * (F.coalesce(below, F.lit(0)) + F.col("neg") / 2))
+    both = F.sum("pos").cast("double") * F.sum("neg")
+    return u.groupBy("sim").agg(F.when(both > 0, F.sum("u") / both).alias("auc"))
+
+
+def simulated_auc_threshold(test_docs: DataFrame, id_col: str = "doc_id", n_sim: int = 1000, seed: int = 42, q: float = 0.95) -> DataFrame:
+    """One row ``n_pos, n_neg, closed_form, simulated``: both forms of the random-AUC threshold."""
+    sims = random_auc_simulation(test_docs, id_col, n_sim, seed).agg(F.percentile("auc", q).alias("simulated"))  # n_sim numbers
+    n = test_docs.agg(F.count_if(F.col("side") == "cur").alias("n_pos"), F.count_if(F.col("side") == "ref").alias("n_neg"))
+    closed = F.when(F.col("n_pos") * F.col("n_neg") > 0, random_auc_threshold(F.col("n_pos").cast("double"), F.col("n_neg").cast("double")))
+    return n.crossJoin(sims).select("n_pos", "n_neg", closed.alias("closed_form"), "simulated")
+
+
 def term_log_odds(weights: DataFrame, id_col: str = "doc_id") -> DataFrame:
     """Smoothed log-odds of a term's document frequency, current vs reference."""
     docs = weights.select(id_col, "side").distinct().groupBy("side").agg(F.count(F.lit(1)).alias("_n"))
@@ -125,10 +182,10 @@ def domain_classifier(corpus: DataFrame, id_col: str = "doc_id", text_col: str =
     is_train = hash_half(seed, "domain", id_col)
     lo = term_log_odds(w.filter(is_train), id_col)
     test_docs = corpus.filter(~is_train).select(id_col, "side")
-    contrib = w.filter(~is_train).join(lo.select("term", "log_odds"), "term") \
-        .groupBy(id_col).agg(F.sum(F.col("weight") * F.col("log_odds")).alias("score"))
+    contrib = salted_join(w.filter(~is_train), lo.select("term", "log_odds"), "term", id_col) \
+        .groupBy(id_col, "side").agg(F.sum(F.col("weight") * F.col("log_odds")).alias("score"))
     # scores rounded to 12 places: sums of the same terms in another order must tie, not flip
-    scored = test_docs.join(contrib, id_col, "left").fillna(0.0, ["score"]) \
+    scored = test_docs.join(contrib, [id_col, "side"], "left").fillna(0.0, ["score"]) \
         .withColumn("score", F.round("score", 12))
     # held-out documents bound the (score) table size: a cheap count sizes the AUC buckets
     auc = binary_auc(scored, "side", "score", "cur", n_rows=test_docs.count())
@@ -198,7 +255,7 @@ def text_oov_share(corpus: DataFrame, vocabulary: DataFrame | None = None, id_co
                    text_col: str = "text") -> DataFrame:
     """Per document, share of word tokens outside the vocabulary (default: the words of
     the reference side). Anti/left join on the term (a shuffle join; no size assumption)."""
-    toks = doc_words(corpus, id_col, text_col)
+    toks = _reliable(doc_words(corpus, id_col, text_col), "doc_words")
     vocab = vocabulary if vocabulary is not None else toks.filter(F.col("side") == "ref").select("term")
     j = salted_join(toks, vocab.select("term").distinct().withColumn("_in", F.lit(1)), "term", id_col, "left")
     return j.groupBy(id_col, "side").agg(F.sum("n").alias("n_words"),
@@ -210,7 +267,8 @@ def text_sentiment(corpus: DataFrame, lexicon: DataFrame, id_col: str = "doc_id"
                    text_col: str = "text") -> DataFrame:
     """Mean lexicon score of a document's words found in ``lexicon(term, score)``;
     documents without a lexicon word get 0."""
-    j = salted_join(doc_words(corpus, id_col, text_col), lexicon.select("term", "score"), "term", id_col)
+    words = _reliable(doc_words(corpus, id_col, text_col), "doc_words")
+    j = salted_join(words, lexicon.select("term", "score"), "term", id_col)
     s = j.groupBy(id_col).agg((F.sum(F.col("score") * F.col("n")) / F.sum("n")).alias("sentiment"))
     return corpus.select(id_col, "side").join(s, id_col, "left").fillna(0.0, ["sentiment"])
 

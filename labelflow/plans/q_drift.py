@@ -12,8 +12,11 @@ from pyspark.sql import functions as F
 from ..functions.columns import hash_half
 from ..functions.text import ALPHABET, STOP_WORDS
 from ..operators import drift as DR
+from ..operators import drift_batches as DB
 from ..operators import drift_embed as DE
+from ..operators import drift_linear as DL
 from ..operators import drift_text as DT
+from ..session import shared_path
 from ..sources.tables import read_table
 from .registry import register, rounded
 
@@ -96,6 +99,20 @@ def q_random_auc_threshold(spark, sf):
                                                                      F.col("n_neg").cast("double"))))
 
 
+@register("random_auc_simulated", f"""WITH {CORPUS_SQL}, t AS (SELECT doc_id, side = 'cur' AS pos FROM corpus WHERE NOT substr(md5('{SEED}:domain:' || doc_id), 1, 1) < '8'),
+h AS (SELECT pos, r, md5('{SEED}:random:' || r || ':' || doc_id) AS m FROM t, range(0, 63) a(r)),
+s AS (SELECT pos, 16 * r + k AS sim, substr(m, CAST(2 * k + 1 AS INTEGER), 2) AS score FROM h, range(0, 16) b(k) WHERE 16 * r + k < 1000),
+c AS (SELECT sim, score, count(*) FILTER (pos) AS p, count(*) FILTER (NOT pos) AS n FROM s GROUP BY ALL),
+u AS (SELECT sim, p, n, p * (coalesce(sum(n) OVER (PARTITION BY sim ORDER BY score ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) + n / 2.0) AS u FROM c),
+a AS (SELECT sim, sum(u) / (sum(p) * sum(n)) AS auc FROM u GROUP BY sim),
+z AS (SELECT count(*) FILTER (pos) AS m, count(*) FILTER (NOT pos) AS n FROM t)
+SELECT max(m) AS n_pos, max(n) AS n_neg, round(max(0.5 + {DT.Z_95} * sqrt((m + n + 1) / (12.0 * m * n))), 6) AS closed_form,
+  round(quantile_cont(auc, CAST(0.95 AS DOUBLE)), 6) AS simulated FROM a, z""")
+def q_random_auc_simulated(spark, sf):
+    """The threshold from 1,000 random classifiers next to the closed form."""
+    return rounded(DT.simulated_auc_threshold(text_corpus(spark, sf).filter(~hash_half(SEED, "domain", "doc_id")), seed=SEED))
+
+
 NODRIFT_CORPUS_SQL = ("corpus AS (SELECT doc_id, CASE WHEN substr(md5('" + str(SEED) + ":side:' || doc_id), 1, 1) < '8' "
                       "THEN 'ref' ELSE 'cur' END AS side, text FROM documents)")
 
@@ -473,3 +490,136 @@ def q_domain_classifier_mllib(spark, sf):
     n = held.agg(F.count_if(F.col("side") == "cur").cast("double").alias("m"), F.count_if(F.col("side") == "ref").cast("double").alias("n"))
     return n.select((F.lit(float(auc)) > DT.random_auc_threshold(F.col("m"), F.col("n"))).alias("drift_detected"),
                     F.lit(float(auc) > 0.9).alias("separable"))
+
+
+# ---------------------------------------------------------------- many batches, log of results
+
+BATCHES = 30
+
+
+def batched_documents(spark, sf):
+    """The current side of ``documents`` as ``BATCHES`` batches by id."""
+    d = read_table(spark, sf, "documents").select("doc_id", "lang", "text")
+    cur = d.filter(F.coalesce(F.col("lang") != "en", F.lit(True)))
+    return cur.select("doc_id", "text", (F.col("doc_id") % BATCHES).alias("batch"))
+
+
+def domain_batches_sql(batch: str) -> str:
+    """CTEs up to db(b, auc, threshold, n_ref_test, n_cur_test), one domain classifier per batch."""
+    held = f"NOT substr(md5('{SEED}:domain:' || doc_id), 1, 1) < '8'"
+    return f"""{CORPUS_SQL},
+bt AS (SELECT doc_id, side, text, CASE WHEN side = 'cur' THEN {batch} END AS own FROM corpus),
+bs AS (SELECT DISTINCT own AS b FROM bt WHERE own IS NOT NULL),
+toks AS (SELECT doc_id, side, own, unnest(regexp_extract_all(lower(coalesce(text, 'None')), '{WORD_RE}')) AS term FROM bt),
+tf AS (SELECT doc_id, side, own, term, count(*) AS tf FROM toks WHERE term NOT IN {STOP_SQL} GROUP BY ALL),
+nd AS (SELECT b, (SELECT count(*) FROM bt WHERE side = 'ref') + (SELECT count(*) FROM bt WHERE own = b) AS n FROM bs),
+dr AS (SELECT term, count(*) AS df FROM tf WHERE side = 'ref' GROUP BY term), dc0 AS (SELECT own AS b, term, count(*) AS df FROM tf WHERE side = 'cur' GROUP BY ALL),
+dft AS (SELECT b, term, sum(df) AS df FROM (SELECT b, term, df FROM dr, bs UNION ALL SELECT * FROM dc0) x GROUP BY ALL),
+idf AS (SELECT b, term, ln((n + 1) / (df + 1)) + 1 AS idf FROM dft JOIN nd USING (b) WHERE df <= CAST(0.5 AS DOUBLE) * n),
+w0 AS (SELECT b, doc_id, side, term, (1 + ln(tf)) * idf AS w FROM tf JOIN idf USING (term) WHERE side = 'ref' OR own = b),
+w AS (SELECT b, doc_id, side, term, w / sqrt(sum(w * w) OVER (PARTITION BY b, doc_id)) AS weight, {held} AS held FROM w0),
+nt AS (SELECT b, count(DISTINCT doc_id) FILTER (side = 'cur') AS nc, count(DISTINCT doc_id) FILTER (side = 'ref') AS nr FROM w WHERE NOT held GROUP BY b),
+lo AS (SELECT b, term, ln((count(*) FILTER (side = 'cur') + 1) / (max(nc) + 2)) - ln((count(*) FILTER (side = 'ref') + 1) / (max(nr) + 2)) AS log_odds
+       FROM w JOIN nt USING (b) WHERE NOT held GROUP BY b, term),
+test AS (SELECT b, doc_id, side FROM bt, bs WHERE {held} AND (side = 'ref' OR own = b)),
+cs AS (SELECT b, doc_id, sum(weight * log_odds) AS s FROM w JOIN lo USING (b, term) WHERE held GROUP BY ALL),
+sc AS (SELECT b, side, round(coalesce(s, 0.0), 12) AS score FROM test LEFT JOIN cs USING (b, doc_id)),
+r AS (SELECT b, side = 'cur' AS is_pos, rank() OVER (PARTITION BY b ORDER BY score) + (count(*) OVER (PARTITION BY b, score) - 1) / 2.0 AS r FROM sc),
+a AS (SELECT b, count(*) FILTER (is_pos) AS m, count(*) FILTER (NOT is_pos) AS n, sum(r) FILTER (is_pos) AS rs FROM r GROUP BY b),
+db AS (SELECT b, CASE WHEN m * n > 0 THEN (rs - m * (m + 1) / 2.0) / (m * n) END AS auc,
+  CASE WHEN m * n > 0 THEN 0.5 + {DT.Z_95} * sqrt((m + n + 1) / (12.0 * m * n)) END AS threshold FROM a)"""
+
+
+PROFILE_BATCH_SQL = LETTER_PROFILE_BODY + """,
+pr AS (SELECT pos, avg(value) AS m FROM prof WHERE side = 'ref' GROUP BY pos),
+pc AS (SELECT own AS b, pos, avg(value) AS m FROM prof JOIN bt USING (doc_id) WHERE prof.side = 'cur' GROUP BY ALL),
+ed AS (SELECT b, sqrt(sum((pr.m - pc.m) * (pr.m - pc.m))) AS distance FROM pr JOIN pc USING (pos) GROUP BY b),
+bm AS (SELECT b, coalesce(auc > db.threshold, false) AS d1, coalesce(distance > 0.2, false) AS d2, auc, db.threshold, distance
+       FROM bs LEFT JOIN db USING (b) LEFT JOIN ed USING (b)),
+br AS (SELECT b, d1 OR d2 AS drift_detected, CASE WHEN d1 AND d2 THEN 'high' WHEN d1 OR d2 THEN 'low' ELSE 'none' END AS drift_severity,
+  round(auc, 6) AS roc_auc, round(threshold, 6) AS auc_threshold, round(distance, 6) AS drift_score FROM bm)"""
+
+
+def _flat(result):
+    m = F.col("method_results")
+    return rounded(result.select(
+        *[c for c in result.columns if c in ("batch_id", "window_start")], "drift_detected", "drift_severity",
+        m["domain_classifier"]["details"]["roc_auc"].alias("roc_auc"), m["domain_classifier"]["details"]["threshold"].alias("auc_threshold"),
+        m["embedding"]["details"]["drift_score"].alias("drift_score")))
+
+
+STATIC = {"embedding_drift_method": "euclidean", "use_bootstrap": False}
+
+
+@register("drift_detect_batches", f"WITH {domain_batches_sql(f'doc_id % {BATCHES}')}, {PROFILE_BATCH_SQL} "
+          "SELECT CAST(b AS VARCHAR) AS batch_id, drift_detected, drift_severity, roc_auc, auc_threshold, drift_score FROM br")
+def q_drift_detect_batches(spark, sf):
+    """J2 for 30 batches in one job: both methods, one row per batch."""
+    return _flat(DB.drift_detect_batches(batched_documents(spark, sf), drift_reference(spark, sf, **STATIC), "batch"))
+
+
+RATIO_BATCH_SQL = _vec(0.05) + """, per_b AS (SELECT DISTINCT vec_id % 5 AS b FROM vc WHERE side = 'cur'),
+hv AS (SELECT b * 1000 + dim AS g, side, value FROM vlong, per_b WHERE side = 'ref' OR vec_id % 5 = b), """ + WASS_SQL.format(g="g", src="hv") + """
+SELECT CAST(g // 1000 AS INTEGER) AS batch, round(avg(CAST(distance >= 0.1 AS DOUBLE)), 6) AS drift_score, avg(CAST(distance >= 0.1 AS DOUBLE)) >= 0.2 AS drift_detected
+FROM per GROUP BY 1"""
+
+
+@register("drift_ratio_batches", RATIO_BATCH_SQL)
+def q_drift_ratio_batches(spark, sf):
+    """J15 for several batches: the reference's running counts meet all batches of a value range."""
+    c = vector_corpus(spark, sf, 0.05)
+    fit = DE.fit_embedding(c.filter("side = 'ref'"), "ratio", False, seed=SEED)
+    cur = c.filter("side = 'cur'").withColumn("batch", (F.col("vec_id") % 5).cast("int"))
+    return rounded(DB.embedding_batches(fit, cur).select("batch", "drift_score", "drift_detected"))
+
+
+@register("drift_results_log", f"WITH {domain_batches_sql(f'doc_id % {BATCHES}')}, {PROFILE_BATCH_SQL} "
+          "SELECT CAST(b AS VARCHAR) AS batch_id, drift_detected, drift_severity, roc_auc, auc_threshold, drift_score FROM br")
+def q_drift_results_log(spark, sf):
+    """Results of all batches appended to the log, some of them twice; the log has one row a batch."""
+    cur, fit = batched_documents(spark, sf), drift_reference(spark, sf, **STATIC)
+    path = shared_path(spark, "drift_log")
+    DB.append_results(DB.drift_detect_batches(cur, fit, "batch"), path)
+    DB.append_results(DB.drift_detect_batches(cur.filter("batch < 5"), fit, "batch"), path)
+    return _flat(DB.latest_results(spark, path))
+
+
+L1_ROUNDS = 8
+
+
+def _l1_sql() -> str:
+    """Proximal gradient rounds of the linear domain classifier, unrolled."""
+    out = [f"""WITH {TFIDF_SQL},
+wx AS (SELECT doc_id, term, weight, substr(md5('{SEED}:domain:' || doc_id), 1, 1) < '8' AS train FROM w),
+dy AS (SELECT doc_id, CASE WHEN side = 'cur' THEN 1.0 ELSE -1.0 END AS y FROM corpus WHERE substr(md5('{SEED}:domain:' || doc_id), 1, 1) < '8'),
+nn AS (SELECT CAST(count(*) AS DOUBLE) AS n FROM dy),
+w_0 AS MATERIALIZED (SELECT '' AS term, CAST(0 AS DOUBLE) AS w WHERE false), b_0 AS (SELECT CAST(0 AS DOUBLE) AS b)"""]
+    for i in range(L1_ROUNDS):
+        out.append(f"""
+z_{i} AS (SELECT doc_id, sum(weight * w) AS z FROM wx JOIN w_{i} USING (term) WHERE train GROUP BY doc_id),
+m_{i} AS (SELECT doc_id, y, y * (coalesce(z, 0.0) + b) AS m FROM dy LEFT JOIN z_{i} USING (doc_id), b_{i}),
+s_{i} AS MATERIALIZED (SELECT doc_id, CASE WHEN m >= 1 THEN 0.0 WHEN m >= -1 THEN (1 - m) * (1 - m) ELSE -4 * m END AS loss,
+  y * CASE WHEN m >= 1 THEN 0.0 WHEN m >= -1 THEN -2 * (1 - m) ELSE -4.0 END AS slope FROM m_{i}),
+g_{i} AS (SELECT term, sum(weight * slope) / max(n) AS g FROM wx JOIN s_{i} USING (doc_id), nn WHERE train AND slope <> 0 GROUP BY term),
+v_{i} AS (SELECT coalesce(g.term, w.term) AS term, coalesce(w, 0.0) - {DL.STEP} * coalesce(g, 0.0) AS v FROM g_{i} g FULL JOIN w_{i} w ON g.term = w.term),
+w_{i + 1} AS MATERIALIZED (SELECT term, sign(v) * greatest(abs(v) - {DL.STEP} * {DL.ALPHA}, 0.0) AS w FROM v_{i} WHERE abs(v) > {DL.STEP} * {DL.ALPHA}),
+b_{i + 1} AS (SELECT max(b) - {DL.STEP} * (SELECT sum(slope) FROM s_{i}) / max(n) AS b FROM b_{i}, nn)""")
+    losses = " UNION ALL ".join(f"SELECT {i} AS round, (SELECT sum(loss) FROM s_{i}) / n + {DL.ALPHA} * coalesce((SELECT sum(abs(w)) FROM w_{i}), 0.0) AS loss FROM nn" for i in range(L1_ROUNDS))
+    return ",".join(out) + f""", ls AS ({losses}),
+test AS (SELECT doc_id, side FROM corpus WHERE NOT substr(md5('{SEED}:domain:' || doc_id), 1, 1) < '8'),
+cs AS (SELECT doc_id, sum(weight * w) AS s FROM wx JOIN w_{L1_ROUNDS} USING (term) WHERE NOT train GROUP BY doc_id),
+sc AS (SELECT side, round(coalesce(s, 0.0), 12) AS score FROM test LEFT JOIN cs USING (doc_id)),
+r AS (SELECT side = 'cur' AS is_pos, rank() OVER (ORDER BY score) + (count(*) OVER (PARTITION BY score) - 1) / 2.0 AS r FROM sc),
+a AS (SELECT count(*) FILTER (is_pos) AS m, count(*) FILTER (NOT is_pos) AS n, sum(r) FILTER (is_pos) AS rs FROM r)
+SELECT CAST(m AS BIGINT) AS n_cur_test, CAST(n AS BIGINT) AS n_ref_test, round((rs - m * (m + 1) / 2.0) / (m * n), 4) AS roc_auc,
+  (rs - m * (m + 1) / 2.0) / (m * n) > 0.5 + {DT.Z_95} * sqrt((m + n + 1) / (12.0 * m * n)) AS drift_detected,
+  (SELECT round(min(loss), 6) FROM ls) AS last_loss, true AS loss_falls FROM a"""
+
+
+@register("domain_classifier_l1", _l1_sql())
+def q_domain_classifier_l1(spark, sf):
+    """L1 linear model with the modified Huber loss on the full vocabulary, held-out AUC."""
+    got, fit = DL.domain_classifier_l1(text_corpus(spark, sf), seed=SEED, rounds=L1_ROUNDS)
+    falls = all(b < a for a, b in zip(fit.losses, fit.losses[1:]))
+    return rounded(got.select("n_cur_test", "n_ref_test", F.round("roc_auc", 4).alias("roc_auc"), "drift_detected",
+                              F.lit(fit.losses[-1]).alias("last_loss"), F.lit(falls).alias("loss_falls")))

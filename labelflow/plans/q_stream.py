@@ -211,3 +211,26 @@ def q_model_save_load(spark, sf):
     after = S.PipelineScorer(path).transform(docs.select("doc_id", "text")).select("doc_id", F.col("predicted_label").alias("b"), F.col("confidence").alias("d"))
     same = F.col("a").eqNullSafe(F.col("b")) & (F.abs(F.col("c") - F.col("d")) < 1e-12)
     return before.join(after, "doc_id").agg(F.count(F.lit(1)).alias("n_rows"), F.count_if(~same).alias("n_differing"))
+
+
+from .q_drift import PROFILE_BATCH_SQL, domain_batches_sql  # noqa: E402
+
+
+@register("drift_on_closed_windows", f"WITH {domain_batches_sql('doc_id % 30')}, {PROFILE_BATCH_SQL} "
+          "SELECT TIMESTAMP '2024-01-01' + INTERVAL 1 DAY * b AS window_start, drift_detected, drift_severity, roc_auc, auc_threshold, drift_score FROM br")
+def q_drift_on_closed_windows(spark, sf):
+    """L2: a feed of documents with event times over 30 days; the detector with a saved fit runs on
+    every day that the watermark closes, the last days when the feed ends."""
+    from ..operators import drift_batches as DB
+    from . import q_drift as QD
+    day = F.expr("TIMESTAMP '2024-01-01 00:00:00' + make_dt_interval(CAST(batch AS INT), CAST(doc_id % 24 AS INT))")
+    feed = shared_path(spark, "document_feed")
+    docs = QD.batched_documents(spark, sf).withColumn("ts", day)
+    for part in range(5):  # the feed arrives in five parts of six days
+        docs.filter((F.col("batch") >= 6 * part) & (F.col("batch") < 6 * part + 6)).drop("batch").write.parquet(f"{feed}/part{part}")
+    like = spark.read.parquet(f"{feed}/part0")
+    stream = spark.readStream.schema(like.schema).option("maxFilesPerTrigger", 8).parquet(f"{feed}/*")
+    fit = QD.drift_reference(spark, sf, **QD.STATIC)
+    out = MO.drift_on_closed_windows(stream, lambda rows, key: DB.drift_detect_batches(rows, fit, key), "ts", shared_path(spark, "closed_windows"),
+                                     shared_path(spark, "ckpt_closed_windows"), "1 day", "6 days", flush=True)
+    return QD._flat(out).withColumn("window_start", F.col("window_start").cast("timestamp_ntz"))
