@@ -1,12 +1,14 @@
 """Alignment of the tokens of two tokenizers through the bytes they cover.
 
-Method. A text is cut at single blanks between two other characters, where both tokenizers always
-start a new token (checked against the vocabulary of the piece model), so its segments are encoded
-on their own and each distinct segment of a task's chunk of texts only once. The character offsets
-of the byte-level tokenizer and the byte spans of the piece model's protos are the coarse token
-ends. Tokens whose coarse span differs from their decoded bytes (parts of a multibyte character,
-byte-fallback tokens) get their ends from the decoded bytes. Byte offsets where both end cut the
-tokens into groups; every interval between neighbouring ends of either side is one link.
+Method. A blank and the text are cut into units where both tokenizers always start a new token: in
+front of a single blank or line break between two other characters, and between a letter and a
+punctuation mark (checked against the vocabulary of the piece model). Each distinct unit of a task's
+chunk of texts is encoded once; a unit without a blank in front is given to the piece model behind a
+line break, whose tokens are taken off again. The character offsets of the byte-level tokenizer and
+the byte spans of the piece model's protos are the coarse token ends. Tokens whose coarse span
+differs from their decoded bytes (parts of a multibyte character, byte-fallback tokens) get their
+ends from the decoded bytes. Byte offsets where both end cut the tokens into groups; every interval
+between neighbouring ends of either side is one link.
 
 Corpus counts: a chunk gives its distinct id pairs with their links, which are summed over all
 chunks by pair; the highest count of an id of the second tokenizer comes from that table. The
@@ -39,27 +41,33 @@ from .common import Memo, byte_chars, pieces_of, prepare, shared_table, text_or_
 CHUNK_BYTES = 4 << 20
 SLICE = 1 << 18
 ENCODE_ROWS = 4096
+MEMO_BYTES = 128 << 20
 PARTS = ("chunk long, doc_id long, n_a long, n_b long, n_groups long, n_links long, groups string, groups_sha256 string, "
          "segments binary, seg_ends binary, seg_pairs binary, pairs array<long>, counts array<long>")
 RESULT = ("doc_id long, n_a long, n_b long, n_groups long, n_links long, n_best long, count_sum long, groups string, "
           "groups_sha256 string")
 B_BITS = 32
 
-# the literal blank comes first so that the scan jumps from blank to blank
+_LETTER = "A-Za-zÀ-ÖØ-öø-ÿ"
+_MARK = r"!-/:-@\[-`{-~"
 _CUT = re.compile(r" (?<=\S )(?=\S)")
+# runs of marks and letters that end at a cut come first; anything else goes on to the next cut
+_UNIT = re.compile(rf"[ \n]?[{_MARK}]*[{_LETTER}]+(?=[{_MARK}]|[ \n]\S|\Z)|[ \n]?[{_MARK}]+(?=[ \n]\S|\Z)"
+                   rf"|[\s\S]+?(?=\Z|(?<=\S)[ \n]\S|(?<=[{_LETTER}])[{_MARK}])")
+_JOINED = re.compile(rf"[{_LETTER}][{_MARK}]|\n")
 _FALLBACK = re.compile(r"<0x([0-9A-F]{2})>\Z")
 
 
-def segments(text: str):
-    """The parts of a text between the blanks where both tokenizers start anew, in slices."""
+def units(text: str):
+    """The parts of a text (with the blank in front) between safe cuts, in slices."""
     at = 0
     while len(text) - at > SLICE:
         m = _CUT.search(text, at + SLICE)
         if not m:
             break
-        yield _CUT.split(text[at:m.start()])
-        at = m.end()
-    yield _CUT.split(text[at:])
+        yield _UNIT.findall(text, at, m.start())
+        at = m.start()
+    yield _UNIT.findall(text, at)
 
 
 class Pair:
@@ -86,15 +94,18 @@ class Pair:
         self.bytes_b = []
         for i in range(self.b.get_piece_size()):
             piece = self.b.id_to_piece(i)
-            if "▁" in piece.lstrip("▁"):
-                raise ValueError(f"piece {piece!r} joins two words")
+            special = self.b.is_control(i) or self.b.is_unknown(i) or self.b.is_byte(i)
+            if not special and ("▁" in piece.lstrip("▁") or _JOINED.search(piece)):
+                raise ValueError(f"piece {piece!r} joins two units")
             m = _FALLBACK.match(piece)
             self.bytes_b.append(bytes([int(m[1], 16)]) if m else piece.replace("▁", " ").encode())
+        if [self.b.id_to_piece(i) for i in self.b.encode("\n")] != ["▁", "<0x0A>"]:
+            raise ValueError("the piece model must keep line breaks as bytes")
         self.len_a = np.array([len(x) for x in self.bytes_a], np.int64)
         self.len_b = np.array([len(x) for x in self.bytes_b], np.int64)
         self.str_a = [str(i) for i in range(len(self.bytes_a))]
         self.str_b = [str(i) for i in range(len(self.bytes_b))]
-        self.memo = Memo()
+        self.memo = Memo(MEMO_BYTES)
 
     def records(self, segs: list[str]) -> list:
         """For each segment None (not reproduced) or (n_a, n_b, n_groups, groups, pair codes)."""
@@ -109,27 +120,35 @@ class Pair:
         return out
 
     def encode(self, segs: list[str]) -> list[tuple]:
-        enc = self.a.encode_batch([" " + s for s in segs], add_special_tokens=False)
-        ids_a = [e.ids for e in enc]
+        enc = self.a.encode_batch(segs, add_special_tokens=False)
+        ids_a = [x.ids for x in enc]
+        na = np.array([len(x) for x in ids_a], np.int64)
+        fa = np.array([i for x in ids_a for i in x], np.int64)
         chars = np.array([e for x in enc for _, e in x.offsets], np.int64)
-        protos = [p.pieces for p in self.b.encode(segs, num_threads=1, return_type="proto")]
-        ids_b = [[x.id for x in p] for p in protos]
-        raw = [b" " + s.encode() for s in segs]
+        led = [s[0] == " " for s in segs]
+        # two tokens stand for the line break in front of a unit without a blank
+        protos = self.b.encode([s[1:] if k else "\n" + s for s, k in zip(segs, led)], num_threads=1, return_type="proto")
+        pieces = [p.pieces for p in protos]
+        nb = np.array([len(p) for p in pieces], np.int64)
+        found = np.array([(x.id, x.end) for p in pieces for x in p], np.int64).reshape(-1, 2)
+        shift = np.where(led, 1, -1)  # the blank is no part of the piece model's text, the break none of ours
+        first = np.concatenate([[0], np.cumsum(nb)[:-1]])
+        real = np.ones(len(found), bool)
+        real[first[shift < 0]] = real[first[shift < 0] + 1] = False
+        nb -= np.where(led, 0, 2)
+        fb, span_end = found[real, 0], found[real, 1]
+
+        raw = [s.encode() for s in segs]
         text = np.frombuffer(b"".join(raw), np.uint8)
         sizes = np.array([len(r) for r in raw], np.int64)
         base = np.concatenate([[0], np.cumsum(sizes)[:-1]])
-        n_chars = np.array([len(s) + 1 for s in segs], np.int64)
+        n_chars = np.array([len(s) for s in segs], np.int64)
         char_base = np.concatenate([[0], np.cumsum(n_chars)[:-1]])
         char_at = np.append(np.flatnonzero((text & 0xC0) != 0x80), len(text))
-
-        na, nb = (np.array([len(x) for x in side], np.int64) for side in (ids_a, ids_b))
-        fa, fb = (np.array([i for x in side for i in x], np.int64) for side in (ids_a, ids_b))
         sa, sb = np.repeat(np.arange(len(segs)), na), np.repeat(np.arange(len(segs)), nb)
-        coarse_a = char_at[char_base[sa] + chars]
-        coarse_b = base[sb] + 1 + np.array([x.end for p in protos for x in p], np.int64)  # the blank in front
-        end_a = refined(coarse_a, self.len_a[fa], sa, na, base)
-        end_b = refined(coarse_b, self.len_b[fb], sb, nb, base)
-        good = self.reproduced(raw, ids_a, self.bytes_a) & self.reproduced(raw, ids_b, self.bytes_b)
+        end_a = refined(char_at[char_base[sa] + chars], self.len_a[fa], sa, na, base)
+        end_b = refined(base[sb] + shift[sb] + span_end, self.len_b[fb], sb, nb, base)
+        good = reproduced(raw, fa, na, self.bytes_a) & reproduced(raw, fb, nb, self.bytes_b)
         ka, kb = good[sa], good[sb]
         fa, sa, end_a, fb, sb, end_b = fa[ka], sa[ka], end_a[ka], fb[kb], sb[kb], end_b[kb]
 
@@ -142,23 +161,19 @@ class Pair:
         groups = np.bincount(sa[both_a], minlength=len(segs))
         ga, gb = (np.flatnonzero(both_a) + 1).tolist(), (np.flatnonzero(both_b) + 1).tolist()
         ta, tb = [self.str_a[i] for i in fa.tolist()], [self.str_b[i] for i in fb.tolist()]
-        out, g, x, y = [], 0, 0, 0
-        codes = codes.tobytes()
-        for i, (ok, n, k, m) in enumerate(zip(good.tolist(), na.tolist(), nb.tolist(), groups.tolist())):
-            if not ok:
-                out.append((-1, 0, 0, "", b""))
-                continue
-            parts = []
-            for g in range(g, g + m):
-                parts.append(",".join(ta[x:ga[g]]) + "|" + ",".join(tb[y:gb[g]]))
-                x, y = ga[g], gb[g]
-            g += 1
-            out.append((n, k, m, ";".join(parts), codes[8 * link_at[i]:8 * link_at[i + 1]]))
-        return out
+        parts = [",".join(ta[x:i]) + "|" + ",".join(tb[y:k]) for x, i, y, k in zip([0, *ga], ga, [0, *gb], gb)]
+        codes, link_at, group_at = codes.tobytes(), (8 * link_at).tolist(), np.concatenate([[0], np.cumsum(groups)]).tolist()
+        return [(n, k, m, parts[g] if m == 1 else ";".join(parts[g:g + m]), codes[lo:hi]) if ok else (-1, 0, 0, "", b"")
+                for ok, n, k, m, g, lo, hi in zip(good.tolist(), na.tolist(), nb.tolist(), groups.tolist(), group_at, link_at, link_at[1:])]
+
 
-    @staticmethod
-    def reproduced(raw: list[bytes], ids: list[list[int]], table: list[bytes]) -> np.ndarray:
-        return np.array([b"".join([table[i] for i in x]) == r for r, x in zip(raw, ids)], bool)
+def reproduced(raw: list[bytes], ids: np.ndarray, count: np.ndarray, table: list[bytes]) -> np.ndarray:
+    """Whether the bytes of a unit's tokens are the unit."""
+    tokens = [table[i] for i in ids.tolist()]
+    if b"".join(tokens) == b"".join(raw) and (np.add.reduceat([len(t) for t in tokens], np.cumsum(count) - count) == [len(r) for r in raw]).all():
+        return np.ones(len(raw), bool)
+    end = np.cumsum(count).tolist()
+    return np.array([b"".join(tokens[lo:hi]) == r for lo, hi, r in zip([0, *end], end, raw)], bool)
 
 
 def refined(coarse: np.ndarray, size: np.ndarray, seg: np.ndarray, count: np.ndarray, base: np.ndarray) -> np.ndarray:
@@ -198,7 +213,7 @@ class Chunk:
         number = self.local.setdefault
         local, idx = self.local, []
         if text:
-            for part in segments(text):
+            for part in units(" " + text):
                 idx.extend([number(s, len(local)) for s in part])
         self.ids.append(doc_id)
         self.docs.append(np.array(idx, np.uint32))

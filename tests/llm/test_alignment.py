@@ -50,7 +50,7 @@ def brute(rows):
 
 COLS = ("doc_id", "n_a", "n_b", "n_groups", "n_links", "n_best", "count_sum", "groups")
 ODD = ["né ☃ 漢字 😀! ½ ﬁ", "tabs\tand\nlines \n  deep", "▁x literal", " lead", "trail ", "a  b   c", "<s> <unk> </s> <|endoftext|> <0x41>",
-       "e\u0301 ä \u200d \u00a0x \u2003y", "Ａ１ 。", "don't they'll 12345 x1y2", "ends with mark ▁", "\ud7ff\ue000 \ufffd", "🏴\u200d☠️ x"]
+       "e\u0301 ä \u200d \u00a0x \u2003y", "Ａ１ 。", "don't they'll 12345 x1y2", "ends with mark ▁", "\ud7ff\ue000 \ufffd", "🏴\u200d☠️ x", "don't(it's),they'LL--we're_x a.b\nc,\nd\n\ne \nf\n g", "für, Äh! ÿ. ²., x².y 3.14,a1,b", "a,,,'s's 's'll'x", "\n", "\nx", ",", "x\n"]
 
 
 @pytest.fixture
@@ -80,7 +80,9 @@ def test_small_chunks_and_slices_change_nothing(spark, small_parts):
            for r in [chunk.add(d, t or "", 1)]]
     assert len(got) == 60
     for _, text in rows:
-        ids = [i for part in alignment.segments(text or "") for s in part for i in pair.a.encode(" " + s, add_special_tokens=False).ids]
+        parts = [u for part in alignment.units(" " + text) for u in part] if text else []
+        assert not text or "".join(parts) == " " + text
+        ids = [i for u in parts for i in pair.a.encode(u, add_special_tokens=False).ids]
         assert not text or ids == pair.a.encode(" " + text, add_special_tokens=False).ids
 
 
