@@ -31,12 +31,12 @@ import pyarrow as pa
 import regex
 from pyspark.sql import DataFrame
 
-from .common import pieces_of, prepare
-from .common import byte_chars
+from .common import Memo, byte_chars, pieces_of, prepare
 
 SCHEMA = "doc_id long, n_tokens long, ids_sha256 string, decoded_sha256 string"
-MEMO = 400_000
+MEMO_BYTES = 192 << 20  # of chunks, and half as much of words
 WORD_END = "</w>"
+PREFIX = 4
 WORDS = r"'s|'t|'re|'ve|'m|'ll|'d|[\p{L}]+|[\p{N}]|[^\s\p{L}\p{N}]+"
 _ODD = "\x1c\x1d\x1e\x1f"  # white space for str.split, not for the pattern
 
@@ -74,7 +74,13 @@ class SpeculativeBpe:
         self.specials = regex.compile("(" + "|".join(map(regex.escape, self.special)) + ")") if self.special else None
         # a token that the merges don't rebuild from its own characters is never proposed
         self.usable = {s: i for s, i in v.items() if not self._merged_differs(s, i)}
-        self.memo: dict[str, tuple[int, str, str]] = {}
+        # the longest token that starts with these PREFIX characters
+        self.reach: dict[str, int] = {}
+        for s in self.usable:
+            s = s.removesuffix(WORD_END)
+            if len(s) >= PREFIX:
+                self.reach[s[:PREFIX]] = max(self.reach.get(s[:PREFIX], PREFIX), len(s))
+        self.memo, self.word_memo = Memo(MEMO_BYTES), Memo(MEMO_BYTES // 2)
 
     # -- words ---------------------------------------------------------------------------------
     def symbols(self, token: str) -> list[str]:
@@ -139,13 +145,13 @@ class SpeculativeBpe:
 
     def propose(self, word: str) -> list[int]:
         """Greedy longest match; ``word`` is in byte characters, without the mark."""
-        out, at, n, find, longest = [], 0, len(word), self.usable.get, self.longest
+        out, at, n, find, longest, reach = [], 0, len(word), self.usable.get, self.longest, self.reach.get
         last = word + WORD_END
         while at < n:
             if n - at <= longest and (t := find(last[at:])) is not None:
                 out.append(t)
                 return out
-            end = min(n - 1, at + longest)
+            end = min(n - 1, at + reach(word[at:at + PREFIX], PREFIX - 1))
             while (t := find(word[at:end])) is None:
                 end -= 1
             out.append(t)
@@ -208,15 +214,23 @@ class SpeculativeBpe:
             return regex.split(r"\s+", text)
         return text.split()
 
-    def learn(self, chunks: list[str]) -> None:
-        """Put the chunks that the memo lacks into it, all of them checked in one pass."""
+    def learn(self, chunks: list[str]) -> dict[str, tuple[int, str, str]]:
+        """(number of ids, ids, decoded) of chunks; words that the memo lacks are checked in one pass."""
         words = [self.chunk_words(c) for c in chunks]
-        distinct = list({w for x in words for w in x})
-        ids = dict(zip(distinct, self.encode_words(distinct)))
-        memo, string, digits = self.memo, self.strings.__getitem__, self.digits.__getitem__
+        known = {w: self.word_memo.get(w) for w in set().union(*words)}
+        new = [w for w, x in known.items() if x is None]
+        string, digits, out = self.strings.__getitem__, self.digits.__getitem__, {}
+        for w, x in zip(new, self.encode_words(new)):
+            known[w] = y = (len(x), " ".join(map(digits, x)), " ".join(map(string, x)))
+            self.word_memo.put(w, y, 300 + len(y[1]) + len(y[2]))
         for c, x in zip(chunks, words):
-            own = ids[x[0]] if len(x) == 1 else [t for w in x for t in ids[w]]
-            memo[c] = (len(own), " ".join(map(digits, own)), " ".join(map(string, own)))
+            if len(x) == 1:
+                out[c] = known[x[0]]
+            else:
+                n, ids, strings = zip(*map(known.__getitem__, x)) if x else ((), (), ())
+                out[c] = (sum(n), " ".join(ids), " ".join(strings))
+            self.memo.put(c, out[c], 350 + len(out[c][1]) + len(out[c][2]))
+        return out
 
     def encode_texts(self, texts: list[str]):
         """(number of ids, ids joined by blanks, decoded text) of every text."""
@@ -227,17 +241,12 @@ class SpeculativeBpe:
                 split.append([x for i, p in enumerate(parts) for x in ([(p,)] if i % 2 else self.chunks(p))])
             else:
                 split.append(self.chunks(text))
-        if len(self.memo) > MEMO:
-            self.memo.clear()
-        memo = self.memo
-        new = {c for x in split for c in x if c not in memo}
-        for c in [c for c in new if isinstance(c, tuple)]:
-            memo[c] = (1, str(self.special[c[0]]), c[0])
-            new.discard(c)
-        self.learn(sorted(new))
+        found = {c: (1, str(self.special[c[0]]), c[0]) if isinstance(c, tuple) else self.memo.get(c) for c in set().union(*split)}
+        found.update(self.learn(sorted(c for c, y in found.items() if y is None)))
         for x in split:
-            found = [y for y in map(memo.__getitem__, x) if y[0]]
-            yield sum(y[0] for y in found), " ".join([y[1] for y in found]), " ".join([y[2] for y in found])
+            parts = [y for y in map(found.__getitem__, x) if y[0]]
+            n, ids, strings = zip(*parts) if parts else ((), (), ())
+            yield sum(n), " ".join(ids), " ".join(strings)
 
 
 _LOADED: dict[str, SpeculativeBpe] = {}
