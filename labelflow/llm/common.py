@@ -15,7 +15,8 @@ from pyspark.sql import functions as F
 from labelflow.session import shared_path, ship_package
 
 BATCH_ROWS = 2000
-BATCH_BYTES = 8 << 20
+BATCH_BYTES = 2 << 20
+PIECE_BYTES = 1 << 19  # of text that a numpy step works on at once
 
 
 def documents(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -74,7 +75,7 @@ def text_bytes(col) -> tuple[np.ndarray, np.ndarray]:
     return b, o - o[0]
 
 
-def pieces_of(batch: pa.RecordBatch, limit: int = BATCH_BYTES):
+def pieces_of(batch: pa.RecordBatch, limit: int = PIECE_BYTES):
     """Slices of a batch with at most ``limit`` text bytes each (at least one row)."""
     if batch.num_rows == 0:
         return

@@ -101,7 +101,7 @@ def sketch(k: int, rows: int, bands: int):
 
     def run(batches):
         for batch in batches:
-            for part in pieces_of(batch, 1 << 20):
+            for part in pieces_of(batch, 1 << 18):
                 b, off = text_bytes(part.column(part.schema.get_field_index("text")))
                 n = part.num_rows
                 s, d = shingle_sets(b, off, k)
@@ -125,7 +125,7 @@ def sketch(k: int, rows: int, bands: int):
 def full_sets(k: int):
     def run(batches):
         for batch in batches:
-            for part in pieces_of(batch, 1 << 20):
+            for part in pieces_of(batch, 1 << 18):
                 b, off = text_bytes(part.column(part.schema.get_field_index("text")))
                 s, d = shingle_sets(b, off, k)
                 count, name = class_of(s, d, part.num_rows)

@@ -252,7 +252,7 @@ def learn(docs: DataFrame, labels: DataFrame) -> Chain:
 
     def lines(batches):
         for batch in batches:
-            for part in pieces_of(batch):
+            for part in pieces_of(batch, 1 << 18):
                 x, length, doc = features(*text_bytes(part.column(part.schema.get_field_index("text"))))
                 ids = part.column(part.schema.get_field_index("doc_id")).to_numpy()
                 y = part.column(part.schema.get_field_index("quality")).to_numpy()
@@ -278,7 +278,7 @@ def score(docs: DataFrame, chain: Chain) -> DataFrame:
 
     def run(batches):
         for batch in batches:
-            for part in pieces_of(batch, 2 << 20):
+            for part in pieces_of(batch, 1 << 18):
                 s = shared.value.score(*text_bytes(part.column(part.schema.get_field_index("text"))))
                 yield pa.RecordBatch.from_arrays([part.column(part.schema.get_field_index("doc_id")), pa.array(s, pa.float64())], ["doc_id", "score"])
 
