@@ -17,7 +17,6 @@ ignored. Sequence ids are unique (task number, then a running number), not gaple
 
 from __future__ import annotations
 
-import re
 import zlib
 from collections import defaultdict
 
@@ -35,18 +34,13 @@ SPECIAL = "<|endoftext|>"
 SCHEMA = ("doc_id long, start long, length long, ids_crc32 long, doc_tokens long, sequence_id long, "
           "offset long, sequence_tokens long")
 
-_CHUNK = re.compile(r" ?[^\s]+|\s+(?!\S)|\s")
-_SIMPLE = re.compile(r"[^\x1c-\x1f]*\Z")
 _TOKENIZERS: dict = {}
-MEMO = 300_000
 
 
 class IdCoder:
-    """Ids of a byte-level BPE vocabulary, with a bounded memo of blank-separated chunks.
+    """Ids of a byte-level BPE vocabulary; strings of special tokens inside texts are those tokens.
 
-    The vocabulary's pattern never joins text across a blank other than the one before a word, so
-    chunks (an optional blank and a run without white space, or white space) can be encoded on
-    their own. White space that Python and the pattern see differently takes the plain way."""
+    Whole texts are encoded at once: a memo of words costs more than encoding them again."""
 
     def __init__(self, path: str):
         import json
@@ -58,25 +52,10 @@ class IdCoder:
         ranks = {bytes(back[c] for c in tok): i for tok, i in model["model"]["vocab"].items() if tok != SPECIAL}
         pattern = r"""'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"""
         special = {t["content"]: t["id"] for t in model["added_tokens"]}
-        self.special = list(special)
         self.enc = tiktoken.Encoding("ids", pat_str=pattern, mergeable_ranks=ranks, special_tokens=special)
-        self.memo: dict[str, bytes] = {}
 
     def encode(self, text: str) -> np.ndarray:
-        if any(s in text for s in self.special) or not _SIMPLE.match(text):
-            return np.array(self.enc.encode(text, allowed_special="all"), np.uint16)
-        memo, get = self.memo, self.memo.get
-        chunks = _CHUNK.findall(text)
-        found = list(map(get, chunks))
-        if None in found:
-            if len(memo) > MEMO:
-                memo.clear()
-            plain = self.enc.encode_ordinary
-            for i, x in enumerate(found):
-                if x is None:
-                    c = chunks[i]
-                    found[i] = memo[c] = np.array(plain(c), np.uint16).tobytes()
-        return np.frombuffer(b"".join(found), np.uint16)
+        return self.enc.encode_to_numpy(text, allowed_special="all", disallowed_special=()).astype(np.uint16)
 
 
 def coder(path: str) -> IdCoder:
@@ -185,9 +164,9 @@ def tokenised(path: str):
         packer, code = Packer(first), coder(path)
         for batch in batches:
             for part in pieces_of(batch):
-                texts = part.column(part.schema.get_field_index("text")).to_pylist()
-                for doc, text in zip(part.column(part.schema.get_field_index("doc_id")).to_pylist(), texts):
-                    packer.add(doc, np.append(code.encode(text or ""), np.uint16(END_ID)))
+                texts = [t or "" for t in part.column(part.schema.get_field_index("text")).to_pylist()]
+                for doc, ids in zip(part.column(part.schema.get_field_index("doc_id")).to_pylist(), map(code.encode, texts)):
+                    packer.add(doc, np.append(ids, np.uint16(END_ID)))
                 yield from flushed(packer)
         packer.finish()
         yield from flushed(packer)
