@@ -33,7 +33,8 @@ def test_sql(spark, name):
 
 COLUMNS = {"op1_packing": "doc_id start length ids_crc32 doc_tokens sequence_id offset", "op5_quality": "doc_id held_out score predicted",
            "op6_chunk_dedup": "doc_id n_bytes n_removed n_spans kept_sha256", "op8_bpe": "doc_id n_tokens ids_sha256 decoded_sha256",
-           "op9_sharding": "doc_id size text_crc32 law shard slot grown_shard", "op10_language": "doc_id held_out lang_pred score"}
+           "op9_sharding": "doc_id size text_crc32 law shard slot grown_shard", "op10_language": "doc_id held_out lang_pred score",
+           "op13_alignment": "doc_id n_a n_b n_groups n_links n_best count_sum groups_sha256"}
 
 
 @pytest.mark.parametrize("name", sorted(COLUMNS))
