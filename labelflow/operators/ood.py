@@ -20,6 +20,7 @@ from pyspark.sql import functions as F
 from ..functions.columns import iso_timestamp
 from .curate import require_columns
 from .kernels import exact_percentile
+from .quantile_state import merge_quantile_states, percentile_from_states, quantile_states
 
 OOD_OUTPUT_COLUMNS = ["batch_id", "ood_confidence", "threshold", "ood_severity", "timestamp"]
 
@@ -67,6 +68,36 @@ def ood_fit(reference: DataFrame, config: OODConfig = OODConfig()) -> DataFrame:
                       "mean_confidence", "std_confidence", "min_confidence", "max_confidence")
 
 
+def ood_states(reference: DataFrame, config: OODConfig = OODConfig(), group_cols: list[str] | None = None) -> DataFrame:
+    """I1, kept per batch: one mergeable state per group of the reference's confidences. Write it next to
+    the batch; later fits merge states and need no other statistic of the rows."""
+    require_columns(reference, config.confidence_column)
+    return quantile_states(reference, config.confidence_column, group_cols)
+
+
+def ood_fit_from_states(states: DataFrame, reference: DataFrame, config: OODConfig = OODConfig(),
+                        group_cols: list[str] | None = None) -> DataFrame:
+    """I1 from saved states: ``ood_fit``'s columns, one row (``group_cols``: one per group). The states of
+    all batches in ``reference`` are merged per group; the profile comes from them alone, the exact
+    threshold from one scan that keeps only the values next to the wanted rank."""
+    g = list(group_cols or [])
+    merged = merge_quantile_states(states, g)
+    pct = percentile_from_states(reference, merged, config.confidence_column, config.alpha, g, "threshold")
+    n = F.col("n") + F.col("n_nan")
+    prof = merged.select(*g, n.alias("reference_samples"), F.coalesce("mean", F.lit(0.0)).alias("mean_confidence"),
+                         F.sqrt(F.col("m2") / n).alias("std_confidence"), F.coalesce("low", F.lit(0.0)).alias("min_confidence"),
+                         F.coalesce("high", F.lit(0.0)).alias("max_confidence"))
+    same = [F.col(f"p.{c}").eqNullSafe(F.col(f"f.{c}")) for c in g]
+    on = same[0] if same else F.lit(True)  # without groups both sides have one row
+    for c in same[1:]:
+        on = on & c
+    j = pct.alias("p").join(prof.alias("f"), on)
+    guard = F.when(F.col("reference_samples") == 0, F.raise_error(F.lit("Reference DataFrame cannot be empty")))
+    return j.select(*[F.col(f"p.{c}").alias(c) for c in g], F.coalesce(guard.cast("double"), F.col("threshold")).alias("threshold"),
+                    F.lit(float(config.alpha)).alias("alpha"), "reference_samples", "mean_confidence", "std_confidence",
+                    "min_confidence", "max_confidence")
+
+
 def _is_ood(conf: Column, threshold: Column) -> Column:
     # Spark orders NaN above everything (x < NaN is true): test NaN explicitly (rule N8)
     return conf.isNotNull() & ~F.isnan(threshold) & (conf < threshold)

@@ -489,6 +489,37 @@ def q_ood_fit(spark, sf):
     return rounded(fit)
 
 
+N_BATCHES = 30
+OOD_BATCH_SQL = f"CAST('0x' || substr(md5('{SEED}:ood_batch:' || doc_id), 1, 8) AS BIGINT) % {N_BATCHES}"
+
+
+def _ood_batches(spark, sf):
+    """All scored rows dealt to 30 batches, and their states, saved."""
+    from ..session import write_table
+    key = F.md5(F.concat_ws(":", F.lit(str(SEED)), F.lit("ood_batch"), F.col("doc_id").cast("string")))
+    rows = scored_docs(spark, sf).withColumn("batch", F.pmod(F.conv(F.substring(key, 1, 8), 16, 10).cast("long"), F.lit(N_BATCHES)))
+    return rows, write_table(O.ood_states(rows, O.OODConfig(alpha=ALPHA), ["batch"]), "ood_states")
+
+
+_FIT_SQL = (f"quantile_cont(confidence, CAST({ALPHA} AS DOUBLE))", "threshold"), ("avg(confidence)", "mean_confidence"), \
+    ("stddev_pop(confidence)", "std_confidence"), ("min(confidence)", "min_confidence"), ("max(confidence)", "max_confidence")
+_FIT_SQL = f"CAST({ALPHA} AS DOUBLE) AS alpha, count(confidence) AS reference_samples, " + ", ".join(_r(e, n) for e, n in _FIT_SQL)
+
+
+@register("ood_fit_by_batch", with_scorer(f"SELECT {OOD_BATCH_SQL} AS batch, {_FIT_SQL} FROM scored GROUP BY 1"))
+def q_ood_fit_by_batch(spark, sf):
+    """I1 for 30 batches in one job, from saved states."""
+    rows, states = _ood_batches(spark, sf)
+    return rounded(O.ood_fit_from_states(states, rows, O.OODConfig(alpha=ALPHA), ["batch"]))
+
+
+@register("ood_fit_merged", with_scorer(f"SELECT {_FIT_SQL} FROM scored"))
+def q_ood_fit_merged(spark, sf):
+    """I1 of the union of 30 batches: their saved states merged, one scan for the exact threshold."""
+    rows, states = _ood_batches(spark, sf)
+    return rounded(O.ood_fit_from_states(states, rows, O.OODConfig(alpha=ALPHA)))
+
+
 @register("ood_detect", "WITH " + SCORER_CTE.strip() + OOD_CTE +
           "SELECT cur.doc_id, cur.lang, cur.predicted_label_id, cur.predicted_label, "
           + _r("cur.confidence", "confidence") + ", 'batch_current' AS batch_id, "
