@@ -19,6 +19,9 @@ from __future__ import annotations
 from dataclasses import dataclass, field
 from typing import Protocol
 
+import numpy as np
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -247,12 +250,10 @@ def resolve_attempts(parsed: DataFrame, num_candidates: int | Column, num_to_sel
 
 # ------------------------------------------------------------------ selector (K7)
 
-def rank_informative(candidates: DataFrame, n: int, current_dist: DataFrame,
-                     category_col: str = "category", text_col: str = "text",
-                     weights=(0.4, 0.3, 0.2, 0.1), group_cols: list[str] | None = None) -> DataFrame:
-    """K7: score candidates and keep the n best per batch (``pick_pos`` 0..n-1).
-
-    Needs ``probs`` (class probabilities) on the candidates."""
+def informativeness(candidates: DataFrame, current_dist: DataFrame, category_col: str = "category", text_col: str = "text",
+                    weights=(0.4, 0.3, 0.2, 0.1)) -> DataFrame:
+    """K7: candidates with their score: uncertainty, closeness of the two best classes, rarity of the
+    category in the training set and length. Needs ``probs`` (class probabilities)."""
     w_unc, w_bnd, w_rare, w_len = weights
     k = F.size("probs")
     ent = -F.aggregate("probs", F.lit(0.0), lambda a, p: a + F.when(p > 0, p * F.log(p)).otherwise(F.lit(0.0)))
@@ -265,14 +266,73 @@ def rank_informative(candidates: DataFrame, n: int, current_dist: DataFrame,
     words = F.size(F.split(F.trim(F.coalesce(F.col(text_col), F.lit(""))), r"\s+"))
     quality = F.least(F.lit(1.0), F.log1p(words.cast("double")) / F.log1p(F.lit(200.0)))
     # rounded to 12 places: equal texts get equal scores in every engine, ties then go to local_idx
-    scored = candidates.crossJoin(F.broadcast(dist)).withColumn(
+    return candidates.crossJoin(F.broadcast(dist)).withColumn(
         "informativeness", F.round(F.lit(w_unc) * unc + F.lit(w_bnd) * (1 - margin) + F.lit(w_rare) * (1 - share)
                                    + F.lit(w_len) * quality, 12)).drop("_cur")
+
+
+def rank_informative(candidates: DataFrame, n: int, current_dist: DataFrame,
+                     category_col: str = "category", text_col: str = "text",
+                     weights=(0.4, 0.3, 0.2, 0.1), group_cols: list[str] | None = None) -> DataFrame:
+    """K7: score candidates and keep the n best per batch (``pick_pos`` 0..n-1).
+
+    Needs ``probs`` (class probabilities) on the candidates."""
+    scored = informativeness(candidates, current_dist, category_col, text_col, weights)
     g = list(group_cols or [])
     w = (Window.partitionBy(*g) if g else Window.partitionBy()).orderBy(F.desc("informativeness"), F.asc("local_idx"))
     return scored.withColumn("pick_pos", F.row_number().over(w) - 1).filter(F.col("pick_pos") < n)
 
 
+def rank_diverse(candidates: DataFrame, n: int, current_dist: DataFrame, category_col: str = "category", text_col: str = "text",
+                 weights=(0.4, 0.3, 0.2, 0.1), group_cols: list[str] | None = None, diversity: float = 0.5) -> DataFrame:
+    """K7 with variety inside the categories: farthest-first picks per batch (``pick_pos`` 0..n-1).
+
+    Every step takes the candidate with the largest ``informativeness + diversity * novelty``, where
+    novelty is the Jaccard distance of its distinct words to the nearest pick of its own category (1
+    before the first; the column shows it as it was when picked). A candidate with the very words
+    of a pick of its category (novelty 0) is taken only when no other is left. Ties go to the smaller
+    ``local_idx``. A null or empty text has no words and equals another such text; null categories
+    are a category of their own. A task holds one candidate batch, whose size the caller sets when
+    it draws candidates (K3); batches spread over the cluster."""
+    from ..functions.text import word_tokens
+    from ..session import ship_package
+    ship_package(candidates.sparkSession)
+    g = list(group_cols or [])
+    scored = informativeness(candidates, current_dist, category_col, text_col, weights)
+    schema = T.StructType([*scored.schema.fields, T.StructField("novelty", T.DoubleType()), T.StructField("pick_pos", T.IntegerType())])
+    words = F.array_distinct(word_tokens(F.coalesce(F.col(text_col), F.lit(""))))
+    keyed = scored.withColumns({"_words": words, "_batch": F.struct(*g) if g else F.lit(0)})
+    return keyed.groupBy("_batch").applyInArrow(_farthest_first(n, diversity, category_col), schema)
+
+
+def _farthest_first(n: int, diversity: float, category_col: str):
+    def run(t: pa.Table) -> pa.Table:
+        t = t.take(pc.sort_indices(t, [("local_idx", "ascending")]))
+        m = t.num_rows
+        score = t["informativeness"].to_numpy()
+        category = t[category_col].combine_chunks().dictionary_encode().indices.fill_null(-1).to_numpy(zero_copy_only=False)
+        words = t["_words"].combine_chunks()
+        code = words.flatten().dictionary_encode().indices.to_numpy(zero_copy_only=False)
+        sizes = pc.list_value_length(words).to_numpy(zero_copy_only=False)
+        owner = np.repeat(np.arange(m), sizes)
+        novelty, left, picks, seen = np.ones(m), np.ones(m, bool), [], []
+        for _ in range(min(n, m)):
+            value = np.round(score + diversity * novelty, 12)
+            best = int(np.lexsort((np.arange(m), -value, novelty == 0, ~left))[0])
+            picks.append(best)
+            seen.append(novelty[best])
+            left[best] = False
+            held = np.zeros(int(code.max(initial=-1)) + 1, bool)
+            held[code[owner == best]] = True
+            common = np.bincount(owner, weights=held[code], minlength=m)
+            union = sizes + sizes[best] - common
+            far = np.where(union > 0, 1 - common / np.maximum(union, 1), 0.0)
+            novelty = np.where(category == category[best], np.minimum(novelty, far), novelty)
+        out = t.drop_columns(["_words", "_batch"]).take(pa.array(picks, pa.int64()))
+        return out.append_column("novelty", pa.array(seen, pa.float64())).append_column("pick_pos", pa.array(range(len(picks)), pa.int32()))
+    return run
+
+
 def render_response(picks: DataFrame, category_col: str = "category", group_cols: list[str] | None = None) -> DataFrame:
     """The selector's answer as the fenced JSON text an external selector would return."""
     g = list(group_cols or [])
@@ -297,14 +357,18 @@ class Selector(Protocol):
 
 @dataclass
 class InformativenessSelector:
-    """The computed selector (K7)."""
+    """The computed selector (K7); with ``diversity`` the picks also differ inside each category."""
     category_col: str = "category"
     text_col: str = "text"
     id_col: str = "row_id"
     reasoning: str = "highest informativeness score"
+    diversity: float | None = None
 
     def select(self, candidates: DataFrame, current: DataFrame, iteration: int, n: int) -> DataFrame:
-        picks = rank_informative(candidates, n, current, self.category_col, self.text_col)
+        if self.diversity is None:
+            picks = rank_informative(candidates, n, current, self.category_col, self.text_col)
+        else:
+            picks = rank_diverse(candidates, n, current, self.category_col, self.text_col, diversity=self.diversity)
         return picks.select(F.col("pick_pos").cast("int"), F.col(self.id_col).cast("long").alias("row_id"),
                             F.lit(self.reasoning).alias("reasoning"), F.lit(None).cast("map<string,string>").alias("breakdown"))
 

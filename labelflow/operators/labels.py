@@ -7,6 +7,8 @@ aggregate whose size AQE measures at run time before choosing a broadcast.
 
 from __future__ import annotations
 
+from pyspark.errors import AnalysisException
+from pyspark.ml.feature import IndexToString, StringIndexerModel
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
@@ -54,6 +56,23 @@ def read_label_mappings(spark: SparkSession, path: str) -> DataFrame:
         F.col("k").cast("int").alias("label_id"), "label")
 
 
+def model_label_dimension(spark: SparkSession, path: str, model) -> DataFrame:
+    """The mapping saved at ``path``; when nothing lies there, the labels the fitted pipeline itself
+    carries (those of its label indexer or of the stage that names its predictions, ids by position). A mapping that is there and cannot
+    be read stays an error, and so does a model without labels."""
+    try:
+        return read_label_mappings(spark, path)
+    except AnalysisException as e:
+        if e.getCondition() != "PATH_NOT_FOUND":
+            raise
+    for stage in getattr(model, "stages", [model]):
+        if isinstance(stage, StringIndexerModel):
+            return label_dimension_from_list(spark, list(stage.labels))
+        if isinstance(stage, IndexToString):
+            return label_dimension_from_list(spark, stage.getLabels())
+    raise ValueError("no label mapping is saved and the model carries no labels")
+
+
 def write_label_mappings(dim: DataFrame, path: str) -> str:
     label_mappings_json(dim).coalesce(1).write.mode("overwrite").text(path)
     return path

@@ -159,6 +159,50 @@ def q_rank_informative(spark, sf):
     return rounded(picks.select("doc_id", "category", "local_idx", "informativeness", "pick_pos"))
 
 
+DIVERSE_SQL = AL_SQL[:AL_SQL.index("cands AS (")].replace("WITH ", "WITH RECURSIVE ", 1) + f"""
+dist AS (SELECT category, count(*) AS n FROM pool WHERE doc_id IN (SELECT doc_id FROM init) GROUP BY category),
+feat AS MATERIALIZED (SELECT doc_id, -sum(CASE WHEN prob > 0 THEN prob * ln(prob) ELSE 0 END) / ln(count(*)) AS unc,
+                max(prob) - (list(prob ORDER BY prob DESC))[2] AS margin FROM p GROUP BY doc_id),
+nb AS (SELECT CAST(ceil(count(*) / 100.0) AS BIGINT) AS n FROM pool),
+cb AS (SELECT p.*, md5('{SEED}:diverse:' || doc_id) AS h,
+              CAST('0x' || substr(md5('{SEED}:diverse:' || doc_id), 1, 8) AS BIGINT) % (SELECT n FROM nb) AS batch FROM pool p),
+c AS MATERIALIZED (SELECT batch, doc_id, category, row_number() OVER (PARTITION BY batch ORDER BY h, doc_id) - 1 AS local_idx, text,
+  round(0.4 * f.unc + 0.3 * (1 - f.margin)
+        + 0.2 * (1 - coalesce((SELECT n FROM dist WHERE dist.category = cb.category) / (SELECT sum(n) FROM dist), 0.0))
+        + 0.1 * least(1.0, ln(1 + len(string_split_regex(trim(cb.text), '\\s+'))) / ln(201.0)), 12) AS inf
+  FROM cb JOIN feat f USING (doc_id)),
+ws AS MATERIALIZED (SELECT batch, local_idx, category, list_distinct(regexp_extract_all(lower(text), '[\\pL\\pN_]{{2,}}')) AS words FROM c),
+wl AS (SELECT batch, local_idx, unnest(words) AS word FROM ws),
+com AS (SELECT a.batch, a.local_idx AS i, b.local_idx AS j, count(*) AS n FROM wl a JOIN wl b USING (batch, word) GROUP BY ALL),
+far AS MATERIALIZED (SELECT a.batch, a.local_idx AS i, b.local_idx AS j, CASE WHEN len(a.words) + len(b.words) - coalesce(n, 0) > 0
+    THEN 1 - coalesce(n, 0) / (len(a.words) + len(b.words) - coalesce(n, 0)) ELSE 0.0 END AS d
+  FROM ws a JOIN ws b ON a.batch = b.batch AND a.category IS NOT DISTINCT FROM b.category
+  LEFT JOIN com ON com.batch = a.batch AND com.i = a.local_idx AND com.j = b.local_idx),
+g AS (SELECT batch, local_idx, doc_id, category, inf, CAST(1.0 AS DOUBLE) AS novelty, 0 AS step FROM c
+  UNION ALL
+  SELECT t.batch, t.local_idx, t.doc_id, t.category, t.inf, least(t.novelty, coalesce(far.d, 1.0)), t.step + 1
+  FROM (SELECT *, first_value(local_idx) OVER (PARTITION BY batch ORDER BY novelty = 0, round(inf + 0.5 * novelty, 12) DESC, local_idx) AS top
+        FROM g) t LEFT JOIN far ON far.batch = t.batch AND far.i = t.local_idx AND far.j = t.top
+  WHERE t.local_idx <> t.top AND t.step < 19)
+SELECT batch, doc_id, category, CAST(local_idx AS INTEGER) AS local_idx, round(inf, 6) AS informativeness, round(novelty, 6) AS novelty, step AS pick_pos
+FROM g QUALIFY row_number() OVER (PARTITION BY batch, step ORDER BY novelty = 0, round(inf + 0.5 * novelty, 12) DESC, local_idx) = 1"""
+
+
+@register("rank_diverse", DIVERSE_SQL)
+def q_rank_diverse(spark, sf):
+    """K7 farthest-first: 20 picks from each hash batch of about 100 rows of the whole pool."""
+    from pyspark.sql import Window
+    from ..functions.columns import hash_key
+    pool = al_pool(spark, sf)
+    n_batches = max(1, -(-pool.count() // 100))
+    key = hash_key(SEED, "diverse", "doc_id")
+    b = pool.withColumn("batch", F.pmod(F.conv(F.substring(key, 1, 8), 16, 10).cast("long"), F.lit(n_batches)))
+    b = b.withColumn("local_idx", F.row_number().over(Window.partitionBy("batch").orderBy(key, "doc_id")) - 1)
+    current = A.distribution_map(SM.initial_stratified_sample(pool, 10, "category", "doc_id", SEED))
+    picks = A.rank_diverse(b, 20, current, group_cols=["batch"])
+    return rounded(picks.select("batch", "doc_id", "category", "local_idx", "informativeness", "novelty", "pick_pos"))
+
+
 @register("active_learning_iteration", AL_SQL + "SELECT 1 AS iteration, pick_pos, CAST(doc_id AS BIGINT) AS row_id FROM picks")
 def q_active_learning_iteration(spark, sf):
     _, _, new = al_round_one(spark, sf)
