@@ -33,6 +33,8 @@ class DriftConfig:
     id_column: str = "doc_id"
     n_boot: int = 100
     seed: int = 42
+    sigma: float | None = None      # both are needed for fits that are to be merged,
+    name_digits: int | None = None  # see drift_embed.fit_embedding
 
 
 @dataclass
@@ -62,12 +64,27 @@ def drift_fit(reference: DataFrame, config: DriftConfig = DriftConfig(), embed=N
         elif method == "embedding":
             vectors = (embed or DE.embed_letter_profile)(ref)
             fit.embedding = DE.fit_embedding(vectors, config.embedding_drift_method, config.use_bootstrap, config.quantile_probability,
-                                             config.id_column, n_boot=config.n_boot, seed=config.seed)
+                                             config.id_column, n_boot=config.n_boot, seed=config.seed,
+                                             sigma=config.sigma, name_digits=config.name_digits)
         elif method not in EXPLORATORY:
             raise ValueError(f"unknown drift method {method!r}")
     return fit
 
 
+def merge_fits(a: DriftFit, b: DriftFit) -> DriftFit:
+    """A reference that grows: the fit of two disjoint references with the same settings, made of what
+    both fits keep. The written term counts stand side by side, embedding statistics add up."""
+    from . import drift_embed as DE
+    if a.config != b.config:
+        raise ValueError("fits of different settings cannot be merged")
+    out = DriftFit(a.config)
+    if a.docs is not None:
+        out.docs, out.terms = a.docs.unionByName(b.docs), a.terms.unionByName(b.terms)
+    if a.embedding is not None:
+        out.embedding = DE.merge_embedding(a.embedding, b.embedding)
+    return out
+
+
 def drift_method_rows(current: DataFrame, fit: DriftFit, embed=None) -> DataFrame:
     """A row per configured voting method, the batch against the fitted reference."""
     from ..session import write_table

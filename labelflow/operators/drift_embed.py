@@ -27,7 +27,7 @@ from __future__ import annotations
 
 import hashlib
 import math
-from dataclasses import dataclass
+from dataclasses import dataclass, replace
 
 import numpy as np
 import pyarrow as pa
@@ -485,6 +485,11 @@ class EmbeddingFit:
     seed: int
     n_features: int
     stats: DataFrame  # mmd and distances: (dim, mean); ratio: (dim, value, w)
+    totals: DataFrame | None = None  # mmd and distances: (dim, s, n), what ``stats`` is made of
+    use_bootstrap: bool = False
+    quantile_probability: float = 0.05
+    name_digits: int | None = None
+    halvings: tuple | None = None  # sums and counts of the halvings, n_boot + 1 x features
 
     @property
     def like(self) -> tuple:
@@ -512,11 +517,13 @@ def _ratio_share(lng: DataFrame, ref_std: DataFrame, group_cols: list[str], comp
 
 def fit_embedding(reference: DataFrame, method: str = "mmd", use_bootstrap: bool = True, quantile_probability: float = 0.05,
                   id_col: str = "vec_id", emb_col: str = "embedding", n_boot: int = 100, seed: int = 42,
-                  n_features: int = N_FEATURES, sigma: float | None = None) -> EmbeddingFit:
+                  n_features: int = N_FEATURES, sigma: float | None = None, name_digits: int | None = None) -> EmbeddingFit:
     """J1 + J16 + J17: statistics of the reference and the threshold.
 
     Bootstrap: the statistic between two random halves of the reference's rows, ``n_boot`` times;
-    the threshold is its (1 - q) quantile. ``id_col`` is read for the bootstrap only."""
+    the threshold is its (1 - q) quantile. ``id_col`` is read for the bootstrap only. Fits that are to be
+    merged need one ``sigma`` (mmd) and, with a bootstrap, one ``name_digits`` (16 ** digits names of
+    rows; by default as many as the reference has rows, which differs between parts)."""
     from ..session import ship_package, write_table
     ship_package(reference.sparkSession)
     method, label = resolve_method(method)
@@ -529,7 +536,8 @@ def fit_embedding(reference: DataFrame, method: str = "mmd", use_bootstrap: bool
         sigma = round(float(rff_bandwidth(ref, emb_col).first()["sigma"] or 1.0), 9)
     like = (method, dim, sigma, seed, n_features)
     spark, found = reference.sparkSession, None
-    signed = with_signs(ref, id_col, emb_col, n_boot, seed, _name_digits(n)) if use_bootstrap else None
+    digits, totals, halvings = name_digits or _name_digits(n), None, None
+    signed = with_signs(ref, id_col, emb_col, n_boot, seed, digits) if use_bootstrap else None
     if method == "ratio":
         values = ref.select(F.posexplode(emb_col).alias("dim", "_v")).groupBy("dim", F.col("_v").cast("double").alias("value"))
         stats = write_table(values.agg(F.count(F.lit(1)).alias("w")), "drift_reference")
@@ -538,15 +546,47 @@ def fit_embedding(reference: DataFrame, method: str = "mmd", use_bootstrap: bool
     elif use_bootstrap:
         sums, counts = halving_sums(signed, like, n_boot, emb_col)
         found = halving_distances(sums, counts, method)
-        means = [(d, float(s / c)) for d, (s, c) in enumerate(zip(sums[-1], counts[-1])) if c]
-        stats = write_table(spark.createDataFrame(means, "dim int, mean double"), "drift_reference")
+        halvings = sums, counts
+        sure = [(d, float(s), int(c)) for d, (s, c) in enumerate(zip(sums[-1], counts[-1])) if c]
+        totals = write_table(spark.createDataFrame(sure, "dim int, s double, n long"), "drift_reference")
     else:
         sums = keyed_sums(ref.withColumn("_all", F.lit(0)), like, "_all", emb_col)
-        stats = write_table(sums.select("dim", (F.col("s") / F.col("n")).alias("mean")), "drift_reference")
-    threshold = static_threshold(method)
-    if found is not None:
-        threshold = float(np.quantile(found, 1 - quantile_probability)) if len(found) else float("inf")  # one block: nothing to compare
-    return EmbeddingFit(method, label, threshold, n, dim, sigma, seed, n_features, stats)
+        totals = write_table(sums.select("dim", "s", F.col("n").cast("long").alias("n")), "drift_reference")
+    if totals is not None:
+        stats = totals.select("dim", (F.col("s") / F.col("n")).alias("mean"))
+    threshold = static_threshold(method) if found is None else _halving_threshold(found, quantile_probability)
+    return EmbeddingFit(method, label, threshold, n, dim, sigma, seed, n_features, stats, totals, use_bootstrap,
+                        quantile_probability, digits if use_bootstrap else None, halvings)
+
+
+def _halving_threshold(found: np.ndarray, quantile_probability: float) -> float:
+    return float(np.quantile(found, 1 - quantile_probability)) if len(found) else float("inf")  # one block: nothing to compare
+
+
+def merge_embedding(a: EmbeddingFit, b: EmbeddingFit) -> EmbeddingFit:
+    """The fit of two disjoint references from their fits, no row read again; equal to the fit of
+    their union. Sums, counts and value counts add up, the sums of the halvings too, so the bootstrap's
+    threshold is that of the union. Fits of other settings (test, seed, dimension, bandwidth, names of
+    rows) are refused, and so is the ratio test's bootstrap, which needs the values of each row."""
+    from ..session import write_table
+    for name in ("method", "dim", "sigma", "seed", "n_features", "use_bootstrap", "quantile_probability", "name_digits"):
+        if getattr(a, name) != getattr(b, name):
+            raise ValueError(f"fits differ in {name}: {getattr(a, name)!r} and {getattr(b, name)!r}")
+    if a.method == "ratio" and a.use_bootstrap:
+        raise ValueError("the ratio test's bootstrap needs the rows: fit the union, or use the fixed threshold")
+    threshold, totals, halvings = a.threshold, None, None
+    if a.method == "ratio":
+        stats = write_table(a.stats.unionByName(b.stats).groupBy("dim", "value").agg(F.sum("w").alias("w")), "drift_reference")
+    else:
+        both = a.totals.unionByName(b.totals).groupBy("dim").agg(F.sum("s").alias("s"), F.sum("n").alias("n"))
+        totals = write_table(both, "drift_reference")
+        stats = totals.select("dim", (F.col("s") / F.col("n")).alias("mean"))
+    if a.halvings is not None:
+        if a.halvings[0].shape != b.halvings[0].shape:
+            raise ValueError("fits differ in the number of halvings")
+        halvings = a.halvings[0] + b.halvings[0], a.halvings[1] + b.halvings[1]
+        threshold = _halving_threshold(halving_distances(*halvings, a.method), a.quantile_probability)
+    return replace(a, threshold=threshold, n=a.n + b.n, stats=stats, totals=totals, halvings=halvings)
 
 
 def _weighted_std(df: DataFrame, keys: list[str]) -> DataFrame:

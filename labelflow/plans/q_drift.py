@@ -471,6 +471,20 @@ def q_drift_fit(spark, sf):
     return rounded(fit.embedding.stats.crossJoin(F.broadcast(n)).select(F.col("dim").cast("int").alias("dim"), "mean", "n_terms"))
 
 
+@register("drift_fit_merged", f"""WITH {LETTER_PROFILE_SQL},
+toks AS (SELECT doc_id, unnest(regexp_extract_all(lower(coalesce(text, 'None')), '{WORD_RE}')) AS term FROM corpus WHERE side = 'ref'),
+tc AS (SELECT count(*) AS n_terms FROM (SELECT DISTINCT doc_id, term FROM toks WHERE term NOT IN {STOP_SQL}) x)
+SELECT CAST(pos - 1 AS INTEGER) AS dim, round(avg(value), 6) AS mean, max(n_terms) AS n_terms FROM prof, tc WHERE side = 'ref' GROUP BY pos""")
+def q_drift_fit_merged(spark, sf):
+    """Two fits, each on a hash half of the reference, merged: the statistics of the whole reference."""
+    ref = text_corpus(spark, sf).filter(F.col("side") == "ref")
+    half = hash_half(SEED, "merge", "doc_id")
+    config = DR.DriftConfig(seed=SEED, embedding_drift_method="euclidean", name_digits=8)
+    fit = DR.merge_fits(DR.drift_fit(ref.filter(half), config), DR.drift_fit(ref.filter(~half), config))
+    n = fit.terms.agg(F.count(F.lit(1)).alias("n_terms"))  # one row
+    return rounded(fit.embedding.stats.crossJoin(F.broadcast(n)).select(F.col("dim").cast("int").alias("dim"), "mean", "n_terms"))
+
+
 @register("drift_detect_distance", DOMAIN_SQL + f""", {LETTER_PROFILE_BODY},
 pm AS (SELECT side, pos, avg(value) AS m FROM prof GROUP BY 1, 2),
 ed AS (SELECT sqrt(sum((r.m - c.m) * (r.m - c.m))) AS distance FROM pm r JOIN pm c ON r.pos = c.pos AND r.side = 'ref' AND c.side = 'cur')
