@@ -23,6 +23,32 @@ def test_exact(table, odd_rows):
     assert exact_dedup.exact_dedup(table([])).count() == 0
 
 
+def test_index_of_many_owners_and_hot_chains(table, monkeypatch):
+    """Small buckets, many key ranges, and a text with a third of all rows among single ones."""
+    rows = [(i, "hot text" if i % 3 == 0 else f"text {i // 2}") for i in range(600)]
+    want = defaultdict(list)
+    for d, t in rows:
+        want[t].append(d)
+    want = sorted((d, max(want[t]), len(want[t]), d == max(want[t])) for d, t in rows)
+    monkeypatch.setattr(exact_dedup, "OWNER_BYTES", 300)
+    monkeypatch.setattr(exact_dedup, "HOT_SHARE", 10)
+    got = exact_dedup.exact_dedup(table(rows), capacity=8).collect()
+    assert sorted((r.doc_id, r.keep_id, r.group_size, r.kept) for r in got) == want
+    assert len({(r.bucket_depth, r.bucket) for r in got}) > 20
+
+
+def test_owners_are_key_ranges_of_whole_buckets(spark, monkeypatch):
+    monkeypatch.setattr(exact_dedup, "OWNER_BYTES", 1000)
+    chains = spark.range(3000).selectExpr("xxhash64(id) h", "10L bytes")
+    cells, bits = exact_dedup.directory(chains, capacity=20)
+    got = sorted(map(tuple, exact_dedup.owners(chains, cells, bits).collect()))
+    assert [r[3] for r in got] == sorted(r[3] for r in got) and got[-1][3] >= 25
+    owner_of = defaultdict(set)
+    for _, depth, bucket, owner in got:
+        owner_of[depth, bucket].add(owner)
+    assert all(len(o) == 1 for o in owner_of.values())
+
+
 def test_directory_splits_overfull_buckets(spark):
     chains = spark.range(5000).selectExpr("xxhash64(id) h")
     cells, bits = exact_dedup.directory(chains, capacity=45)
