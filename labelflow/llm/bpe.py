@@ -7,7 +7,7 @@ whether such a merge would have come before the border's neighbours grew. The ch
 latest merge next to the border on either side, again and again, and asks for a merge of the two
 inner tokens that ranks before the moment at which one of them was used up; it runs for all pairs
 of a batch at once in numpy. Only words with a failing pair (or an id that the merges never
-produce) undergo exact merging. White-space-separated chunks are remembered in a bounded memo.
+produce) undergo exact merging. Words are remembered in a memo bounded by bytes.
 
 The text is normalised as the vocabulary file says: NFC, white space, lower case by character,
 words by pattern, bytes as printable characters, a mark on the last symbol of a word. Special
@@ -23,6 +23,7 @@ from __future__ import annotations
 import hashlib
 import heapq
 import json
+import re
 import unicodedata
 from collections import defaultdict
 
@@ -34,11 +35,11 @@ from pyspark.sql import DataFrame
 from .common import Memo, byte_chars, pieces_of, prepare
 
 SCHEMA = "doc_id long, n_tokens long, ids_sha256 string, decoded_sha256 string"
-MEMO_BYTES = 192 << 20  # of chunks, and half as much of words
+MEMO_BYTES = 192 << 20  # of words
 WORD_END = "</w>"
 PREFIX = 4
 WORDS = r"'s|'t|'re|'ve|'m|'ll|'d|[\p{L}]+|[\p{N}]|[^\s\p{L}\p{N}]+"
-_ODD = "\x1c\x1d\x1e\x1f"  # white space for str.split, not for the pattern
+ASCII_WORDS = r"'s|'t|'re|'ve|'m|'ll|'d|[a-z]+|[0-9]|[^ \t-\ra-z0-9]+"  # the same in lower-case ASCII
 
 
 class SpeculativeBpe:
@@ -70,7 +71,7 @@ class SpeculativeBpe:
         self.pair_keys, self.pair_rank = keys, np.array([pair[k] for k in keys], np.int64)
         self.longest = max(len(s.removesuffix(WORD_END)) for s in v)
         self.bytes = byte_chars()
-        self.words = regex.compile(WORDS)
+        self.words, self.ascii_words = regex.compile(WORDS), re.compile(ASCII_WORDS)
         self.specials = regex.compile("(" + "|".join(map(regex.escape, self.special)) + ")") if self.special else None
         # a token that the merges don't rebuild from its own characters is never proposed
         self.usable = {s: i for s, i in v.items() if not self._merged_differs(s, i)}
@@ -80,7 +81,7 @@ class SpeculativeBpe:
             s = s.removesuffix(WORD_END)
             if len(s) >= PREFIX:
                 self.reach[s[:PREFIX]] = max(self.reach.get(s[:PREFIX], PREFIX), len(s))
-        self.memo, self.word_memo = Memo(MEMO_BYTES), Memo(MEMO_BYTES // 2)
+        self.memo = Memo(MEMO_BYTES)
 
     # -- words ---------------------------------------------------------------------------------
     def symbols(self, token: str) -> list[str]:
@@ -200,53 +201,47 @@ class SpeculativeBpe:
         return ids
 
     # -- texts ---------------------------------------------------------------------------------
-    def chunk_words(self, chunk: str) -> list[str]:
-        if chunk.isascii() and chunk.isprintable():
-            return [chunk.lower()] if chunk.isalpha() else self.words.findall(chunk.lower())
-        chunk = unicodedata.normalize("NFC", chunk)
-        if "Σ" in chunk:
-            chunk = chunk.replace("Σ", "σ")
-        table = self.bytes
-        return ["".join(map(table.__getitem__, w.encode())) for w in self.words.findall(chunk.lower())]
-
-    def chunks(self, text: str) -> list[str]:
-        if any(c in text for c in _ODD):
-            return regex.split(r"\s+", text)
-        return text.split()
-
-    def learn(self, chunks: list[str]) -> dict[str, tuple[int, str, str]]:
-        """(number of ids, ids, decoded) of chunks; words that the memo lacks are checked in one pass."""
-        words = [self.chunk_words(c) for c in chunks]
-        known = {w: self.word_memo.get(w) for w in set().union(*words)}
-        new = [w for w, x in known.items() if x is None]
-        string, digits, out = self.strings.__getitem__, self.digits.__getitem__, {}
-        for w, x in zip(new, self.encode_words(new)):
-            known[w] = y = (len(x), " ".join(map(digits, x)), " ".join(map(string, x)))
-            self.word_memo.put(w, y, 300 + len(y[1]) + len(y[2]))
-        for c, x in zip(chunks, words):
-            if len(x) == 1:
-                out[c] = known[x[0]]
-            else:
-                n, ids, strings = zip(*map(known.__getitem__, x)) if x else ((), (), ())
-                out[c] = (sum(n), " ".join(ids), " ".join(strings))
-            self.memo.put(c, out[c], 350 + len(out[c][1]) + len(out[c][2]))
+    def text_words(self, text: str) -> list[str]:
+        """The words of a text after normalisation. No word holds white space, so the whole text is matched."""
+        if text.isascii():
+            return self.ascii_words.findall(text.lower())
+        text = unicodedata.normalize("NFC", text)
+        if "Σ" in text:
+            text = text.replace("Σ", "σ")
+        return self.words.findall(text.lower())
+
+    def learn(self, words: list[str]) -> list[tuple[str, str]]:
+        """(ids, decoded) of words that the memo lacks, checked in one pass."""
+        string, digits, table, out = self.strings.__getitem__, self.digits.__getitem__, self.bytes.__getitem__, []
+        shown = [w if w.isascii() and w.isprintable() else "".join(map(table, w.encode())) for w in words]
+        for w, x in zip(words, self.encode_words(shown)):
+            out.append((" ".join(map(digits, x)), " ".join(map(string, x))))
+            self.memo.put(w, out[-1], 300 + len(out[-1][0]) + len(out[-1][1]))
         return out
 
     def encode_texts(self, texts: list[str]):
         """(number of ids, ids joined by blanks, decoded text) of every text."""
-        split = []
+        split, ids, strings = [], {}, {}
         for text in texts:
             if self.specials is not None and self.specials.search(text):
                 parts = self.specials.split(text)
-                split.append([x for i, p in enumerate(parts) for x in ([(p,)] if i % 2 else self.chunks(p))])
+                split.append([x for i, p in enumerate(parts) for x in ([(p,)] if i % 2 else self.text_words(p))])
+            else:
+                split.append(self.text_words(text))
+        new = []
+        for w in set().union(*split):
+            if isinstance(w, tuple):
+                ids[w], strings[w] = str(self.special[w[0]]), w[0]
+            elif (known := self.memo.get(w)) is None:
+                new.append(w)
             else:
-                split.append(self.chunks(text))
-        found = {c: (1, str(self.special[c[0]]), c[0]) if isinstance(c, tuple) else self.memo.get(c) for c in set().union(*split)}
-        found.update(self.learn(sorted(c for c, y in found.items() if y is None)))
+                ids[w], strings[w] = known
+        new.sort()
+        for w, (i, x) in zip(new, self.learn(new)):
+            ids[w], strings[w] = i, x
         for x in split:
-            parts = [y for y in map(found.__getitem__, x) if y[0]]
-            n, ids, strings = zip(*parts) if parts else ((), (), ())
-            yield sum(n), " ".join(ids), " ".join(strings)
+            joined = " ".join(map(ids.__getitem__, x))
+            yield joined.count(" ") + 1 if x else 0, joined, " ".join(map(strings.__getitem__, x))
 
 
 _LOADED: dict[str, SpeculativeBpe] = {}
