@@ -9,7 +9,7 @@ from ..operators import sampling as SM
 from ..operators import scoring as S
 from ..sources.tables import read_table
 from .q_curate import ALL_SQL, all_articles
-from .q_model import letter_model, scorer_cte
+from .q_model import documents_key, letter_model, scorer_cte
 from .registry import register, rounded
 
 SEED = 42
@@ -114,7 +114,7 @@ def al_pool(spark, sf):
     def build():
         d = read_table(spark, sf, "documents").select("doc_id", F.col("lang").alias("category"), "text")
         return S.predict(d, letter_model(spark, sf), "text")
-    return materialise(spark, f"al_pool_{abs(hash(sf))}", build)
+    return materialise(spark, f"al_pool_{documents_key(spark, sf)}", build)
 
 
 def al_round_one(spark, sf):
@@ -396,9 +396,9 @@ _LOGS: dict = {}
 
 
 def _run(spark, sf, iterations=ROUNDS):
-    """The run's log is written once per application and table; every output derives from it."""
+    """The run's log is written once per application and state of the table; every output derives from it."""
     pool = al_pool(spark, sf)
-    key = (spark.sparkContext.applicationId, sf, iterations)
+    key = (spark.sparkContext.applicationId, documents_key(spark, sf), iterations)
     if key not in _LOGS:
         _LOGS[key] = A.active_learning_run(pool, 10, 20, iterations, 100, SEED, "category", "text", "doc_id").log
     return A.result_of(pool, _LOGS[key], "doc_id", "category")

@@ -15,7 +15,7 @@ from ..operators import metrics as M
 from ..operators import ood as O
 from ..operators import scoring as S
 from ..session import materialise
-from ..sources.tables import read_table
+from ..sources.tables import read_table, table_state
 from .registry import register, rounded
 
 SEED = 42
@@ -35,14 +35,18 @@ _MODELS: dict = {}
 
 
 def letter_model(spark, sf):
-    """Fitted once per application and scale (the fit is eager and its result is tiny)."""
-    k = (spark.sparkContext.applicationId, sf)
+    """Fitted once per application and state of the table (the fit is eager and its result is tiny)."""
+    k = (spark.sparkContext.applicationId, table_state(spark, sf, "documents"))
     if k not in _MODELS:
         train, _ = split_docs(spark, sf)
         _MODELS[k] = S.fit_letter_nb(train, "text", "lang")
     return _MODELS[k]
 
 
+def documents_key(spark, sf):
+    return abs(hash(table_state(spark, sf, "documents")))
+
+
 def scored_all(spark, sf, keep_text=False):
     """Every document: doc_id, lang, [text], predicted_label_id, predicted_label, confidence,
     probs, prob_labels. Scored once and written to the shared folder: every branch reads that
@@ -50,7 +54,7 @@ def scored_all(spark, sf, keep_text=False):
     def build():
         d = read_table(spark, sf, "documents").select("doc_id", "lang", "text")
         return S.LetterScorer(letter_model(spark, sf)).transform(d)
-    out = materialise(spark, f"scored_docs_{abs(hash(sf))}", build)
+    out = materialise(spark, f"scored_docs_{documents_key(spark, sf)}", build)
     return out if keep_text else out.drop("text")
 
 
@@ -71,7 +75,7 @@ def scored_long(spark, sf):
 def confusion(spark, sf):
     """k*k confusion counts, written once as a small table: every metric branch reads it
     instead of re-aggregating the scores."""
-    return materialise(spark, f"confusion_{abs(hash(sf))}",
+    return materialise(spark, f"confusion_{documents_key(spark, sf)}",
                        lambda: M.confusion_counts(scored_docs(spark, sf), "lang", "predicted_label"))
 
 

@@ -27,6 +27,15 @@ def read_table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(table_path(sf_dir, name))
 
 
+def table_state(spark: SparkSession, sf_dir: str, name: str) -> tuple:
+    """Modification time, bytes and number of files of a table: what is kept of a table (scores, models,
+    logs) carries this state in its key, so a rewritten table is never answered from the old one."""
+    path = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(table_path(sf_dir, name))
+    fs = path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
+    summary = fs.getContentSummary(path)
+    return sf_dir, fs.getFileStatus(path).getModificationTime(), summary.getLength(), summary.getFileCount()
+
+
 def scan_articles(spark: SparkSession, sf_dir: str) -> DataFrame:
     """A1: the labelled article table (full ``train`` split of the reference's dataset).
 
