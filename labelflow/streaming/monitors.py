@@ -171,8 +171,21 @@ def flag_stream(stream: DataFrame, threshold: DataFrame, conf_col: str = "confid
 
 
 def file_stream(spark: SparkSession, folder: str, like: DataFrame, file_glob: str = "*.parquet",
-                max_files: int = 1) -> DataFrame:
+                max_files: int | None = None) -> DataFrame:
     """A file feed (new files in ``folder`` matching ``file_glob``) with the schema of ``like``
-    (streams need a declared schema)."""
-    return (spark.readStream.schema(like.schema).option("maxFilesPerTrigger", max_files)
-            .option("pathGlobFilter", file_glob).parquet(folder))
+    (streams need a declared schema). Where ``file_glob`` names a folder, a table written in parts,
+    its files are the feed. ``max_files``: files of a micro-batch; by default all that are there,
+    since the parts of a table come in no order of time and a watermark between them loses rows."""
+    stream = spark.readStream.schema(like.schema)
+    if max_files is not None:
+        stream = stream.option("maxFilesPerTrigger", max_files)
+    table = f"{folder.rstrip('/')}/{file_glob}"
+    if _is_folder(spark, table):
+        return stream.parquet(table)
+    return stream.option("pathGlobFilter", file_glob).parquet(folder)
+
+
+def _is_folder(spark: SparkSession, path: str) -> bool:
+    p = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+    fs = p.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
+    return fs.exists(p) and fs.getFileStatus(p).isDirectory()
