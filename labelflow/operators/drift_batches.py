@@ -123,8 +123,8 @@ def domain_classifier_batches(ref_docs: DataFrame, ref_terms: DataFrame, current
                               seed: int = 42, max_df: float = 0.5) -> DataFrame:
     """``(batch, roc_auc, threshold, drift_detected, n_ref_test, n_cur_test)``: the domain classifier of
     every batch of ``current`` (id, text, batch int from 0) against one reference of written terms."""
-    from ..session import ship_package, write_table
-    ship_package(current.sparkSession)
+    from ..session import prepare_udfs, write_table
+    prepare_udfs(current.sparkSession)
     train = hash_half(seed, "domain", id_col)
     cur_terms = write_table(DT.doc_terms(current.withColumn("side", F.col("batch").cast("string")), id_col)
                             .withColumn("batch", F.col("side").cast("int")).drop("side"), "batch_terms")
