@@ -3,8 +3,10 @@
 State is an immutable pool plus an append-only selection log ``(iteration, pick_pos, row_id)``;
 "selected" and "iteration" are a left join of the two (D4), "remaining" an anti join (D5),
 "training rows" a semi join (D6). Each round is one small top-k job over the remaining rows.
-The log is checkpointed every round into the session's checkpoint folder, so the lineage does
-not grow with the number of rounds and an executor loss never replays earlier rounds.
+The log is written every round into the session's shared folder, so the lineage does not grow with
+the number of rounds and an executor loss never replays earlier rounds. Being a table, its size is
+known when the pool is joined with it: a log of some rows is sent to the pool's tasks and the pool
+is never shuffled.
 
 Selection (M3): the reference asks a hosted language model to pick the most informative
 candidates. Here the default selector is a computed score over the same criteria
@@ -295,8 +297,8 @@ def rank_diverse(candidates: DataFrame, n: int, current_dist: DataFrame, categor
     are a category of their own. A task holds one candidate batch, whose size the caller sets when
     it draws candidates (K3); batches spread over the cluster."""
     from ..functions.text import word_tokens
-    from ..session import ship_package
-    ship_package(candidates.sparkSession)
+    from ..session import prepare_udfs
+    prepare_udfs(candidates.sparkSession)
     g = list(group_cols or [])
     scored = informativeness(candidates, current_dist, category_col, text_col, weights)
     schema = T.StructType([*scored.schema.fields, T.StructField("novelty", T.DoubleType()), T.StructField("pick_pos", T.IntegerType())])
@@ -409,10 +411,10 @@ def active_learning_iteration(pool: DataFrame, log: DataFrame, iteration: int, s
 
 
 def _cut_lineage(df: DataFrame) -> DataFrame:
-    """Materialise into the session's checkpoint folder (reliable, survives executor loss)."""
-    from ..session import ensure_checkpoint_dir
-    ensure_checkpoint_dir(df.sparkSession)
-    return df.checkpoint(eager=True)
+    """Write into the session's shared folder (reliable, survives executor loss) and read back. A
+    checkpoint would keep the size estimate of its plan, which is that of the pool and more."""
+    from ..session import write_table
+    return write_table(df, "selection_log")
 
 
 def active_learning_run(pool: DataFrame, initial_samples_per_class: int = 10, samples_per_iteration: int = 20,

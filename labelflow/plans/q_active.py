@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 from ..operators import active as A
 from ..operators import sampling as SM
 from ..operators import scoring as S
+from ..session import write_table
 from ..sources.tables import read_table
 from .q_curate import ALL_SQL, all_articles
 from .q_model import documents_key, letter_model, scorer_cte
@@ -117,13 +118,18 @@ def al_pool(spark, sf):
     return materialise(spark, f"al_pool_{documents_key(spark, sf)}", build)
 
 
+def al_log_zero(pool):
+    """The log of the initial sample, written: as a small table it is sent to the tasks that join it."""
+    init = SM.initial_stratified_sample(pool, 10, "category", "doc_id", SEED)
+    return write_table(init.select(F.lit(0).alias("iteration"), F.lit(0).alias("pick_pos"),
+                                   F.col("doc_id").cast("long").alias("row_id")), "selection_log")
+
+
 def al_round_one(spark, sf):
     pool = al_pool(spark, sf)
-    init = SM.initial_stratified_sample(pool, 10, "category", "doc_id", SEED)
-    log0 = init.select(F.lit(0).alias("iteration"), F.lit(0).alias("pick_pos"),
-                       F.col("doc_id").cast("long").alias("row_id"))
+    log0 = al_log_zero(pool)
     new = A.active_learning_iteration(pool, log0, 1, 20, 100, SEED, "category", "text", "doc_id")
-    return pool, log0, new.select("iteration", "pick_pos", "row_id")
+    return pool, log0, write_table(new.select("iteration", "pick_pos", "row_id"), "selection_log")
 
 
 AL_SQL = "WITH " + scorer_cte(True).strip() + f""",
@@ -151,8 +157,7 @@ picks AS (SELECT *, CAST(row_number() OVER (ORDER BY informativeness DESC, local
           "pick_pos FROM picks")
 def q_rank_informative(spark, sf):
     pool = al_pool(spark, sf)
-    init = SM.initial_stratified_sample(pool, 10, "category", "doc_id", SEED)
-    log0 = init.select(F.lit(0).alias("iteration"), F.lit(0).alias("pick_pos"), F.col("doc_id").cast("long").alias("row_id"))
+    log0 = al_log_zero(pool)
     rem = A.remaining_pool(pool, log0, "doc_id")
     cands = SM.random_candidates(rem, 100, "doc_id", SEED, 1)
     picks = A.rank_informative(cands, 20, A.distribution_map(A.training_rows(pool, log0, "doc_id")))
@@ -213,8 +218,7 @@ def q_active_learning_iteration(spark, sf):
 def q_map_local_to_global(spark, sf):
     """D3: picked local positions -> pool row ids (posexplode of the answer joined back)."""
     pool = al_pool(spark, sf)
-    init = SM.initial_stratified_sample(pool, 10, "category", "doc_id", SEED)
-    log0 = init.select(F.lit(0).alias("iteration"), F.lit(0).alias("pick_pos"), F.col("doc_id").cast("long").alias("row_id"))
+    log0 = al_log_zero(pool)
     cands = SM.random_candidates(A.remaining_pool(pool, log0, "doc_id"), 100, "doc_id", SEED, 1)
     picks = A.rank_informative(cands, 20, A.distribution_map(A.training_rows(pool, log0, "doc_id")))
     answer = A.render_response(picks)
@@ -266,8 +270,7 @@ def q_selected_categories(spark, sf):
 def q_candidate_samples(spark, sf):
     """K3: candidate structs (flattened for comparison)."""
     pool = al_pool(spark, sf).withColumn("headline", F.substring_index("text", "\n", 1))
-    init = SM.initial_stratified_sample(pool, 10, "category", "doc_id", SEED)
-    log0 = init.select(F.lit(0).alias("iteration"), F.lit(0).alias("pick_pos"), F.col("doc_id").cast("long").alias("row_id"))
+    log0 = al_log_zero(pool)
     cands = SM.random_candidates(A.remaining_pool(pool, log0, "doc_id"), 100, "doc_id", SEED, 1)
     s = A.candidate_samples(cands.withColumn("batch", F.lit(1)), ["headline"], "doc_id", "category", "batch")
     return s.select("batch", F.inline("samples")).select("batch", "local_idx", "index", "category", "headline")
