@@ -224,7 +224,7 @@ def drift_detect_batches(current: DataFrame, fit: DR.DriftFit, batch_col: str, e
             got = domain_classifier_batches(fit.docs, fit.terms, cur, len(ids), c.id_column, c.seed)
             details = {"roc_auc": F.col("roc_auc"), "threshold": F.col("threshold")}
         elif method == "embedding":
-            got = embedding_batches(fit.embedding, (embed or DE.embed_letter_profile)(cur))
+            got = embedding_batches(fit.embedding, DR.written_vectors(cur, "batch", embed))
             details = {"drift_score": F.col("drift_score"), "threshold": F.col("threshold")}
         else:
             continue
