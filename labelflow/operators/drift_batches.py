@@ -3,8 +3,9 @@
 The reference monitors batch after batch with one fitted detector. Here the current rows carry a
 batch id, every statistic is keyed by it and the fitted reference is joined once:
 
-* domain classifier: one row per term holds the document counts of the reference and of all batches
-  as arrays; the reference's held-out documents meet it in one join and give one score per batch;
+* domain classifier: one row per term holds the document counts of the reference and a list of those
+  of the batches; a block of the reference's held-out documents (``term_blocks``) meets the rows of its
+  terms once and gives one score per document and batch;
 * mean vectors and kernel features: sums keyed by batch, one join with the reference's means;
 * ratio: the reference's running counts and all batches of one value range meet in one task, so the
   reference is not repeated per batch.
@@ -17,13 +18,14 @@ from __future__ import annotations
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ..functions.columns import hash_half
 from . import drift as DR
 from . import drift_embed as DE
 from . import drift_text as DT
+from . import term_blocks as TB
 from .auc import auc_from_counts
 from .curate import require_columns
 
@@ -119,87 +121,106 @@ def embedding_batches(fit: DE.EmbeddingFit, vectors: DataFrame, emb_col: str = "
 
 # ------------------------------------------------------------------ domain classifier
 
-def domain_classifier_batches(ref_docs: DataFrame, ref_terms: DataFrame, current: DataFrame, n_batches: int, id_col: str = "doc_id",
+def _batch_counts(t) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """Of rows with ``x`` (lists of b, df, tr): row, batch, documents, train documents of every list entry."""
+    lists = t.column("x").combine_chunks() if isinstance(t, pa.Table) else t.column(t.schema.get_field_index("x"))
+    lens = pc.list_value_length(lists).to_numpy(zero_copy_only=False)
+    x = lists.flatten()
+    return np.repeat(np.arange(len(lists)), lens), *(x.field(i).to_numpy() for i in range(3))
+
+
+def domain_classifier_batches(reference: TB.TermBlocks, current: DataFrame, n_batches: int, id_col: str = "doc_id",
                               seed: int = 42, max_df: float = 0.5) -> DataFrame:
     """``(batch, roc_auc, threshold, drift_detected, n_ref_test, n_cur_test)``: the domain classifier of
-    every batch of ``current`` (id, text, batch int from 0) against one reference of written terms."""
+    every batch of ``current`` (id, text, batch int from 0) against one reference in blocks.
+
+    A block of the reference gets the counts of its terms in all batches once; its held-out documents
+    are scored for one batch after the other as products of the block's matrix."""
     from ..session import prepare_udfs, write_table
     prepare_udfs(current.sparkSession)
-    train = hash_half(seed, "domain", id_col)
-    cur_terms = write_table(DT.doc_terms(current.withColumn("side", F.col("batch").cast("string")), id_col)
-                            .withColumn("batch", F.col("side").cast("int")).drop("side"), "batch_terms")
-    n_ref = ref_docs.count()
-    n_cur = np.zeros(n_batches)
-    for r in current.groupBy("batch").count().collect():  # a row a batch
-        n_cur[r["batch"]] = r["count"]
-    n_docs = n_ref + n_cur
-
-    in_ref = ref_terms.groupBy("term").agg(F.count(F.lit(1)).alias("df"), F.count_if(train).alias("tr"))
-    in_cur = cur_terms.groupBy("term", "batch").agg(F.count(F.lit(1)).alias("df"), F.count_if(train).alias("tr"))
-    lists = in_cur.groupBy("term").agg(F.collect_list("batch").alias("b"), F.collect_list("df").alias("bd"), F.collect_list("tr").alias("bt"))  # at most n_batches
-
-    def matrices(batch: pa.RecordBatch):
-        """Document counts of the terms, terms x batches: pooled, train current; train reference."""
-        col = lambda c: batch.column(batch.schema.get_field_index(c)).fill_null(0) if c in ("df", "tr") else batch.column(batch.schema.get_field_index(c)).to_pylist()
-        rows = batch.num_rows
-        pooled = np.repeat(col("df").to_numpy().astype(float)[:, None], n_batches, axis=1)
-        train_cur = np.zeros((rows, n_batches))
-        for i, (b, d, t) in enumerate(zip(col("b"), col("bd"), col("bt"))):
-            if b:
-                pooled[i, b] += d
-                train_cur[i, b] = t
-        return pooled, train_cur, col("tr").to_numpy().astype(float)[:, None]
-
-    terms = write_table(in_ref.join(lists, "term", "full"), "batch_vocabulary")
+    cur = TB.term_blocks(current.withColumn("side", F.col("batch").cast("string")), id_col, seed=seed)
+    cur_docs, batch_of = cur.docs.withColumn("batch", F.col("side").cast("int")), F.col("side").cast("int").alias("b")
+    n_docs = np.full(n_batches, float(reference.docs.agg(F.coalesce(F.sum("copies"), F.lit(0))).first()[0]))
+    for r in cur_docs.groupBy("batch").agg(F.sum("copies").alias("n")).collect():  # a row a batch
+        n_docs[r["batch"]] += r["n"]
+
+    rows = reference.stats().select("term", F.lit(-1).alias("b"), "df", (F.col("tr") + F.col("tz")).alias("tr")).unionByName(
+        cur.stats().select("term", batch_of, "df", (F.col("tr") + F.col("tz")).alias("tr")))
+    in_ref = lambda c: F.coalesce(F.sum(F.when(F.col("b") < 0, F.col(c))), F.lit(0)).cast("int").alias(c)
+    entry = F.struct("b", F.col("df").cast("int").alias("df"), F.col("tr").cast("int").alias("tr"))
+    terms = write_table(rows.groupBy("term").agg(in_ref("df"), in_ref("tr"), F.collect_list(F.when(F.col("b") >= 0, entry)).alias("x")),  # at most n_batches
+                        "batch_vocabulary", "zstd")
 
     def heavy_of(batches):
         for batch in batches:
-            pooled, _, _ = matrices(batch)
+            row, b, d, _ = _batch_counts(batch)
+            pooled = np.repeat(batch.column(1).to_numpy().astype(float)[:, None], n_batches, axis=1)
+            pooled[row, b] += d
             i, b = np.nonzero(pooled > max_df * n_docs)
-            yield pa.RecordBatch.from_arrays([batch.column(batch.schema.get_field_index("term")).take(pa.array(i)), pa.array(b, pa.int32())], ["term", "batch"])
+            yield pa.RecordBatch.from_arrays([batch.column(0).take(pa.array(i)), pa.array(b, pa.int32())], ["term", "batch"])
 
     # documents whose terms are all too frequent in a batch's pooled corpus do not count as trained on;
     # frequent terms are few: at most (distinct terms of a mean document) / max_df a batch
-    heavy = write_table(terms.mapInArrow(heavy_of, "term string, batch int"), "batch_heavy")
-    size = lambda rows, keys: rows.groupBy(*keys).agg(F.count(F.lit(1)).alias("size"))
-    ref_train, cur_train = ref_terms.where(train), cur_terms.where(train)
-    lost = lambda rows, on, keys: (rows.join(heavy, on).groupBy(id_col, "batch").agg(F.count(F.lit(1)).alias("h"))
-                                   .join(size(rows, keys), keys).where("h = size").groupBy("batch").count().collect())
+    heavy = write_table(terms.select("term", "df", "x").mapInArrow(heavy_of, "term string, batch int"), "batch_heavy")
+    trained, known = F.col("train") & (F.size("codes") > 0), F.col("id").isNotNull()
     sizes = np.zeros((2, n_batches))
-    sizes[0] = ref_train.select(id_col).distinct().count()
-    for r in cur_train.select(id_col, "batch").distinct().groupBy("batch").count().collect():
+    sizes[0] = reference.docs.where(trained).count()
+    for r in cur_docs.where(trained).groupBy("batch").count().collect():
         sizes[1, r["batch"]] = r["count"]
-    for side, rows in enumerate((lost(ref_train, ["term"], [id_col]), lost(cur_train, ["term", "batch"], [id_col, "batch"]))):
-        for r in rows:
-            sizes[side, r["batch"]] -= r["count"]
-
-    def weigh(batches):
-        """Inverse document frequency (null where too frequent) and log-odds (0 where untrained)."""
-        for batch in batches:
-            pooled, train_cur, train_ref = matrices(batch)
-            with np.errstate(divide="ignore"):
-                idf = np.log((n_docs + 1) / (pooled + 1)) + 1
-            odds = np.log((train_cur + 1) / (sizes[1] + 2)) - np.log((train_ref + 1) / (sizes[0] + 2))
-            odds[train_cur + train_ref == 0] = 0.0
-            entries = pa.StructArray.from_arrays([pa.array(idf.ravel(), mask=(pooled > max_df * n_docs).ravel()), pa.array(odds.ravel())], ["idf", "odds"])
-            yield pa.RecordBatch.from_arrays([batch.column(batch.schema.get_field_index("term")),
-                                              pa.ListArray.from_arrays(np.arange(0, idf.size + 1, n_batches, dtype=np.int32), entries)], ["term", "x"])
-
-    table = write_table(terms.mapInArrow(weigh, "term string, x array<struct<idf:double,odds:double>>"), "batch_weights")
-    tf = (1 + F.log(F.col("tf").cast("double")))
-    ref_x = (DT.salted_join(ref_terms.where(~train), table, "term", id_col).select(id_col, "tf", F.posexplode("x").alias("batch", "x")))
-    cur_x = (DT.salted_join(cur_terms.where(~train), table, "term", id_col).select(id_col, "tf", "batch", F.get("x", F.col("batch")).alias("x")))
-
-    def scores(rows: DataFrame) -> DataFrame:
-        a = tf * F.col("x.idf")
-        s = rows.where(F.col("x.idf").isNotNull()).groupBy(id_col, "batch").agg(F.sum(a * a).alias("q"), F.sum(a * F.col("x.odds")).alias("s"))
-        return s.select(id_col, "batch", F.round(F.col("s") / F.sqrt("q"), 12).alias("score"))
-
-    every = F.explode(F.sequence(F.lit(0), F.lit(n_batches - 1))).alias("batch")
-    held = lambda docs, rows: docs.join(scores(rows), [id_col, "batch"], "left").fillna(0.0, ["score"]).groupBy("batch", "score").count()
-    neg = held(ref_docs.where(~train).select(id_col, every), ref_x).select("batch", "score", F.lit(0).cast("long").alias("pos"), F.col("count").alias("neg"))
-    pos = held(current.where(~train).select(id_col, "batch"), cur_x).select("batch", "score", F.col("count").alias("pos"), F.lit(0).cast("long").alias("neg"))
-    counts = write_table(pos.unionByName(neg).groupBy("batch", "score").agg(F.sum("pos").alias("pos"), F.sum("neg").alias("neg")), "batch_scores")
+    for r in TB.heavy_counts(reference.docs.where(trained & known), reference, heavy, ["batch"]).groupBy("batch").count().collect():
+        sizes[0, r["batch"]] -= r["count"]
+    for r in TB.heavy_counts(cur.docs.where(trained & known), cur, heavy, ["batch"]).where(F.col("side").cast("int") == F.col("batch")).groupBy("batch").count().collect():
+        sizes[1, r["batch"]] -= r["count"]
+
+    def weigh(pooled, train_cur, train_ref, b):
+        """Inverse document frequency (0 where too frequent) and log-odds (0 where untrained)."""
+        idf = np.where(pooled > max_df * n_docs[b], 0.0, np.log((n_docs[b] + 1) / (pooled + 1)) + 1)
+        odds = np.log((train_cur + 1) / (sizes[1][b] + 2)) - np.log((train_ref + 1) / (sizes[0][b] + 2))
+        return idf, np.where(train_cur + train_ref == 0, 0.0, odds)
+
+    def scored(s, q, batch, copies) -> pa.Table:
+        score = np.where(q > 0, s / np.sqrt(np.where(q > 0, q, 1.0)), 0.0)
+        return pa.table({"batch": pa.array(batch, pa.int32()), "score": pa.array(score), "copies": pa.array(copies, pa.int64())})
+
+    def reference_scores(t: pa.Table, at: pa.Table) -> pa.Table:
+        m = TB.matrix(t)
+        size = TB.width(m, at)
+        df, tr = TB.dense(at, "df", size), TB.dense(at, "tr", size)
+        row, b, d, trained = _batch_counts(at)
+        code, order = TB.numbers(at, "code")[row], np.argsort(b, kind="stable")
+        ends = np.searchsorted(b[order], np.arange(n_batches + 1))
+        weight, square, out = m.log_tf, m.log_tf ** 2, []
+        for i in range(n_batches):
+            own = order[ends[i]:ends[i + 1]]
+            pooled, train_cur = df.copy(), np.zeros(size)
+            pooled[code[own]] += d[own]
+            train_cur[code[own]] = trained[own]
+            idf, odds = weigh(pooled, train_cur, tr, i)
+            out.append(scored(m.total(weight * (idf * odds)[m.code]), m.total(square * (idf * idf)[m.code]), np.full(m.n, i), TB.numbers(t, "copies")))
+        return pa.concat_tables(out)
+
+    def current_scores(t: pa.Table, at: pa.Table) -> pa.Table:
+        m = TB.matrix(t)
+        size = TB.width(m, at)
+        row, b, d, trained = _batch_counts(at)
+        key, batch = TB.numbers(at, "code")[row].astype(np.int64) * n_batches + b, TB.numbers(t, "batch")
+        order = np.argsort(key)
+        own = batch[m.doc]
+        found = order[np.searchsorted(key, m.code.astype(np.int64) * n_batches + own, sorter=order)]  # the document itself counts there
+        idf, odds = weigh(TB.dense(at, "df", size)[m.code] + d[found], trained[found], TB.dense(at, "tr", size)[m.code], own)
+        a = m.log_tf * idf
+        return scored(m.total(a * odds), m.total(a * a), batch, TB.numbers(t, "copies"))
+
+    ref_docs, cur_docs = reference.docs.where(~F.col("train")), cur_docs.where(~F.col("train"))
+    local = lambda blocks: blocks.local(terms).groupBy("block")
+    kind, none = "batch int, score double, copies long", F.lit(0.0).alias("score")
+    neg = ref_docs.where(known).select("block", "copies", "codes", "tf").groupBy("block").cogroup(local(reference)).applyInArrow(reference_scores, kind)
+    neg = neg.unionByName(ref_docs.where(~known).select(F.explode(F.sequence(F.lit(0), F.lit(n_batches - 1))).alias("batch"), none, "copies"))
+    pos = cur_docs.where(known).select("block", "batch", "copies", "codes", "tf").groupBy("block").cogroup(local(cur)).applyInArrow(current_scores, kind)
+    pos = pos.unionByName(cur_docs.where(~known).select("batch", none, "copies"))
+    both = pos.withColumn("p", F.lit(1)).unionByName(neg.withColumn("p", F.lit(0)))
+    counts = write_table(both.groupBy("batch", F.round("score", 12).alias("score")).agg(
+        F.sum(F.col("copies") * F.col("p")).alias("pos"), F.sum(F.col("copies") * (1 - F.col("p"))).alias("neg")), "batch_scores")
     auc = auc_from_counts(counts, ["batch"])
     thr = DT.random_auc_threshold(F.col("n_pos").cast("double"), F.col("n_neg").cast("double"))
     return auc.select("batch", F.col("auc").alias("roc_auc"), F.when(F.col("n_pos") * F.col("n_neg") > 0, thr).alias("threshold"),
@@ -210,18 +231,17 @@ def domain_classifier_batches(ref_docs: DataFrame, ref_terms: DataFrame, current
 
 def drift_detect_batches(current: DataFrame, fit: DR.DriftFit, batch_col: str, embed=None) -> DataFrame:
     """J2 + J3 for every batch: ``batch_id`` and the columns of ``drift.aggregate_methods``."""
-    from ..session import write_table
     c = fit.config
     require_columns(current, c.text_column, c.id_column, batch_col)
     cur = current.select(c.id_column, F.col(c.text_column).alias("text"), F.coalesce(F.col(batch_col).cast("string"), F.lit("unknown")).alias("batch_id"))
     ids = sorted(r.batch_id for r in cur.select("batch_id").distinct().collect())  # one string a batch
     spark = current.sparkSession
     names = spark.createDataFrame(list(enumerate(ids)), "batch int, batch_id string")
-    cur = write_table(cur.join(names, "batch_id").select(c.id_column, "text", "batch"), "batches")
+    cur = cur.join(F.broadcast(names), "batch_id").select(c.id_column, "text", "batch")
     rows = None
     for method in c.methods if ids else ():
         if method == "domain_classifier":
-            got = domain_classifier_batches(fit.docs, fit.terms, cur, len(ids), c.id_column, c.seed)
+            got = domain_classifier_batches(fit.terms, cur, len(ids), c.id_column, c.seed)
             details = {"roc_auc": F.col("roc_auc"), "threshold": F.col("threshold")}
         elif method == "embedding":
             got = embedding_batches(fit.embedding, DR.written_vectors(cur, "batch", embed))
