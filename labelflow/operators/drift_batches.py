@@ -122,11 +122,10 @@ def embedding_batches(fit: DE.EmbeddingFit, vectors: DataFrame, emb_col: str = "
 # ------------------------------------------------------------------ domain classifier
 
 def _batch_counts(t) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
-    """Of rows with ``x`` (lists of b, df, tr): row, batch, documents, train documents of every list entry."""
-    lists = t.column("x").combine_chunks() if isinstance(t, pa.Table) else t.column(t.schema.get_field_index("x"))
-    lens = pc.list_value_length(lists).to_numpy(zero_copy_only=False)
-    x = lists.flatten()
-    return np.repeat(np.arange(len(lists)), lens), *(x.field(i).to_numpy() for i in range(3))
+    """Of rows with the lists ``b``, ``bd``, ``bt``: row, batch, documents, train documents of every entry."""
+    lists = [x.combine_chunks() if isinstance(x := t.column(c), pa.ChunkedArray) else x for c in ("b", "bd", "bt")]
+    lens = pc.list_value_length(lists[0]).to_numpy(zero_copy_only=False)
+    return np.repeat(np.arange(len(lens)), lens), *(x.flatten().to_numpy() for x in lists)
 
 
 def domain_classifier_batches(reference: TB.TermBlocks, current: DataFrame, n_batches: int, id_col: str = "doc_id",
@@ -148,8 +147,8 @@ def domain_classifier_batches(reference: TB.TermBlocks, current: DataFrame, n_ba
         cur.stats().select("term", batch_of, "df", (F.col("tr") + F.col("tz")).alias("tr")))
     in_ref = lambda c: F.coalesce(F.sum(F.when(F.col("b") < 0, F.col(c))), F.lit(0)).cast("int").alias(c)
     entry = F.struct("b", F.col("df").cast("int").alias("df"), F.col("tr").cast("int").alias("tr"))
-    terms = write_table(rows.groupBy("term").agg(in_ref("df"), in_ref("tr"), F.collect_list(F.when(F.col("b") >= 0, entry)).alias("x")),  # at most n_batches
-                        "batch_vocabulary", "zstd")
+    lists = rows.groupBy("term").agg(in_ref("df"), in_ref("tr"), F.collect_list(F.when(F.col("b") >= 0, entry)).alias("x"))  # at most n_batches
+    terms = write_table(lists.select("term", "df", "tr", F.col("x.b").alias("b"), F.col("x.df").alias("bd"), F.col("x.tr").alias("bt")), "batch_vocabulary", "zstd")
 
     def heavy_of(batches):
         for batch in batches:
@@ -161,7 +160,7 @@ def domain_classifier_batches(reference: TB.TermBlocks, current: DataFrame, n_ba
 
     # documents whose terms are all too frequent in a batch's pooled corpus do not count as trained on;
     # frequent terms are few: at most (distinct terms of a mean document) / max_df a batch
-    heavy = write_table(terms.select("term", "df", "x").mapInArrow(heavy_of, "term string, batch int"), "batch_heavy")
+    heavy = write_table(terms.select("term", "df", "b", "bd", "bt").mapInArrow(heavy_of, "term string, batch int"), "batch_heavy")
     trained, known = F.col("train") & (F.size("codes") > 0), F.col("id").isNotNull()
     sizes = np.zeros((2, n_batches))
     sizes[0] = reference.docs.where(trained).count()
@@ -212,7 +211,7 @@ def domain_classifier_batches(reference: TB.TermBlocks, current: DataFrame, n_ba
         return scored(m.total(a * odds), m.total(a * a), batch, TB.numbers(t, "copies"))
 
     ref_docs, cur_docs = reference.docs.where(~F.col("train")), cur_docs.where(~F.col("train"))
-    local = lambda blocks: blocks.local(terms).groupBy("block")
+    local = lambda blocks: blocks.local(terms, "held").groupBy("block")
     kind, none = "batch int, score double, copies long", F.lit(0.0).alias("score")
     neg = ref_docs.where(known).select("block", "copies", "codes", "tf").groupBy("block").cogroup(local(reference)).applyInArrow(reference_scores, kind)
     neg = neg.unionByName(ref_docs.where(~known).select(F.explode(F.sequence(F.lit(0), F.lit(n_batches - 1))).alias("batch"), none, "copies"))
